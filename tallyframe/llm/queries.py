@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_cnn, mixing, near_dup, packing, quality_rules, rans
+from . import byte_cnn, mixing, near_dup, packing, pii, quality_rules, rans
 from .base import table
 
 
@@ -36,9 +36,13 @@ def op5_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_cnn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_quality_rules, op2_best_fit_packing, op3_minhash_near_dup, op4_hash_threshold_mixing, op5_byte_cnn_quality, op9_rans_token_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_quality_rules, op2_best_fit_packing, op3_minhash_near_dup, op4_hash_threshold_mixing, op5_byte_cnn_quality, op6_skip_chain_pii, op9_rans_token_files)}
 ORACLES: dict[str, str] = {"op4_hash_threshold_mixing": mixing.MIX_ORACLE}
