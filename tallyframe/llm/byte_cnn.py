@@ -14,6 +14,8 @@ repeat are scored each; without labels of both classes the score is the share of
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -147,16 +149,34 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> t
     return [r["text"] or "" for r in rows], np.array([r["label"] for r in rows], np.float32)
 
 
+def fitted(docs: DataFrame, labels: DataFrame) -> tuple[Weights | None, float]:
+    """Weights, or None and a constant score where the labels don't have both classes."""
+    texts, known = training_rows(docs, labels)
+    if len(set(known.tolist())) == 2:
+        return fit(texts, known), 0.0
+    return None, float(known.mean()) if len(known) else 0.5
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of ``docs``; fitted on ``labels`` (doc_id, quality)."""
-    texts, known = training_rows(docs, labels)
-    both = len(set(known.tolist())) == 2
-    weights = fit(texts, known) if both else None
-    constant = float(known.mean()) if len(known) else 0.5
+    weights, constant = fitted(docs, labels)
     schema = StructType([StructField("doc_id", LongType()), StructField("score", DoubleType())])
 
     def run(doc_ids: pa.Array, texts: pa.Array) -> dict[str, list]:
-        return {"doc_id": doc_ids, "score": [score(t.as_py(), weights) if both else constant for t in texts]}
+        return {"doc_id": doc_ids, "score": [constant if weights is None else score(t.as_py(), weights) for t in texts]}
 
     scored = map_rows(docs, ["doc_id", "text"], run, schema)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that score 0.5 or more, with all their columns; no shuffle."""
+    weights, constant = fitted(docs, labels)
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(names.index("text"))
+            yield batch.filter(pa.array([(constant if weights is None else score(t.as_py(), weights)) >= 0.5 for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -223,3 +223,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # rows that share a doc_id but not a text are one node, so the least of their components holds
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))
     return known.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """One document of each group, the one of least doc_id, with all its columns; rows with null doc_id stay."""
+    gone = near_duplicates(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(cut(gone, "duplicates"), F.col("doc_id") == F.col("gone_id"), "left_anti")

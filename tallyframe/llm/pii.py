@@ -232,7 +232,7 @@ def looks_like(kind: int, found: str) -> bool:
         return bool(name and host)
     if kind == 1:
         parts = found.split(".")
-        return len(parts) == 4 and all(p.isdigit() and p.isascii() and len(p) <= 3 for p in parts)
+        return len(parts) == 4 and all(p.isdigit() and p.isascii() and len(p) <= 3 and int(p) <= 255 for p in parts)
     if any(c.isalpha() for c in found) or "@" in found:
         return False
     return 16 <= digits <= 19 if kind == 2 else 7 <= digits <= 15 and not re.fullmatch(r"[0-9]+(?:[.,][0-9]+)*", found)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_cnn, mixing, near_dup, packing, pii, quality_rules, rans
+from . import byte_cnn, license_scan, maxscore, mixing, near_dup, packing, pii, quality_rules, rans, warc_fixity
 from .base import table
 
 
@@ -40,9 +40,23 @@ def op6_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_patience_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op8_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = maxscore.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return maxscore.top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op9_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_quality_rules, op2_best_fit_packing, op3_minhash_near_dup, op4_hash_threshold_mixing, op5_byte_cnn_quality, op6_skip_chain_pii, op9_rans_token_files)}
-ORACLES: dict[str, str] = {"op4_hash_threshold_mixing": mixing.MIX_ORACLE}
+def op10_warc_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return warc_fixity.audit(warc_fixity.warc_records(pages), warc_fixity.warc_records(warc_fixity.damaged(pages)))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_quality_rules, op2_best_fit_packing, op3_minhash_near_dup, op4_hash_threshold_mixing, op5_byte_cnn_quality, op6_skip_chain_pii, op7_patience_license_scan, op8_maxscore_top_k, op9_rans_token_files, op10_warc_merkle_audit)}
+ORACLES: dict[str, str] = {"op4_hash_threshold_mixing": mixing.MIX_ORACLE, "op8_maxscore_top_k": maxscore.TOP_K_ORACLE, "op10_warc_merkle_audit": warc_fixity.AUDIT_ORACLE}
