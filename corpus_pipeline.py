@@ -1,4 +1,11 @@
-"""A training corpus from raw documents in stages, each written as Parquet and read again by the next."""
+"""A training corpus from raw documents in stages, each written as Parquet and read again by the next.
+
+The quality classifier's rejects go, one document of each group of near-duplicates stays, personal data is masked, the
+sources are mixed to their target weights (a document that the mix takes twice is there twice), and what is left is
+packed into sequences. Every stage works on all that the one before kept; all but the last keep the columns of documents.
+
+A row with a null doc_id is judged by its text in the first stage and passes the second.
+"""
 
 from __future__ import annotations
 
@@ -7,18 +14,40 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import packing
+from tallyframe.llm import byte_cnn, mixing, near_dup, packing, pii
 from tallyframe.llm.base import shared_dir, table
 from tallyframe.llm.queries import vocabulary
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return byte_cnn.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dup.keep_first(docs)
+
+
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs)
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"))
 
 
-STAGES: list[tuple[str, Stage]] = [("best-fit packing", best_fit_packing)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", quality_classifier),
+    ("MinHash near-dedup", minhash_near_dedup),
+    ("PII", redact_pii),
+    ("mixing sources to target weights", mix_sources),
+    ("best-fit packing", best_fit_packing),
+]
 #: A fitted classifier and graph components can't be said in SQL; tests hold the stages against plain versions.
 ORACLE_SQL: str | None = None
 
