@@ -304,13 +304,13 @@ def masked(text: str, spans: list[Span]) -> str:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of ``text`` replaced by its kind, all its columns and rows kept."""
-    weights = fitted(docs)
+    weights, names = fitted(docs), docs.columns
 
     def run(*columns: pa.Array) -> dict[str, list]:
-        out = dict(zip(docs.columns, columns, strict=True))
+        out = dict(zip(names, columns, strict=True))
         texts = out["text"].to_pylist()
         found = all_spans([t or "" for t in texts], weights)
         out["text"] = [t and masked(t, every) for t, (_, every) in zip(texts, found, strict=True)]
         return out
 
-    return map_rows(docs, docs.columns, run, docs.schema)
+    return map_rows(docs, names, run, docs.schema)
