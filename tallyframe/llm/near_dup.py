@@ -7,7 +7,8 @@
    sketches differ least is confirmed on the sets. Components of these links settle large groups of copies.
 3. What could still join two components are pairs of a bucket in different components. In small buckets the pairs are
    joined; large buckets are cut into blocks of nodes, and pairs of blocks are compared by sketch in one task each,
-   leaving out the pairs within the bucket's largest component. Every pair that sketches can't rule out is confirmed.
+   leaving out the pairs within the bucket's largest component. A second odd sketch, of the whole set in PARITY bits,
+   differs in at most as many bits as the sets in shingles, so it rules pairs out without loss. The rest is confirmed.
 4. Components of all confirmed links give each document the least doc_id it reaches.
 
 At similarity 0.75 a pair shares no band with probability (1 - 0.75**4)**32 = 5e-6, and sketches rule it out (estimate
@@ -36,6 +37,7 @@ PERCENT = 75
 SAMPLES = 128
 BANDS = 32
 BITS = 1024
+PARITY = 4096
 #: Pairs of a lower estimated similarity are not confirmed; five standard deviations below 0.75.
 LOOSE = 0.55
 #: Nodes a bucket may have for its pairs to be joined; larger buckets go block by block.
@@ -61,7 +63,7 @@ FEATURES = StructType(
         StructField("sketch", ArrayType(LongType())),
     ]
 )
-SETS = StructType([StructField("doc_id", LongType()), StructField("shingles", ArrayType(LongType()))])
+SETS = StructType([StructField("doc_id", LongType()), StructField("shingles", ArrayType(LongType())), StructField("parity", ArrayType(LongType()))])
 
 
 class _WordHashes(dict):
@@ -102,6 +104,12 @@ def signature(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys.view(np.int64), sketch
 
 
+def whole_parity(shingles: np.ndarray) -> np.ndarray:
+    """Odd sketch of the whole set."""
+    place = ((shingles * _MIX) >> np.uint64(64 - PARITY.bit_length() + 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=PARITY) & 1).astype(np.uint8)).view(np.int64)
+
+
 def features(docs: DataFrame) -> DataFrame:
     def run(doc_ids: pa.Array, texts: pa.Array) -> dict[str, list]:
         out: dict[str, list] = {"doc_id": doc_ids, "n_shingles": [], "set_key": [], "bands": [], "sketch": []}
@@ -119,7 +127,8 @@ def features(docs: DataFrame) -> DataFrame:
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
     def run(doc_ids: pa.Array, texts: pa.Array) -> dict[str, list]:
-        return {"doc_id": doc_ids, "shingles": [shingle_set(t.as_py()).view(np.int64) for t in texts]}
+        sets = [shingle_set(t.as_py()) for t in texts]
+        return {"doc_id": doc_ids, "shingles": [s.view(np.int64) for s in sets], "parity": [whole_parity(s) for s in sets]}
 
     return map_rows(docs, ["doc_id", "text"], run, SETS)
 
@@ -137,6 +146,13 @@ def _with_sketches(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.select("a", "b", _differing_bits("sketch_a", "sketch_b").alias("bits")).where(F.col("bits") <= MOST_BITS)
 
 
+def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs that the whole sets' parities allow: similarity p means that sets of s shingles together differ in s(1-p)/(1+p)."""
+    side = lambda k: sets.select(F.col("doc_id").alias(k), F.size("shingles").alias(f"n_{k}"), F.col("parity").alias(f"parity_{k}"))
+    bits = F.aggregate(F.zip_with("parity_a", "parity_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return pairs.join(side("a"), "a").join(side("b"), "b").where((100 + percent) * bits <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose whole sets are similar enough, as edges (u, v)."""
     a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
@@ -152,13 +168,14 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(named, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def _block_pairs(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+def _block_pairs(rows: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs across components in large buckets: rows (band, node, label) to distinct pairs (a, b)."""
     by_label = rows.groupBy("band", "label").agg(F.count("*").alias("n"))
     giant = by_label.groupBy("band").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"))
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     giant = giant.select("band", F.col("top.label").alias("giant"), blocks(F.col("top.n")).alias("n_giant"), blocks(F.col("all") - F.col("top.n")).alias("n_rest"))
-    row = rows.join(giant, "band").join(nodes.select("node", "sketch"), "node")
+    whole = sets.select(F.col("doc_id").alias("node"), F.size("shingles").alias("size"), "parity")
+    row = rows.join(giant, "band").join(nodes.select("node", "sketch"), "node").join(whole, "node")
     inside = F.col("label") == F.col("giant")
     own = F.pmod(F.xxhash64("node"), F.when(inside, F.col("n_giant")).otherwise(F.col("n_rest"))).cast("int")
     row = row.withColumn("inside", inside).withColumn("own", own)
@@ -170,6 +187,7 @@ def _block_pairs(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         node, label = rows["node"].to_numpy(), rows["label"].to_numpy()
         sketch = np.stack(rows["sketch"].to_numpy()).view(np.uint64)
+        parity, size = np.stack(rows["parity"].to_numpy()).view(np.uint64), rows["size"].to_numpy()
         inside = rows["inside"].to_numpy()
         left = np.flatnonzero(inside) if key[1] == 0 else np.arange(len(node))
         right = np.flatnonzero(~inside) if key[1] == 0 else np.arange(len(node))
@@ -177,10 +195,12 @@ def _block_pairs(rows: DataFrame, nodes: DataFrame) -> DataFrame:
         for k in left:
             bits = np.bitwise_count(sketch[right] ^ sketch[k]).sum(axis=1)
             hit = right[(bits <= MOST_BITS) & (label[right] != label[k])]
+            most = (100 - percent) * (size[hit].astype(np.int64) + size[k])
+            hit = hit[(100 + percent) * np.bitwise_count(parity[hit] ^ parity[k]).sum(axis=1, dtype=np.int64) <= most]
             found += [(min(node[k], node[h]), max(node[k], node[h])) for h in hit]
         return pd.DataFrame(sorted(set(found)), columns=["a", "b"], dtype="int64")
 
-    columns = units.select("band", F.col("unit.kind").alias("kind"), F.col("unit.i").alias("i"), F.col("unit.j").alias("j"), "node", "label", "sketch", "inside")
+    columns = units.select("band", F.col("unit.kind").alias("kind"), F.col("unit.i").alias("i"), F.col("unit.j").alias("j"), "node", "label", "sketch", "inside", "size", "parity")
     return columns.groupBy("band", "kind", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
 
@@ -215,7 +235,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     left = few.select("band", F.col("node").alias("a"), F.col("label").alias("label_a"))
     right = few.select("band", F.col("node").alias("b"), F.col("label").alias("label_b"))
     pairs = left.join(right, "band").where("a < b and label_a <> label_b").select("a", "b").distinct()
-    more = cut(_with_sketches(pairs, nodes).select("a", "b").unionByName(_block_pairs(rows.where(F.col("n") > SMALL), nodes)), "open-pairs")
+    few = _possible(_with_sketches(pairs, nodes).select("a", "b"), sets, percent)
+    more = cut(few.unionByName(_block_pairs(rows.where(F.col("n") > SMALL), nodes, sets, percent)), "open-pairs")
     labels = cut(connected_components(links.unionByName(_confirmed(more, sets, percent))), "labels")
 
     named = _labelled(first.select("set_key", "node"), labels).groupBy("set_key").agg(F.min("label").alias("component_id"))
