@@ -180,13 +180,17 @@ def fit(texts: list[str]) -> dict[str, np.ndarray] | None:
     left[chain[:, 1]], right[chain[:, 0]] = hot[chain[:, 0]], hot[chain[:, 1]]
     np.add.at(far, skip[:, 0], hot[skip[:, 1]])
     np.add.at(far, skip[:, 1], hot[skip[:, 0]])
+    # a word outside all spans that is linked to one inside may be what the patterns miss: its label isn't known
+    known = np.ones((len(y), 1))
+    for i, j in ((skip[:, 0], skip[:, 1]), (skip[:, 1], skip[:, 0])):
+        known[i[(y[i] == 0) & (y[j] > 0)]] = 0
     w = {"node": np.zeros((len(FEATURES), N)), "chain": np.zeros((N, N)), "skip": CONSISTENT * np.eye(N)}
     prior = {k: a.copy() for k, a in w.items()}
     m, v = {k: np.zeros_like(a) for k, a in w.items()}, {k: np.zeros_like(a) for k, a in w.items()}
     for t in range(1, STEPS + 1):
         score = x @ w["node"] + left @ w["chain"] + right @ w["chain"].T + far @ w["skip"]
         p = np.exp(score - score.max(axis=1, keepdims=True))
-        e = (hot - p / p.sum(axis=1, keepdims=True)) / len(y)
+        e = known * (hot - p / p.sum(axis=1, keepdims=True)) / len(y)
         g = {"node": x.T @ e, "chain": left.T @ e + (right.T @ e).T, "skip": far.T @ e}
         g["skip"] = (g["skip"] + g["skip"].T) / 2
         for k in w:
