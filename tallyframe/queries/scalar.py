@@ -49,14 +49,14 @@ def fn_str6_classify_text(t: Tables) -> DataFrame:
     return t.documents.groupBy(text.classify_first(F.col("text"), CLASSES, "other").alias("class")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT n_nationkey, concat_ws('; ', CASE WHEN n > 20 THEN 'many customers (' || n || ')' END, CASE WHEN bal > 0 THEN 'mean balance ' || printf('%.2f', bal) END, CASE WHEN n_regionkey = 1 THEN 'region one' END) AS why
-FROM (SELECT n_nationkey, n_regionkey, count(c_custkey) AS n, coalesce(round(avg(c_acctbal), 2), 0) AS bal FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2)""")
+@query("""SELECT n_nationkey, concat_ws('; ', CASE WHEN n > 20 THEN 'many customers (' || n || ')' END, CASE WHEN bal > 0 THEN 'mean balance ' || floor(bal)::BIGINT END, CASE WHEN n_regionkey = 1 THEN 'region one' END) AS why
+FROM (SELECT n_nationkey, n_regionkey, count(c_custkey) AS n, coalesce(avg(c_acctbal), 0) AS bal FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2)""")
 def fn_str7_explanation(t: Tables) -> DataFrame:
     per = t.nation.join(t.customer, F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy("n_nationkey", "n_regionkey")
-    per = per.agg(F.count("c_custkey").alias("n"), F.coalesce(F.round(F.avg("c_acctbal"), 2), F.lit(0.0)).alias("bal"))
+    per = per.agg(F.count("c_custkey").alias("n"), F.coalesce(F.avg("c_acctbal"), F.lit(0.0)).alias("bal"))
     return per.select("n_nationkey", text.explanation(
         (F.col("n") > 20, F.concat(F.lit("many customers ("), F.col("n"), F.lit(")"))),
-        (F.col("bal") > 0, F.concat(F.lit("mean balance "), F.format_string("%.2f", "bal"))),
+        (F.col("bal") > 0, F.concat(F.lit("mean balance "), F.floor("bal"))),
         (F.col("n_regionkey") == 1, F.lit("region one")),
     ).alias("why"))
 
