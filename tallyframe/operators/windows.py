@@ -36,9 +36,16 @@ def status_history(observations: DataFrame, keys: Sequence[str], date: str, stat
     )
 
 
-def trailing(keys: Sequence[str], date: str, days: int):
-    """The window of the ``days`` days up to the row's date."""
-    day = F.datediff(F.col(date), F.lit("1970-01-01"))
+def day_number(date: str) -> Column:
+    return F.datediff(F.col(date), F.lit("1970-01-01"))
+
+
+def trailing(keys: Sequence[str], date: str, days: int, number: str | None = None):
+    """The window of the ``days`` days up to the row's date.
+
+    ``number`` names a column that holds ``day_number(date)``: windows over it share one sort, whatever their length.
+    """
+    day = F.col(number) if number else day_number(date)
     return Window.partitionBy(*keys).orderBy(day).rangeBetween(-days, Window.currentRow)
 
 

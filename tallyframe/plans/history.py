@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import safe_divide
 from ..functions.text import surrogate_key
 from ..operators.relational import null_safe_join
-from ..operators.windows import latest_per_key, rank_band, trailing, trailing_months
+from ..operators.windows import day_number, latest_per_key, rank_band, trailing, trailing_months
 
 
 def current_status(history: DataFrame, keys: Sequence[str], date: str, scope: Sequence[str] = ()) -> DataFrame:
@@ -58,24 +58,24 @@ def competition(activity: DataFrame, calendar: DataFrame, scope: Sequence[str],
     """
     per_key = activity.groupBy(*scope, *segment, date, key).agg(F.bool_or(entered).alias("_in"), F.min(F.when(F.col(entered), F.col(entrant_before))).alias("_before"))
     segments = per_key.groupBy(*scope, *segment, date).agg(F.count(key).alias("active_count"), F.count_if("_in").alias("entered_count"), F.min("_before").alias("_entrant_before"))
-    days_known = calendar.select(*scope, date).distinct()
-    by_date = Window.partitionBy(*scope).orderBy(date)
-    days_known = days_known.withColumn("history_days", F.datediff(date, F.min(date).over(Window.partitionBy(*scope)))).withColumn("_previous", F.lag(date).over(by_date))
-    for n in days:
-        days_known = days_known.withColumn(f"_first_{n}", F.min(date).over(trailing(scope, date, n)))
-    rows = segments.join(days_known, [*scope, date])
+    # all windows of one partitioning are asked for at once over a plain day number, so each takes one sort
+    days_known = calendar.select(*scope, date).distinct().withColumn("_day", day_number(date))
+    days_known = days_known.select(
+        *scope, date, F.datediff(date, F.min(date).over(Window.partitionBy(*scope))).alias("history_days"), F.lag(date).over(Window.partitionBy(*scope).orderBy("_day")).alias("_previous"),
+        *(F.min(date).over(trailing(scope, date, n, "_day")).alias(f"_first_{n}") for n in days),
+    )
+    rows = segments.join(days_known, [*scope, date]).withColumn("_day", day_number(date))
+    w, g = {n: trailing([*scope, *segment], date, n, "_day") for n in {*days, growth_days}}, growth_days
+    rows = rows.select(
+        "*", *(F.sum("entered_count").over(w[n]).alias(f"_new_{n}") for n in days), *(F.min("_entrant_before").over(w[n]).alias(f"_entrant_{n}") for n in days),
+        F.first("active_count").over(w[g]).alias("_base"), F.first(date).over(w[g]).alias("_base_date"), F.first("entered_count").over(w[g]).alias("_base_in"),
+    )
     start = lambda n: F.date_sub(F.col(date), n)
-    covered = {}
-    for n in days:
-        w = trailing([*scope, *segment], date, n)
-        rows = rows.withColumn(f"_new_{n}", F.sum("entered_count").over(w)).withColumn(f"_entrant_{n}", F.min("_entrant_before").over(w))
-        covered[n] = (
-            (F.col("history_days") >= n) & (F.col(f"_first_{n}") <= F.date_add(start(n), tolerance)) & (F.col("_previous") >= start(n))
-            & (F.col(f"_entrant_{n}").isNull() | (F.col(f"_entrant_{n}") >= start(n)))
-        )
-    g = growth_days
-    w = trailing([*scope, *segment], date, g)
-    rows = rows.withColumn("_base", F.first("active_count").over(w)).withColumn("_base_date", F.first(date).over(w)).withColumn("_base_in", F.first("entered_count").over(w))
+    covered = {
+        n: (F.col("history_days") >= n) & (F.col(f"_first_{n}") <= F.date_add(start(n), tolerance)) & (F.col("_previous") >= start(n))
+        & (F.col(f"_entrant_{n}").isNull() | (F.col(f"_entrant_{n}") >= start(n)))
+        for n in days
+    }
     grows = covered[g] & (F.col("_base_date") == F.col(f"_first_{g}")) & ((F.col(f"_new_{g}") == 0) | (F.col("_base_in") == 0)) & (F.col("_base") > 0)
     rank = F.percent_rank().over(Window.partitionBy(*scope, date).orderBy("active_count"))
     out = rows.select(
@@ -96,7 +96,7 @@ def monthly_trends(activity: DataFrame, scope: Sequence[str], segment: Sequence[
     run = Window.partitionBy(*scope).orderBy("month")
     seen = seen.select(*scope, "month", F.datediff(F.max("_high").over(run), F.min("_low").over(run)).alias("_days"))
     w = trailing_months([*scope, *segment], "month", months)
-    rows = monthly.join(seen, [*scope, "month"]).withColumn("trailing_avg", F.avg("n").over(w)).withColumn("_base", F.first("n").over(w)).withColumn("_base_month", F.min("month").over(w))
+    rows = monthly.join(seen, [*scope, "month"]).select("*", F.avg("n").over(w).alias("trailing_avg"), F.first("n").over(w).alias("_base"), F.min("month").over(w).alias("_base_month"))
     full = (F.col("_days") >= least_days) & (F.col("_base_month") <= F.add_months("month", -months))
     joined = rows.join(population, [c for c in population.columns if c != "population"], "left")
     return joined.select(*scope, *segment, "month", "n", "trailing_avg", F.when(full, safe_divide(F.col("n") - F.col("_base"), F.col("_base"))).alias("growth"), F.round(safe_divide(F.col("n"), F.col("population")) * 100_000, 4).alias("per_100k"))
