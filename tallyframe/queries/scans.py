@@ -69,8 +69,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY w DESC, p_t
 SELECT s_nationkey, p_type, w, round(share, 8) AS share FROM r WHERE rn = 1""")
 def src14_dominant_group(t: Tables) -> DataFrame:
     joined = t.lineitem.join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey")).join(t.part, F.col("p_partkey") == F.col("l_partkey"))
-    kinds = sorted(r[0] for r in t.part.select("p_type").distinct().collect())  # six values
-    return reference.dominant_group(joined, "s_nationkey", "p_type", "l_quantity", kinds).withColumn("share", F.round("share", 8))
+    return reference.dominant_group(joined, "s_nationkey", "p_type", "l_quantity").withColumn("share", F.round("share", 8))
 
 
 @query("""SELECT o_orderkey, '{"o_orderkey":' || o_orderkey || ',"status":' || CASE WHEN o_orderstatus = 'P' THEN 'null' ELSE '"' || o_orderstatus || '"' END || '}' AS doc FROM orders""")

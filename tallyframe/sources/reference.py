@@ -94,9 +94,9 @@ def shares(counts: DataFrame, by: str, value: str) -> DataFrame:
     return counts.groupBy(by).agg(F.sum(checked).alias(value))
 
 
-def dominant_group(df: DataFrame, key: str, group: str, weight: str, order: Sequence[str]) -> DataFrame:
-    """The group of most weight per key and its share; ties go to the earlier group of ``order``."""
-    place = F.array_position(F.array(*map(F.lit, order)), F.col(group))
+def dominant_group(df: DataFrame, key: str, group: str, weight: str, order: Sequence[str] | None = None) -> DataFrame:
+    """The group of most weight per key and its share; ties go to the earlier group of ``order``, or to the lesser name."""
+    place = F.array_position(F.array(*map(F.lit, order)), F.col(group)) if order else F.col(group)
     per = df.groupBy(key, group).agg(F.sum(weight).alias("w"))
     best = Window.partitionBy(key).orderBy(F.col("w").desc(), place)
     ranked = per.withColumn("rn", F.row_number().over(best)).withColumn("share", F.try_divide(F.col("w").cast("double"), F.sum("w").over(Window.partitionBy(key)).cast("double")))
