@@ -250,3 +250,17 @@ def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One document of each group, the one of least doc_id, with all its columns; rows with null doc_id stay."""
     gone = near_duplicates(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
     return docs.join(cut(gone, "duplicates"), F.col("doc_id") == F.col("gone_id"), "left_anti")
+
+
+#: All pairs that share a shingle, for DuckDB on small tables.
+COMPONENTS_ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM n UNION SELECT both_ways.b, r.root FROM r JOIN both_ways ON both_ways.a = r.doc_id)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, doc_id) AS component_id, coalesce(c.component_id, doc_id) = doc_id AS kept
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(root) AS component_id FROM r GROUP BY 1) c USING (doc_id)
+"""

@@ -146,3 +146,30 @@ def clean_documents(docs: DataFrame) -> DataFrame:
         return {"doc_id": doc_ids, **dict(zip(RESULT.names[1:], zip(*rows, strict=True), strict=True))} if rows else {c: [] for c in RESULT.names}
 
     return map_rows(docs, ["doc_id", "text"], run, RESULT)
+
+
+def _listed(values: tuple[str, ...]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+#: The same rules for DuckDB.
+RULES_ORACLE = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+b AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d),
+g AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) > 1 AS twice FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM b WHERE len(w) > 2)),
+n AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM g WHERE twice) GROUP BY r),
+l AS (SELECT r, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS own FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)),
+v AS (SELECT r, line, len(array_to_string(own, '')) AS chars, CASE
+    WHEN 100 * len(list_filter(own, lambda x: list_contains({_listed(SEPARATORS)}, x))) > {LINK_PERCENT} * len(own) THEN 'menu'
+    WHEN 100 * len(list_filter(own, lambda x: regexp_matches(x, '{ODD_WORD}'))) > {ODD_PERCENT} * len(own) THEN 'odd'
+    WHEN len(own) <= {SHORT_MENU} AND len(list_filter(own, lambda x: NOT list_contains({_listed(MENU_WORDS + SEPARATORS)}, trim(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '.,:;!?')))) = 0 THEN 'menu'
+    WHEN len(own) <= {SHORT_BOILERPLATE} AND regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{"|".join(PHRASES)}') THEN 'stock'
+    WHEN 2 * len(list_filter(range(1, len(own)), lambda i: own[i] = own[i + 1])) > len(own) THEN 'stock' END AS rule FROM l WHERE len(own) > 0),
+m AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (WHERE rule = 'odd') AS n_odd_lines, count(*) FILTER (WHERE rule = 'menu') AS n_menu_lines,
+    count(*) FILTER (WHERE rule = 'stock') AS n_stock_lines, coalesce(sum(chars) FILTER (WHERE rule IS NOT NULL), 0)::BIGINT AS lost_chars FROM v GROUP BY r),
+a AS (SELECT doc_id, len(w) AS n_words, len(array_to_string(w, '')) AS word_chars, length(text) - length(regexp_replace(text, '[{SYMBOLS}]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(n_odd_lines, 0) AS n_odd_lines, coalesce(n_menu_lines, 0) AS n_menu_lines, coalesce(n_stock_lines, 0) AS n_stock_lines,
+    coalesce(lost_chars, 0) AS lost_chars FROM b LEFT JOIN n USING (r) LEFT JOIN m USING (r))
+SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed,
+    NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words) AND 100 * lost_chars <= {LOST_PERCENT} * word_chars AS kept FROM a
+"""

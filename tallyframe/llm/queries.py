@@ -59,4 +59,10 @@ def op10_warc_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_quality_rules, op2_best_fit_packing, op3_minhash_near_dup, op4_hash_threshold_mixing, op5_byte_cnn_quality, op6_skip_chain_pii, op7_patience_license_scan, op8_maxscore_top_k, op9_rans_token_files, op10_warc_merkle_audit)}
-ORACLES: dict[str, str] = {"op4_hash_threshold_mixing": mixing.MIX_ORACLE, "op8_maxscore_top_k": maxscore.TOP_K_ORACLE, "op10_warc_merkle_audit": warc_fixity.AUDIT_ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_line_quality_rules": quality_rules.RULES_ORACLE,
+    "op3_minhash_near_dup": near_dup.COMPONENTS_ORACLE,
+    "op4_hash_threshold_mixing": mixing.MIX_ORACLE,
+    "op8_maxscore_top_k": maxscore.TOP_K_ORACLE,
+    "op10_warc_merkle_audit": warc_fixity.AUDIT_ORACLE,
+}
