@@ -17,7 +17,7 @@ def distinct_sorted(c: Column | str) -> Column:
 
 
 def joined_phases(values: Column) -> tuple[Column, Column]:
-    """A list of phases as 'A|B' and 'A/B'; none is UNKNOWN, NA is NOT_APPLICABLE."""
-    raw = F.array_join(F.coalesce(values, F.array().cast("array<string>")), "|")
+    """A list of phases as 'A|B' and 'A/B'; none is NULL and UNKNOWN, NA is NOT_APPLICABLE."""
+    raw = F.when(F.size(values) > 0, F.array_join(values, "|"))
     named = F.array_join(F.transform(values, lambda v: F.when(v == "NA", "NOT_APPLICABLE").otherwise(v)), "/")
     return raw, F.when(F.coalesce(F.size(values), F.lit(0)) <= 0, "UNKNOWN").otherwise(named)

@@ -62,16 +62,18 @@ def lookup(c: Column, values: dict[str, str], default: str | None = None) -> Col
 
 def state_code(c: Column, names: dict[str, str], unknown: str = "UNKNOWN") -> Column:
     """A known two-letter code, else the code of a known name, else ``unknown``."""
-    norm = F.upper(F.trim(c))
-    return F.when(norm.isin(*sorted(set(names.values()))), norm).otherwise(lookup(normalize_text(c), names, unknown))
+    cleaned = normalize_text_unicode(c)
+    return F.when(F.upper(cleaned).isin(*sorted(set(names.values()))), F.upper(cleaned)).otherwise(lookup(cleaned, names, unknown))
 
 
-def geo_scope(country: Column, state: Column, home: Sequence[str], unknown: str = "UNKNOWN") -> Column:
-    """How well a place is known: foreign, home with a state, home without one, or unknown."""
-    return (
-        F.when(country.isNull() | (F.trim(country) == ""), "unknown").when(~normalize_text(country).isin(*home), "foreign")
-        .when(state == unknown, "home_unknown_state").otherwise("home_state")
-    )
+def geo_scope(facility: Column, city: Column, state: Column, country: Column, unknown: str = "UNKNOWN") -> Column:
+    """The finest part of a place that is known: facility, city, state, country or unknown."""
+    given = lambda c: c.isNotNull() & (c != "")
+    return F.when(given(facility), "facility").when(given(city), "city").when(state != unknown, "state").when(given(country), "country").otherwise("unknown")
+
+
+def in_country(country: Column, spellings: Sequence[str]) -> Column:
+    return F.coalesce(normalize_text_unicode(country).isin(*spellings), F.lit(False))
 
 
 def explanation(*parts: tuple[Column, Column], sep: str = "; ") -> Column:

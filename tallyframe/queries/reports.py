@@ -54,9 +54,9 @@ def qry4_live_sort(t: Tables) -> DataFrame:
     return t.orders.where("o_totalprice > 450000").select("o_orderkey", shown.alias("shown")).orderBy(F.col("shown").desc(), "o_orderkey").limit(50)
 
 
-@query("SELECT c_custkey, s.lat, s.lon FROM customer LEFT JOIN (SELECT s_nationkey, avg(s_suppkey) AS lat, avg(s_acctbal) AS lon FROM supplier GROUP BY 1) s ON s_nationkey = c_nationkey")
+@query("SELECT c_custkey, s.lat, s.lon FROM customer LEFT JOIN (SELECT s_nationkey, round(avg(s_suppkey), 6) AS lat, round(avg(s_acctbal), 6) AS lon FROM supplier GROUP BY 1) s ON s_nationkey = c_nationkey")
 def qry5_postal_centroid(t: Tables) -> DataFrame:
-    centre = t.supplier.groupBy(F.col("s_nationkey").alias("c_nationkey")).agg(F.avg("s_suppkey").alias("lat"), F.avg("s_acctbal").alias("lon"))
+    centre = t.supplier.groupBy(F.col("s_nationkey").alias("c_nationkey")).agg(F.round(F.avg("s_suppkey"), 6).alias("lat"), F.round(F.avg("s_acctbal"), 6).alias("lon"))
     return t.customer.join(centre, "c_nationkey", "left").select("c_custkey", "lat", "lon")
 
 

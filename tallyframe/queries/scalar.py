@@ -74,12 +74,13 @@ def fn_str9_consumer_text(t: Tables) -> DataFrame:
 STATES = {"america": "AM", "asia": "AS", "europe": "EU"}
 
 
-@query("""SELECT r_regionkey, CASE WHEN upper(trim(r_name)) IN ('AM','AS','EU') THEN upper(trim(r_name)) ELSE coalesce(CASE lower(trim(r_name)) WHEN 'america' THEN 'AM' WHEN 'asia' THEN 'AS' WHEN 'europe' THEN 'EU' END, 'UNKNOWN') END AS state,
-CASE WHEN r_regionkey = 4 THEN 'unknown' WHEN r_regionkey = 3 THEN 'foreign' WHEN lower(trim(r_name)) NOT IN ('america','asia','europe') THEN 'home_unknown_state' ELSE 'home_state' END AS geo_scope FROM region""")
+@query("""SELECT r_regionkey, coalesce(CASE lower(trim(r_name)) WHEN 'america' THEN 'AM' WHEN 'asia' THEN 'AS' WHEN 'europe' THEN 'EU' END, 'UNKNOWN') AS state,
+CASE WHEN r_regionkey = 4 THEN 'facility' WHEN r_regionkey = 3 THEN 'city' WHEN lower(trim(r_name)) IN ('america','asia','europe') THEN 'state' ELSE 'country' END AS geo_scope, r_regionkey <> 2 AS us_location_flag FROM region""")
 def fn_str10_11_state_and_scope(t: Tables) -> DataFrame:
-    country = F.when(F.col("r_regionkey") == 4, F.lit(None)).when(F.col("r_regionkey") == 3, "Elsewhere").otherwise("United States")
-    state = text.state_code(F.col("r_name"), STATES)
-    return t.region.select("r_regionkey", state.alias("state"), text.geo_scope(country, state, ("united states", "usa")).alias("geo_scope"))
+    k, state = F.col("r_regionkey"), text.state_code(F.col("r_name"), STATES)
+    country = F.when(k == 2, "Elsewhere").otherwise("United States")
+    scope = text.geo_scope(F.when(k == 4, "hall"), F.when(k == 3, "town").otherwise(""), state, country)
+    return t.region.select("r_regionkey", state.alias("state"), scope.alias("geo_scope"), text.in_country(country, ("united states", "usa")).alias("us_location_flag"))
 
 
 def _partial(c: str = "o_orderdate"):
