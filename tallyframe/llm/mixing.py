@@ -25,7 +25,9 @@ WEIGHTS = (5, 2, 1)
 PERCENT = 150
 MOST = 2
 #: Levels of the histogram, each by so many hexadecimal digits of the hash.
-LEVELS, DIGITS = 3, 4
+LEVELS, DIGITS = 4, 3
+#: Up to so many sources their thresholds are broadcast (about 100 bytes each); beyond, they are joined by source.
+FEW_SOURCES = 50_000
 
 
 def word_count(text: str) -> Column:
@@ -62,27 +64,37 @@ def plan(slim: DataFrame) -> DataFrame:
     aims = targets(sizes)
     times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
     aims = aims.withColumn("times", times).withColumn("budget", F.col("target") - F.col("times") * F.col("source_size"))
-    state = aims.withColumn("prefix", F.lit("")).withColumn("below", F.lit(0).cast("long"))
+    # one row per source; written at each level, as a plan that names it several times would double with each
+    state = cut(aims.withColumn("prefix", F.lit("")).withColumn("below", F.lit(0).cast("long")), "mix-targets")
     for level in range(1, LEVELS + 1):
-        inside = slim.join(state.select(F.col("source").alias("s"), "prefix"), F.col("source").eqNullSafe(F.col("s")))
-        inside = inside.where(F.substring("hash", 1, (level - 1) * DIGITS) == F.col("prefix"))
+        inside = slim
+        if level > 1:  # by source and bucket, so a hot source is dealt by its buckets
+            bucket = F.substring("hash", 1, (level - 1) * DIGITS)
+            inside = slim.join(state.select(F.col("source").alias("s"), "prefix"), F.col("source").eqNullSafe(F.col("s")) & (bucket == F.col("prefix")))
         buckets = inside.groupBy("source", F.substring("hash", 1, level * DIGITS).alias("bucket")).agg(F.sum("size").alias("n"))
         running = buckets.withColumn("upto", F.sum("n").over(Window.partitionBy("source").orderBy("bucket")))
         state = state.withColumnRenamed("source", "s").drop("prefix")
         # the first bucket that ends beyond the budget holds the threshold
         over = running.join(state.select("s", "budget", F.col("below").alias("b")), F.col("source").eqNullSafe(F.col("s"))).where(F.col("b") + F.col("upto") > F.col("budget"))
         at = over.groupBy("source").agg(F.min_by(F.struct("bucket", (F.col("b") + F.col("upto") - F.col("n")).alias("start"), "n"), "bucket").alias("at"))
-        state = state.join(at, F.col("s").eqNullSafe(F.col("source")), "left").select(
+        found = state.join(at, F.col("s").eqNullSafe(F.col("source")), "left").select(
             F.col("s").alias("source"), "source_size", "target", "times", "budget", F.col("at.bucket").alias("prefix"), F.col("at.start").alias("below"), F.col("at.n").alias("n")
         )
+        state = cut(found, "mix-bounds")
     takes_last = F.col("below") + F.col("n") - F.col("budget") < F.col("budget") - F.col("below")
     return state.select("source", "source_size", "target", "times", F.col("prefix").alias("threshold"), F.coalesce(takes_last, F.lit(False)).alias("takes_last"))
 
 
+def _small(chosen: DataFrame) -> DataFrame:
+    """The plan, written once; broadcast if its number of sources allows, so that a source with many rows isn't dealt to one task."""
+    chosen = cut(chosen, "mix-plan")
+    return F.broadcast(chosen) if chosen.count() <= FEW_SOURCES else chosen
+
+
 def mixture(docs: DataFrame) -> DataFrame:
     """doc_id, source, text hash, size, source_size, target, times (0, 1 or 2) and taken for every row of ``docs``."""
     slim = cut(docs.select("doc_id", "source", word_count("text").alias("size"), hashed().alias("hash")), "mix-sizes")
-    chosen = plan(slim).withColumnRenamed("source", "s")
+    chosen = _small(plan(slim).withColumnRenamed("source", "s"))
     once = (F.col("hash") < F.col("threshold")) | ((F.col("hash") == F.col("threshold")) & F.col("takes_last"))
     rows = slim.join(chosen, F.col("source").eqNullSafe(F.col("s")))
     rows = rows.withColumn("times", F.col("times") + F.coalesce(once, F.lit(False)).cast("int"))
@@ -92,10 +104,9 @@ def mixture(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the mixture takes, each as often as it takes them, with the columns of ``docs``."""
     slim = cut(docs.select("source", word_count("text").alias("size"), hashed().alias("hash")), "mix-sizes")
-    chosen = plan(slim).select(F.col("source").alias("mix_s"), "times", "threshold", "takes_last")
+    chosen = _small(plan(slim).select(F.col("source").alias("mix_s"), "times", "threshold", "takes_last"))
     own = [c for c in docs.columns if c not in ("mix_s", "times", "threshold", "takes_last")]
     once = (hashed() < F.col("threshold")) | ((hashed() == F.col("threshold")) & F.col("takes_last"))
-    # one row per source: its size decides whether Spark broadcasts it
     rows = docs.select(*own).join(chosen, F.col("source").eqNullSafe(F.col("mix_s")))
     copies = F.col("times") + F.coalesce(once, F.lit(False)).cast("int")
     return rows.withColumn("times", copies).where("times > 0").withColumn("threshold", F.explode(F.array_repeat(F.lit(1), F.col("times")))).select(*own)
