@@ -43,3 +43,13 @@ def test_ingest_splits_quarantine(spark, tmp_path):
     bad = {r["reason"] for r in spark.read.parquet(f"{tmp_path}/quarantine").collect()}
     assert bad == {r["reason"] for r in screen(rows, F.lit(True), F.col("id"), r"^NCT\d{8}$").where("reason is not null").collect()} == {"MISSING_ID", "INVALID_ID_FORMAT"}
     assert spark.read.parquet(f"{tmp_path}/good").count() == 1
+
+
+def test_windowed_counts(spark, sf_dir, tmp_path):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).select("ts", "event_type")
+    events.write.parquet(f"{tmp_path}/in")
+    counts = changes.windowed_counts(spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in"), "ts", "event_type", "1 day", "1 day")
+    counts.writeStream.format("memory").queryName("per_day").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    got = {(r["window"]["start"], r["event_type"]): r["n"] for r in spark.table("per_day").collect()}
+    want = {(r["d"], r["event_type"]): r["n"] for r in events.groupBy(F.date_trunc("day", "ts").alias("d"), "event_type").agg(F.count("*").alias("n")).collect()}
+    assert got == want and want
