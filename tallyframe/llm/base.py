@@ -31,21 +31,29 @@ def shared_dir(spark: SparkSession) -> str:
     return told.rstrip("/")
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: its work is done once and survives lost executors."""
+def cut(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: its work is done once and survives lost executors.
+
+    ``options`` are the Parquet writer's, such as compression."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_rows(df: DataFrame, columns: list[str], fn: Callable[..., dict[str, list]], schema: StructType) -> DataFrame:
-    """Give ``fn`` the named columns of each Arrow batch as Arrow arrays; it returns the output columns as lists or arrays."""
+def map_rows(df: DataFrame, columns: list[str], fn: Callable[..., dict[str, list]], schema: StructType, rows: int = 1000) -> DataFrame:
+    """Give ``fn`` the named columns of ``rows`` rows at a time as Arrow arrays; it returns the output columns as lists or arrays.
+
+    An Arrow batch may hold many long texts; only a slice of it is spread out as Python objects at a time.
+    """
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = fn(*(batch.column(i) for i in range(len(columns))))
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                out = fn(*(part.column(i) for i in range(len(columns))))
+                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+            pa.default_memory_pool().release_unused()
 
     return df.select(*columns).mapInArrow(run, schema)

@@ -15,15 +15,17 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from .base import cut, map_rows
+from .base import cut
 from .tokens import encoder
 
 CAPACITY = 1024
@@ -46,24 +48,25 @@ PIECES = StructType(
 
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece of every document: where it starts in the document's ids, its length and checksum."""
-    end = np.array([END_ID], "<u4")
-
-    def run(doc_ids: pa.Array, texts: pa.Array) -> dict[str, list]:
-        rows: list[tuple] = []
-        keys = iter(doc_ids.to_pylist())
-        for ids, ends in encoder(vocabulary, True).batches(texts):
-            for a, b in zip(ends, ends[1:], strict=False):
-                doc, own = next(keys), np.concatenate([ids[a:b], end])
-                begin = 0
-                upto = len(own) % capacity or min(len(own), capacity)
-                piece = 0
-                while begin < len(own):
-                    rows.append((doc, piece, begin, upto - begin, zlib.crc32(own[begin:upto].tobytes())))
-                    begin, upto, piece = upto, upto + capacity, piece + 1
-        columns = zip(*rows, strict=True) if rows else [[]] * len(PIECES)
-        return dict(zip(PIECES.names, columns, strict=True))
-
-    return map_rows(docs, ["doc_id", "text"], run, PIECES)
+    end, schema = np.array([END_ID], "<u4"), to_arrow_schema(PIECES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = iter(batch.column(0).to_pylist())
+            for ids, ends in encoder(vocabulary, True).batches(batch.column(1)):  # a slice at a time, to hold few ids at once
+                rows: list[tuple] = []
+                for a, b in zip(ends, ends[1:], strict=False):
+                    doc, own = next(keys), np.concatenate([ids[a:b], end])
+                    begin, piece = 0, 0
+                    upto = len(own) % capacity or min(len(own), capacity)
+                    while begin < len(own):
+                        rows.append((doc, piece, begin, upto - begin, zlib.crc32(own[begin:upto].tobytes())))
+                        begin, upto, piece = upto, upto + capacity, piece + 1
+                columns = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            pa.default_memory_pool().release_unused()
+
+    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:

@@ -35,9 +35,9 @@ END_ID = 2
 SCALE = 20
 LOW = np.uint64(1 << 31)  # a state is in [2**31, 2**63)
 WORD_BITS = np.uint64(32)
-LANES = 1024
+LANES = 2048
 #: A block is closed when it holds so many ids; one very long document may make it longer.
-BLOCK = 1 << 18
+BLOCK = 1 << 19
 #: Steps from one checkpoint to the next.
 CHECKPOINT = 128
 #: Ids a file holds about.
@@ -81,7 +81,7 @@ def scaled(counts: np.ndarray, scale: int = SCALE) -> np.ndarray:
 @lru_cache(maxsize=2)
 def _tables(table: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     freq = np.frombuffer(table, "<u4").astype(np.uint64)
-    return freq, np.cumsum(freq) - freq, np.repeat(np.arange(len(freq), dtype=np.uint32), freq.astype(np.int64))
+    return freq, np.cumsum(freq) - freq, np.repeat(np.arange(len(freq)), freq.astype(np.int64))
 
 
 def encode_block(ids: np.ndarray, table: bytes) -> dict:
@@ -89,6 +89,7 @@ def encode_block(ids: np.ndarray, table: bytes) -> dict:
     freq, before, _ = _tables(table)
     lanes = max(1, min(LANES, len(ids) // 64))
     steps = -(-len(ids) // lanes)
+    ids = ids.astype(np.intp)  # what arrays are indexed with
     x, chunks, checks = np.full(lanes, LOW, np.uint64), [], []
     limit = np.uint64(31 - SCALE + 32)
     for t in range(steps - 1, -1, -1):
@@ -128,7 +129,7 @@ def decode_block(block: dict, table: bytes, checkpoint: int = 0, upto: int | Non
         m = min(lanes, n - t * lanes)
         own = x[:m]
         slot = own & mask
-        s = symbol[slot]
+        s = symbol[slot.view(np.int64)]
         out[(t - low) * lanes : (t - low) * lanes + m] = s
         own = freq[s] * (own >> np.uint64(SCALE)) + slot - before[s]
         need = own < LOW
@@ -142,17 +143,23 @@ def decode_block(block: dict, table: bytes, checkpoint: int = 0, upto: int | Non
 def token_ids(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, number of ids with the end id, and the ids as little-endian integers of 16 bits (32 for large vocabularies)."""
 
-    def run(doc_ids: pa.Array, texts: pa.Array) -> dict[str, list]:
+    schema = to_arrow_schema(TOKENS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary, False)
         kind = _kind(own.tokenizer.get_vocab_size())
-        end, sizes, rows = np.array([END_ID], kind).tobytes(), [], []
-        for ids, ends in own.batches(texts):
-            ids = ids.astype(kind)
-            rows += [ids[a:b].tobytes() + end for a, b in zip(ends, ends[1:], strict=False)]
-            sizes += (np.diff(ends) + 1).tolist()
-        return {"doc_id": doc_ids, "n_tokens": sizes, "ids": rows}
+        end = np.array([END_ID], kind).tobytes()
+        for batch in batches:
+            at = 0
+            for ids, ends in own.batches(batch.column(1)):  # a slice at a time, to hold few ids at once
+                ids = ids.astype(kind)
+                rows = [ids[a:b].tobytes() + end for a, b in zip(ends, ends[1:], strict=False)]
+                out = [batch.column(0).slice(at, len(rows)), pa.array(np.diff(ends) + 1, pa.int64()), pa.array(rows, pa.binary())]
+                at += len(rows)
+                yield pa.RecordBatch.from_arrays(out, schema=schema)
+            pa.default_memory_pool().release_unused()
 
-    return map_rows(docs, ["doc_id", "text"], run, TOKENS)
+    return docs.select("doc_id", "text").mapInArrow(run, TOKENS)
 
 
 def _kind(vocabulary_size: int) -> str:
@@ -181,7 +188,7 @@ def write_files(docs: DataFrame, vocabulary: str, path: str) -> None:
     spark = docs.sparkSession
     size = encoder(vocabulary, False).tokenizer.get_vocab_size()
     kind = _kind(size)
-    tokens = cut(token_ids(docs, vocabulary), "token-ids")
+    tokens = cut(token_ids(docs, vocabulary), "token-ids", compression="zstd")
     table = frequency_table(tokens, size)
     freq = np.frombuffer(table, "<u4")
     spark.createDataFrame([(int(i), int(freq[i])) for i in np.flatnonzero(freq)], "id long, frequency long").coalesce(1).write.parquet(f"{path}/table")
@@ -242,7 +249,7 @@ def read_files(spark: SparkSession, path: str, vocabulary: str) -> DataFrame:
                     out[c].append(v)
         return out
 
-    rows = map_rows(blocks, BLOCKS.names, run, schema)
+    rows = map_rows(blocks, BLOCKS.names, run, schema, rows=4)
     # One row per file, of FILE ids each, stands in this window.
     files = blocks.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     begin = files.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("begin"))

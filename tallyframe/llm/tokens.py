@@ -23,8 +23,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Parts kept per worker; beyond, the store starts anew. Bounds a worker's memory at about 150 MB.
-PARTS = 700_000
+#: Words, and parts with their punctuation, kept per worker; beyond, a store starts anew. Bounds a worker's memory at about 180 MB.
+WORDS, PARTS = 500_000, 500_000
 #: Texts cut at once are of about so many bytes.
 SLICE = 8_000_000
 _START = "\x01"  # stands before a part that has no space before it
@@ -44,34 +44,42 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
-class _Words:
-    """Ids of parts as little-endian 32-bit integers; those of words without end punctuation are kept."""
+class _Parts(dict):
+    """part -> its ids as little-endian 32-bit integers; ``words`` has those of words without end punctuation."""
 
     def __init__(self, tokenizer, spaces: bool):
+        super().__init__()
         self.encode, self.merge, self.spaces = tokenizer.encode, tokenizer.model.tokenize, spaces
-        self.letters, self.cores = _byte_letters(), {}
+        self.letters, self.words = _byte_letters(), {}
 
     def whole(self, part: str) -> bytes:
-        if (ids := self.cores.get(part)) is None:
-            ids = self.cores[part] = array("I", self.encode(part, add_special_tokens=False).ids).tobytes()
+        if (ids := self.words.get(part)) is None:
+            ids = self.words[part] = array("I", self.encode(part, add_special_tokens=False).ids).tobytes()
         return ids
 
-    def word(self, part: str) -> bytes:
-        """A single word as the vocabulary cuts them, so that only its merges are left to do."""
-        if (ids := self.cores.get(part)) is None:
-            shown = part.encode().decode("latin-1").translate(self.letters)
-            ids = self.cores[part] = array("I", [t.id for t in self.merge(shown)]).tobytes()
-        return ids
-
-    def part(self, part: str) -> bytes:
-        lead = ""
+    def __missing__(self, part: str) -> bytes:
+        own, lead = part, ""
         if self.spaces:
-            part, lead = (part.removeprefix(_START), "") if part[:1] in (_START, "\n") else (part, " ")
-        core = part.rstrip(string.punctuation)
+            own, lead = (part.removeprefix(_START), "") if part[:1] in (_START, "\n") else (part, " ")
+        core = own.rstrip(string.punctuation)
         word = core if self.spaces else core.lower()
-        if not (word.isalpha() and max(core) < "ɐ"):
-            return self.whole(lead + part) if part else b""
-        return self.word(lead + word) + (self.whole(part[len(core) :]) if len(core) < len(part) else b"")
+        if word.isalpha() and (word.isascii() or max(core) < "ɐ"):
+            # a single word as the vocabulary cuts them, so only its merges are left to do
+            if (ids := self.words.get(key := lead + word)) is None:
+                shown = key.encode().decode("latin-1").translate(self.letters)
+                ids = self.words[key] = array("I", [t.id for t in self.merge(shown)]).tobytes()
+            if len(core) < len(own):
+                ids += self.whole(own[len(core) :])
+        else:
+            ids = self.whole(lead + own) if own else b""
+        self[part] = ids
+        return ids
+
+    def trim(self) -> None:
+        if len(self) > PARTS:
+            self.clear()
+        if len(self.words) > WORDS:
+            self.words.clear()
 
 
 class Encoder:
@@ -82,11 +90,11 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.spaces = spaces
-        self.words = _Words(self.tokenizer, spaces)
+        self.parts = _Parts(self.tokenizer, spaces)
 
     def uneven(self, text: str) -> bytes:
         pieces = _BEFORE_SPACE.split(text)
-        return b"".join(self.words.part(p[1:]) if p[:1] == " " and p[1:2].strip() and p[1] != _START else self.words.whole(p) for p in pieces if p)
+        return b"".join(self.parts[p[1:]] if p[:1] == " " and p[1:2].strip() and p[1] != _START else self.parts.whole(p) for p in pieces if p)
 
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         odd = {}
@@ -100,7 +108,7 @@ class Encoder:
             texts = pc.replace_substring(texts, "\n", " ")
         lists = pc.split_pattern(texts, " ")
         coded = lists.values.dictionary_encode()
-        found = list(map(self.words.part, coded.dictionary.to_pylist()))
+        found = list(map(self.parts.__getitem__, coded.dictionary.to_pylist()))
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         blob, begin = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
         part = coded.indices.to_numpy()
@@ -111,8 +119,7 @@ class Encoder:
         if odd:
             rows = [np.frombuffer(odd[i], "<u4") if i in odd else ids[a:b] for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False))]
             ids, ends = np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-        if len(self.words.cores) > PARTS:
-            self.words.cores.clear()
+        self.parts.trim()
         return ids, ends
 
     def batches(self, texts: pa.Array):
