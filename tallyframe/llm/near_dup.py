@@ -68,7 +68,7 @@ SETS = StructType([StructField("doc_id", LongType()), StructField("shingles", Ar
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value

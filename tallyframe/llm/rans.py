@@ -40,6 +40,8 @@ LANES = 2048
 BLOCK = 1 << 19
 #: Steps from one checkpoint to the next.
 CHECKPOINT = 128
+#: What the encoder keeps and cuts at once here: twice and more of its defaults, as this job's workers hold little else.
+KEPT, SLICE = 450_000, 8_000_000
 #: Ids a file holds about.
 FILE = 1 << 23
 
@@ -146,7 +148,7 @@ def token_ids(docs: DataFrame, vocabulary: str) -> DataFrame:
     schema = to_arrow_schema(TOKENS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(vocabulary, False)
+        own = encoder(vocabulary, False, KEPT, SLICE)
         kind = _kind(own.tokenizer.get_vocab_size())
         end = np.array([END_ID], kind).tobytes()
         for batch in batches:

@@ -23,10 +23,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words, and parts with their punctuation, kept per worker; beyond, a store starts anew. Bounds a worker's memory at about 180 MB.
-WORDS, PARTS = 500_000, 500_000
-#: Texts cut at once are of about so many bytes.
-SLICE = 8_000_000
+#: Words, and as many parts with their punctuation, that a worker keeps; beyond, a store starts anew. 100,000 of both take about 36 MB.
+KEPT = 150_000
+#: Texts cut at once are of about so many bytes; the arrays over their parts and ids take about ten times that.
+SLICE = 3_000_000
 _START = "\x01"  # stands before a part that has no space before it
 _BLANK = r"[\t-\r\x{1c}-\x{20}\x{85}\p{Z}]"
 _UNEVEN = rf"{_BLANK}{{2}}|\A{_BLANK}|{_BLANK}\z|{_START}"
@@ -75,21 +75,22 @@ class _Parts(dict):
         self[part] = ids
         return ids
 
-    def trim(self) -> None:
-        if len(self) > PARTS:
+    def trim(self, kept: int) -> None:
+        if len(self) > kept:
             self.clear()
-        if len(self.words) > WORDS:
+        if len(self.words) > kept:
             self.words.clear()
 
 
 class Encoder:
-    def __init__(self, path: str, spaces: bool):
+    def __init__(self, path: str, spaces: bool, kept: int = KEPT, size: int = SLICE):
+        """kept and size: see KEPT and SLICE; larger ones save work and cost memory."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.spaces = spaces
+        self.spaces, self.kept, self.size = spaces, kept, size
         self.parts = _Parts(self.tokenizer, spaces)
 
     def uneven(self, text: str) -> bytes:
@@ -114,12 +115,15 @@ class Encoder:
         part = coded.indices.to_numpy()
         count = sizes[part]
         total = np.concatenate([[0], np.cumsum(count)])
-        ids = blob[np.repeat(begin[part] - total[:-1], count) + np.arange(total[-1])]
+        kind = np.int32 if total[-1] < 1 << 31 else np.int64
+        place = np.repeat((begin[part] - total[:-1]).astype(kind), count)
+        place += np.arange(total[-1], dtype=kind)
+        ids = blob[place]
         ends = total[lists.offsets.to_numpy()]
         if odd:
             rows = [np.frombuffer(odd[i], "<u4") if i in odd else ids[a:b] for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False))]
             ids, ends = np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-        self.parts.trim()
+        self.parts.trim(self.kept)
         return ids, ends
 
     def batches(self, texts: pa.Array):
@@ -127,12 +131,12 @@ class Encoder:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         size, at = np.cumsum(pc.binary_length(texts).to_numpy()), 0
         while at < len(texts):
-            upto = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE)))
+            upto = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + self.size)))
             yield self._slice(texts.slice(at, upto - at))
             at = upto
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str, spaces: bool) -> Encoder:
+@lru_cache(maxsize=1)
+def encoder(path: str, spaces: bool, kept: int = KEPT, size: int = SLICE) -> Encoder:
     """One per worker process and vocabulary file."""
-    return Encoder(path, spaces)
+    return Encoder(path, spaces, kept, size)
