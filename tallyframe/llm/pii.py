@@ -2,10 +2,11 @@
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers. The field's nodes are the words with a digit or
 an at sign (any other word is outside); neighbours in the text share a chain potential, and occurrences of the same
-word, or of the same four or more digits, share a skip potential, however far apart they are. Words inside a pattern's span are observed.
-Loopy message passing gives every other word its label's probability, so a number that is written in full once is
-found again where its form is too short for the pattern. Runs of one label that are probable enough, look like their
-kind and touch no pattern's span are added to the spans.
+word, or of the same four or more digits, share a skip potential, however far apart they are. Words inside a pattern's span are observed;
+each occurrence is linked to the next and to the nearest observed one, so what the patterns found reaches all of a text at once.
+Loopy message passing, until messages stop changing, gives every other word its label's probability, so a number that is
+written in full once is found again where its form is too short for the pattern. Runs of one label outside the patterns'
+spans are divided into pieces that are probable enough and look like their kind (at line ends first), and these are added to the spans.
 
 The weights are fitted by pseudo-likelihood on at most SAMPLE texts that have such words (those of the least hash), with
 the patterns' spans as labels. Scanning and message passing read whole texts of all documents.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,13 @@ from .base import WORD, map_rows
 KINDS = ("email", "ip", "card", "phone")
 #: Texts that fitting reads at most.
 SAMPLE = 1500
-ROUNDS = 6
+#: Messages of a text have stopped changing when none moves by more.
+STILL = 1e-4
+#: Rounds without progress, or nodes of a text if more, after which its messages move by half as much: so each text comes to an end.
+PATIENCE = 100
 SURE = 0.9
+#: Words of a piece at most: no kind has more digits.
+WORDS = 19
 #: Where fitting starts for equal labels at the ends of a skip edge; few texts have repeated words to learn it from.
 CONSISTENT = 3.0
 STEPS = 150
@@ -133,7 +140,8 @@ class Graph:
             start = max([end, *(text.rfind(c, end, m.start()) + 1 for c in " \t\n\x0b\x0c\r")])
             end = WORD.match(text, start).end()
             words.append((start, end))
-        base_at, by_key = sorted((a, b, kind) for kind, a, b in base), {}
+        base_at = sorted((a, b, kind) for kind, a, b in base)
+        by_key: dict[str, list[int]] = {}
         k, reach, label_of = 0, 0, 0
         for i, (a, b) in enumerate(words):
             node, word = first + i, text[a:b]
@@ -154,9 +162,15 @@ class Graph:
                 self.chain.append((node - 1, node))
             digits = "".join(c for c in word if "0" <= c <= "9")
             for key in {word.strip(_EDGE).lower(), "#" + digits if len(digits) >= 4 else ""} - {""}:
-                if key in by_key:
-                    self.skip.append((by_key[key], node))
-                by_key[key] = node
+                by_key.setdefault(key, []).append(node)
+        for same in by_key.values():
+            self.skip += zip(same, same[1:], strict=False)
+            observed = [i for i, node in enumerate(same) if self.seen[node]]
+            for i, node in enumerate(same) if observed else ():
+                at = bisect_left(observed, i)
+                near = min(observed[max(0, at - 1) : at + 1], key=lambda o: abs(o - i))
+                if abs(near - i) > 1:  # nearer ones are linked already, an observed one is its own nearest
+                    self.skip.append((same[near], node))
 
     def node_scores(self, weights: np.ndarray) -> np.ndarray:
         out = np.zeros((len(self.text), N))
@@ -200,8 +214,11 @@ def fit(texts: list[str]) -> dict[str, np.ndarray] | None:
     return w
 
 
-def marginals(graph: Graph, w: dict[str, np.ndarray], rounds: int = ROUNDS) -> np.ndarray:
-    """Label probabilities by loopy sum-product message passing; observed nodes keep their label."""
+def marginals(graph: Graph, w: dict[str, np.ndarray]) -> np.ndarray:
+    """Label probabilities by loopy sum-product message passing; observed nodes keep their label.
+
+    Texts share no edge: each is left alone once its messages are still.
+    """
     own = np.exp(np.clip(graph.node_scores(w["node"]), -30, 30))
     seen = np.array(graph.seen)
     own[seen > 0] = np.eye(N)[seen[seen > 0]]
@@ -209,23 +226,37 @@ def marginals(graph: Graph, w: dict[str, np.ndarray], rounds: int = ROUNDS) -> n
     ends = np.array(graph.chain + graph.skip, int).reshape(-1, 2)
     if not len(ends):
         return own
-    tables = np.exp(np.clip(np.stack([w["chain"], w["skip"]]), -30, 30))[[0] * len(graph.chain) + [1] * len(graph.skip)]
+    both = np.exp(np.clip(np.stack([w["chain"], w["skip"]]), -30, 30))
+    both = np.concatenate([both, both.transpose(0, 2, 1)])  # chain, skip, and the same the other way
+    _, text = np.unique(graph.text, return_inverse=True)
+    nodes = np.bincount(text)
+    prior = np.log(own + 1e-30)
+    total = prior.copy()
     source, target = np.concatenate([ends[:, 0], ends[:, 1]]), np.concatenate([ends[:, 1], ends[:, 0]])
-    tables = np.concatenate([tables, tables.transpose(0, 2, 1)])
-    half = len(ends)
-    back = np.concatenate([np.arange(half) + half, np.arange(half)])  # the message the other way
-    messages = np.full((2 * half, N), 1.0 / N)
-    belief = own
-    for _ in range(rounds):
-        log = np.log(own + 1e-30)
+    kind = np.repeat([0, 1, 2, 3], [len(graph.chain), len(graph.skip)] * 2)
+    messages = np.full((len(source), N), 1.0 / N)
+    step, least, stalled = np.full(len(nodes), 0.5), np.full(len(nodes), np.inf), np.zeros(len(nodes), int)
+    while len(source):
+        half = len(source) // 2
+        log = prior.copy()
         np.add.at(log, target, np.log(messages + 1e-30))
-        out = log[source] - np.log(messages[back] + 1e-30)
+        out = log[source] - np.log(messages[np.concatenate([np.arange(half) + half, np.arange(half)])] + 1e-30)  # without the message the other way
         out = np.exp(out - out.max(axis=1, keepdims=True))
-        fresh = np.einsum("en,enm->em", out, tables)
-        messages = 0.5 * messages + 0.5 * fresh / fresh.sum(axis=1, keepdims=True)
-    log = np.log(own + 1e-30)
-    np.add.at(log, target, np.log(messages + 1e-30))
-    belief = np.exp(log - log.max(axis=1, keepdims=True))
+        fresh = np.einsum("en,enm->em", out, both[kind])
+        change = step[text[source]][:, None] * (fresh / fresh.sum(axis=1, keepdims=True) - messages)
+        messages = messages + change
+        moved = np.zeros(len(nodes))
+        np.maximum.at(moved, text[source], np.abs(change).max(axis=1))
+        better = moved < 0.9 * least
+        least, stalled = np.where(better, moved, least), np.where(better, 0, stalled + 1)
+        tired = stalled > np.maximum(PATIENCE, nodes)
+        step[tired] /= 2
+        stalled[tired] = 0
+        still = (moved <= STILL)[text[source]]
+        if still.any():
+            np.add.at(total, target[still], np.log(messages[still] + 1e-30))
+            source, target, kind, messages = source[~still], target[~still], kind[~still], messages[~still]
+    belief = np.exp(total - total.max(axis=1, keepdims=True))
     return belief / belief.sum(axis=1, keepdims=True)
 
 
@@ -242,6 +273,37 @@ def looks_like(kind: int, found: str) -> bool:
     return 16 <= digits <= 19 if kind == 2 else 7 <= digits <= 15 and not re.fullmatch(r"[0-9]+(?:[.,][0-9]+)*", found)
 
 
+def divided(text: str, kind: int, words: list[tuple[int, int]], sure: list[bool]) -> list[tuple[int, int]]:
+    """Pieces of a run of words, all sure and each like its kind: those that hold most words, with the fewest line ends inside.
+
+    Of these the fewest pieces, but the most for addresses, which have no blanks.
+    """
+    sign = 1 if KINDS[kind] == "email" else -1
+    best: list[tuple[int, int, int]] = [(0, 0, 0)]
+    piece: list[tuple[int, int, int] | None] = [None]  # first word, start and end of the piece that ends here
+    for j in range(1, len(words) + 1):
+        best.append(best[-1])
+        piece.append(None)
+        lines = 0
+        for i in range(j - 1, max(-1, j - 1 - WORDS), -1):
+            if not sure[i]:
+                break
+            a, b = words[i][0], words[j - 1][1]
+            found = text[a:b]
+            kept = found.rstrip(_EDGE).lstrip(_EDGE.replace("(", ""))
+            a = b - len(found.lstrip(_EDGE.replace("(", "")))
+            own = (best[i][0] + j - i, best[i][1] - lines, best[i][2] + sign)
+            if own > best[j] and looks_like(kind, kept):
+                best[j], piece[j] = own, (i, a, a + len(kept))
+            lines += text[words[i][0] - 1] != " "
+    out, j = [], len(words)
+    while j:
+        if own := piece[j]:
+            out.append(own[1:])
+        j = own[0] if own else j - 1
+    return out
+
+
 def all_spans(texts: list[str], weights: dict[str, np.ndarray] | None) -> list[tuple[list[Span], list[Span]]]:
     """For each text the patterns' spans, and those with what the field adds, by kind and start."""
     bases = [base_spans(t) for t in texts]
@@ -258,16 +320,11 @@ def all_spans(texts: list[str], weights: dict[str, np.ndarray] | None) -> list[t
         k = 0
         while k < len(graph.text):
             upto = k + 1
-            while upto in linked and label[upto] == label[k]:
+            while upto in linked and label[upto] == label[k] and bool(graph.seen[upto]) == bool(graph.seen[k]):
                 upto += 1
-            if label[k] and not any(graph.seen[k:upto]) and sure[k:upto].min() >= SURE:
+            if label[k] and not graph.seen[k]:
                 i, kind = graph.text[k], int(label[k]) - 1
-                a, b = graph.span[k][0], graph.span[upto - 1][1]
-                found = texts[i][a:b]
-                kept = found.rstrip(_EDGE).lstrip(_EDGE.replace("(", ""))
-                a = b - len(found.lstrip(_EDGE.replace("(", "")))
-                if looks_like(kind, kept):
-                    spans[i].append((kind, a, a + len(kept)))
+                spans[i] += [(kind, a, b) for a, b in divided(texts[i], kind, graph.span[k:upto], (sure[k:upto] >= SURE).tolist())]
             k = upto
     return [(b, sorted(s)) for b, s in zip(bases, spans, strict=True)]
 

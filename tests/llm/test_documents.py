@@ -123,6 +123,19 @@ def test_pii_patterns_and_consistency(spark):
     assert pii.redact(docs).columns == docs.columns
 
 
+def test_pii_evidence_reaches_the_whole_text():
+    full, short = "+1 (499) 555-6503", "(499) 555-6503"
+    weights = pii.fit([f"write to u{i}@h{i}.example.org or +1 (499) 555-{1000 + i} in 2{i:03d}" for i in range(40)])
+    for gap in (" and then ", "\n", " "):
+        for text in (f"Call {full}." + "".join(f"{gap}{short}" for _ in range(50)), gap.join([short] * 50) + f"{gap}call {full}"):
+            ((_, spans),) = pii.all_spans([text], weights)
+            left = pii.masked(text, spans)
+            assert "555" not in left and "499" not in left, (gap, left)
+    text = f"{full}\n{short}\n{short}\nin 2023 we had 12 items"
+    ((base, spans),) = pii.all_spans([text], weights)
+    assert base == [(3, 0, 17)] and spans == [(3, 0, 17), (3, 18, 32), (3, 33, 47)]
+
+
 def test_license_notices(spark):
     apache = "Licensed under the Apache License, Version 2.0."
     full = license_scan.TEMPLATES[4][1]
