@@ -6,8 +6,9 @@ are anchors, and the gaps between anchors are aligned in the same way. Coverage
 that are aligned; a notice is found where it is at least COVERAGE.
 
 Regions are exact, not a guess: each template has key words, its longest, that make up more than 1 - COVERAGE of it, so
-any notice has one of them. The text within a template's length around a key word is a region; regions that overlap are
-joined and then aligned notice by notice, so that a notice that is repeated is found each time.
+any notice has one of them. The text within a template's length around a key word is a region. It is aligned from that
+word on, which stands for each of its places in the template in turn, once as it is and once cut where the key word comes
+more often than the template has it, so that a notice that is repeated is found each time, however close the copies stand.
 
 Defined results: a null or empty text has no notices; a null doc_id is kept; rows that repeat are scanned each; an empty
 table gives no rows; other columns are ignored. Of equal coverages of one licence the earlier start counts.
@@ -28,6 +29,7 @@ from .base import map_rows
 from .license_templates import TEMPLATES
 
 COVERAGE = 0.8
+PERCENT = round(100 * COVERAGE)
 #: A notice may be so many times as long as its template.
 STRETCH = 1.25
 
@@ -86,32 +88,45 @@ def align(a: list[str], b: list[str], a0: int = 0, b0: int = 0) -> list[tuple[in
 
 
 @lru_cache(maxsize=4)
-def prepared(templates: tuple[tuple[str, str], ...]) -> tuple[list[tuple[str, list[str], set[str]]], set[str]]:
-    """Licence, words and key words of each template, and all key words."""
+def prepared(templates: tuple[tuple[str, str], ...]) -> tuple[list[tuple[str, list[str], dict[str, list[int]]]], set[str]]:
+    """Licence, words and key words (with their places) of each template, and all key words."""
     out = []
     for name, text in templates:
         words = [w.lower() for w in _TOKEN.findall(text)]
-        count, keys, have = Counter(words), set(), 0
+        count, keys, have = Counter(words), {}, 0
         for w in sorted(count, key=lambda w: (-len(w), count[w], w)):
-            if have > (1 - COVERAGE) * len(words):
+            if 100 * have > (100 - PERCENT) * len(words):
                 break
-            keys.add(w)
+            keys[w] = [j for j, x in enumerate(words) if x == w]
             have += count[w]
         out.append((name, words, keys))
     return out, set().union(*(k for _, _, k in out))
 
 
-def best_notice(words: list[str], low: int, high: int, template: list[str]) -> tuple[float, int, int, int] | None:
-    """Coverage, aligned words, first and last place of the template's best alignment that isn't stretched too far."""
-    pairs = [(low + i, j) for i, j in align(words[low:high], template)]
+def best_notice(pairs: list[tuple[int, int]], template: list[str], i: int) -> tuple[float, int, int, int] | None:
+    """Coverage, aligned words, first and last place of the best part of an alignment that has place ``i`` and isn't stretched too far."""
     most, best, at = int(STRETCH * len(template)) + 2, (0, 0, 0), 0
     for k in range(len(pairs)):
         while pairs[k][0] - pairs[at][0] >= most:
             at += 1
-        if k - at + 1 > best[0]:
+        if k - at + 1 > best[0] and pairs[at][0] <= i <= pairs[k][0]:
             best = (k - at + 1, pairs[at][0], pairs[k][0])
-    coverage = best[0] / len(template)
-    return (coverage, *best) if coverage >= COVERAGE else None
+    return (best[0] / len(template), *best) if 100 * best[0] >= PERCENT * len(template) else None
+
+
+def notice_at(words: list[str], low: int, high: int, same: list[int], n: int, template: list[str], places: list[int]) -> tuple[float, int, int, int] | None:
+    """The best notice that has the key word at ``same[n]``; ``same`` are its places in the text, ``places`` those in the template."""
+    i, best = same[n], None
+    for r, j in enumerate(places):
+        # r of the template's key words stand before this one
+        left = same[n - r - 1] + 1 if n > r else 0
+        right = same[n + len(places) - r] if n + len(places) - r < len(same) else len(words)
+        for a, b in dict.fromkeys([(max(low, left), min(high, right)), (low, high)]):
+            pairs = [*align(words[a:i], template[:j], a), (i, j), *align(words[i + 1 : b], template[j + 1 :], i + 1, j + 1)]
+            hit = best_notice(pairs, template, i)
+            if hit and (best is None or (-hit[1], hit[3] - hit[2], hit[2]) < (-best[1], best[3] - best[2], best[2])):
+                best = hit
+    return best
 
 
 def notices(text: str | None, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> list[tuple[str, float, int, int, int]]:
@@ -128,14 +143,15 @@ def notices(text: str | None, templates: tuple[tuple[str, str], ...] = TEMPLATES
     out = []
     for name, template, keys in known:
         size, done = int(STRETCH * len(template)) + 2, 0
-        for i in sorted(i for w in keys for i in at.get(w, ())):
+        wanted = Counter(template)
+        for i, w, n in sorted((i, w, n) for w in keys for n, i in enumerate(at.get(w, ()))):
             if i < done:
                 continue
             low, high = max(done, i - size), min(len(found), i + size)
             inside = Counter(found[low:high])
-            if sum(min(n, inside[w]) for w, n in Counter(template).items()) < COVERAGE * len(template):
+            if 100 * sum(min(c, inside[x]) for x, c in wanted.items()) < PERCENT * len(template):
                 continue  # too few of its words are here in any order
-            if hit := best_notice(found, low, high, template):
+            if hit := notice_at(found, low, high, at[w], n, template, keys[w]):
                 out.append((name, round(hit[0], 6), hit[1], spans[hit[2]][0], spans[hit[3]][1]))
                 done = hit[3] + 1
     kept: list[tuple[str, float, int, int, int]] = []

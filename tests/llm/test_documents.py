@@ -147,6 +147,25 @@ def test_license_notices(spark):
     assert [got[i]["license"] for i in (2, 4, 5)] == [None] * 3 and got[6]["license"] == "proprietary"
 
 
+def test_license_notices_at_the_threshold_and_back_to_back():
+    for text in ("Distributed under the MIT License.", "The code is under the MIT License"):
+        assert [n[:3] for n in license_scan.notices(text)] == [("MIT", 0.8, 4)], text
+    short = dict(license_scan.TEMPLATES)["CC0-1.0"]
+    words = short.rstrip(".").split(" ")
+    assert len(words) == 20
+    fewer = " ".join(sorted(words, key=len)[:16])  # the four longest words are gone; the rest in the template's order below
+    fewer = " ".join(w for w in words if w in fewer.split(" "))
+    assert [n[:3] for n in license_scan.notices(fewer)] == [("CC0-1.0", 0.8, 16)]
+    for _, text in license_scan.TEMPLATES:
+        one = license_scan.notices(text)
+        for gap in (" ", "\n", " and "):
+            many = license_scan.notices(gap.join([text] * 5))
+            assert [n[:3] for n in many] == [n[:3] for n in one] * 5, text
+    worn = "Licensed under the Apache License, Version 2.0 (the License); you may use this file in compliance with the License."
+    full = license_scan.TEMPLATES[4][1].replace("agreed", "consented").replace("limitations", "limits")
+    assert [n[0] for n in license_scan.notices(f"{full} {full} {full}")] == ["Apache-2.0"] * 3 and license_scan.notices(worn)
+
+
 def test_patience_alignment_is_an_ordered_match():
     a, b = "x a b c d e q a".split(), "a b z d e a".split()
     pairs = license_scan.align(a, b)
