@@ -150,7 +150,7 @@ def test_license_notices(spark):
 def test_license_notices_at_the_threshold_and_back_to_back():
     for text in ("Distributed under the MIT License.", "The code is under the MIT License"):
         assert [n[:3] for n in license_scan.notices(text)] == [("MIT", 0.8, 4)], text
-    short = dict(license_scan.TEMPLATES)["CC0-1.0"]
+    short = next(t for n, t in license_scan.TEMPLATES if n == "CC0-1.0")
     words = short.rstrip(".").split(" ")
     assert len(words) == 20
     fewer = " ".join(sorted(words, key=len)[:16])  # the four longest words are gone; the rest in the template's order below
@@ -166,6 +166,21 @@ def test_license_notices_at_the_threshold_and_back_to_back():
     assert [n[0] for n in license_scan.notices(f"{full} {full} {full}")] == ["Apache-2.0"] * 3 and license_scan.notices(worn)
 
 
+def test_license_names_and_versions_are_told_apart():
+    for name, text in license_scan.TEMPLATES:
+        assert [n[:2] for n in license_scan.notices(f"so {text} so")] == [(name, 1)], text
+    gpl = "This work is licensed under the GNU General Public License, version 3."
+    for text, name in {
+        "Licensed under CC BY 4.0.": "CC-BY-4.0", "Licensed under CC BY-NC-SA 4.0.": "CC-BY-NC-SA-4.0", "Licensed under CC BY 3.0.": "CC-BY-3.0",
+        gpl.replace("3", "2"): "GPL-2.0", gpl.replace("General", "Lesser General"): "LGPL-3.0", gpl.replace("General", "Affero General"): "AGPL-3.0",
+        gpl.replace("version 3", "v3"): "GPL-3.0", gpl.replace("General", "Lesser General").replace("3", "2.1"): "LGPL-2.1", gpl.replace("3", "9"): None,
+        gpl.replace("3", "3.1"): None, "Licensed under the Apache License.": None, "Licensed under the Apache License 2.0.": "Apache-2.0", "Licensed under the Foo License.": None,
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": "CC-BY-NC-4.0",
+        "This work is licensed under a Creative Commons Attribution License 4.0": "CC-BY-4.0",
+    }.items():
+        assert [n[0] for n in license_scan.notices(text)] == [name] * (name is not None), text
+
+
 def test_patience_alignment_is_an_ordered_match():
     a, b = "x a b c d e q a".split(), "a b z d e a".split()
     pairs = license_scan.align(a, b)
