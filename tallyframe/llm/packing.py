@@ -3,8 +3,9 @@
 A document's ids are those of its text and an end id. Only longer documents are cut, into full pieces; the first
 piece takes what is over. Full pieces are sequences of their own. The short pieces are dealt evenly into groups of
 about ``GROUP`` pieces; in each, best fit in decreasing length opens the bins, and local search then empties bins:
-from the emptiest bin, a piece moves to a bin with room for it, or is exchanged for a shorter piece or for two shorter
-pieces of another underfull bin. Each step increases the sum of squared fills, so the search ends. A group loses less
+from each underfull bin, emptiest first, a piece moves to a bin with room for it, or is exchanged for a shorter piece or for
+two shorter pieces of another underfull bin, until no bin has such a step left or the bins are as few as their fill allows.
+Each step increases the sum of squared fills, so the search ends. A group loses less
 than one bin to its border, about a thousandth of its bins.
 
 Defined results: a null or empty text is one piece of the end id alone; a null doc_id is packed like any other; rows
@@ -14,7 +15,7 @@ that repeat are packed each; an empty table gives no rows; other columns are ign
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +33,6 @@ CAPACITY = 1024
 END_ID = 2
 #: Short pieces a group holds about: enough that the last bin of a group doesn't count, few enough for any task.
 GROUP = 20_000
-#: The emptiest bins that local search tries to empty before it gives up on a group.
-TRIES = 24
 
 PIECES = StructType(
     [
@@ -91,75 +90,105 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, tries: int = TRIES) -> list[list[int]]:
-    """Empty bins by moves, one-for-one and two-for-one exchanges that increase the sum of squared fills."""
+def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
+    """Empty bins by moves, one-for-one and two-for-one exchanges that increase the sum of squared fills, until none is left.
+
+    Underfull bins are indexed by room, and by room for each sum that one or two of their pieces have.
+    """
     size = lengths.tolist()
-    fill = [sum(size[i] for i in b) for b in bins]
-    least = -(-sum(fill) // capacity)
+    room = [capacity - sum(size[i] for i in b) for b in bins]
+    least = -(-sum(size) // capacity)
     live = sum(1 for b in bins if b)
-    open_bins = sorted((fill[k], k) for k in range(len(bins)) if 0 < fill[k] < capacity)
-    given_up: set[int] = set()
-
-    def refill(k: int, new: int) -> None:
-        at = bisect_left(open_bins, (fill[k], k))
-        if at < len(open_bins) and open_bins[at] == (fill[k], k):
-            open_bins.pop(at)
-        fill[k] = new
-        if 0 < new < capacity:
-            insort(open_bins, (new, k))
-
-    def step(e: int) -> bool:
-        """One improving exchange out of bin ``e``."""
+    where: dict[tuple[int, int], dict[int, None]] = {}  # sum (0: any) and room -> bins
+    rooms = [0] * (capacity + 1)  # sum -> bit r is set if a bin has it and room r
+    sums: dict[int, list[int]] = {}  # of the indexed bins
+
+    def show(k: int) -> None:
+        if not 0 < room[k] < capacity:
+            return
+        one = both = 0
+        for i in bins[k]:
+            both |= one << size[i]
+            one |= 1 << size[i]
+        bits, sums[k] = one | both | 1, []
+        while bits:
+            v = (bits & -bits).bit_length() - 1
+            bits &= bits - 1
+            sums[k].append(v)
+            where.setdefault((v, room[k]), {})[k] = None
+            rooms[v] |= 1 << room[k]
+
+    def hide(k: int) -> None:
+        for v in sums.pop(k, ()):
+            own = where[v, room[k]]
+            del own[k]
+            if not own:
+                del where[v, room[k]]
+                rooms[v] &= ~(1 << room[k])
+
+    def step(e: int) -> int:
+        """One improving exchange out of bin ``e``, which is not indexed: the bin it was made with, or -1."""
         for x in sorted(bins[e], key=size.__getitem__, reverse=True):
-            at = bisect_left(open_bins, (capacity - size[x] + 1, -1)) - 1
-            while at >= 0 and open_bins[at][1] == e:
-                at -= 1
-            if at >= 0 and fill[open_bins[at][1]] + size[x] > fill[e]:  # a move, to the fullest bin that has room
-                b = open_bins[at][1]
-                bins[e].remove(x)
-                bins[b].append(x)
-                refill(b, fill[b] + size[x])
-                refill(e, fill[e] - size[x])
-                return True
-            for _, b in reversed(open_bins):
-                if b == e or fill[b] < fill[e]:
-                    continue
-                need = size[x] - (capacity - fill[b])  # what must leave b
-                inside = sorted(bins[b], key=size.__getitem__)
-                sizes = [size[i] for i in inside]
-                at = bisect_left(sizes, need)
-                out = [inside[at]] if at < len(inside) and sizes[at] < size[x] else []
-                if not out:
-                    low, high, best = 0, len(inside) - 1, size[x]
-                    while low < high:
-                        both = sizes[low] + sizes[high]
-                        if both < need:
-                            low += 1
-                        else:
-                            if both < best:
-                                best, out = both, [inside[low], inside[high]]
-                            high -= 1
-                if out:
-                    gone = sum(size[i] for i in out)
+            out: list[int] = []
+            if fits := rooms[0] >> size[x]:
+                r = size[x] + (fits & -fits).bit_length() - 1
+                if capacity - r + size[x] > capacity - room[e]:  # a move, to the fullest bin that has room
+                    b = next(iter(where[0, r]))
+                    hide(b)
                     bins[e].remove(x)
-                    bins[b] = [i for i in bins[b] if i not in out] + [x]
-                    bins[e] += out
-                    refill(b, fill[b] + size[x] - gone)
-                    refill(e, fill[e] - size[x] + gone)
-                    return True
-        return False
-
-    while live > least and tries:
-        e = next((k for _, k in open_bins if k not in given_up), None)
-        if e is None:
-            break
-        while bins[e] and step(e):
-            pass
-        if bins[e]:
-            given_up.add(e)
-            tries -= 1
-        else:
-            live -= 1
+                    bins[b].append(x)
+                    room[b] -= size[x]
+                    room[e] += size[x]
+                    show(b)
+                    return b
+            found = (room[e] + 1, 0)  # the fullest bin, at least as full as this one, that can give less than x and then has room for it
+            for v in range(size[x] - 1, max(0, size[x] - 1 - room[e]), -1):
+                if fits := rooms[v] >> (size[x] - v):
+                    found = min(found, (size[x] - v + (fits & -fits).bit_length() - 1, v))
+            if found[0] > room[e]:
+                continue
+            b = next(iter(where[found[1], found[0]]))
+            need = size[x] - room[b]  # what must leave b
+            inside = sorted(bins[b], key=size.__getitem__)
+            sizes = [size[i] for i in inside]
+            at = bisect_left(sizes, need)
+            out = [inside[at]] if at < len(inside) and sizes[at] < size[x] else []
+            if not out:
+                low, high, best = 0, len(inside) - 1, size[x]
+                while low < high:
+                    both = sizes[low] + sizes[high]
+                    if both < need:
+                        low += 1
+                    else:
+                        if both < best:
+                            best, out = both, [inside[low], inside[high]]
+                        high -= 1
+            gone = sum(size[i] for i in out)
+            hide(b)
+            bins[e].remove(x)
+            bins[b] = [i for i in bins[b] if i not in out] + [x]
+            bins[e] += out
+            room[b] -= size[x] - gone
+            room[e] += size[x] - gone
+            show(b)
+            return b
+        return -1
+
+    for k in range(len(bins)):
+        show(k)
+    changed = True
+    while changed and live > least:  # a bin that no step leads out of is tried again only after another step was made
+        changed = False
+        for e in sorted(sums, key=lambda k: (-room[k], k)):
+            if live == least:
+                break
+            if e not in sums:  # full or empty by now
+                continue
+            hide(e)
+            while bins[e] and step(e) >= 0:
+                changed = True
+            show(e)
+            live -= not bins[e]
     return [b for b in bins if b]
 
 

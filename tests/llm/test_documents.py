@@ -239,6 +239,13 @@ def test_local_search_empties_bins():
     assert len(swapped) == 2 or sum(len(b) for b in swapped) == 5
 
 
+def test_local_search_goes_past_bins_that_cannot_move():
+    bins = [[k] for k in range(30)] + [[30], [31, 32, 33]]
+    lengths = np.array([600] * 30 + [610, 300, 300, 400])
+    out = packing.local_search(bins, lengths, 1024)
+    assert len(out) == 31 and sorted(i for b in out for i in b) == list(range(34)) and all(lengths[b].sum() <= 1024 for b in out)
+
+
 def test_rans_round_trip(spark):
     rows = [*hard_rows(), *((100 + i, prose(50 + i, i), "z") for i in range(60))]
     docs = frame(spark, rows)
