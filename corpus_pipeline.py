@@ -38,7 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"))
+    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), added=True)
 
 
 STAGES: list[tuple[str, Stage]] = [

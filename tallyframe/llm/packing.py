@@ -45,14 +45,14 @@ PIECES = StructType(
 )
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, added: bool = False) -> DataFrame:
     """One row per piece of every document: where it starts in the document's ids, its length and checksum."""
     end, schema = np.array([END_ID], "<u4"), to_arrow_schema(PIECES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = iter(batch.column(0).to_pylist())
-            for ids, ends in encoder(vocabulary, True).batches(batch.column(1)):  # a slice at a time, to hold few ids at once
+            for ids, ends in encoder(vocabulary, True, added=added).batches(batch.column(1)):  # a slice at a time, to hold few ids at once
                 rows: list[tuple] = []
                 for a, b in zip(ends, ends[1:], strict=False):
                     doc, own = next(keys), np.concatenate([ids[a:b], end])
@@ -215,5 +215,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
     return dealt.groupBy("bin_group").applyInPandas(run, schema).unionByName(whole)
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
-    return pack(cut(token_pieces(docs, vocabulary, capacity), "pieces"), capacity)
+def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, added: bool = False) -> DataFrame:
+    """added: whether strings of added tokens in a text give these tokens' ids, as the library does by default."""
+    return pack(cut(token_pieces(docs, vocabulary, capacity, added), "pieces"), capacity)

@@ -21,7 +21,7 @@ def op1_line_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), added=True)
 
 
 def op3_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def op8_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rans.round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return rans.round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), added=True).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op10_warc_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -142,13 +142,13 @@ def decode_block(block: dict, table: bytes, checkpoint: int = 0, upto: int | Non
     return out
 
 
-def token_ids(docs: DataFrame, vocabulary: str) -> DataFrame:
+def token_ids(docs: DataFrame, vocabulary: str, added: bool = False) -> DataFrame:
     """doc_id, number of ids with the end id, and the ids as little-endian integers of 16 bits (32 for large vocabularies)."""
 
     schema = to_arrow_schema(TOKENS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(vocabulary, False, KEPT, SLICE)
+        own = encoder(vocabulary, False, KEPT, SLICE, added)
         kind = _kind(own.tokenizer.get_vocab_size())
         end = np.array([END_ID], kind).tobytes()
         for batch in batches:
@@ -185,12 +185,12 @@ def frequency_table(tokens: DataFrame, vocabulary_size: int) -> bytes:
     return scaled(counts).astype("<u4").tobytes()
 
 
-def write_files(docs: DataFrame, vocabulary: str, path: str) -> None:
+def write_files(docs: DataFrame, vocabulary: str, path: str, added: bool = False) -> None:
     """Tokenize, count, deal by ranges of doc_id and write the coded files under ``path``."""
     spark = docs.sparkSession
     size = encoder(vocabulary, False).tokenizer.get_vocab_size()
     kind = _kind(size)
-    tokens = cut(token_ids(docs, vocabulary), "token-ids", compression="zstd")
+    tokens = cut(token_ids(docs, vocabulary, added), "token-ids", compression="zstd")
     table = frequency_table(tokens, size)
     freq = np.frombuffer(table, "<u4")
     spark.createDataFrame([(int(i), int(freq[i])) for i in np.flatnonzero(freq)], "id long, frequency long").coalesce(1).write.parquet(f"{path}/table")
@@ -258,9 +258,9 @@ def read_files(spark: SparkSession, path: str, vocabulary: str) -> DataFrame:
     return rows.join(begin, "file").select("doc_id", (F.col("begin") + F.col("place")).alias("start"), "n_tokens", "ids_crc32", "ids")
 
 
-def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """Write ``docs`` to files in the shared folder and decode them again."""
+def round_trip(docs: DataFrame, vocabulary: str, added: bool = False) -> DataFrame:
+    """Write ``docs`` to files in the shared folder and decode them again. added: as in ``packing.pack_documents``."""
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/rans-{uuid.uuid4().hex}"
-    write_files(docs, vocabulary, path)
+    write_files(docs, vocabulary, path, added)
     return read_files(spark, path, vocabulary)

@@ -8,6 +8,9 @@ of a text are those of its parts in order:
 * ``word_bpe_49k.json`` (``spaces=False``): white space and case are dropped, so any space or line feed is a cut.
 * both: between a Latin letter and the ASCII punctuation that ends a part (letters and other signs never share a word).
 
+A text that holds the string of an added token (``<|endoftext|>``) is encoded whole where ``added`` is set, as the library does by
+default: the string becomes the token's id. Otherwise such strings are ordinary text.
+
 The parts of a batch are split and numbered by Arrow; Python sees distinct parts only.
 """
 
@@ -83,13 +86,15 @@ class _Parts(dict):
 
 
 class Encoder:
-    def __init__(self, path: str, spaces: bool, kept: int = KEPT, size: int = SLICE):
-        """kept and size: see KEPT and SLICE; larger ones save work and cost memory."""
+    def __init__(self, path: str, spaces: bool, kept: int = KEPT, size: int = SLICE, added: bool = False):
+        """kept and size: see KEPT and SLICE; larger ones save work and cost memory. added: whether strings of added tokens give their ids."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        if not added:
+            self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         self.spaces, self.kept, self.size = spaces, kept, size
         self.parts = _Parts(self.tokenizer, spaces)
 
@@ -99,9 +104,14 @@ class Encoder:
 
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         odd = {}
+        for mark in self.added:
+            flags = pc.match_substring(texts, mark)
+            odd |= {i: self.parts.encode(texts[i].as_py(), add_special_tokens=False).ids for i in np.flatnonzero(flags.to_numpy(zero_copy_only=False))}
+            texts = pc.if_else(flags, _large(""), texts)
+        odd = {i: array("I", ids).tobytes() for i, ids in odd.items()}
         if self.spaces:
             flags = pc.match_substring_regex(texts, _UNEVEN)
-            odd = {i: self.uneven(texts[i].as_py()) for i in np.flatnonzero(flags.to_numpy(zero_copy_only=False))}
+            odd |= {i: self.uneven(texts[i].as_py()) for i in np.flatnonzero(flags.to_numpy(zero_copy_only=False))}
             texts = pc.if_else(flags, _large(""), texts)
             texts = pc.replace_substring(texts, "\n", f" \n {_START}")
             texts = pc.binary_join_element_wise(_large(_START), texts, _large(""))
@@ -137,6 +147,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str, spaces: bool, kept: int = KEPT, size: int = SLICE) -> Encoder:
+def encoder(path: str, spaces: bool, kept: int = KEPT, size: int = SLICE, added: bool = False) -> Encoder:
     """One per worker process and vocabulary file."""
-    return Encoder(path, spaces, kept, size)
+    return Encoder(path, spaces, kept, size, added)

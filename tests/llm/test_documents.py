@@ -202,6 +202,38 @@ def test_token_ids_are_the_library_s(spark, path, spaces):
     assert at == len(texts)
 
 
+@pytest.mark.parametrize("path,spaces", [(BYTES, True), (WORD_FILE, False)])
+def test_strings_of_added_tokens_give_the_library_s_ids(path, spaces):
+    import pyarrow as pa
+
+    from tallyframe.llm.tokens import Encoder
+
+    texts = [t for _, t, _ in hard_rows()] + ["<|endoftext|>", "a\n<|endoftext|>  b <|startoftext|>c", "<|endoftext|", " x<|startoftext|><|endoftext|>\n", "plain words"]
+    own, plain, at = Encoder(path, spaces, added=True), Tokenizer.from_file(path), 0
+    for ids, ends in own.batches(pa.array(texts)):
+        for a, b in zip(ends, ends[1:], strict=False):
+            assert ids[a:b].tolist() == plain.encode(texts[at] or "", add_special_tokens=False).ids, texts[at]
+            at += 1
+    assert at == len(texts)
+
+
+def test_queries_encode_as_the_unmodified_library(spark, tmp_path):
+    import corpus_pipeline
+
+    from tallyframe.llm import queries
+
+    texts = {i: t for i, t, _ in hard_rows() if i in (1, 6, 9, 11)} | {20: "one<|endoftext|>two\n<|startoftext|> three"}
+    frame(spark, [(i, t, "a") for i, t in texts.items()]).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    length = lambda path: {i: len(Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids) + 1 for i, t in texts.items()}
+    assert {r["doc_id"]: r["n_tokens"] for r in queries.op9_rans_token_files(spark, str(tmp_path)).collect()} == length(WORD_FILE)
+    for packed in (queries.op2_best_fit_packing(spark, str(tmp_path)), corpus_pipeline.best_fit_packing(spark, docs, str(tmp_path))):
+        total = Counter()
+        for r in packed.collect():
+            total[r["doc_id"]] += r["length"]
+        assert total == length(BYTES)
+
+
 def test_packing_places_every_piece(spark):
     rows = [*hard_rows(), *((100 + i, prose(5 + 7 * i % 400, i), "z") for i in range(120))]
     out = packing.pack_documents(frame(spark, rows), BYTES).collect()
