@@ -18,6 +18,9 @@ from tallyframe.llm import byte_cnn, mixing, near_dup, packing, pii
 from tallyframe.llm.base import shared_dir, table
 from tallyframe.llm.queries import vocabulary
 
+#: Words the packing stage's workers keep; fewer than by default, as they are those of the stages before and hold what these stored.
+KEPT_WORDS = 200_000
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -38,7 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), added=True)
+    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), added=True, kept=KEPT_WORDS)
 
 
 STAGES: list[tuple[str, Stage]] = [

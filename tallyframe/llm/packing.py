@@ -27,7 +27,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from .base import cut
-from .tokens import encoder
+from .tokens import KEPT, encoder
 
 CAPACITY = 1024
 END_ID = 2
@@ -45,24 +45,29 @@ PIECES = StructType(
 )
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, added: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, added: bool = False, kept: int = KEPT) -> DataFrame:
     """One row per piece of every document: where it starts in the document's ids, its length and checksum."""
-    end, schema = np.array([END_ID], "<u4"), to_arrow_schema(PIECES)
+    schema = to_arrow_schema(PIECES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = iter(batch.column(0).to_pylist())
-            for ids, ends in encoder(vocabulary, True, added=added).batches(batch.column(1)):  # a slice at a time, to hold few ids at once
-                rows: list[tuple] = []
-                for a, b in zip(ends, ends[1:], strict=False):
-                    doc, own = next(keys), np.concatenate([ids[a:b], end])
-                    begin, piece = 0, 0
-                    upto = len(own) % capacity or min(len(own), capacity)
-                    while begin < len(own):
-                        rows.append((doc, piece, begin, upto - begin, zlib.crc32(own[begin:upto].tobytes())))
-                        begin, upto, piece = upto, upto + capacity, piece + 1
-                columns = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            done = 0
+            for ids, ends in encoder(vocabulary, True, kept, added=added).batches(batch.column(1)):  # a slice at a time, to hold few ids at once
+                whole = memoryview(np.insert(ids, ends[1:], END_ID).astype("<u4", copy=False)).cast("B")
+                ends = ends + np.arange(len(ends))
+                size = np.diff(ends)
+                number = -(-size // capacity)
+                doc = np.repeat(np.arange(len(size)), number)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(number) - number, number)
+                first = size - (number - 1) * capacity  # what is over after full pieces
+                start = np.where(piece > 0, first[doc] + (piece - 1) * capacity, 0)
+                length = np.where(piece > 0, capacity, first[doc])
+                begin = (4 * (ends[doc] + start)).tolist()
+                crc = [zlib.crc32(whole[a : a + n]) for a, n in zip(begin, (4 * length).tolist(), strict=True)]
+                keys = batch.column(0).take(pa.array(done + doc))
+                done += len(size)
+                columns = [keys, *(pa.array(c, f.type) for c, f in zip((piece.astype(np.int32), start, length, crc), list(schema)[1:], strict=True))]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
             pa.default_memory_pool().release_unused()
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
@@ -215,6 +220,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
     return dealt.groupBy("bin_group").applyInPandas(run, schema).unionByName(whole)
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, added: bool = False) -> DataFrame:
-    """added: whether strings of added tokens in a text give these tokens' ids, as the library does by default."""
-    return pack(cut(token_pieces(docs, vocabulary, capacity, added), "pieces"), capacity)
+def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, added: bool = False, kept: int = KEPT) -> DataFrame:
+    """added: whether strings of added tokens in a text give these tokens' ids, as the library does by default. kept: words a worker keeps."""
+    return pack(cut(token_pieces(docs, vocabulary, capacity, added, kept), "pieces"), capacity)

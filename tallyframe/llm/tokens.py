@@ -1,4 +1,4 @@
-"""Token ids of whole texts by the ``tokenizers`` library, each distinct word of a batch encoded once.
+"""Token ids of whole texts by the ``tokenizers`` library, each distinct word encoded once while a worker keeps it.
 
 Both vocabularies cut a text into words before they merge, and no word reaches over a cut as used here, so the ids
 of a text are those of its parts in order:
@@ -11,7 +11,7 @@ of a text are those of its parts in order:
 A text that holds the string of an added token (``<|endoftext|>``) is encoded whole where ``added`` is set, as the library does by
 default: the string becomes the token's id. Otherwise such strings are ordinary text.
 
-The parts of a batch are split and numbered by Arrow; Python sees distinct parts only.
+The parts of a slice are split and numbered by Arrow, their end punctuation is set apart by numpy; Python sees distinct words only.
 """
 
 from __future__ import annotations
@@ -26,20 +26,26 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words, and as many parts with their punctuation, that a worker keeps; beyond, a store starts anew. 100,000 of both take about 36 MB.
-KEPT = 150_000
+#: Words whose ids a worker keeps, about 150 bytes each; beyond, those of the last slice stay and the others go.
+KEPT = 400_000
 #: Texts cut at once are of about so many bytes; the arrays over their parts and ids take about ten times that.
 SLICE = 3_000_000
 _START = "\x01"  # stands before a part that has no space before it
 _BLANK = r"[\t-\r\x{1c}-\x{20}\x{85}\p{Z}]"
 _UNEVEN = rf"{_BLANK}{{2}}|\A{_BLANK}|{_BLANK}\z|{_START}"
 _BEFORE_SPACE = re.compile(r"(?= \S)")
+#: The first UTF-8 byte of characters that are no Latin letters of the first blocks.
+_NOT_LATIN = 0xC9
 
 
 def _large(text: str) -> pa.Scalar:
     return pa.scalar(text, pa.large_string())
 
 
+def _strings(texts: pa.Array) -> list[str]:
+    return texts.to_numpy(zero_copy_only=False).tolist()  # many times faster than to_pylist
+
+
 def _byte_letters() -> dict[int, str]:
     """Byte-level vocabularies write a byte as a letter: printable Latin-1 as itself, the others from U+0100 on."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -47,42 +53,70 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
-class _Parts(dict):
-    """part -> its ids as little-endian 32-bit integers; ``words`` has those of words without end punctuation."""
+def _ranges(begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places begin, begin + 1, ... of each range, one range after the other, and where each starts and the last ends."""
+    total = np.concatenate([[0], np.cumsum(count)])
+    kind = np.int32 if max(total[-1], begin.max(initial=0)) < 1 << 30 else np.int64
+    place = np.repeat((begin - total[:-1]).astype(kind), count)
+    place += np.arange(total[-1], dtype=kind)
+    return place, total
+
+
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an array of large strings, and where each begins and ends."""
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    return np.frombuffer(data, np.uint8) if data and data.size else np.zeros(0, np.uint8), offsets
+
+
+def _head_and_tail(parts: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Parts of Latin letters without the punctuation at their ends, and that; other parts are whole and have no tail."""
+    core = pc.utf8_rtrim(parts, characters=string.punctuation)
+    data, offsets = _bytes_of(core)
+    letters = pc.utf8_is_alpha(core).to_numpy(zero_copy_only=False)
+    some = np.flatnonzero(offsets[1:] > offsets[:-1])
+    letters[some] &= np.maximum.reduceat(data, offsets[some]) < _NOT_LATIN if len(some) else True
+    size = np.diff(offsets)
+    data, offsets = _bytes_of(parts)
+    cut = np.where(letters, np.diff(offsets) - size, 0)
+    place, ends = _ranges(offsets[1:] - cut, cut)
+    tail = pa.LargeStringArray.from_buffers(len(parts), pa.py_buffer(ends), pa.py_buffer(data[place]))
+    return pc.if_else(pa.array(letters), core, parts), tail
+
+
+class _Words(dict):
+    """Text of a part, with the space before it -> its number; ``ids`` from ``ends[number]`` on are its ids."""
 
     def __init__(self, tokenizer, spaces: bool):
         super().__init__()
         self.encode, self.merge, self.spaces = tokenizer.encode, tokenizer.model.tokenize, spaces
-        self.letters, self.words = _byte_letters(), {}
+        self.letters = _byte_letters()
+        self.ids, self.ends = array("I"), array("q", [0])
 
-    def whole(self, part: str) -> bytes:
-        if (ids := self.words.get(part)) is None:
-            ids = self.words[part] = array("I", self.encode(part, add_special_tokens=False).ids).tobytes()
-        return ids
-
-    def __missing__(self, part: str) -> bytes:
-        own, lead = part, ""
-        if self.spaces:
-            own, lead = (part.removeprefix(_START), "") if part[:1] in (_START, "\n") else (part, " ")
-        core = own.rstrip(string.punctuation)
-        word = core if self.spaces else core.lower()
-        if word.isalpha() and (word.isascii() or max(core) < "ɐ"):
+    def __missing__(self, text: str) -> int:
+        word = text.removeprefix(" ")
+        if word.isalpha() and (word.isascii() or max(word) < "ɐ") and (self.spaces or word.lower().isalpha()):
             # a single word as the vocabulary cuts them, so only its merges are left to do
-            if (ids := self.words.get(key := lead + word)) is None:
-                shown = key.encode().decode("latin-1").translate(self.letters)
-                ids = self.words[key] = array("I", [t.id for t in self.merge(shown)]).tobytes()
-            if len(core) < len(own):
-                ids += self.whole(own[len(core) :])
-        else:
-            ids = self.whole(lead + own) if own else b""
-        self[part] = ids
-        return ids
-
-    def trim(self, kept: int) -> None:
-        if len(self) > kept:
-            self.clear()
-        if len(self.words) > kept:
-            self.words.clear()
+            own = text if self.spaces else word.lower()
+            shown = own.replace(" ", self.letters[32]) if own.isascii() else own.encode().decode("latin-1").translate(self.letters)
+            self.ids.extend([t.id for t in self.merge(shown)])
+        elif text:
+            self.ids.extend(self.encode(text, add_special_tokens=False).ids)
+        self.ends.append(len(self.ids))
+        number = self[text] = len(self)
+        return number
+
+    def of(self, text: str) -> list[int]:
+        k = self[text]
+        return self.ids[self.ends[k] : self.ends[k + 1]].tolist()
+
+    def keep(self, texts: list[str], numbers: np.ndarray) -> None:
+        """Drop all but these distinct texts."""
+        ends = np.array(self.ends)
+        place, total = _ranges(ends[numbers], np.diff(ends)[numbers])
+        self.ids, self.ends = array("I", np.array(self.ids)[place].tobytes()), array("q", total.tobytes())
+        self.clear()
+        self.update(zip(texts, range(len(texts)), strict=True))
 
 
 class Encoder:
@@ -96,44 +130,55 @@ class Encoder:
             self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         self.spaces, self.kept, self.size = spaces, kept, size
-        self.parts = _Parts(self.tokenizer, spaces)
-
-    def uneven(self, text: str) -> bytes:
-        pieces = _BEFORE_SPACE.split(text)
-        return b"".join(self.parts[p[1:]] if p[:1] == " " and p[1:2].strip() and p[1] != _START else self.parts.whole(p) for p in pieces if p)
+        self.words = _Words(self.tokenizer, spaces)
 
-    def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        odd = {}
+    def _set_apart(self, texts: pa.Array) -> tuple[pa.Array, dict[int, list[int]]]:
+        """Ids of the texts that can't be cut at every space; in the array they are empty."""
+        odd: dict[int, list[int]] = {}
         for mark in self.added:
             flags = pc.match_substring(texts, mark)
-            odd |= {i: self.parts.encode(texts[i].as_py(), add_special_tokens=False).ids for i in np.flatnonzero(flags.to_numpy(zero_copy_only=False))}
+            odd |= {i: self.words.encode(texts[i].as_py(), add_special_tokens=False).ids for i in np.flatnonzero(flags.to_numpy(zero_copy_only=False))}
             texts = pc.if_else(flags, _large(""), texts)
-        odd = {i: array("I", ids).tobytes() for i, ids in odd.items()}
         if self.spaces:
             flags = pc.match_substring_regex(texts, _UNEVEN)
-            odd |= {i: self.uneven(texts[i].as_py()) for i in np.flatnonzero(flags.to_numpy(zero_copy_only=False))}
+            for i in np.flatnonzero(flags.to_numpy(zero_copy_only=False)):
+                odd[i] = [x for piece in _BEFORE_SPACE.split(texts[i].as_py()) if piece for x in self.words.of(piece)]
             texts = pc.if_else(flags, _large(""), texts)
+        return texts, odd
+
+    def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        texts, odd = self._set_apart(texts)
+        if self.spaces:
             texts = pc.replace_substring(texts, "\n", f" \n {_START}")
             texts = pc.binary_join_element_wise(_large(_START), texts, _large(""))
         else:
             texts = pc.replace_substring(texts, "\n", " ")
         lists = pc.split_pattern(texts, " ")
         coded = lists.values.dictionary_encode()
-        found = list(map(self.parts.__getitem__, coded.dictionary.to_pylist()))
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        blob, begin = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+        parts = coded.dictionary
+        if self.spaces:
+            bare = pc.or_(pc.starts_with(parts, _START), pc.equal(parts, _large("\n")))
+            parts = pc.utf8_ltrim(parts, characters=_START)
+        head, tail = _head_and_tail(parts)
+        if self.spaces:
+            head = pc.binary_join_element_wise(pc.if_else(bare, _large(""), _large(" ")), head, _large(""))
+        heads, tails = head.dictionary_encode(), tail.dictionary_encode()
+        texts_of = [*_strings(heads.dictionary), *_strings(tails.dictionary)]
+        number = np.fromiter(map(self.words.__getitem__, texts_of), np.int64, len(texts_of))
+        ends = np.array(self.words.ends)
+        # a distinct part is the ids of its head and those of its tail
+        two = np.stack([number[heads.indices.to_numpy()], number[len(heads.dictionary) + tails.indices.to_numpy()]], axis=1).ravel()
+        place, total = _ranges(ends[two], np.diff(ends)[two])
+        blob, ends = np.frombuffer(self.words.ids, np.uint32)[place], total[::2]
         part = coded.indices.to_numpy()
-        count = sizes[part]
-        total = np.concatenate([[0], np.cumsum(count)])
-        kind = np.int32 if total[-1] < 1 << 31 else np.int64
-        place = np.repeat((begin[part] - total[:-1]).astype(kind), count)
-        place += np.arange(total[-1], dtype=kind)
-        ids = blob[place]
-        ends = total[lists.offsets.to_numpy()]
+        place, total = _ranges(ends[part], np.diff(ends)[part])
+        ids, ends = blob[place], total[lists.offsets.to_numpy()]
         if odd:
-            rows = [np.frombuffer(odd[i], "<u4") if i in odd else ids[a:b] for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False))]
+            rows = [np.array(odd[i], np.uint32) if i in odd else ids[a:b] for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False))]
             ids, ends = np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-        self.parts.trim(self.kept)
+        if len(self.words) > self.kept:
+            own = dict(zip(texts_of, number.tolist(), strict=True))
+            self.words.keep(list(own), np.fromiter(own.values(), np.int64, len(own)))
         return ids, ends
 
     def batches(self, texts: pa.Array):

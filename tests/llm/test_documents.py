@@ -267,8 +267,22 @@ def test_local_search_empties_bins():
         better = packing.local_search([list(b) for b in first], lengths, 1024)
         assert sorted(i for b in better for i in b) == list(range(200)) and len(better) <= len(first)
         assert all(lengths[b].sum() <= 1024 for b in better)
-    swapped = packing.local_search([[0, 1], [2, 3], [4]], np.array([500, 300, 600, 200, 448]), 1024)
-    assert len(swapped) == 2 or sum(len(b) for b in swapped) == 5
+
+
+def test_local_search_saves_bins_that_best_fit_opens():
+    lengths = np.array([5, 4, 4, 3, 2, 2])
+    first = packing.best_fit(lengths, 10)
+    assert [sorted(lengths[b].tolist()) for b in first] == [[4, 5], [2, 3, 4], [2]]
+    better = packing.local_search([list(b) for b in first], lengths, 10)
+    assert sorted(sorted(lengths[b].tolist()) for b in better) == [[2, 3, 5], [2, 4, 4]]
+    r, before, after = np.random.default_rng(8), 0, 0
+    for _ in range(30):
+        lengths = r.integers(300, 480, 60)
+        first = packing.best_fit(lengths, 1024)
+        better = packing.local_search([list(b) for b in first], lengths, 1024)
+        assert sorted(i for b in better for i in b) == list(range(60)) and all(lengths[b].sum() <= 1024 for b in better)
+        before, after = before + len(first), after + len(better)
+    assert after < before
 
 
 def test_local_search_goes_past_bins_that_cannot_move():
