@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from helpers import frame, hard_rows, prose
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallyframe.llm import byte_cnn, license_scan, packing, pii, quality_rules, rans
@@ -306,18 +307,41 @@ def test_rans_round_trip(spark):
         at += len(ids)
 
 
-def test_rans_block_from_a_checkpoint_and_damage():
+def test_rans_sections_decode_from_their_checkpoints():
     r = np.random.default_rng(5)
-    ids = (r.zipf(1.3, 300_000) % 5000).astype(np.uint32)
+    ids = (r.zipf(1.3, 600_000) % 5000).astype(np.uint32)
     table = rans.scaled(np.bincount(ids, minlength=6000)).astype("<u4").tobytes()
     block = rans.encode_block(ids, table) | {"n_tokens": len(ids)}
-    assert (rans.decode_block(block, table) == ids).all()
     step = rans.CHECKPOINT * block["lanes"]
-    assert len(block["check_words"]) == (len(ids) - 1) // step
-    for k in range(1, len(block["check_words"]) + 1):
-        assert (rans.decode_block(block, table, k) == ids[k * step :]).all()
-    assert (rans.decode_block(block, table, 1, 2) == ids[step : 2 * step]).all()
+    parts = rans.sections(block)
+    assert len(parts) == -(-len(ids) // step) > 2
+    for k in reversed(range(len(parts))):
+        states, words, n = parts[k]
+        assert (rans.decode_section(states, words, n, block["lanes"], table) == ids[k * step : (k + 1) * step]).all()
     p = np.bincount(ids) / len(ids)
     entropy = -(p[p > 0] * np.log2(p[p > 0])).sum()
     assert len(block["words"]) * 8 / len(ids) < entropy * 1.02 + 0.05
     assert rans.scaled(np.array([0, 0])).sum() == 0 and rans.scaled(np.array([1] * 2000 + [10**9])).sum() == 1 << rans.SCALE
+
+
+def test_checksums_of_fragments_join():
+    r = np.random.default_rng(6)
+    for n, m in ((0, 5), (5, 0), (1, 1), (1000, 70_001), (3, 1 << 17)):
+        a, b = r.bytes(n), r.bytes(m)
+        assert rans.joined_crc(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+
+
+def test_rans_documents_over_many_sections_ties_and_damage(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(rans, "FILE", 100_000)
+    rows = [(5, prose(120_000, 1), "a"), (1, "tie one", "a"), (1, "tie two", "a"), (1, "tie one", "b"), *((10 + i, prose(300, i), "z") for i in range(20))]
+    one, two = (rans.round_trip(frame(spark, own), WORD_FILE).collect() for own in (rows, rows[::-1]))
+    key = lambda r: (r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"], bytes(r["ids"]))
+    assert sorted(map(key, one)) == sorted(map(key, two)) and len(one) == len(rows)
+    assert all(zlib.crc32(r["ids"]) == r["ids_crc32"] and len(r["ids"]) == 4 * r["n_tokens"] for r in one)
+    rans.write_files(frame(spark, rows), WORD_FILE, f"{tmp_path}/a")
+    blocks = spark.read.parquet(f"{tmp_path}/a/blocks")
+    assert blocks.where("size(check_words) > 0").count() > 0  # the long document is read by several sections
+    blocks.withColumn("crcs", F.transform("crcs", lambda c: c + 1)).write.parquet(f"{tmp_path}/b/blocks")
+    spark.read.parquet(f"{tmp_path}/a/table").write.parquet(f"{tmp_path}/b/table")
+    with pytest.raises(Exception, match="is damaged"):
+        rans.read_files(spark, f"{tmp_path}/b", WORD_FILE, with_ids=False).collect()
