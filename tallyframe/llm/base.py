@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -23,14 +24,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder that the driver and all executors see: ``spark.checkpoint.dir``, or else the context's checkpoint folder.
+
+    Where neither is set, a session that runs in one JVM gets a temporary folder of its own; on a cluster it is an error,
+    as a machine's own folder isn't seen by the others.
+    """
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not told:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         told = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", told)
     return told.rstrip("/")
 
 
+def fresh_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores if ``taken`` has it in any case."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 def cut(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: its work is done once and survives lost executors.
 
@@ -41,6 +55,29 @@ def cut(df: DataFrame, label: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one key that a join may bring to one task; and keys above it that are broadcast at most (about 20 bytes each).
+HEAVY, MOST_HEAVY = 256, 100_000
+
+
+def join_keyed(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined (inner or left) with ``table``, which has few rows of a key; keys with many of ``rows`` are dealt to several tasks.
+
+    Such keys are counted first. Only they and their numbers of parts are broadcast, and no more than MOST_HEAVY of them: the
+    limit is raised to a MOST_HEAVY-th of the rows, which fewer keys can exceed. ``rows`` must be a written table, as it is read twice.
+    """
+    heavy = cut(rows.groupBy(key).agg(F.count("*").alias("n")).where((F.col("n") > HEAVY) & F.col(key).isNotNull()), "heavy-keys")
+    number, total = heavy.agg(F.count("*"), F.sum("n")).first()
+    if not number:
+        return rows.join(table, key, how)
+    limit = HEAVY if number <= MOST_HEAVY else max(HEAVY, total // MOST_HEAVY)
+    parts, part = (fresh_name(c, [*rows.columns, *table.columns]) for c in ("parts", "part"))
+    known = F.broadcast(heavy.where(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).cast("int").alias(parts)))
+    many = F.coalesce(F.col(parts), F.lit(1))
+    left = rows.join(known, key, "left").withColumn(part, F.pmod(F.xxhash64(*rows.columns), many).cast("int")).drop(parts)
+    right = table.join(known, key, "left").withColumn(part, F.explode(F.sequence(F.lit(0), many - 1))).drop(parts)
+    return left.join(right, [key, part], how).drop(part)
+
+
 def map_rows(df: DataFrame, columns: list[str], fn: Callable[..., dict[str, list]], schema: StructType, rows: int = 1000) -> DataFrame:
     """Give ``fn`` the named columns of ``rows`` rows at a time as Arrow arrays; it returns the output columns as lists or arrays.
 

@@ -10,8 +10,8 @@ finds the bucket in which the budget ends, and the next level splits that bucket
 The last bucket is taken if that comes nearer to the budget. Documents are then filtered by comparing hashes: no sort.
 
 Defined results: a null or blank text has size 0; a null source is a source; rows whose doc_id and text are both the same
-(null or not) share a hash and are taken or left together; an empty table gives no rows; other columns are kept by ``mix`` (those whose
-names clash with its own excepted) and ignored by the query.
+(null or not) share a hash and are taken or left together; an empty table gives no rows; other columns are kept by ``mix``, whatever their
+names, and ignored by the query.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import WORD_SQL, cut
+from .base import WORD_SQL, cut, fresh_name
 
 WEIGHTS = (5, 2, 1)
 PERCENT = 150
@@ -104,12 +104,14 @@ def mixture(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the mixture takes, each as often as it takes them, with the columns of ``docs``."""
     slim = cut(docs.select("source", word_count("text").alias("size"), hashed().alias("hash")), "mix-sizes")
-    chosen = _small(plan(slim).select(F.col("source").alias("mix_s"), "times", "threshold", "takes_last"))
-    own = [c for c in docs.columns if c not in ("mix_s", "times", "threshold", "takes_last")]
-    once = (hashed() < F.col("threshold")) | ((hashed() == F.col("threshold")) & F.col("takes_last"))
-    rows = docs.select(*own).join(chosen, F.col("source").eqNullSafe(F.col("mix_s")))
-    copies = F.col("times") + F.coalesce(once, F.lit(False)).cast("int")
-    return rows.withColumn("times", copies).where("times > 0").withColumn("threshold", F.explode(F.array_repeat(F.lit(1), F.col("times")))).select(*own)
+    own = docs.columns
+    # one column beside those of docs, by a name that none of them has
+    put = fresh_name("mix", own)
+    chosen = _small(plan(slim).select(F.struct("source", "times", "threshold", "takes_last").alias(put)))
+    once = (hashed() < F.col(f"{put}.threshold")) | ((hashed() == F.col(f"{put}.threshold")) & F.col(f"{put}.takes_last"))
+    rows = docs.join(chosen, F.col("source").eqNullSafe(F.col(f"{put}.source")))
+    copies = F.col(f"{put}.times") + F.coalesce(once, F.lit(False)).cast("int")
+    return rows.withColumn(put, F.explode(F.array_repeat(F.lit(1), copies))).select(*own)
 
 
 MIX_ORACLE = r"""
