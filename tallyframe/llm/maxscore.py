@@ -1,10 +1,11 @@
 """Exact top-k by inner product, with MaxScore bounds over sharded vectors.
 
-Components are the terms: a query's terms are its non-zero components, and a term's postings are that component of a
-shard's vectors. In each block of a shard, a term adds between q*min and q*max. Terms whose upper bounds together can't
+Components are the terms: a query's terms are its non-zero components. Vectors are dense, so a term's postings are a column
+of the shard, one value for every vector, and a block is a range of them. In each block of a shard, a term adds between q*min and q*max. Terms whose upper bounds together can't
 lift a vector to the query's k-th best score so far are non-essential: the essential terms are summed for the whole block,
 and the others are probed, widest bound first, for those vectors only that can still reach it. Vectors stand in
-decreasing length, so the threshold is high early. Each shard keeps k per query, and the shards' lists are merged.
+decreasing length, so the threshold is high early; blocks grow from FIRST on, so that it is there after few vectors, at every
+size. Each shard keeps k per query, and the shards' lists are merged.
 
 Queries meet shards in tiles of QUERIES queries and VECTORS vectors, one task group each, so memory has a fixed bound.
 
@@ -22,7 +23,9 @@ from pyspark.sql import functions as F
 
 K = 10
 SCALE = 1024
-VECTORS, QUERIES, BLOCK = 16_384, 2_048, 2_048
+VECTORS, QUERIES = 16_384, 16_384
+#: Vectors of the first block, which is scored in full as there is no threshold yet, and of the last; each is twice the one before.
+FIRST, BLOCK = 64, 2_048
 #: Sums of products below this are exact in double precision.
 EXACT = 2.0**53
 
@@ -44,13 +47,27 @@ def matrix(column: pd.Series, width: int) -> np.ndarray:
     return out
 
 
-def search_tile(ids: np.ndarray, vectors: np.ndarray, query_id: int, q: np.ndarray, k: int, stats: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """vec_id and score of the tile's k best for one query: higher scores, then smaller vec_id."""
+def blocks_of(vectors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Growing blocks of the vectors, each with the least and the greatest value of every component."""
+    out, at, size = [], 0, FIRST
+    while at < len(vectors):
+        block = vectors[at : at + size]
+        out.append((block, block.min(axis=0), block.max(axis=0)))
+        at, size = at + size, min(2 * size, BLOCK)
+    return out
+
+
+def search_tile(ids: np.ndarray, vectors: np.ndarray, query_id: int, q: np.ndarray, k: int, stats: dict | None = None, blocks: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """vec_id and score of the tile's k best for one query: higher scores, then smaller vec_id. ``blocks``: of the vectors, for many queries."""
+    blocks = blocks_of(vectors) if blocks is None else blocks
+    stats = {} if stats is None else stats
     terms = np.flatnonzero(q)
     best_id, best = np.empty(0, np.int64), np.empty(0, q.dtype)
-    for at in range(0, len(ids), BLOCK):
-        block, own = vectors[at : at + BLOCK], ids[at : at + BLOCK]
-        ends = np.stack([block.min(axis=0)[terms] * q[terms], block.max(axis=0)[terms] * q[terms]])
+    at = 0
+    for block, lows, highs in blocks:
+        own = ids[at : at + len(block)]
+        at += len(block)
+        ends = np.stack([lows[terms] * q[terms], highs[terms] * q[terms]])
         order = np.argsort(ends.max(axis=0) - ends.min(axis=0), kind="stable")  # narrow bounds first
         names, high = terms[order], ends.max(axis=0)[order]
         full = len(best) >= k
@@ -58,6 +75,7 @@ def search_tile(ids: np.ndarray, vectors: np.ndarray, query_id: int, q: np.ndarr
         left = np.arange(len(own))
         if not full:
             score = block[:, names] @ q[names]
+            stats["products"] = stats.get("products", 0) + block.shape[0] * len(names)
         else:
             # non-essential: a longest run of narrow terms that, added to the least that the others give, misses the bar
             rest = np.cumsum(high)
@@ -66,16 +84,16 @@ def search_tile(ids: np.ndarray, vectors: np.ndarray, query_id: int, q: np.ndarr
             cut = int(np.searchsorted(alone >= bar, True)) if len(alone) else 0
             essential = names[cut:]
             score = block[:, essential] @ q[essential]
+            stats["products"] = stats.get("products", 0) + block.shape[0] * len(essential)
             upto = cut
             while True:
                 possible = score + (rest[upto - 1] if upto else 0) >= bar
                 left, score = left[possible], score[possible]
-                if stats is not None:
-                    stats["probed"] = stats.get("probed", 0) + len(left)
                 if not upto or not len(left):
                     break
                 step = names[max(0, upto - 8) : upto]  # the widest of what is left
                 score = score + block[np.ix_(left, step)] @ q[step]
+                stats["products"] += len(left) * len(step)
                 upto = max(0, upto - 8)
         other = own[left] != query_id
         all_id, every = np.concatenate([best_id, own[left][other]]), np.concatenate([best, score[other]])
@@ -101,10 +119,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
                 q, v = (np.array([[int(x) for x in row] for row in m], object) for m in (q, v))
             order = np.lexsort((rows["vec_id"].to_numpy(), -(v * v).sum(axis=1)))
             ids, v = rows["vec_id"].to_numpy()[order], v[order]
-            for query_id, own in zip(asked["vec_id"].to_numpy(), q, strict=True):
-                found, score = search_tile(ids, v, query_id, own, k)
-                out.append(pd.DataFrame({"query_id": query_id, "vec_id": found, "score": score.astype(np.int64)}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+            blocks, names = blocks_of(v), asked["vec_id"].to_numpy()
+            out = [search_tile(ids, v, query_id, own, k, blocks=blocks) for query_id, own in zip(names, q, strict=True)]
+        if not out:
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+        number = np.repeat(names, [len(found) for found, _ in out])
+        return pd.DataFrame({"query_id": number, "vec_id": np.concatenate([f for f, _ in out]), "score": np.concatenate([s.astype(np.int64) for _, s in out])})
 
     tiles = left.groupBy("part", "shard").cogroup(right.groupBy("part", "shard")).applyInPandas(run, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
