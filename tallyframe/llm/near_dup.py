@@ -11,6 +11,9 @@
    differs in at most as many bits as the sets in shingles, so it rules pairs out without loss. The rest is confirmed.
 4. Components of all confirmed links give each document the least doc_id it reaches.
 
+Keys that many rows share (the key of a set with many copies, the band key or the pivot of a large bucket) are counted and
+dealt to several tasks by ``join_keyed``; rows without a set take no part in joins.
+
 At similarity 0.75 a pair shares no band with probability (1 - 0.75**4)**32 = 5e-6, and sketches rule it out (estimate
 below LOOSE) with about the same; a link lost that way matters only if no chain of others joins the two.
 
@@ -29,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from .base import cut, map_rows
+from .base import cut, fresh_name, join_keyed, map_rows
 from .components import connected_components
 
 WORDS = 5
@@ -139,10 +142,10 @@ def _differing_bits(a: str, b: str) -> Column:
 
 
 def _with_sketches(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) that the sketches can't rule out, with the number of bits they differ in."""
+    """Pairs (a, b), a written table, that the sketches can't rule out, with the number of bits they differ in."""
     a = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a"))
     b = nodes.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b"))
-    joined = pairs.join(a, "a").join(b, "b")
+    joined = join_keyed(pairs, a, "a").join(b, "b")
     return joined.select("a", "b", _differing_bits("sketch_a", "sketch_b").alias("bits")).where(F.col("bits") <= MOST_BITS)
 
 
@@ -154,11 +157,11 @@ def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose whole sets are similar enough, as edges (u, v)."""
+    """Pairs, a written table, whose whole sets are similar enough, as edges (u, v)."""
     a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
     b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
     n_a, n_b = F.size("set_a"), F.size("set_b")
-    near = pairs.select("a", "b").join(a, "a").join(b, "b").where(100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b))
+    near = join_keyed(pairs.select("a", "b"), a, "a").join(b, "b").where(100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b))
     both = near.select("a", "b", (n_a + n_b).alias("n"), F.size(F.array_intersect("set_a", "set_b")).alias("i"))
     return both.where(100 * F.col("i") >= percent * (F.col("n") - F.col("i"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
@@ -175,7 +178,7 @@ def _block_pairs(rows: DataFrame, nodes: DataFrame, sets: DataFrame, percent: in
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     giant = giant.select("band", F.col("top.label").alias("giant"), blocks(F.col("top.n")).alias("n_giant"), blocks(F.col("all") - F.col("top.n")).alias("n_rest"))
     whole = sets.select(F.col("doc_id").alias("node"), F.size("shingles").alias("size"), "parity")
-    row = rows.join(giant, "band").join(nodes.select("node", "sketch"), "node").join(whole, "node")
+    row = join_keyed(rows, cut(giant, "large-bands"), "band").join(nodes.select("node", "sketch"), "node").join(whole, "node")
     inside = F.col("label") == F.col("giant")
     own = F.pmod(F.xxhash64("node"), F.when(inside, F.col("n_giant")).otherwise(F.col("n_rest"))).cast("int")
     row = row.withColumn("inside", inside).withColumn("own", own)
@@ -208,39 +211,40 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text)."""
     found = cut(features(docs), "shingle-features")
     usable = found.where(F.col("n_shingles").cast("boolean") & F.col("doc_id").isNotNull())
-    members = usable.select("doc_id", "set_key")
-    first = members.groupBy("set_key").agg(F.min("doc_id").alias("node"))
-    nodes = cut(
-        usable.join(first.select(F.col("node").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id", "set_key"])
-        .select(F.col("doc_id").alias("node"), "bands", "sketch"),
-        "nodes",
-    )
-
-    keys = nodes.select("node", F.explode("bands").alias("band"))
+    # of each set the row of least doc_id, combined before the shuffle however many copies it has
+    first = usable.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("bands", "sketch"), "doc_id").alias("own"))
+    first = cut(first.select("set_key", "node", "own.bands", "own.sketch"), "nodes")
+    nodes = first.select("node", "bands", "sketch")
+
+    keys = cut(nodes.select("node", F.explode("bands").alias("band")), "band-keys")
     buckets = keys.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1")
-    shared = cut(keys.join(buckets, "band"), "shared-bands")
+    shared = cut(join_keyed(keys, cut(buckets, "buckets"), "band"), "shared-bands")
 
     wanted = shared.select(F.col("node").alias("doc_id")).distinct()
     sets = cut(shingle_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")).dropDuplicates(["doc_id", "shingles"]), "shingle-sets")
 
     star = shared.where("node <> pivot").select(F.col("node").alias("b"), F.col("pivot").alias("a")).distinct()
-    star = _with_sketches(star, nodes).groupBy("b").agg(F.min(F.struct("bits", "a")).alias("best")).select("b", F.col("best.a").alias("a"))
+    star = _with_sketches(cut(star, "stars"), nodes).groupBy("b").agg(F.min(F.struct("bits", "a")).alias("best"))
+    star = cut(star.select("b", F.col("best.a").alias("a")), "stars")
     links = cut(_confirmed(star, sets, percent), "links")
     labels = cut(connected_components(links), "labels")
 
-    rows = _labelled(shared.select("band", "n", "node"), labels)
+    rows = cut(_labelled(shared.select("band", "n", "node"), labels), "labelled-bands")
     mixed = rows.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
-    rows = cut(rows.join(mixed, "band"), "open-bands")
+    rows = cut(join_keyed(rows, cut(mixed, "mixed-bands"), "band"), "open-bands")
     few = rows.where(F.col("n") <= SMALL).select("band", "node", "label")
     left = few.select("band", F.col("node").alias("a"), F.col("label").alias("label_a"))
     right = few.select("band", F.col("node").alias("b"), F.col("label").alias("label_b"))
     pairs = left.join(right, "band").where("a < b and label_a <> label_b").select("a", "b").distinct()
-    few = _possible(_with_sketches(pairs, nodes).select("a", "b"), sets, percent)
+    few = _possible(_with_sketches(cut(pairs, "open-pairs"), nodes).select("a", "b"), sets, percent)
     more = cut(few.unionByName(_block_pairs(rows.where(F.col("n") > SMALL), nodes, sets, percent)), "open-pairs")
     labels = cut(connected_components(links.unionByName(_confirmed(more, sets, percent))), "labels")
 
     named = _labelled(first.select("set_key", "node"), labels).groupBy("set_key").agg(F.min("label").alias("component_id"))
-    known = found.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
+    rows = found.select("doc_id", "n_shingles", "set_key")
+    known = join_keyed(rows.where("set_key IS NOT NULL"), cut(named, "named-sets"), "set_key", "left")
+    # a row without a set or without a doc_id is linked with nothing
+    known = known.unionByName(rows.where("set_key IS NULL").withColumn("component_id", F.col("doc_id")))
     # rows that share a doc_id but not a text are one node, so the least of their components holds
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))
     return known.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -248,8 +252,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One document of each group, the one of least doc_id, with all its columns; rows with null doc_id stay."""
-    gone = near_duplicates(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(cut(gone, "duplicates"), F.col("doc_id") == F.col("gone_id"), "left_anti")
+    gone = fresh_name("gone_id", docs.columns)
+    lost = near_duplicates(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(cut(lost, "duplicates"), F.col("doc_id") == F.col(gone), "left_anti")
 
 
 #: All pairs that share a shingle, for DuckDB on small tables.

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 from helpers import frame, hard_rows, prose
 
-from tallyframe.llm import components, maxscore, mixing, near_dup, warc_fixity
+from tallyframe.llm import base, components, maxscore, mixing, near_dup, warc_fixity
 
 
 def shingles(text):
@@ -53,6 +53,20 @@ def test_near_duplicates_against_all_pairs(spark):
     assert kept.columns == frame(spark, rows).columns
     assert {r["doc_id"] for r in kept.collect()} - {None} == set(want.values())
     assert near_dup.near_duplicates(frame(spark, rows).where("false")).collect() == []
+    clash = frame(spark, rows[:4]).selectExpr("*", "1 AS gone_id", "2 AS set_key", "3 AS node", "4 AS part")
+    kept = near_dup.keep_first(clash)
+    assert kept.columns == clash.columns and {r["doc_id"] for r in kept.collect()} == {1, 3, 4}
+
+
+def test_joins_deal_heavy_keys_to_several_tasks(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(base, "HEAVY", 10)
+    monkeypatch.setattr(base, "MOST_HEAVY", 2)
+    data = [(k, i, "x") for k, n in ((1, 500), (2, 45), (3, 12), (4, 3), (None, 30)) for i in range(n)]
+    spark.createDataFrame(data, "k long, i long, part string").write.parquet(f"{tmp_path}/rows")
+    rows, table = spark.read.parquet(f"{tmp_path}/rows"), spark.createDataFrame([(1, "a"), (2, "b"), (4, "d"), (9, "z")], "k long, parts string")
+    for how in ("inner", "left"):
+        got = base.join_keyed(rows, table, "k", how)
+        assert Counter(got.select("k", "i", "part", "parts").collect()) == Counter(rows.join(table, "k", how).select("k", "i", "part", "parts").collect())
 
 
 def test_large_buckets_go_block_by_block(spark, monkeypatch):
@@ -121,6 +135,8 @@ def test_mixing_meets_targets(spark):
     for r in out:
         want_copies[r["doc_id"]] += r["times"]
     assert Counter(r["doc_id"] for r in mixed.collect()) == +want_copies
+    clash = docs.selectExpr("*", "1 AS times", "2 AS threshold", "3 AS takes_last", "4 AS mix_s", "5 AS mix", "6 AS s", "7 AS hash")
+    assert mixing.mix(clash).columns == clash.columns and Counter(r["doc_id"] for r in mixing.mix(clash).collect()) == +want_copies
     assert mixing.mixture(docs.where("false")).collect() == [] and mixing.mix(docs.where("false")).collect() == []
 
 
@@ -151,24 +167,54 @@ def test_maxscore_against_all_scores(spark, monkeypatch):
 
 def test_maxscore_skips_most_vectors():
     r = np.random.default_rng(4)
-    v = np.floor(1024 * r.normal(0, 0.1, (8192, 32)) * np.array([8] * 2 + [0.2] * 30))
-    order = np.argsort(-(v * v).sum(axis=1))
-    stats = {}
-    ids, score = maxscore.search_tile(order, v[order], -1, v[5], 10, stats)
-    assert list(score) == sorted((v @ v[5]).tolist(), reverse=True)[:10]
-    assert stats["probed"] < 8192
+    for n in (500, 8192):  # the bounds act in small tables too
+        v = np.floor(1024 * r.normal(0, 0.1, (n, 32)) * np.array([8] * 2 + [0.2] * 30))
+        order = np.argsort(-(v * v).sum(axis=1))
+        stats = {}
+        ids, score = maxscore.search_tile(order, v[order], -1, v[5], 10, stats)
+        assert list(score) == sorted((v @ v[5]).tolist(), reverse=True)[:10]
+        assert stats["products"] < 0.6 * v.size
+
+
+PAGE = "page_id long, url string, html string"
 
 
 def test_warc_audit_finds_exactly_the_damage(spark):
-    rows = [(i, f"http://h/{i}", f"<p>{i}</p>") for i in range(0, 3000, 2)] + [(None, None, None), (10, "http://h/10", "again")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    far = (1 << 60) + 16
+    rows = [(i, f"http://h/{i}", f"<p>{i}</p>") for i in range(0, 3000, 2)] + [(10, "http://h/10", "again"), (-1, "u", "minus"), (far, "u", "far"), (far - 1, "u", "near"), (7001, None, "x" * 300_000)]
     bad = [r for r in rows if r[0] not in (64, 2998)]
-    bad = [(i, u, "<p>rot</p>" if i in (0, 1026, None) else h) for i, u, h in bad] + [(5000, "u", "new"), (32, "u", "second")]
-    records = lambda d: warc_fixity.warc_records(spark.createDataFrame(d, "page_id long, url string, html string"))
+    bad = [(i, u, "<p>rot</p>" if i in (0, 1026, -1, far) else h) for i, u, h in bad] + [(5000, "u", "new"), (32, "u", "second")]
+    records = lambda d: warc_fixity.warc_records(spark.createDataFrame([(*r, "x", 1) for r in d], f"{PAGE}, digest string, start int"))
     got = {r["key"]: r for r in warc_fixity.audit(records(rows), records(bad)).collect()}
-    assert {k: r["status"] for k, r in got.items()} == {64: "missing", 2998: "missing", 0: "altered", 1026: "altered", -1: "altered", 5000: "extra", 32: "altered"}
-    assert got[0]["offset"] == 0 and got[64]["offset"] > 0 and got[1026]["file"] == 1
+    assert {k: r["status"] for k, r in got.items()} == {64: "missing", 2998: "missing", 0: "altered", 1026: "altered", -1: "altered", far: "altered", 5000: "extra", 32: "altered"}
+    assert got[0]["offset"] == 0 and got[64]["offset"] > 0 and got[1026]["file"] == 1 and got[far]["file"] == far >> 10
+    rows = [r for r in rows if 0 <= r[0] < 4000]
     assert warc_fixity.audit(records(rows), records(rows[::-1])).collect() == []
-    empty = warc_fixity.warc_records(pages.where("false"))
+    empty = records(rows).where("false")
     assert warc_fixity.audit(empty, empty).collect() == []
     assert warc_fixity.audit(records(rows[:5]), empty).count() == 5
+    many = [(-i, "u", f"{i}") for i in range(1, 600)]  # negative keys end in one root too
+    assert {r["key"] for r in warc_fixity.audit(records(many), records(many[1:])).collect()} == {-1}
+
+
+def test_warc_audit_locates_damage_among_records_without_a_key(spark):
+    rows = [(None, f"u{i}", f"<p>{i}</p>") for i in range(300)] + [(None, "u7", "<p>7</p>"), (3, "u", "kept"), (None, None, None)]
+    records = lambda d: warc_fixity.warc_records(spark.createDataFrame(d, PAGE))
+    assert warc_fixity.audit(records(rows), records(rows[::-1])).collect() == []
+    got = warc_fixity.audit(records(rows), records(rows[5:300] + rows[301:])).collect()
+    assert Counter((r["key"], r["status"]) for r in got) == {(None, "missing"): 5, (None, "altered"): 1}
+
+
+def test_warc_audit_finds_records_in_another_place(spark):
+    rows = warc_fixity.warc_records(spark.createDataFrame([(i, f"u{i}", f"<p>{i}</p>") for i in range(2000)], PAGE)).collect()
+    place, at = {}, Counter()
+    for r in rows:
+        place[r["key"]] = at[r["key"] >> 10]
+        at[r["key"] >> 10] += r["length"]
+    table = lambda of: spark.createDataFrame([(r["key"], r["digest"], r["length"], of[r["key"]]) for r in rows], "key long, digest string, length long, offset long")
+    found = lambda of: {r["key"]: (r["status"], r["n_records"]) for r in warc_fixity.audit(table(place), table(of)).collect()}
+    assert found(place) == {}
+    # two records of one length change places; a hole opens before one record, and before a whole branch
+    assert found(place | {101: place[102], 102: place[101]}) == {101: ("moved", 1), 102: ("moved", 1)}
+    assert found(place | {k: v + 7 for k, v in place.items() if 1030 <= k}) == {1030: ("moved", 1)}
+    assert found(place | {k: v + 7 for k, v in place.items() if 1040 <= k}) == {1040: ("moved", 16)}
