@@ -8,8 +8,8 @@ Loopy message passing, until messages stop changing, gives every other word its
 written in full once is found again where its form is too short for the pattern. Runs of one label outside the patterns'
 spans are divided into pieces that are probable enough and look like their kind (at line ends first), and these are added to the spans.
 
-The weights are fitted by pseudo-likelihood on at most SAMPLE texts that have such words (those of the least hash), with
-the patterns' spans as labels. Scanning and message passing read whole texts of all documents.
+The weights are fitted by pseudo-likelihood on at most SAMPLE distinct texts that have such words (those of the least hash;
+their bytes are what the driver holds), with the patterns' spans as labels. A card number that fails its checksum is none, however often it stands there. Scanning and message passing read whole texts of all documents.
 
 Defined results: a null or empty text has no spans; a null doc_id is kept; rows that repeat are scanned each; an empty
 table gives no rows; without a text to fit on nothing is added to the patterns; other columns are ignored (``redact`` keeps them).
@@ -57,7 +57,7 @@ _EDGE = "\"'.,;:!?*#$%&<>[]{}|()"
 #: Names of the node features.
 FEATURES = (
     "always", "at", "at_dot", "plus", "open", "dash", "comma", "letters", "dots1", "dots2", "dots3", "dots4", "digits0", "digits1", "digits2", "digits3",
-    "digits4", "digits5_6", "digits7_9", "digits10_12", "digits13_15", "digits16_19", "digits20", "first", "last", "equals", "slash",
+    "digits4", "digits5_6", "digits7_9", "digits10_12", "digits13_15", "digits16_19", "digits20", "first", "last", "equals", "slash", "checked", "unchecked",
 )
 _AT = {name: i for i, name in enumerate(FEATURES)}
 N = len(KINDS) + 1  # labels; 0 is outside
@@ -116,6 +116,8 @@ def node_features(word: str) -> list[int]:
     own += [n for n, c in (("plus", "+"), ("open", "("), ("dash", "-"), ("comma", ","), ("equals", "="), ("slash", "/")) if c in word]
     if any(c.isalpha() for c in word):
         own.append("letters")
+    if 16 <= digits <= 19:
+        own.append("checked" if luhn("".join(c for c in word if "0" <= c <= "9")) else "unchecked")
     return [_AT[x] for x in own]
 
 
@@ -270,7 +272,9 @@ def looks_like(kind: int, found: str) -> bool:
         return len(parts) == 4 and all(p.isdigit() and p.isascii() and len(p) <= 3 and int(p) <= 255 for p in parts)
     if any(c.isalpha() for c in found) or "@" in found:
         return False
-    return 16 <= digits <= 19 if kind == 2 else 7 <= digits <= 15 and not re.fullmatch(r"[0-9]+(?:[.,][0-9]+)*", found)
+    if kind == 2:
+        return 16 <= digits <= 19 and luhn("".join(c for c in found if "0" <= c <= "9"))
+    return 7 <= digits <= 15 and not re.fullmatch(r"[0-9]+(?:[.,][0-9]+)*", found)
 
 
 def divided(text: str, kind: int, words: list[tuple[int, int]], sure: list[bool]) -> list[tuple[int, int]]:
@@ -334,9 +338,14 @@ def listed(spans: list[Span]) -> str:
 
 
 def fitted(docs: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray] | None:
-    """Weights from at most ``sample`` texts; this many reach the driver, at any size."""
-    rows = docs.select("text").where(F.col("text").rlike(r"[0-9][0-9]|@")).orderBy(F.xxhash64("text"), "text").limit(sample).collect()
-    return fit([r["text"] for r in rows])
+    """Weights from at most ``sample`` distinct texts, those of the least hash; this many reach the driver, at any size."""
+    number, has_sign = F.xxhash64("text"), F.col("text").rlike(r"[0-9][0-9]|@")
+    # hashes alone say which texts; every task then sends those only, each once
+    least = docs.where(has_sign).select(number.alias("h")).distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    if least is None:
+        return None
+    chosen = docs.where((number <= least) & has_sign).select("text").distinct()
+    return fit(sorted(r["text"] for r in chosen.collect()))
 
 
 RESULT = StructType([StructField("doc_id", LongType()), *(StructField(f"n_{k}", LongType()) for k in KINDS), StructField("base_sha256", StringType()), StructField("spans", StringType())])
