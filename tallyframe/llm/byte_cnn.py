@@ -5,7 +5,8 @@ embeddings at every STRIDE-th byte; each chunk keeps the maximum and the mean of
 means are combined into their maximum and mean over the document, and a linear layer and a sigmoid make one probability.
 
 Fitting reads at most SAMPLE labelled documents of each class (those of the least hash of doc_id, so the choice is the
-same at every run), and of each TRAIN_CHUNKS chunks, spread over the document. Scoring always reads whole texts.
+same at every run), each with all its chunks: the driver holds the bytes of these 2 * SAMPLE texts, and besides them the
+activations of PIECE chunks at a time, however long a document is. Scoring reads whole texts.
 
 Defined results: a null or empty text is one chunk of padding and gets a score like any other; a null doc_id is not held
 out, is never fitted on, and is scored; labels that are null, or that differ for one doc_id, are not used; rows that
@@ -26,7 +27,8 @@ from .base import map_rows
 
 #: Labelled documents of each class that fitting reads at most.
 SAMPLE = 1200
-TRAIN_CHUNKS = 4
+#: Chunks whose activations are held at once while fitting.
+PIECE = 256
 EPOCHS = 8
 CHUNK, OVERLAP = 1024, 64
 WIDTH, STRIDE = 8, 4
@@ -77,47 +79,58 @@ def combine(high: np.ndarray, mean: np.ndarray) -> np.ndarray:
     return np.concatenate([high.max(axis=0), high.mean(axis=0), mean.max(axis=0), mean.mean(axis=0)])
 
 
+def _back(back_high: np.ndarray, back_mean: np.ndarray, w: Weights, held: tuple) -> Weights:
+    """Gradients of one piece of chunks, given those of its chunks' maxima and means."""
+    seen, inputs, active, real = held
+    g_active = np.repeat((back_mean / real.sum(axis=1)[:, None])[:, None, :], active.shape[1], axis=1)
+    g_active[np.arange(len(active))[:, None], active.argmax(axis=1), np.arange(FILTERS)[None, :]] += back_high
+    g_active = (g_active * (active > 0)).reshape(-1, FILTERS).astype(np.float32)
+    g_in = (g_active @ w["filters"].T).reshape(-1, EMBED)
+    places = seen.reshape(-1)
+    embed = np.stack([np.bincount(places, weights=g_in[:, e], minlength=256) for e in range(EMBED)], axis=1)
+    return {"filters": inputs.reshape(-1, WIDTH * EMBED).T @ g_active, "bias": g_active.sum(axis=0), "embed": embed}
+
+
+def _gradients(data: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, w: Weights) -> Weights:
+    """Gradients of the weighted log loss of some documents, over all their chunks, a piece at a time."""
+    x = np.concatenate(data)
+    pieces = [slice(at, at + PIECE) for at in range(0, len(x), PIECE)]
+    seen = [chunk_features(x[p], w) for p in pieces[:1]] if len(pieces) == 1 else [(*chunk_features(x[p], w)[:2], None) for p in pieces]
+    high, mean = np.concatenate([f[0] for f in seen]), np.concatenate([f[1] for f in seen])
+    ends = np.cumsum([len(d) for d in data])
+    spans = [slice(e - len(d), e) for d, e in zip(data, ends, strict=True)]
+    docs = np.stack([combine(high[s], mean[s]) for s in spans])
+    score = 1 / (1 + np.exp(-np.clip(docs @ w["out"] + w["out_bias"], -30, 30)))
+    error = ((score - labels) * weight / len(data)).astype(np.float32)
+    back = np.outer(error, w["out"]).reshape(len(data), 4, FILTERS)
+    back_high, back_mean, f = np.zeros_like(high), np.zeros_like(mean), np.arange(FILTERS)
+    for k, s in enumerate(spans):
+        n = s.stop - s.start
+        back_high[s] += back[k, 1] / n
+        back_high[s.start + high[s].argmax(axis=0), f] += back[k, 0]
+        back_mean[s] += back[k, 3] / n
+        back_mean[s.start + mean[s].argmax(axis=0), f] += back[k, 2]
+    g = {"out": docs.T @ error, "out_bias": error.sum(keepdims=True)}
+    for p, (_, _, held) in zip(pieces, seen, strict=True):  # activations of several pieces are made anew, not kept
+        for name, own in _back(back_high[p], back_mean[p], w, held or chunk_features(x[p], w)[2]).items():
+            g[name] = g[name] + own if name in g else own
+    return g
+
+
 def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Weights:
     """Stochastic gradient descent (Adam) on log loss. A line of a good text is good too: one of each is added, so that
     short texts are known. Rejecting a good text costs GOOD_COST times as much as keeping a bad one."""
     w, r = start_weights(seed), np.random.default_rng(seed)
     lines = [r.choice(t.split("\n")) for t, q in zip(texts, labels, strict=True) if q == 1]
     texts, labels = texts + lines, np.concatenate([labels, np.ones(len(lines), np.float32)])
-    data = []
-    for text in texts:
-        own = chunks(text.encode())
-        data.append(own[np.unique(np.linspace(0, len(own) - 1, TRAIN_CHUNKS).astype(int))])
+    data = [chunks(text.encode()) for text in texts]  # views that overlap: no more than the texts' bytes
     weight = np.where(labels == 1, GOOD_COST, 1) * np.where(np.arange(len(labels)) < len(labels) - len(lines), 1, 0.5)
     m, v, t = {k: np.zeros_like(a) for k, a in w.items()}, {k: np.zeros_like(a) for k, a in w.items()}, 0
     for epoch in range(EPOCHS):
         order = r.permutation(len(data))
         for at in range(0, len(order), BATCH):
             own = order[at : at + BATCH]
-            x = np.concatenate([data[i] for i in own])
-            ends = np.cumsum([len(data[i]) for i in own])
-            high, mean, (seen, inputs, active, real) = chunk_features(x, w)
-            spans = [slice(e - len(data[i]), e) for i, e in zip(own, ends, strict=True)]
-            docs = np.stack([combine(high[s], mean[s]) for s in spans])
-            score = 1 / (1 + np.exp(-np.clip(docs @ w["out"] + w["out_bias"], -30, 30)))
-            error = ((score - labels[own]) * weight[own] / len(own)).astype(np.float32)
-            g = {"out": docs.T @ error, "out_bias": error.sum(keepdims=True)}
-            back = np.outer(error, w["out"]).reshape(len(own), 4, FILTERS)
-            g_high, g_mean, f = np.zeros_like(high), np.zeros_like(mean), np.arange(FILTERS)
-            for k, s in enumerate(spans):
-                n = s.stop - s.start
-                g_high[s] += back[k, 1] / n
-                g_high[s.start + high[s].argmax(axis=0), f] += back[k, 0]
-                g_mean[s] += back[k, 3] / n
-                g_mean[s.start + mean[s].argmax(axis=0), f] += back[k, 2]
-            g_active = np.repeat((g_mean / real.sum(axis=1)[:, None])[:, None, :], active.shape[1], axis=1)
-            c = np.arange(len(x))[:, None]
-            g_active[c, active.argmax(axis=1), f[None, :]] += g_high
-            g_active = (g_active * (active > 0)).reshape(-1, FILTERS).astype(np.float32)
-            flat = inputs.reshape(-1, WIDTH * EMBED)
-            g["filters"], g["bias"] = flat.T @ g_active, g_active.sum(axis=0)
-            g_in = (g_active @ w["filters"].T).reshape(-1, EMBED)
-            places = seen.reshape(-1)
-            g["embed"] = np.stack([np.bincount(places, weights=g_in[:, e], minlength=256) for e in range(EMBED)], axis=1)
+            g = _gradients([data[i] for i in own], labels[own], weight[own], w)
             t += 1
             for k in w:
                 m[k] = 0.9 * m[k] + 0.1 * g[k]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter
@@ -74,6 +75,24 @@ def test_classifier_on_labelled_rows(spark):
     assert kept.columns == frame(spark, rows).columns and {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in out if r["predicted"]}
 
 
+def test_classifier_learns_from_every_chunk_of_long_texts(monkeypatch):
+    # what tells the classes apart stands in one chunk of a dozen, not at an end
+    def text(i, mark):
+        own = prose(1200, i).split("\n")
+        own[len(own) * 2 // 5] = " ".join(["zq#zq#"] * 150) if mark else own[0]
+        return "\n".join(own)
+
+    texts, labels = [text(i, i % 2) for i in range(300)], np.array([1 - i % 2 for i in range(300)], np.float32)
+    w = byte_cnn.fit(texts, labels)
+    assert np.mean([(byte_cnn.score(text(1000 + i, i % 2), w) >= 0.5) == (i % 2 == 0) for i in range(40)]) > 0.9
+    # pieces of chunks give the gradients of all chunks at once
+    data, start = [byte_cnn.chunks(t.encode()) for t in texts[:3]], byte_cnn.start_weights()
+    small = byte_cnn._gradients(data, labels[:3], np.ones(3), start)
+    monkeypatch.setattr(byte_cnn, "PIECE", 10_000)
+    whole = byte_cnn._gradients(data, labels[:3], np.ones(3), start)
+    assert all(np.allclose(small[k], whole[k], atol=1e-5) for k in whole)
+
+
 def test_chunks_cover_every_byte():
     for n in (0, 1, 1023, 1024, 1025, 5000):
         data = bytes(range(1, 256)) * 20
@@ -137,6 +156,37 @@ def test_pii_evidence_reaches_the_whole_text():
     assert base == [(3, 0, 17)] and spans == [(3, 0, 17), (3, 18, 32), (3, 33, 47)]
 
 
+def test_pii_repeated_numbers_that_fail_their_checksum_are_no_cards():
+    weights = pii.fit([f"card 4111 1111 1111 1111 or 4111111111111111, order 2{i:015d}, +1 (499) 555-{1000 + i} in 2{i:03d}" for i in range(60)])
+    for number in ("4111 1111 1111 1112", "4111111111111112"):
+        ((base, spans),) = pii.all_spans([" and ".join([f"ref {number}"] * 8)], weights)
+        assert base == spans == [], (number, spans)
+
+
+def exact_marginals(graph, w):
+    """All labellings of a small graph, one by one."""
+    own, n = graph.node_scores(w["node"]), len(graph.text)
+    total = np.zeros((n, pii.N))
+    for labels in itertools.product(range(pii.N), repeat=n):
+        if any(s and s != x for s, x in zip(graph.seen, labels, strict=True)):
+            continue
+        score = sum(own[i, x] for i, x in enumerate(labels))
+        score += sum(w["chain"][labels[i], labels[j]] for i, j in graph.chain) + sum(w["skip"][labels[i], labels[j]] for i, j in graph.skip)
+        total[np.arange(n), labels] += np.exp(score)
+    return total / total.sum(axis=1, keepdims=True)
+
+
+def test_pii_messages_are_exact_without_loops():
+    r = np.random.default_rng(4)
+    w = {"node": r.normal(0, 0.5, (len(pii.FEATURES), pii.N)), "chain": r.normal(0, 0.7, (pii.N, pii.N)), "skip": np.eye(pii.N)}
+    for text in ("1234 55 66 7 in 8", "+1 499 555-6503 then 2023 then 499 555-6503", "a@b.cd x 12 y 12 z 12"):
+        graph = pii.Graph()
+        graph.add(0, text, pii.base_spans(text))
+        links = {tuple(sorted(e)) for e in graph.chain + graph.skip}
+        if len(links) < len(graph.text):  # a forest: message passing is exact
+            assert np.allclose(pii.marginals(graph, w), exact_marginals(graph, w), atol=5e-3), text
+
+
 def test_license_notices(spark):
     apache = "Licensed under the Apache License, Version 2.0."
     full = license_scan.TEMPLATES[4][1]
