@@ -74,25 +74,33 @@ def nearest_within(left: DataFrame, right: DataFrame, key: str, left_date: str,
     join is on key and window and a key with very many rows is spread over its windows.
     """
     window = lambda c: F.floor(F.datediff(F.col(c), F.lit("1970-01-01")) / days)
-    a = left.withColumn("_w", window(left_date)).withColumn("_row", F.monotonically_increasing_id())
+    # the answer depends on key and date only
+    a = left.select(key, left_date).distinct().withColumn("_w", window(left_date))
     b = right.withColumn("_w", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: window(right_date) + i)))
     gap = F.abs(F.datediff(F.col(right_date), F.col(left_date)))
     found = a.join(b, [key, "_w"]).where(gap <= days)
     rest = [c for c in right.columns if c != key]
-    best = found.groupBy("_row").agg(F.min(F.struct(gap.alias("gap"), F.col(right_date).alias("_d"), *(c for c in rest if c != right_date))).alias("m"))
-    out = a.join(best, "_row", "left").drop("_w", "_row")
+    best = found.groupBy(key, left_date).agg(F.min(F.struct(gap.alias("gap"), F.col(right_date).alias("_d"), *(c for c in rest if c != right_date))).alias("m"))
+    out = left.join(best, [key, left_date], "left")
     return out.select(*left.columns, F.col("m.gap").alias("gap"), F.col("m._d").alias(right_date), *(F.col(f"m.{c}").alias(c) for c in rest if c != right_date))
 
 
 def within_miles(a: DataFrame, b: DataFrame, miles: float, distance: Column, cell: float | None = None) -> DataFrame:
     """Pairs of points at most ``miles`` apart: ``a`` (a_lat, a_lon) in grid cells, ``b`` (b_lat, b_lon) laid into the cells
-    around each point, so the join is on cells; the exact distance decides."""
+    around each point, so the join is on cells; the exact distance decides. Longitudes are in [-180, 180]; cells go on
+    across the date line, and near a pole reach all around it."""
     side = cell or miles / 69.0  # degrees of latitude
-    lat = lambda c: F.floor(F.col(c) / side)
-    reach = F.least(F.lit(90.0), F.lit(miles / 69.0 + 0.01) / F.greatest(F.lit(0.02), F.cos(F.radians(F.abs(F.col("b_lat")) + miles / 69.0))))
-    cells = a.withColumn("_y", lat("a_lat")).withColumn("_x", F.floor(F.col("a_lon") / side))
-    near = b.withColumn("_y", F.explode(F.sequence(F.floor((F.col("b_lat") - miles / 69.0 - 0.01) / side), F.floor((F.col("b_lat") + miles / 69.0 + 0.01) / side))))
-    near = near.withColumn("_x", F.explode(F.sequence(F.floor((F.col("b_lon") - reach) / side), F.floor((F.col("b_lon") + reach) / side))))
+    high = miles / 69.0 + 0.01
+    cell_of = lambda c: F.floor(c / side)
+    top = F.abs(F.col("b_lat")) + high
+    reach = F.when(top >= 89.0, 180.0).otherwise(F.least(F.lit(180.0), F.lit(high) / F.cos(F.radians(F.least(top, F.lit(89.0))))))
+    cells = a.withColumn("_y", cell_of(F.col("a_lat"))).withColumn("_x", cell_of(F.col("a_lon")))
+    near = b.withColumn("_y", F.explode(F.sequence(cell_of(F.col("b_lat") - high), cell_of(F.col("b_lat") + high))))
+    # a point stands at its longitude and one turn to either side; only the part within [-180, 180] has cells
+    turn = lambda s: F.sequence(cell_of(F.greatest(F.lit(-180.0), F.col("b_lon") + s - reach)), cell_of(F.least(F.lit(180.0), F.col("b_lon") + s + reach)))
+    inside = lambda s: (F.col("b_lon") + s + reach >= -180.0) & (F.col("b_lon") + s - reach <= 180.0)
+    around = F.concat(*(F.when(inside(s), turn(s)).otherwise(F.array().cast("array<long>")) for s in (-360.0, 0.0, 360.0)))
+    near = near.withColumn("_x", F.explode(F.array_distinct(around)))
     return cells.join(near, ["_y", "_x"]).withColumn("miles", distance).where(F.col("miles") <= miles).drop("_y", "_x")
 
 
