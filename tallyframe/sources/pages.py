@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,12 +64,24 @@ def direct_and_ancestor(rows: DataFrame, keys: Sequence[str], direct: str, ances
     return best.select(*keys, "mesh_id", F.col("m.term").alias("mesh_term"), F.col("m.is_ancestor").alias("is_ancestor"))
 
 
+def terms_once(direct: str, ancestors: str) -> Column:
+    """The terms of both lists of one row (structs of id and term), an id once: direct before ancestor, then list order."""
+    flagged = lambda c, up: F.transform(F.coalesce(F.col(c), F.array()), lambda m: F.struct(m["id"].alias("id"), m["term"].alias("term"), F.lit(up).alias("is_ancestor")))
+    every = F.filter(F.concat(flagged(direct, False), flagged(ancestors, True)), lambda m: m["id"].isNotNull() & m["term"].isNotNull())
+    ids = F.transform(every, lambda m: m["id"])
+    return F.filter(every, lambda m, i: F.array_position(ids, m["id"]) == i + 1)
+
+
 def first_per_key(rows: DataFrame, key: str, content_hash: str, order: Sequence[str]) -> DataFrame:
     """The first row of each key; a key with different contents stops the job; rows without a key are left out."""
     known = rows.where(F.col(key).isNotNull())
-    per = known.groupBy(key).agg(F.min(F.struct(*order, F.struct(*known.columns).alias("_row"))).alias("m"), F.min(content_hash).alias("_low"), F.max(content_hash).alias("_high"))
+    # keys, places and hashes are grouped; the rows themselves are then picked by key and place
+    per = known.groupBy(key).agg(F.min(F.struct(*order)).alias("_first"), F.min(content_hash).alias("_low"), F.max(content_hash).alias("_high"))
     clash = F.when(F.col("_low") != F.col("_high"), F.raise_error(F.concat(F.lit("records differ for "), F.col(key).cast("string"))))
-    return per.withColumn("_ok", clash).where(F.col("_ok").isNull()).select("m._row.*")
+    first = per.withColumn("_ok", clash).where(F.col("_ok").isNull()).select(key, *(F.col(f"_first.{c}").alias(f"_{c}") for c in order))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in order]
+    picked = known.join(first, [key]).where(reduce(and_, same)).drop(*(f"_{c}" for c in order))
+    return picked.select(*known.columns)
 
 
 def dedup_stats(rows: DataFrame, key: str, content_hash: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Registry records in pages to typed entity tables, for one run.
 
 A page is read with its records as raw JSON text, so that the hash of a record covers all of its fields, also those that
-no entity uses. Everything after is projection and explode: one shuffle, for the first record of each key.
+no entity uses. The first record of each key is found by grouping keys, hashes and places, and records are joined to that once.
+With a ``store`` the kept records are parsed and written once, and the nine tables are projections of that table.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import joined_phases
 from ..functions.jsons import canonical_hash
 from ..functions.text import geo_scope, in_country, nested_flag, normalize_text_unicode, state_code
-from .pages import demographics, direct_and_ancestor, entity, first_per_key, read_pages, screen, split_quarantine
+from .pages import demographics, entity, first_per_key, read_pages, screen, split_quarantine, terms_once
 
 _DENOMS = "array<struct<units: string, counts: array<struct<groupId: string, value: string>>>>"
 _DATE = "struct<date: string, type: string>"
@@ -91,12 +92,13 @@ def map_conditions(conditions: DataFrame, rules: DataFrame | None, default_group
 
 
 def flatten(
-    records: DataFrame, run: Mapping[str, str], states: Mapping[str, str], home: Sequence[str], taxonomy: DataFrame | None = None, sidecars: DataFrame | None = None
+    records: DataFrame, run: Mapping[str, str], states: Mapping[str, str], home: Sequence[str], taxonomy: DataFrame | None = None, sidecars: DataFrame | None = None, store: str | None = None,
 ) -> tuple[dict[str, DataFrame], DataFrame]:
     """Nine entity tables of one run, and the quarantined records with their reason.
 
     ``run`` gives ingestion_run_id, indication_profile_id and snapshot_timestamp_utc. Of records with one id the first by
-    page and place counts; differing contents stop the job.
+    page and place counts; differing contents stop the job. ``store`` is a folder for the kept records, else each table reads
+    the pages anew.
     """
     with_time = records.join(sidecars, "raw_page_reference", "left") if sidecars is not None else records.withColumn("retrieved_at_utc", F.lit(None).cast("string"))
     study = F.col("r.protocolSection")
@@ -105,6 +107,9 @@ def flatten(
     good = first_per_key(good, "nct_id", "source_json_hash", ["raw_page_reference", "raw_study_ordinal"])
     good = good.withColumns({"ingestion_run_id": F.lit(run["ingestion_run_id"]), "snapshot_id": F.lit(run["ingestion_run_id"]), "indication_profile_id": F.lit(run["indication_profile_id"])})
     base = good.select(*KEYS, "r.protocolSection", "r.derivedSection", "r.resultsSection", "r.hasResults")
+    if store:
+        base.write.mode("overwrite").parquet(f"{store}/records")
+        base = records.sparkSession.read.schema(base.schema).parquet(f"{store}/records")
     keys, at = list(KEYS), "protocolSection"
     arms, first_outcome = F.col(f"{at}.armsInterventionsModule.armGroups"), F.get(F.col(f"{at}.outcomesModule.primaryOutcomes"), F.lit(0))
     raw_phase, phase = joined_phases(F.col(f"{at}.designModule.phases"))
@@ -115,8 +120,8 @@ def flatten(
     ).withColumn("record_quality_flag", quality_flag())
 
     conditions = base.select(*keys, F.explode(f"{at}.conditionsModule.conditions").alias("condition_raw"))
-    mesh = direct_and_ancestor(base.select(*keys, F.col("derivedSection.conditionBrowseModule.meshes").alias("m"), F.col("derivedSection.conditionBrowseModule.ancestors").alias("a")), ["ingestion_run_id", "nct_id"], "m", "a")
-    mesh = base.select(*keys).join(mesh.drop("ingestion_run_id"), "nct_id").select(*keys, "mesh_id", "mesh_term", "is_ancestor", F.lit(None).cast("string").alias("branch"))
+    mesh = base.select(*keys, F.explode(terms_once("derivedSection.conditionBrowseModule.meshes", "derivedSection.conditionBrowseModule.ancestors")).alias("m"))
+    mesh = mesh.select(*keys, F.col("m.id").alias("mesh_id"), F.col("m.term").alias("mesh_term"), "m.is_ancestor", F.lit(None).cast("string").alias("branch"))
     interventions = entity(base, keys, f"{at}.armsInterventionsModule.interventions", {"intervention_name": "name", "intervention_type": "type", "intervention_description": "description"})
     interventions = interventions.withColumn("intervention_normalized", normalize_text_unicode(F.col("intervention_name")))
     arm_rows = entity(base, keys, f"{at}.armsInterventionsModule.armGroups", {"arm_label": "label", "arm_type": "type", "arm_description": "description", "intervention_names": "interventionNames"}, "arm_ordinal")

@@ -73,8 +73,16 @@ def test_sinks_and_logs(spark, tmp_path):
     sinks.write_run({"trials": rows, "empty": rows.where("false")}, str(tmp_path), "r1")
     sinks.write_run({"trials": rows.where("k = 1")}, str(tmp_path), "r2")
     sinks.write_run({"trials": rows.where("k = 2")}, str(tmp_path), "r2")
-    assert {(r["run_id"], r["k"]) for r in spark.read.parquet(f"{tmp_path}/trials").collect()} == {("r1", 1), ("r1", 2), ("r2", 2)}
-    assert spark.read.parquet(f"{tmp_path}/empty").schema["k"].dataType == rows.schema["k"].dataType
+    whole = {run: sinks.read_run(spark, str(tmp_path), run) for run in ("r1", "r2")}
+    assert {(run, r["k"]) for run, t in whole.items() for r in t["trials"].collect()} == {("r1", 1), ("r1", 2), ("r2", 2)}
+    assert whole["r1"]["empty"].schema["k"].dataType == rows.schema["k"].dataType and whole["r1"]["empty"].count() == 0
+    # a write that breaks off between two entities leaves the version before in force for both
+    broken = rows.withColumn("v", F.raise_error(F.lit("disk is gone")).cast("string"))
+    sinks.write_run({"trials": rows, "other": rows}, str(tmp_path), "r3")
+    with pytest.raises(Exception, match="disk is gone"):
+        sinks.write_run({"trials": rows.where("k = 1"), "other": broken}, str(tmp_path), "r3")
+    assert [t.count() for t in sinks.read_run(spark, str(tmp_path), "r3").values()] == [2, 2]
+    assert {r["entity"]: r["n_rows"] for r in sinks.run_stats(spark, str(tmp_path), "r3").collect()} == {"trials": 2, "other": 2}
     assert [json.loads(r[0]) for r in rows.select(sinks.audit_json("k", "v")).collect()] == [{"k": 1, "v": "a"}, {"k": 2, "v": None}]
     for _ in range(2):
         incremental.append_new(rows, f"{tmp_path}/log", "k")

@@ -21,13 +21,29 @@ def test_change_stream_equals_batch(spark, sf_dir, tmp_path):
         root = f"{tmp_path}/out"
         # each part is a batch of its own query; the state is handed on
         if k:
-            spark.read.parquet(f"{root}{k - 1}/state/batch=0").write.parquet(f"{root}{k}/state/batch=-1")
+            handed = changes.state_before(spark, f"{root}{k - 1}", 1, ["user_id"], "day", spark.read.parquet(f"{root}{k - 1}/state/batch=0").schema)
+            handed.write.parquet(f"{root}{k}/state/whole=-1")
         changes.change_stream(stream, f"{root}{k}", ["user_id"], "day", "event_type", f"{tmp_path}/cp{k}").awaitTermination()
     got = {(r["user_id"], str(r["day"])[:10], r["previous"], r["event_type"]) for k in range(3) for r in spark.read.parquet(f"{tmp_path}/out{k}/changes").collect()}
     want = {(r["user_id"], str(r["day"])[:10], r["previous_status"], r["event_type"]) for r in windowed.history(t).where("changed").collect()}
     assert got == want and want
 
 
+def test_state_is_kept_in_parts_and_made_whole(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(changes, "COMPACT", 2)
+    for k in range(5):
+        rows = [(1, 10 * k + 1, "ab"[k % 2])] + [(100 + k, 10 * k, "x")] * 2 + [(100 + k, 10 * k, "y")]
+        spark.createDataFrame(rows, "k long, at long, s string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("k long, at long, s string").parquet(f"{tmp_path}/in")
+        changes.change_stream(stream, f"{tmp_path}/out", ["k"], "at", "s", f"{tmp_path}/cp").awaitTermination()
+    got = {(r["k"], r["at"], r["previous"], r["s"]) for r in spark.read.parquet(f"{tmp_path}/out/changes").collect()}
+    assert got == {(1, 10 * k + 1, "ab"[(k - 1) % 2], "ab"[k % 2]) for k in range(1, 5)}
+    schema = spark.read.parquet(f"{tmp_path}/in").schema
+    state = {(r["k"], r["at"], r["s"]) for r in changes.state_before(spark, f"{tmp_path}/out", 5, ["k"], "at", schema).collect()}
+    assert state == {(1, 41, "a")} | {(100 + k, 10 * k, "y") for k in range(5)}
+    assert spark.read.parquet(f"{tmp_path}/out/state/batch=4").count() == 2 and spark.read.parquet(f"{tmp_path}/out/state/whole=3").count() == 5
+
+
 def test_late_rows_change_nothing(spark):
     state = spark.createDataFrame([(1, 5, "a")], "k long, at long, s string")
     batch = spark.createDataFrame([(1, 4, "b"), (1, 6, "b"), (1, 6, "b"), (2, 1, "a"), (1, 7, None)], "k long, at long, s string")

@@ -39,6 +39,16 @@ def flat(spark, tmp_path):
     return studies.flatten(studies.read_records(spark, f"{tmp_path}/page=*.json"), RUN, STATES, ("united states", "usa"), rules)
 
 
+def test_stored_records_give_the_same_tables(flat, spark, tmp_path):
+    rules = spark.createDataFrame([("exact", "flu", 1, "flu", False)], "kind string, term string, ord int, label string, relevance boolean")
+    records = studies.read_records(spark, f"{tmp_path}/page=*.json")
+    plain, _ = studies.flatten(records, RUN, STATES, ("usa",), rules)
+    stored, _ = studies.flatten(records, RUN, STATES, ("usa",), rules, store=f"{tmp_path}/work")
+    for name, df in plain.items():
+        assert stored[name].columns == df.columns and sorted(map(str, stored[name].collect())) == sorted(map(str, df.collect())), name
+        assert "page=" not in "".join(stored[name].inputFiles())
+
+
 def test_trials_and_quarantine(flat):
     tables, bad = flat
     assert sorted((r["raw_page_reference"], r["raw_study_ordinal"], r["reason"]) for r in bad.collect()) == [("page=00000.json", 2, "NOT_AN_OBJECT"), ("page=00000.json", 3, "MISSING_ID"), ("page=00001.json", 0, "INVALID_ID_FORMAT")]
