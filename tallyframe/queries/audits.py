@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import dates, jsons
-from ..functions.numbers import haversine_miles, safe_divide
+from ..functions import jsons
+from ..functions.numbers import haversine_miles
 from ..operators import audit, quality, terms
 from ..operators import relational as R
 from ..operators.paging import keyset_page
+from ..plans import dimensions, reports
 from ..registry import Tables, query
 from .products import activity
 from .windowed import DAILY_SQL, HISTORY_SQL, daily, history
@@ -31,13 +32,11 @@ def qry1_search_page(t: Tables) -> DataFrame:
 @query("""WITH x AS (SELECT * FROM part WHERE p_partkey = 1), c AS (SELECT p.p_partkey, (p.p_type = x.p_type)::INT * 2 + (p.p_brand = x.p_brand)::INT AS hit, p.p_size, x.p_size AS xs FROM part p, x WHERE p.p_partkey <> x.p_partkey AND (p.p_type = x.p_type OR p.p_brand = x.p_brand)),
 l AS (SELECT * FROM c ORDER BY hit DESC, p_partkey LIMIT 250) SELECT p_partkey, round(CASE WHEN hit >= 2 THEN 0.5::DOUBLE ELSE 0 END + CASE WHEN hit IN (1, 3) THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN abs(p_size - xs) < 10 THEN 0.2::DOUBLE ELSE 0 END, 4) AS score FROM l ORDER BY score DESC, p_partkey LIMIT 10""")
 def qry3_related_on_demand(t: Tables) -> DataFrame:
-    one = F.broadcast(t.part.where("p_partkey = 1").select(F.col("p_type").alias("x_type"), F.col("p_brand").alias("x_brand"), F.col("p_size").alias("x_size")))  # one row
+    one = t.part.where("p_partkey = 1").select(F.col("p_type").alias("x_type"), F.col("p_brand").alias("x_brand"), F.col("p_size").alias("x_size"))  # one row
     same_type, same_brand = F.col("p_type") == F.col("x_type"), F.col("p_brand") == F.col("x_brand")
-    found = t.part.where("p_partkey <> 1").join(one, same_type | same_brand)
-    cut = found.orderBy((same_type.cast("int") * 2 + same_brand.cast("int")).desc(), "p_partkey").limit(250)
-    part = lambda c, w: F.when(c, w).otherwise(0.0)
-    score = F.round(part(same_type, 0.5) + part(same_brand, 0.3) + part(F.abs(F.col("p_size") - F.col("x_size")) < 10, 0.2), 4)
-    return cut.select("p_partkey", score.alias("score")).orderBy(F.col("score").desc(), "p_partkey").limit(10)
+    factors = {"type": (same_type, 0.5), "brand": (same_brand, 0.3), "size": (F.abs(F.col("p_size") - F.col("x_size")) < 10, 0.2)}
+    order = [(same_type.cast("int") * 2 + same_brand.cast("int")).desc()]
+    return reports.build_related(t.part.where("p_partkey <> 1"), "p_partkey", one, factors, ["type", "brand"], order, 250, 10)
 
 
 @query("""WITH n AS (SELECT p_partkey AS concept, p_name AS name, true AS main FROM part UNION ALL SELECT p_partkey, p_type || ' ' || p_brand, false FROM part),
@@ -51,7 +50,7 @@ def qry6_term_search(t: Tables) -> DataFrame:
 @query("SELECT p_type AS node, count(DISTINCT l_orderkey) AS total, count(DISTINCT l_orderkey) FILTER (WHERE o_orderstatus = 'O') AS active FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey GROUP BY 1")
 def qry7_node_counts(t: Tables) -> DataFrame:
     rows = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).join(t.orders, F.col("o_orderkey") == F.col("l_orderkey"))
-    return R.distinct_where(rows.withColumnRenamed("p_type", "node"), ["node"], "l_orderkey", {"total": F.lit(True), "active": F.col("o_orderstatus") == "O"})
+    return reports.build_node_counts(rows.withColumnRenamed("p_type", "node"), "node", "l_orderkey", F.col("o_orderstatus") == "O")
 
 
 @query("""WITH c AS (SELECT 'R' || r_regionkey AS concept, 'A' || r_regionkey AS code FROM region UNION ALL SELECT 'N' || n_nationkey, 'A' || n_regionkey || '.' || n_nationkey FROM nation UNION ALL SELECT 'S' || s_suppkey, 'A' || n_regionkey || '.' || CASE WHEN s_suppkey % 4 = 0 THEN 'none' ELSE s_nationkey || '' END || '.' || s_suppkey FROM supplier JOIN nation ON n_nationkey = s_nationkey),
@@ -67,22 +66,19 @@ def qry8_tree_hierarchy(t: Tables) -> DataFrame:
 
 @query(f"WITH {HISTORY_SQL} SELECT DISTINCT user_id, day, first_seen FROM history WHERE event_type = 'purchase' AND user_id % 3 = 1 AND day = (SELECT max(day) FROM history)")
 def qry9_drill_through(t: Tables) -> DataFrame:
-    rows = history(t)
-    return R.at_latest(rows, "day").where("event_type = 'purchase' AND user_id % 3 = 1").select("user_id", "day", "first_seen").distinct()
+    return reports.build_drill_through(history(t), "day", F.expr("event_type = 'purchase' AND user_id % 3 = 1"), ["user_id", "day", "first_seen"])
 
 
 @query("""SELECT s_suppkey, count(DISTINCT l_orderkey) AS orders, count(DISTINCT p_type) AS types, string_agg(DISTINCT p_type, ', ' ORDER BY p_type) AS mix FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey GROUP BY 1 ORDER BY orders DESC, s_suppkey LIMIT 25""")
 def qry10_sponsor_landscape(t: Tables) -> DataFrame:
-    rows = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).groupBy(F.col("l_suppkey").alias("s_suppkey"))
-    per = rows.agg(F.countDistinct("l_orderkey").alias("orders"), F.sort_array(F.collect_set("p_type")).alias("k"))
-    return per.select("s_suppkey", "orders", F.size("k").cast("long").alias("types"), F.array_join("k", ", ").alias("mix")).orderBy(F.col("orders").desc(), "s_suppkey").limit(25)
+    rows = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).withColumnRenamed("l_suppkey", "s_suppkey")
+    return reports.build_owner_landscape(rows, "s_suppkey", "l_orderkey", "p_type", ("orders", "types", "mix"), 25)
 
 
 @query("SELECT (SELECT count(*) FROM orders) AS orders, (SELECT count(*) FROM orders WHERE o_orderstatus = 'O') AS open, (SELECT count(DISTINCT o_custkey) FROM orders) AS buyers, (SELECT count(*) FROM supplier) AS suppliers, (SELECT max(ts)::DATE FROM events) AS latest_day")
 def qry12_overview(t: Tables) -> DataFrame:
-    o = t.orders.agg(F.count("*").alias("orders"), F.count_if(F.col("o_orderstatus") == "O").alias("open"), F.countDistinct("o_custkey").alias("buyers"))
-    s, e = t.supplier.agg(F.count("*").alias("suppliers")), t.events.agg(F.max("ts").cast("date").alias("latest_day"))
-    return o.crossJoin(F.broadcast(s)).crossJoin(F.broadcast(e))  # one row each
+    orders = [F.count("*").alias("orders"), F.count_if(F.col("o_orderstatus") == "O").alias("open"), F.countDistinct("o_custkey").alias("buyers")]
+    return reports.build_overview((t.orders, orders), (t.supplier, [F.count("*").alias("suppliers")]), (t.events, [F.max("ts").cast("date").alias("latest_day")]))
 
 
 @query("""WITH d AS (SELECT o_orderkey, c_nationkey % 3 AS region, CASE WHEN o_orderstatus = 'P' THEN 'status' WHEN c_acctbal < 0 THEN 'negative balance' WHEN o_totalprice > 400000 THEN 'too large' END AS reason, CASE WHEN c_nationkey < 10 THEN 'inside' WHEN c_nationkey > 15 THEN 'outside' ELSE 'undetermined' END AS placed FROM orders JOIN customer ON c_custkey = o_custkey)
@@ -97,30 +93,23 @@ def qry15_audit_decisions(t: Tables) -> DataFrame:
 @query("""WITH a AS (SELECT n_regionkey, c_mktsegment, count(*) AS n, count(*) FILTER (WHERE c_acctbal > 8000) AS far FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2)
 SELECT n_regionkey, max(round(far::DOUBLE / n, 8)) FILTER (WHERE c_mktsegment = 'BUILDING') AS building, max(round(far::DOUBLE / n, 8)) FILTER (WHERE c_mktsegment = 'MACHINERY') AS machinery, bool_or(far::DOUBLE / n > 0.25) AS any_gap FROM a GROUP BY 1""")
 def qry18_gap_matrix(t: Tables) -> DataFrame:
-    per = t.customer.join(t.nation, F.col("n_nationkey") == F.col("c_nationkey")).groupBy("n_regionkey", "c_mktsegment").agg(safe_divide(F.count_if(F.col("c_acctbal") > 8000), F.count("*")).alias("share"))
-    cell = lambda s: F.max(F.when(F.col("c_mktsegment") == s, F.round("share", 8)))
-    return per.groupBy("n_regionkey").agg(cell("BUILDING").alias("building"), cell("MACHINERY").alias("machinery"), F.bool_or(F.col("share") > 0.25).alias("any_gap"))
+    rows = t.customer.join(t.nation, F.col("n_nationkey") == F.col("c_nationkey"))
+    return reports.build_gap_matrix(rows, "n_regionkey", "c_mktsegment", {"building": "BUILDING", "machinery": "MACHINERY"}, F.col("c_acctbal") > 8000, 0.25)
 
 
 @query(f"""WITH {HISTORY_SQL}, d AS (SELECT day, count(*) FILTER (WHERE event_type = 'purchase') AS density FROM history GROUP BY 1), hh AS (SELECT user_id, day, event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY day) AS next_type FROM history),
 n AS (SELECT *, ntile(3) OVER (ORDER BY density, day) AS tercile FROM d)
 SELECT tercile, count(*) AS n, round(avg((next_type = 'error')::INT), 8) AS terminal_rate, round(avg((next_type = 'purchase')::INT), 8) AS still_rate, count(*) < 30 AS inconclusive FROM hh JOIN n USING (day) WHERE event_type = 'purchase' AND next_type IS NOT NULL GROUP BY 1""")
 def qry20_tercile_outcomes(t: Tables) -> DataFrame:
-    h = history(t).select("user_id", "day", "event_type", F.lead("event_type").over(Window.partitionBy("user_id").orderBy("day")).alias("next_type"))
-    density = h.groupBy("day").agg(F.count_if(F.col("event_type") == "purchase").alias("density"))
-    density = density.withColumn("tercile", F.ntile(3).over(Window.orderBy("density", "day")).cast("long"))  # one row per day
-    rows = h.where("event_type = 'purchase' AND next_type IS NOT NULL").join(density, "day")
-    rate = lambda s: F.round(F.avg((F.col("next_type") == s).cast("int")), 8)
-    return rows.groupBy("tercile").agg(F.count("*").alias("n"), rate("error").alias("terminal_rate"), rate("purchase").alias("still_rate"), (F.count("*") < 30).alias("inconclusive"))
+    active = F.col("event_type") == "purchase"
+    return reports.build_tercile_outcomes(history(t), "user_id", "day", "event_type", active, {"terminal_rate": "error", "still_rate": "purchase"}, 30)
 
 
 @query("""WITH p AS (SELECT s_nationkey, o_orderpriority, count(DISTINCT o_orderkey) AS n, count(DISTINCT o_orderkey) FILTER (WHERE l_returnflag = 'R') AS overlapped, avg((l_discount <= 0.08)::INT) AS quality, avg((l_quantity > 5)::INT) AS usable FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2)
 SELECT s_nationkey, o_orderpriority, n, round(overlapped::DOUBLE / n, 8) AS overlap_share, round(0.5 * quality + 0.5 * usable, 8) AS completeness FROM p""")
 def mrt27_priority_queue(t: Tables) -> DataFrame:
     rows = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey"))
-    per_order = rows.groupBy("s_nationkey", "o_orderpriority", "o_orderkey").agg(F.bool_or(F.col("l_returnflag") == "R").alias("r"), F.count_if(F.col("l_discount") <= 0.08).alias("good"), F.count_if(F.col("l_quantity") > 5).alias("usable"), F.count("*").alias("lines"))
-    per = per_order.groupBy("s_nationkey", "o_orderpriority").agg(F.count("*").alias("n"), F.count_if("r").alias("o"), F.sum("good").alias("good"), F.sum("usable").alias("usable"), F.sum("lines").alias("lines"))
-    return per.select("s_nationkey", "o_orderpriority", "n", F.round(safe_divide(F.col("o"), F.col("n")), 8).alias("overlap_share"), F.round(0.5 * safe_divide(F.col("good"), F.col("lines")) + 0.5 * safe_divide(F.col("usable"), F.col("lines")), 8).alias("completeness"))
+    return reports.build_priority_queue(rows, ["s_nationkey", "o_orderpriority"], "o_orderkey", F.col("l_returnflag") == "R", F.col("l_discount") <= 0.08, F.col("l_quantity") > 5)
 
 
 @query("""WITH d AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate,'%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate,'%Y-%m') WHEN 2 THEN strftime(o_orderdate,'%Y') END AS s, o_orderstatus FROM orders)
@@ -128,15 +117,16 @@ SELECT CASE WHEN s IS NULL THEN 'missing' WHEN length(s) = 10 THEN 'day' WHEN le
 def mrt38_date_precision_audit(t: Tables) -> DataFrame:
     k = F.col("o_orderkey") % 4
     s = F.when(k == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(k == 1, F.date_format("o_orderdate", "yyyy-MM")).when(k == 2, F.date_format("o_orderdate", "yyyy"))
-    rows = t.orders.withColumn("s", s)
     reason = F.when(F.col("o_orderstatus") == "P", "status").when(F.col("s").isNull(), "no date")
-    months = dates.month_diff(F.lit("1999-01-01").cast("date"), dates.parse_partial_date(F.col("s")))
-    return rows.groupBy(dates.date_precision(F.col("s")).alias("precision"), reason.alias("exclusion_reason")).agg(F.count("*").alias("n"), F.max(months).cast("long").alias("oldest_months"))
+    return dimensions.build_date_audit(t.orders.withColumn("s", s), F.col("s"), reason, "1999-01-01")
 
 
 @query(f"WITH {DAILY_SQL} SELECT DISTINCT user_id, day, user_id % 5 AS place FROM daily WHERE user_id % 7 <> 0")
 def mrt3_6_24_site_activity(t: Tables) -> DataFrame:
-    return daily(t).where("user_id % 7 <> 0").select("user_id", "day", (F.col("user_id") % 5).alias("place")).distinct()
+    rows = daily(t).withColumn("place", F.col("user_id") % 5)
+    sites = dimensions.build_geography(rows, ["user_id", "day"], ["place"], F.col("user_id") % 7 != 0)
+    active = dimensions.build_site_activity(rows.drop("place"), sites, ["user_id", "day"], ["user_id", "day", "place"])
+    return dimensions.build_site_fact(active, ["user_id", "day", "place"], [F.col("day").desc()])
 
 
 @query("""WITH r(kind, term, ord, label, relevant) AS (VALUES ('exact','part 7',1,'seven',true), ('substring','1',2,'ones',false), ('substring','9',3,'nines',true)),
@@ -152,28 +142,25 @@ def mrt4_rule_mapping(t: Tables) -> DataFrame:
 @query("""WITH s AS (SELECT user_id, ts::DATE AS day, md5(string_agg(event_id || ':' || event_type, '##' ORDER BY event_id)) AS h FROM events GROUP BY 1, 2), r AS (SELECT *, lag(h) OVER (PARTITION BY user_id ORDER BY day) AS before FROM s)
 SELECT user_id, day FROM r WHERE before IS NOT NULL AND before <> h""")
 def mrt12_outcome_set_changes(t: Tables) -> DataFrame:
-    rows = F.sort_array(F.collect_list(F.struct("event_id", F.concat_ws(":", "event_id", "event_type").alias("s"))))
-    sets = t.events.groupBy("user_id", F.col("ts").cast("date").alias("day")).agg(F.md5(F.array_join(F.transform(rows, lambda r: r["s"]), "##")).alias("h"))
-    before = sets.withColumn("before", F.lag("h").over(Window.partitionBy("user_id").orderBy("day")))
-    return before.where("before IS NOT NULL AND before <> h").select("user_id", "day")
+    sets = dimensions.build_outcome_sets(t.events.withColumn("day", F.col("ts").cast("date")), ["user_id", "day"], ["event_id"], F.concat_ws(":", "event_id", "event_type"))
+    return dimensions.build_outcome_changes(sets, ["user_id"], "day").select("user_id", "day")
 
 
 @query(f"""WITH {HISTORY_SQL} SELECT user_id, day, event_type, CASE WHEN user_id % 4 = 0 THEN NULL ELSE user_id % 4 = 1 END AS has_mesh, event_type = 'error' AS unknown_status FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day DESC) AS rn FROM history) WHERE rn = 1""")
 def mrt14_dim_trial(t: Tables) -> DataFrame:
-    from ..operators.windows import latest_per_key
-
     k = F.col("user_id") % 4
-    return latest_per_key(history(t), ["user_id"], F.col("day").desc()).select("user_id", "day", "event_type", F.when(k != 0, k == 1).alias("has_mesh"), (F.col("event_type") == "error").alias("unknown_status"))
+    rows = dimensions.build_record_dimension(history(t), ["user_id"], "day", k != 0, {"unknown_status": F.col("event_type") == "error"}, k == 1)
+    return rows.select("user_id", "day", "event_type", F.col("has_terms").alias("has_mesh"), "unknown_status")
 
 
 @query("SELECT c_nationkey AS state, n_name, count(*) AS population FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_nationkey < 20 GROUP BY 1, 2")
 def mrt18_dim_population(t: Tables) -> DataFrame:
-    return t.customer.join(t.nation.where("n_nationkey < 20"), F.col("n_nationkey") == F.col("c_nationkey"), "left").groupBy(F.col("c_nationkey").alias("state"), "n_name").agg(F.count("*").alias("population"))
+    return dimensions.build_population_dimension(t.customer, t.nation.where("n_nationkey < 20"), "c_nationkey", "n_nationkey", "n_name", F.count("*"))
 
 
 @query("SELECT DISTINCT l_orderkey, l_suppkey, CASE WHEN l_linenumber = 1 THEN 'lead' ELSE 'other' END AS role FROM lineitem")
 def mrt21_bridge_sponsor(t: Tables) -> DataFrame:
-    return t.lineitem.select("l_orderkey", "l_suppkey", F.when(F.col("l_linenumber") == 1, "lead").otherwise("other").alias("role")).distinct()
+    return dimensions.build_sponsor_bridge(t.lineitem, "l_orderkey", "l_suppkey", F.when(F.col("l_linenumber") == 1, "lead").otherwise("other"))
 
 
 @query("""WITH v AS (SELECT 'unique_l_orderkey_l_linenumber' AS "check", l_orderkey || '|' || l_linenumber AS item FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1
@@ -213,5 +200,5 @@ def qc4_schema_drift(t: Tables) -> DataFrame:
 
 @query(f"""WITH {HISTORY_SQL}, a AS (SELECT user_id % 3 AS grp, day, count(DISTINCT user_id) AS n FROM history WHERE event_type = 'purchase' GROUP BY 1, 2) SELECT grp, sum(n)::BIGINT AS purchases, max(n) AS busiest, max_by(day, n * 1000 - day(day)) AS first_busiest_day FROM a GROUP BY 1""")
 def qry23_rollup(t: Tables) -> DataFrame:
-    per = activity(t).groupBy("grp", "day").agg(F.countDistinct("user_id").alias("n"))
-    return per.groupBy("grp").agg(F.sum("n").alias("purchases"), F.max("n").alias("busiest"), F.max_by("day", F.col("n") * 1000 - F.dayofmonth("day")).alias("first_busiest_day"))
+    per = reports.build_scoped_counts(activity(t), F.lit(True), F.col("grp"), "grp", "day", "user_id")
+    return reports.build_rollup(per, "grp", "day")

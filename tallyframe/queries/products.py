@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import safe_divide
-from ..functions.text import normalize_text, surrogate_key
 from ..operators import relational as R
-from ..plans import access, history as H, similarity
+from ..plans import access, dimensions, history as H, reports, similarity
 from ..registry import Tables, query
 from .windowed import DAILY_SQL, HISTORY_SQL, daily, history
 
@@ -78,36 +77,30 @@ def mrt13_change_events(t: Tables) -> DataFrame:
 
 @query("SELECT 'group:' || replace(lower(p_type), ' ', '-') AS node, count(DISTINCT p_partkey) AS n, false AS is_ancestor_only FROM part GROUP BY 1 UNION ALL SELECT p_brand, count(DISTINCT p_partkey), bool_and(p_size > 25) FROM part GROUP BY 1")
 def mrt15_20_condition_nodes(t: Tables) -> DataFrame:
-    group = F.concat(F.lit("group:"), F.replace(normalize_text(F.col("p_type")), F.lit(" "), F.lit("-")))
-    nodes = F.array(F.struct(group.alias("node"), F.lit(False).alias("anc")), F.struct(F.col("p_brand").alias("node"), (F.col("p_size") > 25).alias("anc")))
-    laid = t.part.select("p_partkey", F.explode(nodes).alias("m"))
-    return laid.groupBy("m.node").agg(F.countDistinct("p_partkey").alias("n"), F.every("m.anc").alias("is_ancestor_only"))
+    bridge = dimensions.build_condition_bridge(t.part, ["p_partkey"], F.col("p_type"), F.col("p_brand"), F.col("p_size") > 25)
+    return dimensions.build_condition_dimension(bridge, "p_partkey")
 
 
 @query("SELECT s_nationkey, count(DISTINCT s_suppkey) AS suppliers, count(DISTINCT s_suppkey) FILTER (WHERE l_linenumber = 1) AS leads, count(DISTINCT l_orderkey) AS orders FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1")
 def mrt16_17_dimension_counts(t: Tables) -> DataFrame:
     rows = t.lineitem.join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey"))
-    suppliers = R.distinct_where(rows, ["s_nationkey"], "s_suppkey", {"suppliers": F.lit(True), "leads": F.col("l_linenumber") == 1})
-    return suppliers.join(R.distinct_where(rows, ["s_nationkey"], "l_orderkey", {"orders": F.lit(True)}), "s_nationkey")
+    suppliers = dimensions.build_sponsor_dimension(rows, ["s_nationkey"], "s_suppkey", F.col("l_linenumber") == 1, ("suppliers", "leads"))
+    return suppliers.join(dimensions.build_geography_dimension(rows, ["s_nationkey"], "l_orderkey", "orders"), "s_nationkey")
 
 
 @query("""WITH p(preset, term) AS (VALUES ('a', 'promo brushed tin'), ('a', 'standard polished brass'), ('b', (SELECT lower(trim(min(p_type))) FROM part)), ('b', (SELECT lower(trim(max(p_type))) FROM part))),
 m AS (SELECT DISTINCT preset, p_partkey FROM part JOIN p ON lower(trim(p_type)) = term) SELECT preset, p_partkey FROM m UNION ALL SELECT 'unassigned', p_partkey FROM part WHERE p_partkey NOT IN (SELECT p_partkey FROM m)""")
 def mrt22_membership_unassigned(t: Tables) -> DataFrame:
-    ends = t.part.agg(F.array(F.lower(F.trim(F.min("p_type"))), F.lower(F.trim(F.max("p_type")))).alias("x")).select(F.lit("b").alias("preset"), F.explode("x").alias("term"))
+    ends = t.part.agg(F.array(F.min("p_type"), F.max("p_type")).alias("x")).select(F.lit("b").alias("preset"), F.explode("x").alias("term"))
     terms = t.spark.createDataFrame([("a", "promo brushed tin"), ("a", "standard polished brass")], "preset string, term string").unionByName(ends)
-    found = t.part.join(F.broadcast(terms), F.lower(F.trim("p_type")) == F.col("term")).select("preset", "p_partkey").distinct()  # four terms
-    return found.unionByName(t.part.join(found, "p_partkey", "left_anti").select(F.lit("unassigned").alias("preset"), "p_partkey"))
+    return dimensions.build_membership(t.part, "p_partkey", F.col("p_type"), terms)
 
 
 @query(f"""WITH {HISTORY_SQL}, n AS (SELECT user_id, ts::DATE AS day, count(*) AS n_events, count(DISTINCT event_type) AS n_types FROM events GROUP BY 1, 2)
 SELECT md5(user_id || '||' || day) AS fact_key, user_id, day, event_type, n_events, n_types, day = max(day) OVER (PARTITION BY user_id) AS is_current FROM history JOIN n USING (user_id, day)""")
 def mrt23_snapshot_fact(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
     n = t.events.groupBy("user_id", F.col("ts").cast("date").alias("day")).agg(F.count("*").alias("n_events"), F.countDistinct("event_type").alias("n_types"))
-    rows = history(t).join(n, ["user_id", "day"])
-    return rows.select(surrogate_key(F.col("user_id"), F.col("day")).alias("fact_key"), "user_id", "day", "event_type", "n_events", "n_types", (F.col("day") == F.max("day").over(Window.partitionBy("user_id"))).alias("is_current"))
+    return dimensions.build_snapshot_fact(history(t), ["user_id"], "day", n, ["event_type"])
 
 
 def activity(t: Tables) -> DataFrame:
@@ -189,10 +182,8 @@ def mrt32_stratum_shares(t: Tables) -> DataFrame:
 SELECT o_orderpriority, count(*) AS n, round(avg(r::INT), 8) AS reports_r, round(avg(a::INT), 8) AS reports_a, round(avg(amb::INT), 8) AS ambiguous_share FROM o JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F' GROUP BY 1""")
 def mrt33_reporting_coverage(t: Tables) -> DataFrame:
     flag = F.col("l_returnflag")
-    per = t.lineitem.groupBy("l_orderkey").agg(F.bool_or(flag == "R").alias("r"), F.bool_or(flag == "A").alias("a"), F.bool_or(F.col("l_discount") > 0.09).alias("amb"))
-    rows = per.join(t.orders.where("o_orderstatus = 'F'"), F.col("o_orderkey") == F.col("l_orderkey"))
-    share = lambda c: F.round(F.avg(F.col(c).cast("int")), 8)
-    return rows.groupBy("o_orderpriority").agg(F.count("*").alias("n"), share("r").alias("reports_r"), share("a").alias("reports_a"), share("amb").alias("ambiguous_share"))
+    rows = t.lineitem.join(t.orders.where("o_orderstatus = 'F'"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return reports.build_reporting_coverage(rows, ["o_orderpriority"], "l_orderkey", {"reports_r": flag == "R", "reports_a": flag == "A", "ambiguous_share": F.col("l_discount") > 0.09})
 
 
 @query("""WITH l AS (SELECT p_type, p_brand, l_quantity::BIGINT AS q, l_orderkey FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey WHERE year(o_orderdate) >= (SELECT max(year(o_orderdate)) - 4 FROM orders) AND p_size < 6),
@@ -229,5 +220,5 @@ def mrt36_posting_transparency(t: Tables) -> DataFrame:
 
 @query("""SELECT ts::DATE AS day, count(*) AS n, round(avg((value < 1)::INT), 8) AS missing_share, round(avg((event_type = 'error')::INT), 8) AS error_share, count(DISTINCT user_id) AS users, count(*) = count(DISTINCT event_id) AS keys_unique FROM events GROUP BY 1""")
 def mrt37_data_reliability(t: Tables) -> DataFrame:
-    share = lambda c: F.round(safe_divide(F.count_if(c), F.count("*")), 8)
-    return t.events.groupBy(F.col("ts").cast("date").alias("day")).agg(F.count("*").alias("n"), share(F.col("value") < 1).alias("missing_share"), share(F.col("event_type") == "error").alias("error_share"), F.countDistinct("user_id").alias("users"), (F.count("*") == F.countDistinct("event_id")).alias("keys_unique"))
+    shares = {"missing_share": F.col("value") < 1, "error_share": F.col("event_type") == "error"}
+    return reports.build_reliability(t.events, F.col("ts").cast("date"), "day", shares, "user_id", "users", "event_id")

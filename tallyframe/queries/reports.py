@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import safe_divide
 from ..operators import quality
 from ..operators import relational as R
 from ..operators.windows import beyond_newest, latest_per_key, status_history
+from ..plans import dimensions
 from ..plans import history as H
+from ..plans import reports as plans
 from ..registry import QUERIES, Tables, query
 from .windowed import DAILY_SQL, HISTORY_SQL, daily, history
 
@@ -65,16 +66,17 @@ SELECT o_orderkey, array_to_string(groups, '|') AS groups, array_to_string(state
 def mrt8_comparability_features(t: Tables) -> DataFrame:
     from ..functions.numbers import banded
 
-    rows = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey"))
-    per = rows.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_set("p_type")).alias("g"), F.sort_array(F.collect_set("s_nationkey")).alias("s"), F.countDistinct("l_suppkey").alias("n"))
+    rows = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey")).withColumnRenamed("l_orderkey", "o_orderkey")
     band = F.when(F.col("o_totalprice") < 100000, "small").otherwise(banded(F.col("o_totalprice"), ((300000, "medium"),), "large", inclusive=True))
-    return t.orders.join(per, "o_orderkey", "left").select("o_orderkey", F.array_join("g", "|").alias("groups"), F.array_join("s", "|").alias("states"), F.coalesce("n", F.lit(0)).alias("sponsors"), band.alias("band"))
+    out = dimensions.build_comparability(t.orders, rows, "o_orderkey", {"g": "p_type", "s": "s_nationkey"}, {"sponsors": "l_suppkey"}, band)
+    return out.select("o_orderkey", F.array_join("g", "|").alias("groups"), F.array_join("s", "|").alias("states"), "sponsors", "band")
 
 
 @query("SELECT l_orderkey, l_linenumber, n_name, l_shipdate IS NULL OR l_shipdate < o_orderdate AS suspicious FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN supplier ON s_suppkey = l_suppkey LEFT JOIN nation ON n_nationkey = s_nationkey WHERE o_orderstatus <> 'P'")
 def mrt39_location_audit(t: Tables) -> DataFrame:
-    rows = t.lineitem.join(t.orders.where("o_orderstatus <> 'P'"), F.col("o_orderkey") == F.col("l_orderkey")).join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey")).join(t.nation, F.col("n_nationkey") == F.col("s_nationkey"), "left")
-    return rows.select("l_orderkey", "l_linenumber", "n_name", (F.col("l_shipdate").isNull() | (F.col("l_shipdate") < F.col("o_orderdate"))).alias("suspicious"))
+    rows = t.lineitem.join(t.orders.where("o_orderstatus <> 'P'"), F.col("o_orderkey") == F.col("l_orderkey")).join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey"))
+    suspicious = F.col("l_shipdate").isNull() | (F.col("l_shipdate") < F.col("o_orderdate"))
+    return dimensions.build_location_audit(rows, t.nation, "s_nationkey", "n_nationkey", ["l_orderkey", "l_linenumber", "n_name"], suspicious)
 
 
 REGISTRY_SQL = """runs AS (SELECT day FROM (SELECT ts::DATE AS day, count(*) FILTER (WHERE event_type = 'error') AS bad FROM events GROUP BY 1) WHERE day(day) % 5 <> 0),
@@ -103,42 +105,33 @@ def mrt25_registry_activity(t: Tables) -> DataFrame:
 
 @query(f"""WITH {HISTORY_SQL}, a AS (SELECT user_id % 3 AS grp, day, count(DISTINCT user_id) AS n FROM history WHERE event_type = 'purchase' GROUP BY 1, 2) SELECT grp, day, n FROM a WHERE grp IN (0, 2) AND day = (SELECT max(day) FROM a) ORDER BY n DESC, grp""")
 def qry13_scoped_read(t: Tables) -> DataFrame:
-    per = history(t).where("event_type = 'purchase'").groupBy((F.col("user_id") % 3).alias("grp"), "day").agg(F.countDistinct("user_id").alias("n"))
+    per = plans.build_scoped_counts(history(t), F.col("event_type") == "purchase", F.col("user_id") % 3, "grp", "day", "user_id")
     return R.at_latest(per, "day").where(F.col("grp").isin(0, 2)).select("grp", "day", "n").orderBy(F.col("n").desc(), "grp")
 
 
 @query("""SELECT ts::DATE AS day, round(avg((event_type = 'error')::INT), 8) AS error_share, round(avg((event_type = 'error')::INT) - lag(avg((event_type = 'error')::INT)) OVER (ORDER BY ts::DATE), 8) AS change FROM events GROUP BY 1""")
 def qry14_reliability_trend(t: Tables) -> DataFrame:
-    per = product(t, "mrt37_data_reliability").select("day", "error_share")
-    rows = t.events.groupBy(F.col("ts").cast("date").alias("day")).agg(safe_divide(F.count_if(F.col("event_type") == "error"), F.count("*")).alias("s"))
-    trend = rows.select("day", F.round(F.col("s") - F.lag("s").over(Window.orderBy("day")), 8).alias("change"))  # one row per run
-    return per.join(trend, "day")
+    return plans.build_reliability_trend(t.events, F.col("ts").cast("date"), "day", F.col("event_type") == "error", "error_share")
 
 
 @query(f"""WITH {HISTORY_SQL} SELECT user_id, day, event_type, CASE WHEN entered THEN 'entered' WHEN "left" THEN 'left' WHEN event_type = 'purchase' THEN 'active' END AS metric, previous_date FROM history WHERE (entered OR "left" OR event_type = 'purchase') AND day >= (SELECT max(day) - 7 FROM history)""")
 def qry16_audit_observations(t: Tables) -> DataFrame:
-    rows = history(t)
-    newest = F.broadcast(rows.agg(F.date_sub(F.max("day"), 7).alias("since")))  # one row
-    metric = F.when(F.col("entered"), "entered").when(F.col("left"), "left").when(F.col("event_type") == "purchase", "active")
-    return rows.crossJoin(newest).where("day >= since").withColumn("metric", metric).where("metric is not null").select("user_id", "day", "event_type", "metric", "previous_date")
+    metrics = {"entered": F.col("entered"), "left": F.col("left"), "active": F.col("event_type") == "purchase"}
+    return plans.build_audit_observations(history(t), "day", 7, metrics, ["user_id", "day", "event_type", "metric", "previous_date"])
 
 
 @query("""SELECT node, area, per_100k AS shown, 'per_100k' AS unit FROM (SELECT c_nationkey AS area, o_orderpriority AS node, round(count(DISTINCT o_orderkey)::DOUBLE / p.population * 100000, 4) AS per_100k FROM orders JOIN customer ON c_custkey = o_custkey JOIN (SELECT c_nationkey AS k, count(*) AS population FROM customer GROUP BY 1) p ON p.k = c_nationkey GROUP BY 1, 2, p.population) WHERE area NOT IN (SELECT s_nationkey FROM supplier GROUP BY 1 HAVING count(*) >= 4)
 UNION ALL SELECT o_orderpriority, c_nationkey, round(count(DISTINCT o_orderkey)::DOUBLE / s.cases * 1000, 4), 'per_1k_cases' FROM orders JOIN customer ON c_custkey = o_custkey JOIN (SELECT s_nationkey AS k, count(*) AS cases FROM supplier GROUP BY 1 HAVING count(*) >= 4) s ON s.k = c_nationkey GROUP BY 1, 2, s.cases""")
 def qry19_rate_view(t: Tables) -> DataFrame:
-    rates = product(t, "mrt30_access_rates")
-    known = F.col("denominator_available")
-    return rates.select("node", "area", F.when(known, F.col("per_1k_cases")).otherwise(F.col("per_100k")).alias("shown"), F.when(known, "per_1k_cases").otherwise("per_100k").alias("unit"))
+    return plans.build_rate_view(product(t, "mrt30_access_rates"), ["node", "area"], F.col("denominator_available"), "per_1k_cases", "per_100k")
 
 
 @query("""WITH d AS (SELECT c_nationkey AS region, o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'status' WHEN c_acctbal < 0 THEN 'balance' ELSE 'included' END AS category FROM orders JOIN customer ON c_custkey = o_custkey)
 SELECT region, category, count(*) AS n, min(o_orderkey) AS sample_key, sum(count(*)) OVER (PARTITION BY region)::BIGINT AS region_total FROM d GROUP BY 1, 2""")
 def qry22_national_case_study(t: Tables) -> DataFrame:
-    """The audit of every region in one pass, with one sample record per category (the least key) and a total to reconcile."""
     rows = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey"))
     category = F.when(F.col("o_orderstatus") == "P", "status").when(F.col("c_acctbal") < 0, "balance").otherwise("included")
-    per = rows.groupBy(F.col("c_nationkey").alias("region"), category.alias("category")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("sample_key"))
-    return per.withColumn("region_total", F.sum("n").over(Window.partitionBy("region")))
+    return plans.build_case_study(rows, F.col("c_nationkey"), "region", category, "o_orderkey")
 
 
 @query("""SELECT (SELECT max(ts)::DATE FROM events) AS latest_run, (SELECT count(*) FROM orders) AS orders, (SELECT count(*) FROM lineitem) AS lines, (SELECT count(*) FROM customer) > 0 AND (SELECT count(*) FROM lineitem WHERE l_orderkey IS NULL) = 0 AS all_passed""")

@@ -136,10 +136,10 @@ def flt13_14_source_hash(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", F.sha2(F.concat_ws("|", "c_custkey", "c_name", "c_mktsegment"), 256).alias("source_hash"), F.lit(None).cast("string").alias("taxonomy"))
 
 
-@query("""WITH k AS (SELECT nullif(left(text, 12), '') AS k, md5(text) AS h FROM documents), p AS (SELECT k, count(*) AS n, count(DISTINCT h) AS h FROM k GROUP BY 1)
+@query("""WITH k AS (SELECT nullif(url, '') AS k, md5(html) AS h FROM pages), p AS (SELECT k, count(*) AS n, count(DISTINCT h) AS h FROM k GROUP BY 1)
 SELECT sum(n)::BIGINT AS n_records, coalesce(sum(n) FILTER (WHERE k IS NULL), 0)::BIGINT AS n_missing, coalesce(sum(n - 1) FILTER (WHERE k IS NOT NULL), 0)::BIGINT AS n_duplicates, count(*) FILTER (WHERE k IS NOT NULL AND h > 1) AS n_conflicts FROM p""")
 def flt15_dedup_stats(t: Tables) -> DataFrame:
-    keyed = t.documents.select(F.nullif(F.left("text", F.lit(12)), F.lit("")).alias("k"), F.md5("text").alias("h"))
+    keyed = t.pages.select(F.nullif(F.col("url"), F.lit("")).alias("k"), F.md5("html").alias("h"))
     return pages.dedup_stats(keyed, "k", "h")
 
 
@@ -177,9 +177,10 @@ def stg6_classified_map_join(t: Tables) -> DataFrame:
     return per.crossJoin(F.broadcast(total)).select("label", "cat", "unmapped", "ambiguous", "n", F.round(F.col("n") / F.col("total"), 8).alias("share"))
 
 
-@query("SELECT NULL::VARCHAR AS nct_id, NULL::VARCHAR AS contact_name WHERE false")
+@query("SELECT event_id::VARCHAR AS nct_id, json_extract_string(props, '$.contactName') AS contact_name FROM events WHERE json_extract_string(props, '$.contactName') IS NOT NULL")
 def stg7_empty_contacts(t: Tables) -> DataFrame:
-    return t.customer.where("false").select(F.lit(None).cast("string").alias("nct_id"), F.lit(None).cast("string").alias("contact_name"))
+    """Contacts left in the records after their removal: the relation is there, and empty as long as the removal holds."""
+    return t.events.select(F.col("event_id").cast("string").alias("nct_id"), F.get_json_object("props", "$.contactName").alias("contact_name")).where("contact_name IS NOT NULL")
 
 
 _MARKED = r"CASE WHEN page_id % 3 = 0 THEN 'Inclusion Criteria:' || chr(10) || '- ' || url || chr(10) || 'Exclusion Criteria' || chr(10) || '1. ' || html ELSE html END"
