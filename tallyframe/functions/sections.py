@@ -5,14 +5,52 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Heading patterns by kind, tried in this order on a trimmed line.
-HEADINGS = (
-    ("exclusion", r"(?i)^(?:key |main |general )?(?:exclusion criteria|exclusions?|non-?inclusion criteria)\s*:?$"),
-    ("inclusion", r"(?i)^(?:key |main |general )?(?:inclusion criteria|inclusions?|eligibility criteria)\s*:?$"),
-    ("exclusion", r"(?i)^(?:participants?|patients?|subjects?) (?:will be excluded|must not|may not|are not eligible)\b.*:$"),
-    ("inclusion", r"(?i)^(?:participants?|patients?|subjects?) (?:must|should|will be included|are eligible)\b.*:$"),
-)
-BULLET = r"^\s*(?:[-*•·]|\d{1,2}[.)]|[a-z][.)])\s+"
+# Marks that open an item, words that make a line a criterion and no heading, qualifiers of a heading, its key words.
+BULLET = r"^\s*(?:[-*•·‣◦–—]|\(?\d{1,3}[.)]|\(\d{1,3}\)|[a-z][.)])\s+"
+LEADS = ("no", "none", "not", "any", "meet", "meets", "fail", "fails", "prior", "previous", "note", "without")
+QUALIFIERS = (
+    "key", "main", "general", "other", "additional", "specific", "primary", "secondary", "core", "clinical", "angiographic", "ocular", "healthy", "common", "patient", "participant", "cohort",
+    r"part \w+",
+)
+KEYWORDS = (("exclusion", r"(?:non[-\s]*inclusions?|exclusions?)"), ("inclusion", r"(?:inclusions?|eligibility)"))
+_AFTER = r"(?:\s*\([^)\n]{0,60}\))?\**\s*"
+_STARS = r"\**\s*"
+_NO_LEAD = rf"(?!{_STARS}(?:{'|'.join(LEADS)})\b)"
+
+
+def _patterns() -> list[tuple[str, str]]:
+    """Kind and pattern of a heading, in the order tried on a trimmed line."""
+    out = []
+    for kind, word in KEYWORDS:
+        phase = rf"(?:[A-Za-z][^:：\n]{{0,40}}[:：]\s*)?{_NO_LEAD}"
+        # a line of its own: a word before the key word, a tail of "for ..." or in brackets, or a short one that ends in a colon
+        tail = rf"(?:\s+for\b[^.!?,;:：\n]{{0,50}})?{_AFTER}"
+        out.append((kind, rf"(?i)^{_STARS}{phase}(?:[A-Za-z][\w-]{{0,14}}\s+)?{_STARS}\b{word}(?:\s+criteria)?{tail}(?:(?:[,;-]?\s*[^.!?:：\n]{{0,80}})?[:：]\**)?\s*$"))
+        # behind a bullet only with a known qualifier, and with "criteria" or a colon
+        known = rf"{BULLET}{_STARS}{phase}(?:(?:{'|'.join(QUALIFIERS)})\s+)?{_STARS}{word}"
+        out.append((kind, rf"(?i){known}(?:\s+criteria{_AFTER}[:：]?|{_AFTER}[:：])\s*\**\s*$"))
+    people = r"(?:participants?|patients?|subjects?)"
+    out.append(("exclusion", rf"(?i)^{people} (?:will be excluded|must not|may not|are not eligible)\b.*:$"))
+    out.append(("inclusion", rf"(?i)^{people} (?:must|should|will be included|are eligible)\b.*:$"))
+    # what may be a heading of exclusions, but isn't plainly one: what follows belongs to no list for sure
+    uncertain = rf"(?:non[-\s]*inclusions?|exclusions?)\s+criteri(?:a|on)\b"
+    negated = r"(?<!\b(?:no|not|any|nor|see|per|meets?|meeting|met|without|other|of)\s)"
+    out.append(("unclassified", rf"(?i)^{_STARS}(?:[A-Za-z][\w-]{{0,14}}\s+)?{negated}{uncertain}\s*\**\s*\S.*$"))
+    out.append(("unclassified", rf"(?i)^(?!.*\b(?:no|not|any|without)\b).*{uncertain}\s*\**\s*[:：]?\s*$"))
+    out.append(("unclassified", r"(?i)^criteria\s+for\s+(?:the\s+)?(?:non[-\s]*inclusions?|exclusions?)\b[^.!?:：\n]{0,60}[:：]?\s*$"))
+    return out
+
+
+HEADINGS = tuple(_patterns())
+_PHRASE = rf"(?:non[-\s]*inclusions?|inclusions?|exclusions?)"
+#: A heading behind the end of a sentence on one line, and one that its first criterion follows on the same line.
+MIDLINE = rf"(?i)([.;:：)])[ \t]+(\**[ \t]*{_PHRASE}\s+criteria{_AFTER}[:：])"
+INLINE = rf"(?im)^([ \t]*(?:(?:[-*•·‣◦–—]|\(?\d{{1,3}}[.)])[ \t]+)?\**[ \t]*{_PHRASE}(?:[ \t]+criteria)?(?:[ \t]*\([^)\n]{{0,60}}\))?\**[ \t]*[:：])[ \t]*(?=[^\s*])"
+
+
+def laid_out(text: Column) -> Column:
+    """The text with every heading on a line of its own: blanks around those within a line become line feeds, no word changes."""
+    return F.regexp_replace(F.regexp_replace(text, MIDLINE, "$1\n$2"), INLINE, "$1\n")
 
 
 def line_kind(line: Column) -> Column:
@@ -21,14 +59,15 @@ def line_kind(line: Column) -> Column:
     for kind, pattern in HEADINGS:
         hit = F.trim(line).rlike(pattern)
         out = F.when(hit, kind) if out is None else out.when(hit, kind)
-    return out
+    return F.when(F.length(F.trim(line)) <= 300, out)
 
 
 def split_sections(text: Column) -> Column:
     """array<struct<kind, heading, items>>: items are the lines that follow, verbatim, up to the next heading.
 
-    Lines before the first heading, and all lines of a text without one, are ``unclassified``. Nothing is lost: headings
-    and items in order are the text's lines.
+    Lines before the first heading, all lines of a text without one, and those after a line that may be a heading of
+    exclusions but isn't plainly one, are ``unclassified``. Nothing is lost: headings and items in order are the text's lines.
+    Use ``laid_out`` first where headings may stand within a line.
     """
     start = F.array(F.struct(F.lit("unclassified").alias("kind"), F.lit(None).cast("string").alias("heading"), F.array().cast("array<string>").alias("items")))
 

@@ -110,3 +110,23 @@ def test_sections_lose_nothing(spark):
     got = {r["id"]: (r["s"], r["back"]) for r in row.withColumn("back", sections.rebuilt(F.col("s"))).collect()}
     assert [s["kind"] for s in got[1][0]] == ["unclassified", "inclusion", "exclusion", "exclusion"] and got[1][1] == criteria
     assert got[2][1] == "" and got[3][0][0]["kind"] == "unclassified" and got[4][1] is None
+
+
+def test_headings_within_lines_behind_bullets_and_uncertain_ones(spark):
+    # text -> kinds of the sections, and how many items each has
+    cases = {
+        "Inclusion Criteria: adults over 18\nno fever": [("inclusion", 2)],
+        "Adults with consent. Exclusion Criteria: pregnancy\n- smokers": [("unclassified", 1), ("exclusion", 2)],
+        "* INCLUSION CRITERIA\n- a\n* Exclusion Criteria:\n- b\n- c": [("inclusion", 1), ("exclusion", 2)],
+        "Key Inclusion Criteria:\n* No exclusion criteria\n* Meets inclusion criteria of part A": [("inclusion", 2)],
+        "Extension Phase: Inclusion Criteria\na\nNon-inclusion criteria\nb": [("inclusion", 1), ("exclusion", 1)],
+        "Inclusion Criteria (Part 1):\na\nCriteria for exclusion from the study were as follows:\nb": [("inclusion", 1), ("unclassified", 1)],
+        "Inclusion Criteria\na\nGeneral Exclusion Criteria 2. History of disease\nb": [("inclusion", 1), ("unclassified", 1)],
+        "**Inclusion Criteria:**\na\n**Exclusion Criteria**\nb": [("inclusion", 1), ("exclusion", 1)],
+        "dose of 1.5 mg; inclusion: allowed\nsecond": [("unclassified", 2)],
+    }
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(cases)], "k int, t string").withColumn("l", sections.laid_out(F.col("t")))
+    got = {r["t"]: r for r in rows.withColumn("s", sections.split_sections(F.col("l"))).withColumn("back", sections.rebuilt(F.col("s"))).collect()}
+    for t, want in cases.items():
+        assert [(s["kind"], len(s["items"])) for s in got[t]["s"]] == want, (t, got[t]["s"])
+        assert got[t]["back"].split() == t.split()
