@@ -18,21 +18,31 @@ from tallyframe.llm import byte_cnn, mixing, near_dup, packing, pii
 from tallyframe.llm.base import shared_dir, table
 from tallyframe.llm.queries import vocabulary
 
-#: Words the packing stage's workers keep; fewer than by default, as they are those of the stages before and hold what these stored.
-KEPT_WORDS = 200_000
+#: Rows of whole texts that a Python worker gets at once, where the session has Spark's default of 10,000: stages share their
+#: workers and their executors' memory.
+BATCH = "1000"
+ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _small_batches(spark: SparkSession) -> None:
+    if spark.conf.get(ROWS, "10000") == "10000":
+        spark.conf.set(ROWS, BATCH)
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return byte_cnn.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return near_dup.keep_first(docs)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return pii.redact(docs)
 
 
@@ -41,7 +51,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), added=True, kept=KEPT_WORDS)
+    _small_batches(spark)
+    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), added=True, lean=True)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -27,7 +27,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from .base import cut
-from .tokens import KEPT, encoder
+from .tokens import KEPT, SLICE, encoder
 
 CAPACITY = 1024
 END_ID = 2
@@ -45,30 +45,37 @@ PIECES = StructType(
 )
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, added: bool = False, kept: int = KEPT) -> DataFrame:
-    """One row per piece of every document: where it starts in the document's ids, its length and checksum."""
+def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, added: bool = False, lean: bool = False) -> DataFrame:
+    """One row per piece of every document: where it starts in the document's ids, its length and checksum.
+
+    lean: workers take half as much text at once, keep half as many words, and none from one task to the next.
+    """
     schema = to_arrow_schema(PIECES)
+    kept, size = (KEPT // 2, SLICE // 2) if lean else (KEPT, SLICE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(vocabulary, True, kept, size, added)
         for batch in batches:
             done = 0
-            for ids, ends in encoder(vocabulary, True, kept, added=added).batches(batch.column(1)):  # a slice at a time, to hold few ids at once
+            for ids, ends in own.batches(batch.column(1)):  # a slice at a time, to hold few ids at once
                 whole = memoryview(np.insert(ids, ends[1:], END_ID).astype("<u4", copy=False)).cast("B")
                 ends = ends + np.arange(len(ends))
-                size = np.diff(ends)
-                number = -(-size // capacity)
-                doc = np.repeat(np.arange(len(size)), number)
+                length_of = np.diff(ends)
+                number = -(-length_of // capacity)
+                doc = np.repeat(np.arange(len(length_of)), number)
                 piece = np.arange(len(doc)) - np.repeat(np.cumsum(number) - number, number)
-                first = size - (number - 1) * capacity  # what is over after full pieces
+                first = length_of - (number - 1) * capacity  # what is over after full pieces
                 start = np.where(piece > 0, first[doc] + (piece - 1) * capacity, 0)
                 length = np.where(piece > 0, capacity, first[doc])
                 begin = (4 * (ends[doc] + start)).tolist()
                 crc = [zlib.crc32(whole[a : a + n]) for a, n in zip(begin, (4 * length).tolist(), strict=True)]
                 keys = batch.column(0).take(pa.array(done + doc))
-                done += len(size)
+                done += len(length_of)
                 columns = [keys, *(pa.array(c, f.type) for c, f in zip((piece.astype(np.int32), start, length, crc), list(schema)[1:], strict=True))]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
             pa.default_memory_pool().release_unused()
+        if lean:
+            own.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 
@@ -220,6 +227,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
     return dealt.groupBy("bin_group").applyInPandas(run, schema).unionByName(whole)
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, added: bool = False, kept: int = KEPT) -> DataFrame:
-    """added: whether strings of added tokens in a text give these tokens' ids, as the library does by default. kept: words a worker keeps."""
-    return pack(cut(token_pieces(docs, vocabulary, capacity, added, kept), "pieces"), capacity)
+def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, added: bool = False, lean: bool = False) -> DataFrame:
+    """added: whether strings of added tokens in a text give these tokens' ids, as the library does by default. lean: as in ``token_pieces``."""
+    return pack(cut(token_pieces(docs, vocabulary, capacity, added, lean), "pieces"), capacity)

@@ -181,6 +181,10 @@ class Encoder:
             self.words.keep(list(own), np.fromiter(own.values(), np.int64, len(own)))
         return ids, ends
 
+    def forget(self) -> None:
+        """Keep no words."""
+        self.words.keep([], np.zeros(0, np.int64))
+
     def batches(self, texts: pa.Array):
         """For slices of the texts (null: empty): the ids of all of them, and where each text's ids begin and end."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
