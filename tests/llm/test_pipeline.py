@@ -5,7 +5,7 @@ from __future__ import annotations
 import zlib
 
 import corpus_pipeline
-from helpers import frame, prose
+from helpers import frame, hard_rows, prose
 
 from tallyframe.llm import queries
 
@@ -36,6 +36,35 @@ def test_stages(spark, tmp_path):
     assert sum(r["length"] for r in packed if r["piece"] == 0) > 0
 
 
+def through(spark, docs, labels, folder):
+    """The rows of each stage; all but the last must keep the columns of ``docs``."""
+    labels.write.parquet(f"{folder}/labels.parquet")
+    columns, seen = docs.columns, []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(folder))
+        out.write.parquet(f"{folder}/{k}")
+        assert out.columns == columns or k == len(corpus_pipeline.STAGES) - 1
+        docs = spark.read.schema(out.schema).parquet(f"{folder}/{k}")
+        seen.append(docs.collect())
+    return seen
+
+
+def test_stages_without_documents(spark, tmp_path):
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert through(spark, frame(spark, hard_rows()).limit(0), labels, tmp_path) == [[]] * 5
+
+
+def test_stages_on_hard_rows_and_clashing_columns_without_labels(spark, tmp_path):
+    clashing = "gone_id mix times threshold label set_key piece hash taken component_id".split()
+    docs = frame(spark, hard_rows()).selectExpr("*", *(f"doc_id AS {c}" for c in clashing))
+    good, first, masked, mixed, packed = through(spark, docs, spark.createDataFrame([], "doc_id long, quality int"), tmp_path)
+    # nothing to learn from: every score is 0.5, so all stay; of 1 and 2, and of the two rows of 7, see keep_first
+    assert len(good) == len(hard_rows()) and 2 not in {r["doc_id"] for r in first} and {r["doc_id"] for r in good} - {r["doc_id"] for r in first} == {2}
+    assert all(r["gone_id"] == r["doc_id"] and r["mix"] == r["doc_id"] for r in mixed)
+    assert not any("a.b@c.example.org" in (r["text"] or "") for r in masked) and sorted(r["doc_id"] or 0 for r in masked) == sorted(r["doc_id"] or 0 for r in first)
+    assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in mixed} and all(0 < r["length"] <= 1024 for r in packed)
+
+
 def test_every_operator_is_registered():
     from __spark_entry__ import queries as every
 
