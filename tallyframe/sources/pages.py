@@ -84,6 +84,19 @@ def first_per_key(rows: DataFrame, key: str, content_hash: str, order: Sequence[
     return picked.select(*known.columns)
 
 
+def repeated_keys(rows: DataFrame, key: str, content_hash: str, order: Sequence[str]) -> DataFrame:
+    """Keys of more than one row with the place of their first, as a struct ``_first``; different contents stop the job."""
+    per = rows.groupBy(key).agg(F.count("*").alias("_n"), F.min(F.struct(*order)).alias("_first"), F.min(content_hash).alias("_low"), F.max(content_hash).alias("_high")).where("_n > 1")
+    clash = F.when(F.col("_low") != F.col("_high"), F.raise_error(F.concat(F.lit("records differ for "), F.col(key).cast("string"))))
+    return per.withColumn("_ok", clash).where(F.col("_ok").isNull()).select(key, "_first")
+
+
+def without_later(rows: DataFrame, repeated: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """``rows`` less those after the first of ``repeated``, a written table: few keys repeat, so Catalyst may broadcast it by its size."""
+    joined = rows.join(repeated, key, "left")
+    return joined.where(F.col("_first").isNull() | (F.struct(*order) == F.col("_first"))).select(*rows.columns)
+
+
 def dedup_stats(rows: DataFrame, key: str, content_hash: str) -> DataFrame:
     """One row: records, without key, duplicates of the same content, keys whose contents differ."""
     per = rows.groupBy(key).agg(F.count("*").alias("n"), F.countDistinct(content_hash).alias("h"))

@@ -2,7 +2,7 @@
 
 A page is read with its records as raw JSON text, so that the hash of a record covers all of its fields, also those that
 no entity uses. The first record of each key is found by grouping keys, hashes and places, and records are joined to that once.
-With a ``store`` the kept records are parsed and written once, and the nine tables are projections of that table.
+With a ``store`` all records are parsed, hashed and written once, and the nine tables are projections of that table.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import joined_phases
 from ..functions.jsons import canonical_hash
 from ..functions.text import geo_scope, in_country, nested_flag, normalize_text_unicode, state_code
-from .pages import demographics, entity, first_per_key, read_pages, screen, split_quarantine, terms_once
+from .pages import demographics, entity, first_per_key, read_pages, repeated_keys, screen, split_quarantine, terms_once, without_later
 
 _DENOMS = "array<struct<units: string, counts: array<struct<groupId: string, value: string>>>>"
 _DATE = "struct<date: string, type: string>"
@@ -97,19 +97,23 @@ def flatten(
     """Nine entity tables of one run, and the quarantined records with their reason.
 
     ``run`` gives ingestion_run_id, indication_profile_id and snapshot_timestamp_utc. Of records with one id the first by
-    page and place counts; differing contents stop the job. ``store`` is a folder for the kept records, else each table reads
-    the pages anew.
+    page and place counts; differing contents stop the job. ``store`` is a folder for the parsed records and the keys that
+    repeat, else each table reads the pages anew.
     """
     with_time = records.join(sidecars, "raw_page_reference", "left") if sidecars is not None else records.withColumn("retrieved_at_utc", F.lit(None).cast("string"))
     study = F.col("r.protocolSection")
     rows = with_time.withColumn("nct_id", study["identificationModule"]["nctId"])
-    good, bad = split_quarantine(screen(rows, F.ltrim("raw").startswith("{"), F.col("nct_id"), ID_PATTERN))
-    good = first_per_key(good, "nct_id", "source_json_hash", ["raw_page_reference", "raw_study_ordinal"])
+    screened = screen(rows, F.ltrim("raw").startswith("{"), F.col("nct_id"), ID_PATTERN)
+    place = ["raw_page_reference", "raw_study_ordinal"]
+    if store:
+        kept = screened.withColumn("raw", F.when(F.col("reason").isNotNull(), F.col("raw")))  # only the quarantine shows it
+        good, bad = split_quarantine(_written(kept, f"{store}/records"))
+        good = without_later(good, _written(repeated_keys(good, "nct_id", "source_json_hash", place), f"{store}/repeated"), "nct_id", place)
+    else:
+        good, bad = split_quarantine(screened)
+        good = first_per_key(good, "nct_id", "source_json_hash", place)
     good = good.withColumns({"ingestion_run_id": F.lit(run["ingestion_run_id"]), "snapshot_id": F.lit(run["ingestion_run_id"]), "indication_profile_id": F.lit(run["indication_profile_id"])})
     base = good.select(*KEYS, "r.protocolSection", "r.derivedSection", "r.resultsSection", "r.hasResults")
-    if store:
-        base.write.mode("overwrite").parquet(f"{store}/records")
-        base = records.sparkSession.read.schema(base.schema).parquet(f"{store}/records")
     keys, at = list(KEYS), "protocolSection"
     arms, first_outcome = F.col(f"{at}.armsInterventionsModule.armGroups"), F.get(F.col(f"{at}.outcomesModule.primaryOutcomes"), F.lit(0))
     raw_phase, phase = joined_phases(F.col(f"{at}.designModule.phases"))
@@ -148,6 +152,11 @@ def flatten(
     return tables, bad.select("raw_page_reference", "raw_study_ordinal", "nct_id", "reason", "raw")
 
 
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _numbered(path: str, kind: str) -> Column:
     """A list of outcomes with its kind and each one's place in it."""
     row = lambda o, i: F.struct(F.lit(kind).alias("outcome_type"), i.cast("long").alias("outcome_index"), o["measure"].alias("outcome_measure"), o["description"].alias("outcome_description"), o["timeFrame"].alias("time_frame"))

@@ -49,6 +49,19 @@ def test_stored_records_give_the_same_tables(flat, spark, tmp_path):
         assert "page=" not in "".join(stored[name].inputFiles())
 
 
+def test_stored_quarantine_and_differing_records(spark, tmp_path):
+    pages = [[FULL, record("NCT00000002"), "text", {"protocolSection": {}}], [record("NCT1"), record("NCT00000002")], [FULL]]
+    for i, p in enumerate(pages):
+        (tmp_path / f"page=0000{i}.json").write_text(json.dumps({"studies": p}))
+    plain, stored = (studies.flatten(studies.read_records(spark, f"{tmp_path}/page=*.json"), RUN, STATES, ("usa",), store=s) for s in (None, f"{tmp_path}/work"))
+    assert sorted(map(str, plain[1].collect())) == sorted(map(str, stored[1].collect()))
+    first = [(r["nct_id"], r["raw_page_reference"], r["raw_study_ordinal"]) for r in stored[0]["trials"].collect()]
+    assert sorted(first) == [("NCT00000001", "page=00000.json", 0), ("NCT00000002", "page=00000.json", 1)]
+    (tmp_path / "page=00003.json").write_text(json.dumps({"studies": [record("NCT00000002", designModule={"studyType": "x"})]}))
+    with pytest.raises(Exception, match="records differ for NCT00000002"):
+        studies.flatten(studies.read_records(spark, f"{tmp_path}/page=*.json"), RUN, STATES, ("usa",), store=f"{tmp_path}/again")
+
+
 def test_trials_and_quarantine(flat):
     tables, bad = flat
     assert sorted((r["raw_page_reference"], r["raw_study_ordinal"], r["reason"]) for r in bad.collect()) == [("page=00000.json", 2, "NOT_AN_OBJECT"), ("page=00000.json", 3, "MISSING_ID"), ("page=00001.json", 0, "INVALID_ID_FORMAT")]
