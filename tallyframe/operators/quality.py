@@ -52,6 +52,44 @@ def nested(df: DataFrame, key: Column, *columns: str) -> DataFrame:
     return violations("nested_" + "_".join(columns), df, bad, key)
 
 
+def _at_grain(name: str, df: DataFrame, bad: Column, keys: Sequence[str]) -> DataFrame:
+    return violations(name, df, bad, F.concat_ws("|", *keys))
+
+
+def uncovered_windows(name: str, rows: DataFrame, value: str, calendar: DataFrame, entries: DataFrame, scope: Sequence[str], segment: Sequence[str], date: str, before: str, days: int, tolerance: int = 7) -> DataFrame:
+    """Rows that give ``value`` though a guard of the window of ``days`` days fails.
+
+    The guards are found anew by joins, where the product uses windows: ``calendar`` (scope, date) has the scope's snapshots,
+    ``entries`` (scope, segment, date, ``before``) the entries with the snapshot before each. Work grows with the days of a
+    scope squared, and with the entries of a window.
+    """
+    given, start = rows.where(F.col(value).isNotNull()).select(*scope, *segment, date).distinct(), F.date_sub(F.col(date), days)
+    known = given.select(*scope, date).distinct().join(calendar.select(*scope, F.col(date).alias("_at")).distinct(), list(scope)).where(F.col("_at") <= F.col(date))
+    known = known.groupBy(*scope, date).agg(
+        F.min("_at").alias("_oldest"), F.min(F.when(F.col("_at") >= start, F.col("_at"))).alias("_first"), F.max(F.when(F.col("_at") < F.col(date), F.col("_at"))).alias("_previous"),
+    )
+    inside = given.join(entries.select(*scope, *segment, F.col(date).alias("_at"), F.col(before).alias("_before")), [*scope, *segment]).where(F.col("_at").between(start, F.col(date)))
+    entrant = inside.groupBy(*scope, *segment, date).agg(F.min("_before").alias("_before"))
+    whole = given.join(known, [*scope, date], "left").join(entrant, [*scope, *segment, date], "left")
+    covered = (F.datediff(date, "_oldest") >= days) & (F.col("_first") <= F.date_add(start, tolerance)) & (F.col("_previous") >= start) & (F.col("_before").isNull() | (F.col("_before") >= start))
+    return _at_grain(name, whole, ~F.coalesce(covered, F.lit(False)), [*scope, *segment, date])
+
+
+def ungrounded_growth(name: str, rows: DataFrame, value: str, activity: DataFrame, scope: Sequence[str], segment: Sequence[str], date: str, months: int = 3, least_days: int = 90) -> DataFrame:
+    """Monthly rows that give ``value`` though their segment has no row ``months`` months back or the scope's history is too short.
+
+    Found by joins, where the product uses windows; the months of a scope meet each other.
+    """
+    given = rows.where(F.col(value).isNotNull()).select(*scope, *segment, "month").distinct()
+    seen = activity.groupBy(*scope, F.trunc(date, "month").alias("_month")).agg(F.min(date).alias("_low"), F.max(date).alias("_high"))
+    known = given.select(*scope, "month").distinct().join(seen, list(scope)).where(F.col("_month") <= F.col("month"))
+    known = known.groupBy(*scope, "month").agg(F.datediff(F.max("_high"), F.min("_low")).alias("_days"))
+    base = rows.select(*scope, *segment, F.add_months("month", months).alias("month"), F.lit(True).alias("_base")).distinct()
+    whole = given.join(known, [*scope, "month"], "left").join(base, [*scope, *segment, "month"], "left")
+    grounded = F.col("_base") & (F.col("_days") >= least_days)
+    return _at_grain(name, whole, ~F.coalesce(grounded, F.lit(False)), [*scope, *segment, "month"])
+
+
 def together(*checks: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, checks)
 

@@ -10,9 +10,9 @@ from ..functions.numbers import haversine_miles
 from ..operators import audit, quality, terms
 from ..operators import relational as R
 from ..operators.paging import keyset_page
-from ..plans import dimensions, reports
+from ..plans import dimensions, history as H, reports
 from ..registry import Tables, query
-from .products import activity
+from .products import activity, order_activity
 from .windowed import DAILY_SQL, HISTORY_SQL, daily, history
 
 
@@ -185,6 +185,36 @@ def qc6_singular_checks(t: Tables) -> DataFrame:
     return quality.together(quality.dense_ranks(ranks, "l_suppkey", "r"), quality.equal_totals("totals", one.where("o_orderstatus <> 'P'"), one, "o_custkey", "one"), quality.nested(ab, F.col("o_orderkey"), "a", "b"))
 
 
+@query(f"""WITH {HISTORY_SQL}, a AS (SELECT *, user_id % 2 AS scope, user_id % 3 AS grp, user_id % 5 AS state FROM history WHERE event_type = 'purchase'),
+c AS (SELECT scope, day, date_diff('day', min(day) OVER (PARTITION BY scope), day) AS history_days, lag(day) OVER (PARTITION BY scope ORDER BY day) AS prev,
+ first_value(day) OVER (PARTITION BY scope ORDER BY day RANGE BETWEEN INTERVAL 5 DAYS PRECEDING AND CURRENT ROW) AS f5, first_value(day) OVER (PARTITION BY scope ORDER BY day RANGE BETWEEN INTERVAL 10 DAYS PRECEDING AND CURRENT ROW) AS f10 FROM (SELECT DISTINCT user_id % 2 AS scope, day FROM history)),
+s AS (SELECT scope, grp, state, day, min(previous_date) FILTER (WHERE entered) AS pred FROM a GROUP BY 1, 2, 3, 4),
+w AS (SELECT s.*, history_days, prev, f5, f10, min(pred) OVER w5 AS e5, min(pred) OVER w10 AS e10 FROM s JOIN c USING (scope, day)
+ WINDOW w5 AS (PARTITION BY scope, grp, state ORDER BY day RANGE BETWEEN INTERVAL 5 DAYS PRECEDING AND CURRENT ROW), w10 AS (PARTITION BY scope, grp, state ORDER BY day RANGE BETWEEN INTERVAL 10 DAYS PRECEDING AND CURRENT ROW)),
+g AS (SELECT scope || '|' || grp || '|' || state || '|' || day AS item, history_days >= 5 AND f5 <= day - 5 + 2 AND prev >= day - 5 AND (e5 IS NULL OR e5 >= day - 5) AS ok5, history_days >= 10 AND f10 <= day - 10 + 2 AND prev >= day - 10 AND (e10 IS NULL OR e10 >= day - 10) AS ok10 FROM w)
+SELECT 'unknown_5d' AS "check", item FROM g WHERE NOT coalesce(ok5, false) UNION ALL SELECT 'unknown_10d', item FROM g WHERE NOT coalesce(ok10, false)""")
+def qc6_competition_guards(t: Tables) -> DataFrame:
+    """No figure of the product may be given where a guard fails (no rows), and every row at which it must be unknown."""
+    calendar, rows = history(t).select(F.pmod("user_id", F.lit(2)).alias("scope"), "day"), activity(t)
+    out = H.competition(rows, calendar, ["scope"], ["grp", "state"], "user_id", "day", "entered", "previous_date", (5, 10), 10, tolerance=2)
+    check = lambda name, value, n: quality.uncovered_windows(name, out, value, calendar, rows.where("entered"), ["scope"], ["grp", "state"], "day", "previous_date", n, 2)
+    return quality.together(*(check(*c) for c in (("given_5d", "new_5d", 5), ("given_10d", "new_10d", 10), ("given_growth", "growth_10d", 10), ("unknown_5d", "active_count", 5), ("unknown_10d", "active_count", 10))))
+
+
+@query("""WITH a AS (SELECT n_regionkey AS scope, c_nationkey AS area, o_orderpriority AS grp, o_orderdate::DATE AS day FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey),
+m AS (SELECT DISTINCT scope, area, grp, date_trunc('month', day)::DATE AS month FROM a),
+h AS (SELECT scope, month, date_diff('day', min(lo) OVER w, max(hi) OVER w) AS days FROM (SELECT scope, date_trunc('month', day)::DATE AS month, min(day) AS lo, max(day) AS hi FROM a GROUP BY 1, 2) WINDOW w AS (PARTITION BY scope ORDER BY month)),
+x AS (SELECT m.*, days, min(m.month) OVER w AS base_month FROM m JOIN h USING (scope, month) WINDOW w AS (PARTITION BY scope, area, grp ORDER BY m.month RANGE BETWEEN INTERVAL 3 MONTHS PRECEDING AND CURRENT ROW))
+SELECT 'unknown_growth' AS "check", scope || '|' || area || '|' || grp || '|' || month AS item FROM x WHERE NOT (days >= 90 AND base_month <= month - INTERVAL 3 MONTHS)""")
+def qc6_trend_guards(t: Tables) -> DataFrame:
+    """As qc6_competition_guards, for the growth of monthly trends."""
+    rows = order_activity(t)
+    population = t.customer.groupBy(F.col("c_nationkey").alias("area")).agg(F.count("*").alias("population"))
+    out = H.monthly_trends(rows, ["scope"], ["area", "grp"], "o_orderkey", "day", population)
+    check = lambda name, value: quality.ungrounded_growth(name, out, value, rows, ["scope"], ["area", "grp"], "day")
+    return quality.together(check("given_growth", "growth"), check("unknown_growth", "n"))
+
+
 @query("""SELECT 'orders have lines' AS "check", (SELECT count(*) FROM orders) AS expected, (SELECT count(DISTINCT l_orderkey) FROM lineitem) AS actual, (SELECT count(*) FROM orders) = (SELECT count(DISTINCT l_orderkey) FROM lineitem) AS passed
 UNION ALL SELECT 'line keys', (SELECT count(*) FROM lineitem), (SELECT count(*) FROM lineitem WHERE l_orderkey IS NOT NULL), true""")
 def qc1_2_reconciliation(t: Tables) -> DataFrame:

@@ -125,14 +125,19 @@ def mrt26_recruiting_competition(t: Tables) -> DataFrame:
     return out.withColumn("growth_10d", F.round("growth_10d", 8)).withColumn("density_percentile", F.round("density_percentile", 8)).withColumn("history_days", F.col("history_days").cast("long"))
 
 
+def order_activity(t: Tables) -> DataFrame:
+    """Orders by region, nation and priority."""
+    rows = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey")).join(t.nation, F.col("n_nationkey") == F.col("c_nationkey"))
+    return rows.select(F.col("n_regionkey").alias("scope"), F.col("c_nationkey").alias("area"), F.col("o_orderpriority").alias("grp"), "o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
+
+
 @query("""WITH a AS (SELECT n_regionkey AS scope, c_nationkey AS area, o_orderpriority AS grp, o_orderkey, o_orderdate::DATE AS day FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey),
 m AS (SELECT scope, area, grp, date_trunc('month', day)::DATE AS month, count(DISTINCT o_orderkey) AS n FROM a GROUP BY 1, 2, 3, 4), p AS (SELECT c_nationkey AS area, count(*) AS population FROM customer GROUP BY 1),
 h AS (SELECT scope, month, date_diff('day', min(lo) OVER w, max(hi) OVER w) AS days FROM (SELECT scope, date_trunc('month', day)::DATE AS month, min(day) AS lo, max(day) AS hi FROM a GROUP BY 1, 2) WINDOW w AS (PARTITION BY scope ORDER BY month)),
 x AS (SELECT m.*, days, avg(n) OVER w AS ta, first_value(n) OVER w AS base, min(m.month) OVER w AS base_month FROM m JOIN h USING (scope, month) WINDOW w AS (PARTITION BY scope, area, grp ORDER BY m.month RANGE BETWEEN INTERVAL 3 MONTHS PRECEDING AND CURRENT ROW))
 SELECT scope, area, grp, month, n, round(ta, 6) AS trailing_avg, round(CASE WHEN days >= 90 AND base_month <= month - INTERVAL 3 MONTHS THEN (n - base)::DOUBLE / base END, 8) AS growth, round(n::DOUBLE / population * 100000, 4) AS per_100k FROM x LEFT JOIN p USING (area)""")
 def mrt28_condition_trends(t: Tables) -> DataFrame:
-    rows = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey")).join(t.nation, F.col("n_nationkey") == F.col("c_nationkey"))
-    rows = rows.select(F.col("n_regionkey").alias("scope"), F.col("c_nationkey").alias("area"), F.col("o_orderpriority").alias("grp"), "o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
+    rows = order_activity(t)
     population = t.customer.groupBy(F.col("c_nationkey").alias("area")).agg(F.count("*").alias("population"))
     out = H.monthly_trends(rows, ["scope"], ["area", "grp"], "o_orderkey", "day", population)
     return out.withColumn("trailing_avg", F.round("trailing_avg", 6)).withColumn("growth", F.round("growth", 8))

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallyframe.functions.numbers import haversine_miles
-from tallyframe.operators import relational as R
+from tallyframe.operators import quality, relational as R
 from tallyframe.operators import windows as W
 from tallyframe.operators.paging import keyset_page
 from tallyframe.plans import history as H
@@ -111,3 +111,25 @@ def test_pairs_leave_out_common_tokens(spark):
     df = spark.createDataFrame([(i, "hot") for i in range(10)] + [(1, "t"), (2, "t"), (3, None), (4, None)], "k long, tok string")
     pairs = R.pairs_by_token(df, "k", "tok", 5)
     assert {tuple(r) for r in pairs.collect()} == {(1, 2)} and {tuple(r) for r in R.mirrored(pairs).collect()} == {(1, 2), (2, 1)}
+
+
+def test_guard_checks_name_rows_given_without_cover(spark):
+    days = spark.createDataFrame([("s", day(n)) for n in (0, 5, 10)], "scope string, day date")
+    entries = spark.createDataFrame([("s", "g", day(5), day(0)), ("s", "h", day(10), day(-3))], "scope string, grp string, day date, before date")
+    rows = spark.createDataFrame([("s", g, day(n), v) for g, n, v in (("g", 5, 1), ("g", 10, 1), ("h", 10, 1), ("g", 0, 1), ("h", 0, None))], "scope string, grp string, day date, n int")
+    check = lambda n: sorted(r["item"] for r in quality.uncovered_windows("x", rows, "n", days, entries, ["scope"], ["grp"], "day", "before", n, 2).collect())
+    # at 10 the entry of h comes from before the window; at day 0 there is no history
+    assert check(10) == sorted([f"s|g|{day(0)}", f"s|g|{day(5)}", f"s|h|{day(10)}"])
+    # the window of day 10 holds the entry of g at day 5, whose snapshot before is out of it
+    assert check(5) == sorted([f"s|g|{day(0)}", f"s|g|{day(10)}", f"s|h|{day(10)}"])
+
+
+def test_growth_without_its_base_month_is_named(spark):
+    from datetime import date
+
+    months = [date(2025, m, 1) for m in (1, 2, 4, 5, 6)]
+    rows = spark.createDataFrame([("s", "g", m, 1.0) for m in months], "scope string, grp string, month date, growth double")
+    seen = spark.createDataFrame([("s", m) for m in months], "scope string, day date")
+    named = {r["item"][-10:] for r in quality.ungrounded_growth("x", rows, "growth", seen, ["scope"], ["grp"], "day").collect()}
+    # only April (January, 90 days) and May (February) have a base; June would need March
+    assert named == {"2025-01-01", "2025-02-01", "2025-06-01"}
