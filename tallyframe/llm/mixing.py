@@ -82,7 +82,9 @@ def plan(slim: DataFrame) -> DataFrame:
         )
         state = cut(found, "mix-bounds")
     takes_last = F.col("below") + F.col("n") - F.col("budget") < F.col("budget") - F.col("below")
-    return state.select("source", "source_size", "target", "times", F.col("prefix").alias("threshold"), F.coalesce(takes_last, F.lit(False)).alias("takes_last"))
+    # without a budget nothing is taken once more, documents of size 0 neither
+    threshold = F.when(F.col("budget") > 0, F.col("prefix"))
+    return state.select("source", "source_size", "target", "times", threshold.alias("threshold"), F.coalesce(takes_last, F.lit(False)).alias("takes_last"))
 
 
 def _small(chosen: DataFrame) -> DataFrame:

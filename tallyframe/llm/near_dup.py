@@ -250,11 +250,29 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return known.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _number() -> Column:
+    """doc_id, or for a row without one a number above 2**62 that its text gives."""
+    return F.coalesce(F.col("doc_id"), F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(1 << 62)))
+
+
 def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One document of each group, the one of least doc_id, with all its columns; rows with null doc_id stay."""
-    gone = fresh_name("gone_id", docs.columns)
-    lost = near_duplicates(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(cut(lost, "duplicates"), F.col("doc_id") == F.col(gone), "left_anti")
+    """One document of each group, the one of least doc_id, with all its columns.
+
+    A row with null doc_id takes part under a number that its text's hash gives, above 2**62, so copies of it go too. Of rows that
+    share a doc_id (or have none) and a text one stays, blank texts included. Rows of one doc_id with different texts are one
+    document and stay or go together.
+    """
+    number, copied = (fresh_name(c, docs.columns) for c in ("number", "copied"))
+    named = docs.select(_number().alias("doc_id"), "text")
+    lost = near_duplicates(named, percent).where(~F.col("kept")).select(F.col("doc_id").alias(number)).distinct()
+    kept = docs.join(cut(lost, "duplicates"), _number() == F.col(number), "left_anti")
+    # rows that are there more than once are rare, so only they are dealt by their key; one row of each is combined before the shuffle
+    twice = docs.groupBy(_number().alias(number), F.xxhash64("text").alias(copied)).agg(F.count("*").alias("n")).where("n > 1").select(number).distinct()
+    twice = cut(twice, "repeated-rows")
+    if twice.isEmpty():
+        return kept
+    one = kept.join(twice, _number() == F.col(number), "left_semi").withColumn(number, _number()).dropDuplicates([number, "text"]).drop(number)
+    return kept.join(twice, _number() == F.col(number), "left_anti").unionByName(one)
 
 
 #: All pairs that share a shingle, for DuckDB on small tables.

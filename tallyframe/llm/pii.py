@@ -90,7 +90,7 @@ def base_spans(text: str) -> list[Span]:
     out: list[Span] = [(0, a, b) for a, b in emails(text)] if "@" in text else []
     if not any(d in text for d in "0123456789"):
         return out
-    out += [(1, m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    out += [(1, m.start(), m.end()) for m in _IP.finditer(text) if all(len(p) <= 3 and int(p or 0) <= 255 for p in (part.lstrip("0") for part in m[0].split(".")))]
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
         if 16 <= len(digits) <= 19 and luhn(digits):

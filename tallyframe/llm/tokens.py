@@ -36,6 +36,8 @@ _UNEVEN = rf"{_BLANK}{{2}}|\A{_BLANK}|{_BLANK}\z|{_START}"
 _BEFORE_SPACE = re.compile(r"(?= \S)")
 #: The first UTF-8 byte of characters that are no Latin letters of the first blocks.
 _NOT_LATIN = 0xC9
+#: Letters of these blocks whose lower case is more than letters (a letter and a mark): a word that ends so takes signs in.
+_NOT_LETTERS_BELOW = [c for c in map(chr, range(0x250)) if c.isalpha() and not c.lower().isalpha()]
 
 
 def _large(text: str) -> pa.Scalar:
@@ -69,13 +71,15 @@ def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data and data.size else np.zeros(0, np.uint8), offsets
 
 
-def _head_and_tail(parts: pa.Array) -> tuple[pa.Array, pa.Array]:
+def _head_and_tail(parts: pa.Array, spaces: bool) -> tuple[pa.Array, pa.Array]:
     """Parts of Latin letters without the punctuation at their ends, and that; other parts are whole and have no tail."""
     core = pc.utf8_rtrim(parts, characters=string.punctuation)
     data, offsets = _bytes_of(core)
     letters = pc.utf8_is_alpha(core).to_numpy(zero_copy_only=False)
     some = np.flatnonzero(offsets[1:] > offsets[:-1])
     letters[some] &= np.maximum.reduceat(data, offsets[some]) < _NOT_LATIN if len(some) else True
+    for odd in () if spaces else _NOT_LETTERS_BELOW:
+        letters &= ~pc.match_substring(core, odd).to_numpy(zero_copy_only=False)
     size = np.diff(offsets)
     data, offsets = _bytes_of(parts)
     cut = np.where(letters, np.diff(offsets) - size, 0)
@@ -159,7 +163,7 @@ class Encoder:
         if self.spaces:
             bare = pc.or_(pc.starts_with(parts, _START), pc.equal(parts, _large("\n")))
             parts = pc.utf8_ltrim(parts, characters=_START)
-        head, tail = _head_and_tail(parts)
+        head, tail = _head_and_tail(parts, self.spaces)
         if self.spaces:
             head = pc.binary_join_element_wise(pc.if_else(bare, _large(""), _large(" ")), head, _large(""))
         heads, tails = head.dictionary_encode(), tail.dictionary_encode()

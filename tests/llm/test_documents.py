@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from helpers import frame, hard_rows, prose
@@ -163,6 +164,18 @@ def test_pii_repeated_numbers_that_fail_their_checksum_are_no_cards():
         assert base == spans == [], (number, spans)
 
 
+@pytest.mark.parametrize("place", range(4))
+def test_pii_very_long_digits(spark, place):
+    parts = ["1", "2", "3", "4"]
+    parts[place] = "0" * 5000 + parts[place]
+    long, empty = ".".join(parts), ".".join("0" * 5000 if i == place else p for i, p in enumerate(parts))
+    assert pii.base_spans(long) == [(1, 0, len(long))] and pii.base_spans(empty) == [(1, 0, len(empty))]
+    assert pii.base_spans(long.replace("0" * 5000, "9" * 5000)) == []
+    rows = [(1, f"from {long} to", "a"), (2, f"{'9' * 5000}.1.1.1 and +{'1' * 6000}", "a")]
+    assert [r["n_ip"] for r in sorted(pii.scan(frame(spark, rows)).collect(), key=KEY)] == [1, 0]
+    assert {r["text"] for r in pii.redact(frame(spark, rows)).where("doc_id = 1").collect()} == {"from <IP> to"}
+
+
 def exact_marginals(graph, w):
     """All labellings of a small graph, one by one."""
     own, n = graph.node_scores(w["node"]), len(graph.text)
@@ -253,6 +266,21 @@ def test_token_ids_are_the_library_s(spark, path, spaces):
     assert at == len(texts)
 
 
+@pytest.mark.parametrize("path,spaces", [(BYTES, True), (WORD_FILE, False)])
+def test_letters_before_signs_give_the_library_s_ids(path, spaces):
+    from tallyframe.llm.tokens import Encoder
+
+    plain = tokenizer(path)
+    texts = [f"ab{c}{sign} {c}{sign}x {c.upper()}{c}{sign}" for c in map(chr, range(0x41, 0x250)) if c.isalpha() for sign in ".,;:!?'\"()-_*#%&/[]{}|<>@~^`+=$\\"]
+    texts += ["EKONOMİ. AİLESİ! YÖNETMENLİĞİ, İ İ.", "İ̇."]
+    want, at = plain.encode_batch(texts, add_special_tokens=False), 0
+    for ids, ends in Encoder(path, spaces).batches(pa.array(texts)):
+        for a, b in zip(ends, ends[1:], strict=False):
+            assert ids[a:b].tolist() == want[at].ids, texts[at]
+            at += 1
+    assert at == len(texts)
+
+
 @pytest.mark.parametrize("path,spaces", [(BYTES, True), (WORD_FILE, False)])
 def test_strings_of_added_tokens_give_the_library_s_ids(path, spaces):
     import pyarrow as pa

@@ -51,13 +51,24 @@ def test_near_duplicates_against_all_pairs(spark):
             assert r["kept"] == (r["doc_id"] == r["component_id"])
     kept = near_dup.keep_first(frame(spark, rows))
     assert kept.columns == frame(spark, rows).columns
-    assert {r["doc_id"] for r in kept.collect()} - {None} == set(want.values())
+    rows_kept = kept.collect()
+    assert {r["doc_id"] for r in rows_kept} - {None} == set(want.values())
+    assert [r["doc_id"] for r in rows_kept].count(7) == 1
     assert near_dup.near_duplicates(frame(spark, rows).where("false")).collect() == []
     clash = frame(spark, rows[:4]).selectExpr("*", "1 AS gone_id", "2 AS set_key", "3 AS node", "4 AS part")
     kept = near_dup.keep_first(clash)
     assert kept.columns == clash.columns and {r["doc_id"] for r in kept.collect()} == {1, 3, 4}
 
 
+def test_one_row_of_each_group_stays(spark):
+    text, other = prose(60, 31), prose(60, 32)
+    near = text.replace(text.split()[30], "edited", 1)
+    rows = [(1, text, "a"), (1, text, "b"), (1, text, "a"), (None, text, "a"), (None, text, "c"), (None, near, "a"), (None, other, "a"), (None, other, "a"), (2, near, "x"),
+            (3, None, "a"), (3, None, "a"), (None, None, "a"), (None, "", "a"), (4, prose(60, 33), "a"), (4, prose(60, 34), "a")]
+    kept = near_dup.keep_first(frame(spark, rows)).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter({(1, text), (None, other), (3, None), (None, None), (None, ""), (4, rows[-2][1]), (4, rows[-1][1])})
+
+
 def test_joins_deal_heavy_keys_to_several_tasks(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(base, "HEAVY", 10)
     monkeypatch.setattr(base, "MOST_HEAVY", 2)
@@ -140,6 +151,13 @@ def test_mixing_meets_targets(spark):
     assert mixing.mixture(docs.where("false")).collect() == [] and mixing.mix(docs.where("false")).collect() == []
 
 
+def test_blank_documents_are_never_taken_beyond_the_limit(spark):
+    rows = [(k, "" if k % 2 else None, "b") for k in range(19)] + [(20, "one two three", "b")] + [(100 + k, prose(200, k), "a") for k in range(20)]
+    taken = mixing.mixture(frame(spark, rows)).where("source = 'b'").collect()
+    assert {r["times"] for r in taken} == {2} and {r["target"] for r in taken} == {6.0}
+    assert set(Counter(r["doc_id"] for r in mixing.mix(frame(spark, rows)).where("source = 'b'").collect()).values()) == {2}
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, v string")
 
