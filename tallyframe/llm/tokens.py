@@ -88,6 +88,16 @@ def _head_and_tail(parts: pa.Array, spaces: bool) -> tuple[pa.Array, pa.Array]:
     return pc.if_else(pa.array(letters), core, parts), tail
 
 
+def slices(texts: pa.Array, size: int):
+    """Large strings (null: empty) of about ``size`` bytes together, or one text."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    total, at = np.cumsum(pc.binary_length(texts).to_numpy()), 0
+    while at < len(texts):
+        upto = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + size)))
+        yield texts.slice(at, upto - at)
+        at = upto
+
+
 class _Words(dict):
     """Text of a part, with the space before it -> its number; ``ids`` from ``ends[number]`` on are its ids."""
 
@@ -95,20 +105,28 @@ class _Words(dict):
         super().__init__()
         self.encode, self.merge, self.spaces = tokenizer.encode, tokenizer.model.tokenize, spaces
         self.letters = _byte_letters()
+        self.start()
+
+    def start(self) -> None:
         self.ids, self.ends = array("I"), array("q", [0])
 
+    def add(self, text: str, ids: list[int]) -> int:
+        self.ids.extend(ids)
+        self.ends.append(len(self.ids))
+        number = self[text] = len(self)
+        return number
+
     def __missing__(self, text: str) -> int:
         word = text.removeprefix(" ")
         if word.isalpha() and (word.isascii() or max(word) < "ɐ") and (self.spaces or word.lower().isalpha()):
             # a single word as the vocabulary cuts them, so only its merges are left to do
             own = text if self.spaces else word.lower()
             shown = own.replace(" ", self.letters[32]) if own.isascii() else own.encode().decode("latin-1").translate(self.letters)
-            self.ids.extend([t.id for t in self.merge(shown)])
-        elif text:
-            self.ids.extend(self.encode(text, add_special_tokens=False).ids)
-        self.ends.append(len(self.ids))
-        number = self[text] = len(self)
-        return number
+            return self.add(text, [t.id for t in self.merge(shown)])
+        return self.add(text, self.encode(text, add_special_tokens=False).ids if text else [])
+
+    def prepare(self, texts: list[str]) -> None:
+        """Called with the texts that are looked up next."""
 
     def of(self, text: str) -> list[int]:
         k = self[text]
@@ -124,8 +142,12 @@ class _Words(dict):
 
 
 class Encoder:
-    def __init__(self, path: str, spaces: bool, kept: int = KEPT, size: int = SLICE, added: bool = False):
-        """kept and size: see KEPT and SLICE; larger ones save work and cost memory. added: whether strings of added tokens give their ids."""
+    blank = " "  # what stands before a part
+
+    def __init__(self, path: str, spaces: bool, kept: int = KEPT, size: int = SLICE, added: bool = False, lead: bool = False):
+        """kept and size: see KEPT and SLICE; larger ones save work and cost memory. added: whether strings of added tokens give their ids.
+
+        lead: whether a space stands before each text that isn't empty (with ``spaces`` only)."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -133,7 +155,7 @@ class Encoder:
         if not added:
             self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
-        self.spaces, self.kept, self.size = spaces, kept, size
+        self.spaces, self.kept, self.size, self.lead = spaces, kept, size, " " if lead else ""
         self.words = _Words(self.tokenizer, spaces)
 
     def _set_apart(self, texts: pa.Array) -> tuple[pa.Array, dict[int, list[int]]]:
@@ -141,48 +163,69 @@ class Encoder:
         odd: dict[int, list[int]] = {}
         for mark in self.added:
             flags = pc.match_substring(texts, mark)
-            odd |= {i: self.words.encode(texts[i].as_py(), add_special_tokens=False).ids for i in np.flatnonzero(flags.to_numpy(zero_copy_only=False))}
+            odd |= {i: self.words.encode(self.lead + texts[i].as_py(), add_special_tokens=False).ids for i in np.flatnonzero(flags.to_numpy(zero_copy_only=False))}
             texts = pc.if_else(flags, _large(""), texts)
         if self.spaces:
             flags = pc.match_substring_regex(texts, _UNEVEN)
             for i in np.flatnonzero(flags.to_numpy(zero_copy_only=False)):
-                odd[i] = [x for piece in _BEFORE_SPACE.split(texts[i].as_py()) if piece for x in self.words.of(piece)]
+                odd[i] = [x for piece in _BEFORE_SPACE.split(self.lead + texts[i].as_py()) if piece for x in self.words.of(piece)]
             texts = pc.if_else(flags, _large(""), texts)
         return texts, odd
 
-    def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, list[int]], list[str], np.ndarray]:
+        """Of a slice of large strings: where each text's parts begin and end; their numbers; of each distinct part the two numbers
+        that its head and its tail have in ``words``; the ids of texts that are set apart; and the distinct heads and tails with these numbers."""
         texts, odd = self._set_apart(texts)
         if self.spaces:
             texts = pc.replace_substring(texts, "\n", f" \n {_START}")
-            texts = pc.binary_join_element_wise(_large(_START), texts, _large(""))
+            texts = texts if self.lead else pc.binary_join_element_wise(_large(_START), texts, _large(""))
         else:
             texts = pc.replace_substring(texts, "\n", " ")
         lists = pc.split_pattern(texts, " ")
         coded = lists.values.dictionary_encode()
         parts = coded.dictionary
-        if self.spaces:
-            bare = pc.or_(pc.starts_with(parts, _START), pc.equal(parts, _large("\n")))
+        if self.spaces:  # an empty part is an empty text here
+            bare = pc.or_(pc.or_(pc.starts_with(parts, _START), pc.equal(parts, _large("\n"))), pc.equal(parts, _large("")))
             parts = pc.utf8_ltrim(parts, characters=_START)
         head, tail = _head_and_tail(parts, self.spaces)
         if self.spaces:
-            head = pc.binary_join_element_wise(pc.if_else(bare, _large(""), _large(" ")), head, _large(""))
+            head = pc.binary_join_element_wise(pc.if_else(bare, _large(""), _large(self.blank)), head, _large(""))
         heads, tails = head.dictionary_encode(), tail.dictionary_encode()
         texts_of = [*_strings(heads.dictionary), *_strings(tails.dictionary)]
+        self.words.prepare(texts_of)
         number = np.fromiter(map(self.words.__getitem__, texts_of), np.int64, len(texts_of))
+        two = np.stack([number[heads.indices.to_numpy()], number[len(heads.dictionary) + tails.indices.to_numpy()]], axis=1).ravel()
+        return lists.offsets.to_numpy(), coded.indices.to_numpy(), two, odd, texts_of, number
+
+    def _trim(self, texts_of: list[str], number: np.ndarray) -> None:
+        """Keep the words of this slice only, where there are too many."""
+        if len(self.words) > self.kept:
+            own = dict(zip(texts_of, number.tolist(), strict=True))
+            self.words.keep(list(own), np.fromiter(own.values(), np.int64, len(own)))
+
+    def count(self, texts: pa.Array) -> np.ndarray:
+        """Numbers of ids of a slice of large strings."""
+        upto, part, two, odd, *words = self._cut(texts)
+        each = np.diff(np.array(self.words.ends))[two].reshape(-1, 2).sum(axis=1)
+        n = np.diff(np.concatenate([[0], np.cumsum(each[part])])[upto])
+        for i, ids in odd.items():
+            n[i] = len(ids)
+        self._trim(*words)
+        return n
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a slice of large strings, and where each text's begin and end."""
+        upto, part, two, odd, *words = self._cut(texts)
         ends = np.array(self.words.ends)
         # a distinct part is the ids of its head and those of its tail
-        two = np.stack([number[heads.indices.to_numpy()], number[len(heads.dictionary) + tails.indices.to_numpy()]], axis=1).ravel()
         place, total = _ranges(ends[two], np.diff(ends)[two])
         blob, ends = np.frombuffer(self.words.ids, np.uint32)[place], total[::2]
-        part = coded.indices.to_numpy()
         place, total = _ranges(ends[part], np.diff(ends)[part])
-        ids, ends = blob[place], total[lists.offsets.to_numpy()]
+        ids, ends = blob[place], total[upto]
         if odd:
             rows = [np.array(odd[i], np.uint32) if i in odd else ids[a:b] for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False))]
             ids, ends = np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-        if len(self.words) > self.kept:
-            own = dict(zip(texts_of, number.tolist(), strict=True))
-            self.words.keep(list(own), np.fromiter(own.values(), np.int64, len(own)))
+        self._trim(*words)
         return ids, ends
 
     def forget(self) -> None:
@@ -191,12 +234,7 @@ class Encoder:
 
     def batches(self, texts: pa.Array):
         """For slices of the texts (null: empty): the ids of all of them, and where each text's ids begin and end."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        size, at = np.cumsum(pc.binary_length(texts).to_numpy()), 0
-        while at < len(texts):
-            upto = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + self.size)))
-            yield self._slice(texts.slice(at, upto - at))
-            at = upto
+        yield from map(self.encode, slices(texts, self.size))
 
 
 @lru_cache(maxsize=1)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections import Counter
 
 import numpy as np
 from helpers import frame, hard_rows, prose
 
-from tallyframe.llm import base, components, maxscore, mixing, near_dup, warc_fixity
+from tallyframe.llm import base, components, kmeans, maxscore, mixing, near_dup, warc_fixity
 
 
 def shingles(text):
@@ -236,3 +238,67 @@ def test_warc_audit_finds_records_in_another_place(spark):
     assert found(place | {101: place[102], 102: place[101]}) == {101: ("moved", 1), 102: ("moved", 1)}
     assert found(place | {k: v + 7 for k, v in place.items() if 1030 <= k}) == {1030: ("moved", 1)}
     assert found(place | {k: v + 7 for k, v in place.items() if 1040 <= k}) == {1040: ("moved", 16)}
+
+
+def plain_clusters(rows, k=kmeans.K, rounds=kmeans.ROUNDS):
+    kept = []
+    for i, v in rows:
+        if v is not None and len(v) == 64 and all(x is not None and math.isfinite(x) for x in v):
+            kept.append((i, [math.floor(max(-kmeans.MOST, min(kmeans.MOST, 256 * x))) for x in v]))
+    hashes = sorted((hashlib.sha256(f"2:{i}".encode()).hexdigest(), v) for i, v in kept if i is not None)
+    centroids = [v for _, v in hashes[:k]]
+    near = lambda v: min((sum((x - y) ** 2 for x, y in zip(v, c, strict=True)), n) for n, c in enumerate(centroids))
+    for _ in range(rounds):
+        members = [[v for (_, v), (_, n) in zip(kept, [near(v) for _, v in kept], strict=True) if n == c] for c in range(len(centroids))]
+        centroids = [[sum(x) // len(m) for x in zip(*m, strict=True)] if m else c for m, c in zip(members, centroids, strict=True)]
+    found = [(i, *near(v)) for i, v in kept] if centroids else []
+    sums = Counter()
+    for _, d, n in found:
+        sums[n] += d
+    long = lambda n: n if n < 1 << 63 else None
+    text = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids]
+    return Counter((i, n, d, long(sums[n]), long(sum(sums.values())), text[n]) for i, d, n in found)
+
+
+CLUSTERED = ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"]
+
+
+def embedded(spark, rows, kind="float"):
+    return spark.createDataFrame([(i, v, 1, 2.0) for i, v in rows], f"vec_id long, embedding array<{kind}>, cluster int, near double").repartition(3)
+
+
+def test_clusters_against_plain_rounds(spark):
+    r = np.random.default_rng(3)
+    around = r.normal(0, 1, (9, 64))
+    rows = [(i, np.float32(around[i % 9] + r.normal(0, 0.2 * (i % 3), 64)).tolist()) for i in range(200)]
+    rows += [(300 + i, [0.25 * (i % 2)] * 64) for i in range(60)]  # copies and ties
+    rows += [(7, rows[8][1]), (7, rows[7][1]), (None, rows[3][1]), (None, None), (900, None), (901, []), (902, [1.0] * 63), (903, [1.0] * 65)]
+    rows += [(904, [float("nan")] * 64), (905, [None, *[1.0] * 63]), (906, [float("inf"), *[0.0] * 63])]
+    got = kmeans.cluster(embedded(spark, rows))
+    assert got.columns == CLUSTERED
+    assert Counter(tuple(x) for x in got.collect()) == plain_clusters(rows)
+    few = rows[:5] + rows[-9:-6]
+    assert Counter(tuple(x) for x in kmeans.cluster(embedded(spark, few)).collect()) == plain_clusters(few)
+    for none in (rows[-3:], [(None, rows[0][1])]):
+        assert kmeans.cluster(embedded(spark, none)).collect() == []
+    assert kmeans.cluster(embedded(spark, rows[:1]).where("false")).columns == CLUSTERED
+
+
+def test_clusters_of_very_long_vectors(spark):
+    rows = [(i, [(-1.0) ** (i + j) * 10.0 ** (i % 7 * 6) for j in range(64)]) for i in range(50)]
+    assert Counter(tuple(x) for x in kmeans.cluster(embedded(spark, rows, "double")).collect()) == plain_clusters(rows)
+
+
+def test_the_bound_leaves_out_centroids_and_no_nearest():
+    r = np.random.default_rng(4)
+    spread = 2.0 ** -np.arange(64)
+    for scale in (1, 1000):
+        x = np.floor(scale * 256 * r.normal(0, 1, (3000, 64)) * spread).astype(np.int64)
+        centroids = x[:40]
+        mean = x.mean(axis=0)
+        space = kmeans.Space(mean, np.linalg.eigh(np.cov(x.T))[1][:, ::-1])
+        stats = {}
+        cluster, distance = kmeans.nearest(x, space.of(x), centroids, space.of(centroids), stats)
+        every = ((x[:, None, :] - centroids[None]) ** 2).sum(axis=2)
+        assert (cluster == every.argmin(axis=1)).all() and (distance == every.min(axis=1)).all()
+        assert stats["distances"] < 0.1 * every.size
