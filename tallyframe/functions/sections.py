@@ -1,65 +1,112 @@
-"""Criteria texts as ordered sections of headings and items, by the text's own lines."""
+"""Criteria texts as ordered sections of headings and items, by the text's own lines.
+
+A line is taken apart into its mark, its words and whether it ends in a colon; ``RULES`` decides on these parts, the first rule
+that holds. Everything is columns: parts are bound once by a one-element ``transform``.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Marks that open an item, words that make a line a criterion and no heading, qualifiers of a heading, its key words.
-BULLET = r"^\s*(?:[-*•·‣◦–—]|\(?\d{1,3}[.)]|\(\d{1,3}\)|[a-z][.)])\s+"
+# Words that begin a criterion and no heading; qualifiers that a heading behind a mark may have.
 LEADS = ("no", "none", "not", "any", "meet", "meets", "fail", "fails", "prior", "previous", "note", "without")
 QUALIFIERS = (
-    "key", "main", "general", "other", "additional", "specific", "primary", "secondary", "core", "clinical", "angiographic", "ocular", "healthy", "common", "patient", "participant", "cohort",
-    r"part \w+",
+    "key", "other", "additional", "main", "general", "specific", "primary", "secondary", "core", "clinical", "angiographic", "ocular", "healthy", "common", "patient", "participant", "cohort",
 )
-KEYWORDS = (("exclusion", r"(?:non[-\s]*inclusions?|exclusions?)"), ("inclusion", r"(?:inclusions?|eligibility)"))
-_AFTER = r"(?:\s*\([^)\n]{0,60}\))?\**\s*"
-_STARS = r"\**\s*"
-_NO_LEAD = rf"(?!{_STARS}(?:{'|'.join(LEADS)})\b)"
-
-
-def _patterns() -> list[tuple[str, str]]:
-    """Kind and pattern of a heading, in the order tried on a trimmed line."""
-    out = []
-    for kind, word in KEYWORDS:
-        phase = rf"(?:[A-Za-z][^:：\n]{{0,40}}[:：]\s*)?{_NO_LEAD}"
-        # a line of its own: a word before the key word, a tail of "for ..." or in brackets, or a short one that ends in a colon
-        tail = rf"(?:\s+for\b[^.!?,;:：\n]{{0,50}})?{_AFTER}"
-        out.append((kind, rf"(?i)^{_STARS}{phase}(?:[A-Za-z][\w-]{{0,14}}\s+)?{_STARS}\b{word}(?:\s+criteria)?{tail}(?:(?:[,;-]?\s*[^.!?:：\n]{{0,80}})?[:：]\**)?\s*$"))
-        # behind a bullet only with a known qualifier, and with "criteria" or a colon
-        known = rf"{BULLET}{_STARS}{phase}(?:(?:{'|'.join(QUALIFIERS)})\s+)?{_STARS}{word}"
-        out.append((kind, rf"(?i){known}(?:\s+criteria{_AFTER}[:：]?|{_AFTER}[:：])\s*\**\s*$"))
-    people = r"(?:participants?|patients?|subjects?)"
-    out.append(("exclusion", rf"(?i)^{people} (?:will be excluded|must not|may not|are not eligible)\b.*:$"))
-    out.append(("inclusion", rf"(?i)^{people} (?:must|should|will be included|are eligible)\b.*:$"))
-    # what may be a heading of exclusions, but isn't plainly one: what follows belongs to no list for sure
-    uncertain = rf"(?:non[-\s]*inclusions?|exclusions?)\s+criteri(?:a|on)\b"
-    negated = r"(?<!\b(?:no|not|any|nor|see|per|meets?|meeting|met|without|other|of)\s)"
-    out.append(("unclassified", rf"(?i)^{_STARS}(?:[A-Za-z][\w-]{{0,14}}\s+)?{negated}{uncertain}\s*\**\s*\S.*$"))
-    out.append(("unclassified", rf"(?i)^(?!.*\b(?:no|not|any|without)\b).*{uncertain}\s*\**\s*[:：]?\s*$"))
-    out.append(("unclassified", r"(?i)^criteria\s+for\s+(?:the\s+)?(?:non[-\s]*inclusions?|exclusions?)\b[^.!?:：\n]{0,60}[:：]?\s*$"))
-    return out
-
-
-HEADINGS = tuple(_patterns())
-_PHRASE = rf"(?:non[-\s]*inclusions?|inclusions?|exclusions?)"
-#: A heading behind the end of a sentence on one line, and one that its first criterion follows on the same line.
-MIDLINE = rf"(?i)([.;:：)])[ \t]+(\**[ \t]*{_PHRASE}\s+criteria{_AFTER}[:：])"
-INLINE = rf"(?im)^([ \t]*(?:(?:[-*•·‣◦–—]|\(?\d{{1,3}}[.)])[ \t]+)?\**[ \t]*{_PHRASE}(?:[ \t]+criteria)?(?:[ \t]*\([^)\n]{{0,60}}\))?\**[ \t]*[:：])[ \t]*(?=[^\s*])"
+#: Words that name a list, with the list's kind.
+NAMES = {"inclusion": "inclusion", "inclusions": "inclusion", "eligibility": "inclusion", "exclusion": "exclusion", "exclusions": "exclusion", "noninclusion": "exclusion", "noninclusions": "exclusion"}
+#: Who a list is about, and the words that follow where the list lets them in or keeps them out.
+PEOPLE = ("participants", "patients", "subjects")
+LET_IN = ("must", "should", "will be included", "are eligible")
+KEPT_OUT = ("must not", "may not", "should not", "will be excluded", "are excluded", "are not eligible")
 
+BULLET = r"^\s*(?:[-*•·‣◦–—]|\(?\d{1,3}[.)]|\(\d{1,3}\)|[a-z][.)])\s+"
+#: A longer line is no heading.
+LONGEST = 300
+#: Lines without one of these are no headings; only the others are taken apart.
+_HINT = rf"(?i)clusion|eligib|{'|'.join(PEOPLE)}"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _among(word: Column, words) -> Column:
+    return word.isin(list(words))
 
-def laid_out(text: Column) -> Column:
-    """The text with every heading on a line of its own: blanks around those within a line become line feeds, no word changes."""
-    return F.regexp_replace(F.regexp_replace(text, MIDLINE, "$1\n$2"), INLINE, "$1\n")
+
+def _parts(line: Column) -> Column:
+    """Struct of a line: marked, colon, words (lower case, without stars and brackets), criteria, and the place of the first name of a list (-1: none).
+
+    A title before a colon (up to five words, as in ``Part 2: Inclusion criteria``) isn't part of the words.
+    """
+    plain = F.trim(F.regexp_replace(F.lower(line), r"\*\*+", " "))
+    marked = plain.rlike(BULLET)
+    bare = F.trim(F.regexp_replace(F.regexp_replace(plain, BULLET, ""), r"\([^()]*\)|\*", " "))
+    colon = bare.rlike("[:：]$")
+    pieces = F.filter(F.split(bare, "[:：]"), lambda p: F.length(F.trim(p)) > 0)
+    titled = (F.size(pieces) == 2) & (F.size(F.split(F.get(pieces, F.lit(0)), " ")) <= 5)
+    own = F.when(titled, F.get(pieces, F.lit(1))).otherwise(F.array_join(pieces, " : "))
+    joined = F.regexp_replace(own, r"\bnon[-\s]+inclusion", "noninclusion")
+    words = F.filter(F.split(joined, r"[\s,;/-]+"), lambda w: F.length(w) > 0)
+
+    def named(words: Column) -> Column:
+        criteria = F.exists(words, lambda w: _among(w, ("criteria", "criterion")))
+        rest = F.filter(words, lambda w: ~_among(w, ("criteria", "criterion")))
+        first = F.array_position(F.transform(rest, lambda w: _among(w, NAMES)), F.lit(True)).cast("int") - 1
+        return F.struct(marked.alias("marked"), colon.alias("colon"), rest.alias("words"), criteria.alias("criteria"), first.alias("at"), F.get(words, F.lit(0)).alias("opening"))
+
+    return _let(words, named)
+
+
+def _rules(p: Column) -> list[tuple[Column, Column]]:
+    """When, and the kind of section that then begins."""
+    words, at = p["words"], p["at"]
+    before, after = F.slice(words, 1, F.greatest(at, F.lit(0))), F.slice(words, at + 2, F.size(words))
+    names = F.transform(F.array_distinct(F.filter(words, lambda w: _among(w, NAMES))), lambda w: F.element_at(F.create_map(*(F.lit(x) for pair in NAMES.items() for x in pair)), w))
+    kind = F.when(F.size(F.array_distinct(names)) > 1, "unclassified").otherwise(F.get(names, F.lit(0)))
+    negated = F.exists(F.concat(before, F.array(p["opening"])), lambda w: _among(w, LEADS))
+    short = (F.size(after) == 0) | ((F.get(after, F.lit(0)) == "for") & (F.size(after) <= 8)) | (p["colon"] & (F.size(after) <= 12))
+    told = F.array_join(F.slice(words, 2, 4), " ")
+    about = p["colon"] & _among(F.get(words, F.lit(0)), PEOPLE)
+    starts = lambda phrases: reduce(lambda a, b: a | b, (F.startswith(told, F.lit(x)) for x in phrases))
+    one = (at >= 0) & ~negated
+    out = F.exists(words, lambda w: F.startswith(w, F.lit("exclusion")) | F.startswith(w, F.lit("noninclusion")))
+    return [
+        # a line of its own: the list's name behind at most one word, and little after it
+        (one & ~p["marked"] & (F.size(before) <= 1) & (p["opening"] != "criteria") & short, kind),
+        # behind a mark only with known qualifiers, and plainly the end of the line
+        (one & p["marked"] & (F.size(after) == 0) & F.forall(before, lambda w: _among(w, QUALIFIERS)) & (p["criteria"] | p["colon"]), kind),
+        (about & starts(KEPT_OUT), F.lit("exclusion")),
+        (about & starts(LET_IN), F.lit("inclusion")),
+        # what may head exclusions but doesn't plainly: what follows belongs to no list for sure
+        (one & out & p["criteria"] & ~p["marked"] & ((F.size(before) <= 1) | (F.size(after) == 0) | (p["opening"] == "criteria")), F.lit("unclassified")),
+    ]
 
 
 def line_kind(line: Column) -> Column:
     """The kind of section that a heading line opens; NULL for any other line."""
-    out = None
-    for kind, pattern in HEADINGS:
-        hit = F.trim(line).rlike(pattern)
-        out = F.when(hit, kind) if out is None else out.when(hit, kind)
-    return F.when(F.length(F.trim(line)) <= 300, out)
+    decided = _let(_parts(line), lambda p: F.coalesce(*(F.when(rule, kind) for rule, kind in _rules(p))))
+    return F.when(line.rlike(_HINT) & (F.length(F.trim(line)) <= LONGEST), decided)
+
+
+def laid_out(text: Column) -> Column:
+    """The text with every heading on a line of its own: blanks around those within a line become line feeds, no word changes."""
+    # a list's name that a sentence's end precedes, "criteria" follows and a colon closes
+    apart = F.regexp_replace(text, r"(?i)(?<=[.;:：)])[ \t]+(?=[* ]*(?:non-?)?(?:in|ex)clusions? criteria[^.:：\n]{0,60}[:：])", "\n")
+
+    def opened(line: Column) -> Column:
+        head = F.regexp_extract(line, r"^[^:：]*[:：]\**", 0)
+        rest = F.ltrim(F.substring(line, F.length(head) + 1, F.length(line)))
+        inside = (F.length(head) > 0) & F.startswith(F.substring(line, F.length(head) + 1, F.lit(1)), F.lit(" ")) & (F.length(rest) > 0)
+        return F.when(inside & line_kind(head).isNotNull(), F.concat(head, F.lit("\n"), rest)).otherwise(line)
+
+    return F.array_join(F.transform(F.split(apart, "\n"), opened), "\n")
 
 
 def split_sections(text: Column) -> Column:
@@ -86,8 +133,6 @@ def section_lines(df: DataFrame, key: str, text: str) -> DataFrame:
 
     A running count of headings numbers the sections, so a long text costs no more per line than a short one.
     """
-    from pyspark.sql import Window
-
     lines = df.select(key, F.posexplode(F.split(text, "\n")).alias("pos", "line")).withColumn("opens", line_kind(F.col("line")))
     over = Window.partitionBy(key).orderBy("pos")
     return lines.select(

@@ -124,6 +124,14 @@ def test_headings_within_lines_behind_bullets_and_uncertain_ones(spark):
         "Inclusion Criteria\na\nGeneral Exclusion Criteria 2. History of disease\nb": [("inclusion", 1), ("unclassified", 1)],
         "**Inclusion Criteria:**\na\n**Exclusion Criteria**\nb": [("inclusion", 1), ("exclusion", 1)],
         "dose of 1.5 mg; inclusion: allowed\nsecond": [("unclassified", 2)],
+        "Inclusion and Exclusion Criteria:\na": [("unclassified", 1)],
+        "Eligibility\na\nPart 2: Exclusion Criteria\nb": [("inclusion", 1), ("exclusion", 1)],
+        "1. Key exclusion criteria:\n2. Known exclusion of pregnancy\n- Eligibility was confirmed": [("exclusion", 2)],
+        "Subjects will be excluded if:\na\nPatients should have:\nb\nPatients with fever": [("exclusion", 1), ("inclusion", 2)],
+        "Exclusion criteria for the second cohort\na\nThe inclusion of children is allowed": [("exclusion", 2)],
+        "Without exclusion criteria\nSee exclusion criteria 4 and 5 of the protocol": [("unclassified", 1), ("unclassified", 0)],
+        "a) Inclusion\nb) Exclusion:\nc": [("unclassified", 1), ("exclusion", 1)],
+        "Inclusion criteria (adults)\n" + "x" * 200 + " exclusion criteria " + "y" * 200: [("inclusion", 1)],
     }
     rows = spark.createDataFrame([(k, t) for k, t in enumerate(cases)], "k int, t string").withColumn("l", sections.laid_out(F.col("t")))
     got = {r["t"]: r for r in rows.withColumn("s", sections.split_sections(F.col("l"))).withColumn("back", sections.rebuilt(F.col("s"))).collect()}
