@@ -138,3 +138,47 @@ def test_headings_within_lines_behind_bullets_and_uncertain_ones(spark):
     for t, want in cases.items():
         assert [(s["kind"], len(s["items"])) for s in got[t]["s"]] == want, (t, got[t]["s"])
         assert got[t]["back"].split() == t.split()
+
+
+def test_page_source_in_batches(spark, tmp_path):
+    from tallyframe.sources import page_source
+
+    page_source.register(spark)
+    schema = spark.sql(f"select from_json('', '{STUDY}') as r").select("r.*").schema
+    (tmp_path / "meta").mkdir()
+    for k in range(1, 8):
+        page = {"studies": [{"id": f"NCT{k}{i}", "terms": [{"id": "D1", "term": "ä\n"}], "extra": {"x": 1.5}} for i in range(k % 4)], "totalCount": 3}
+        (tmp_path / f"page={k:05}.json").write_text(json.dumps(page, indent=k % 2 or None))
+        if k % 2:
+            (tmp_path / "meta" / f"page={k:05}.json").write_text(json.dumps({"retrieved_at_utc": f"2026-01-0{k}T00:00:00Z"}))
+    (tmp_path / "notes.json").write_text("{}")
+    read = lambda: spark.read.format("record_pages").option("meta", f"{tmp_path}/meta").option("pagesPerTask", 2).load(str(tmp_path))
+    record = schema["studies"].dataType.elementType
+    want = pages.with_sidecar(pages.read_pages(spark, f"{tmp_path}/page=*.json", schema), pages.read_sidecars(spark, f"{tmp_path}/meta/*.json"))
+    columns = ["raw_page_reference", "raw_ordinal", "record", "retrieved_at_utc"]
+    assert sorted(map(str, page_source.records_of(read(), record).select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
+    (tmp_path / "page=00005.json").write_text("broken")
+    # a page outside the filter isn't opened, one inside gives a row for quarantine
+    some = read().where("raw_page_reference > 'page=00002.json' and raw_page_reference <= 'page=00005.json'")
+    assert sorted((r["raw_page_reference"][9], r["raw_ordinal"]) for r in some.collect() if r["record"]) == [("3", 0), ("3", 1), ("3", 2)]
+    assert [(r["raw_ordinal"], r["record"]) for r in some.where("raw_page_reference = 'page=00005.json'").collect()] == [(None, None)]
+    assert some.rdd.getNumPartitions() == 2 and read().where("raw_page_reference = 'none'").count() == 0
+
+
+def test_page_source_as_a_stream_reads_no_page_twice(spark, tmp_path):
+    from tallyframe.sources import page_source
+
+    page_source.register(spark)
+    (tmp_path / "in").mkdir()
+    seen = []
+    for run in range(3):
+        for k in range(run * 5, run * 5 + 5):
+            (tmp_path / "in" / f"page={k:05}.json").write_text(json.dumps({"studies": [{"id": k}, {"id": -k}]}))
+        stream = spark.readStream.format("record_pages").option("pagesPerBatch", 2).load(f"{tmp_path}/in")
+        query = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(processingTime="0 seconds").start()
+        query.processAllAvailable()
+        seen += [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]]
+        query.stop()
+    got = sorted((r["raw_page_reference"], r["raw_ordinal"], r["record"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == sorted((f"page={k:05}.json", i, json.dumps({"id": v})) for k in range(15) for i, v in enumerate((k, -k)))
+    assert max(seen) == 4

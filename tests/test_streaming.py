@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import random
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from tallyframe.queries import windowed
 from tallyframe.registry import Tables
 from tallyframe.sources.pages import screen
-from tallyframe.streaming import changes
+from tallyframe.streaming import changes, states
 
 
 def test_change_stream_equals_batch(spark, sf_dir, tmp_path):
@@ -69,3 +72,38 @@ def test_windowed_counts(spark, sf_dir, tmp_path):
     got = {(r["window"]["start"], r["event_type"]): r["n"] for r in spark.table("per_day").collect()}
     want = {(r["d"], r["event_type"]): r["n"] for r in events.groupBy(F.date_trunc("day", "ts").alias("d"), "event_type").agg(F.count("*").alias("n")).collect()}
     assert got == want and want
+
+
+def test_keyed_state_gives_the_events_of_the_batch_form(spark, tmp_path):
+    r = random.Random(7)
+    rows = sorted({(r.randrange(5), 1000 + 3 * r.randrange(400), r.choice("abc")) for _ in range(260)}, key=lambda x: x[1])
+    # batches out of order by up to 100 seconds, with ties in time and repeated rows
+    order = sorted(rows, key=lambda x: x[1] + r.uniform(0, 100))
+    parts = [order[i : i + 60] + order[i : i + 3] for i in range(0, len(order), 60)]
+    schema = "k long, at timestamp, s string"
+    for n, part in enumerate([*parts, [(99, 100_000, "z")]]):
+        frame = spark.createDataFrame(part, "k long, at long, s string").withColumn("at", F.timestamp_seconds("at"))
+        frame.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        if n % 2 == 1 or n == len(parts):  # each run is a restart
+            stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+            states.write_change_events(stream, f"{tmp_path}/out", ["k"], "at", "s", "300 seconds", f"{tmp_path}/cp").awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out").where("kind <> 'late'").selectExpr("k", "unix_seconds(at) at", "s", "previous", "kind = 'changed' changed", "kind").collect()
+    empty = spark.createDataFrame([], schema)
+    every = spark.createDataFrame(rows, "k long, at long, s string").withColumn("at", F.timestamp_seconds("at"))
+    want = changes.batch_changes(every, empty, ["k"], "at", "s").selectExpr("k", "unix_seconds(at) at", "s", "previous", "changed").collect()
+    assert Counter(tuple(x)[:5] for x in got if x["k"] != 99) == Counter(map(tuple, want)) and any(x["changed"] for x in want)
+    assert {x["kind"] for x in got} == {"first", "same", "changed"}
+
+
+def test_keyed_state_ends_and_late_rows_are_apart(spark, tmp_path):
+    batches = [[(1, 100, "a"), (1, 105, None), (2, 103, "x")], [(1, 102, "c"), (2, 150, "x"), (3, None, "x")], [(1, 101, "z"), (2, 151, "y"), (3, 1000, "q")], [(4, 2000, "q")]]
+    for part in batches:
+        spark.createDataFrame(part, "k long, at long, s string").withColumn("at", F.timestamp_seconds("at")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("k long, at timestamp, s string").parquet(f"{tmp_path}/in")
+        states.write_change_events(stream, f"{tmp_path}/out", ["k"], "at", "s", "10 seconds", f"{tmp_path}/cp", 50_000).awaitTermination()
+    got = {tuple(x) for x in spark.read.parquet(f"{tmp_path}/out").selectExpr("k", "unix_seconds(at)", "s", "previous", "kind").collect()}
+    assert got == {
+        (1, 100, "a", None, "first"), (1, 102, "c", "a", "changed"), (1, 105, None, "c", "changed"), (1, 101, "z", None, "late"), (1, 155, None, None, "silent"),
+        (2, 103, "x", None, "first"), (2, 150, "x", "x", "same"), (2, 151, "y", "x", "changed"), (2, 201, None, "y", "silent"),
+        (3, 1000, "q", None, "first"), (3, 1050, None, "q", "silent"),
+    }
