@@ -70,9 +70,10 @@ def build_scoped_counts(history: DataFrame, active: Column, group: Column, name:
     return history.where(active).groupBy(group.alias(name), date).agg(F.countDistinct(key).alias("n"))
 
 
-def build_rollup(per: DataFrame, name: str, date: str) -> DataFrame:
-    """Sum, maximum and first busiest date of the counts of each group."""
-    return per.groupBy(name).agg(F.sum("n").alias("purchases"), F.max("n").alias("busiest"), F.max_by(date, F.col("n") * 1000 - F.dayofmonth(date)).alias("first_busiest_day"))
+def build_rollup(per: DataFrame, by: Sequence[str], date: str, count: str, names: tuple[str, str, str] = ("total", "most", "first_at_most")) -> DataFrame:
+    """Sum and maximum of the counts of each group, and the first date that reaches the maximum."""
+    first = F.min_by(date, F.struct(-F.col(count), F.col(date)))
+    return per.groupBy(*by).agg(F.sum(count).alias(names[0]), F.max(count).alias(names[1]), first.alias(names[2]))
 
 
 def build_audit_observations(history: DataFrame, date: str, days: int, metrics: Mapping[str, Column], columns: Sequence[str]) -> DataFrame:

@@ -228,7 +228,8 @@ def qc4_schema_drift(t: Tables) -> DataFrame:
     return quality.drift(observed, t.spark.createDataFrame([("a",), ("b",)], "path string"), "path")
 
 
-@query(f"""WITH {HISTORY_SQL}, a AS (SELECT user_id % 3 AS grp, day, count(DISTINCT user_id) AS n FROM history WHERE event_type = 'purchase' GROUP BY 1, 2) SELECT grp, sum(n)::BIGINT AS purchases, max(n) AS busiest, max_by(day, n * 1000 - day(day)) AS first_busiest_day FROM a GROUP BY 1""")
+@query(f"""WITH {HISTORY_SQL}, a AS (SELECT user_id % 3 AS grp, day, count(DISTINCT user_id) AS n FROM history WHERE event_type = 'purchase' GROUP BY 1, 2),
+r AS (SELECT *, sum(n) OVER (PARTITION BY grp)::BIGINT AS purchases, row_number() OVER (PARTITION BY grp ORDER BY n DESC, day) AS rn FROM a) SELECT grp, purchases, n AS busiest, day AS first_busiest_day FROM r WHERE rn = 1""")
 def qry23_rollup(t: Tables) -> DataFrame:
     per = reports.build_scoped_counts(activity(t), F.lit(True), F.col("grp"), "grp", "day", "user_id")
-    return reports.build_rollup(per, "grp", "day")
+    return reports.build_rollup(per, ["grp"], "day", "n", ("purchases", "busiest", "first_busiest_day"))
