@@ -59,21 +59,36 @@ def cut(df: DataFrame, label: str, **options: str) -> DataFrame:
 HEAVY, MOST_HEAVY = 256, 100_000
 
 
-def join_keyed(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """``rows`` joined (inner or left) with ``table``, which has few rows of a key; keys with many of ``rows`` are dealt to several tasks.
+def heavy_keys(rows: DataFrame, key: str) -> DataFrame | None:
+    """The keys that more than HEAVY of ``rows`` (a written table) have, with ``parts``, the number of tasks to deal each to; None without any.
 
-    Such keys are counted first. Only they and their numbers of parts are broadcast, and no more than MOST_HEAVY of them: the
-    limit is raised to a MOST_HEAVY-th of the rows, which fewer keys can exceed. ``rows`` must be a written table, as it is read twice.
+    No more than MOST_HEAVY keys: the limit is raised to a MOST_HEAVY-th of the rows, which fewer keys can exceed.
     """
     heavy = cut(rows.groupBy(key).agg(F.count("*").alias("n")).where((F.col("n") > HEAVY) & F.col(key).isNotNull()), "heavy-keys")
     number, total = heavy.agg(F.count("*"), F.sum("n")).first()
     if not number:
-        return rows.join(table, key, how)
+        return None
     limit = HEAVY if number <= MOST_HEAVY else max(HEAVY, total // MOST_HEAVY)
+    return heavy.where(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).cast("int").alias("parts"))
+
+
+def join_keyed(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined (inner or left) with ``table``, which has few rows of a key; keys with many of ``rows`` are dealt to several tasks.
+
+    Such keys are counted first, and only they and their numbers of parts are broadcast. ``rows`` must be a written table, as it is read twice.
+    """
+    heavy = heavy_keys(rows, key)
+    return dealt_join(rows, table, key, heavy, rows.columns, how)
+
+
+def dealt_join(rows: DataFrame, table: DataFrame, key: str, heavy: DataFrame | None, by: list[str], how: str = "inner") -> DataFrame:
+    """The same for keys that ``heavy_keys`` has found, in these rows or in those they come from; ``by``: columns of ``rows`` that tell them apart."""
+    if heavy is None:
+        return rows.join(table, key, how)
     parts, part = (fresh_name(c, [*rows.columns, *table.columns]) for c in ("parts", "part"))
-    known = F.broadcast(heavy.where(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).cast("int").alias(parts)))
+    known = F.broadcast(heavy.withColumnRenamed("parts", parts))
     many = F.coalesce(F.col(parts), F.lit(1))
-    left = rows.join(known, key, "left").withColumn(part, F.pmod(F.xxhash64(*rows.columns), many).cast("int")).drop(parts)
+    left = rows.join(known, key, "left").withColumn(part, F.pmod(F.xxhash64(*by), many).cast("int")).drop(parts)
     right = table.join(known, key, "left").withColumn(part, F.explode(F.sequence(F.lit(0), many - 1))).drop(parts)
     return left.join(right, [key, part], how).drop(part)
 

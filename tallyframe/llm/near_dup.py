@@ -11,8 +11,8 @@
    differs in at most as many bits as the sets in shingles, so it rules pairs out without loss. The rest is confirmed.
 4. Components of all confirmed links give each document the least doc_id it reaches.
 
-Keys that many rows share (the key of a set with many copies, the band key or the pivot of a large bucket) are counted and
-dealt to several tasks by ``join_keyed``; rows without a set take no part in joins.
+Keys that many rows share (the key of a set with many copies, the band key of a large bucket, a hub on either side of a pair) are
+counted and dealt to several tasks (``join_keyed``, ``_both_sides``); rows without a set take no part in joins.
 
 At similarity 0.75 a pair shares no band with probability (1 - 0.75**4)**32 = 5e-6, and sketches rule it out (estimate
 below LOOSE) with about the same; a link lost that way matters only if no chain of others joins the two.
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from .base import cut, fresh_name, join_keyed, map_rows
+from .base import cut, dealt_join, fresh_name, heavy_keys, join_keyed, map_rows
 from .components import connected_components
 
 WORDS = 5
@@ -141,27 +141,35 @@ def _differing_bits(a: str, b: str) -> Column:
     return sum(parts[1:], parts[0])
 
 
+def _both_sides(pairs: DataFrame, table: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Pairs (a, b), a written table, with columns of ``table`` (``node``, and those named) for both, by ``_a`` and ``_b`` behind their names.
+
+    A hub of many pairs is dealt to several tasks on either side; both are counted on the pairs alone.
+    """
+    for end in "ab":
+        side = table.select(F.col("node").alias(end), *(c.alias(f"{name}_{end}") for name, c in columns.items()))
+        joined = dealt_join(pairs if end == "a" else joined, side, end, heavy_keys(pairs, end), ["a", "b"])
+    return joined
+
+
 def _with_sketches(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (a, b), a written table, that the sketches can't rule out, with the number of bits they differ in."""
-    a = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a"))
-    b = nodes.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b"))
-    joined = join_keyed(pairs, a, "a").join(b, "b")
+    joined = _both_sides(pairs, nodes, {"sketch": F.col("sketch")})
     return joined.select("a", "b", _differing_bits("sketch_a", "sketch_b").alias("bits")).where(F.col("bits") <= MOST_BITS)
 
 
 def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs that the whole sets' parities allow: similarity p means that sets of s shingles together differ in s(1-p)/(1+p)."""
-    side = lambda k: sets.select(F.col("doc_id").alias(k), F.size("shingles").alias(f"n_{k}"), F.col("parity").alias(f"parity_{k}"))
+    """Pairs, a written table, that the whole sets' parities allow: similarity p means that sets of s shingles together differ in s(1-p)/(1+p)."""
+    joined = _both_sides(pairs, sets.withColumnRenamed("doc_id", "node"), {"n": F.size("shingles"), "parity": F.col("parity")})
     bits = F.aggregate(F.zip_with("parity_a", "parity_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return pairs.join(side("a"), "a").join(side("b"), "b").where((100 + percent) * bits <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    return joined.where((100 + percent) * bits <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs, a written table, whose whole sets are similar enough, as edges (u, v)."""
-    a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
-    b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
     n_a, n_b = F.size("set_a"), F.size("set_b")
-    near = join_keyed(pairs.select("a", "b"), a, "a").join(b, "b").where(100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b))
+    joined = _both_sides(pairs, sets.withColumnRenamed("doc_id", "node"), {"set": F.col("shingles")})
+    near = joined.where(100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b))
     both = near.select("a", "b", (n_a + n_b).alias("n"), F.size(F.array_intersect("set_a", "set_b")).alias("i"))
     return both.where(100 * F.col("i") >= percent * (F.col("n") - F.col("i"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
@@ -236,7 +244,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     left = few.select("band", F.col("node").alias("a"), F.col("label").alias("label_a"))
     right = few.select("band", F.col("node").alias("b"), F.col("label").alias("label_b"))
     pairs = left.join(right, "band").where("a < b and label_a <> label_b").select("a", "b").distinct()
-    few = _possible(_with_sketches(cut(pairs, "open-pairs"), nodes).select("a", "b"), sets, percent)
+    few = _possible(cut(_with_sketches(cut(pairs, "open-pairs"), nodes).select("a", "b"), "open-pairs"), sets, percent)
     more = cut(few.unionByName(_block_pairs(rows.where(F.col("n") > SMALL), nodes, sets, percent)), "open-pairs")
     labels = cut(connected_components(links.unionByName(_confirmed(more, sets, percent))), "labels")
 

@@ -7,7 +7,9 @@ import math
 from collections import Counter
 
 import numpy as np
+import pytest
 from helpers import frame, hard_rows, prose
+from pyspark.sql import functions as F
 
 from tallyframe.llm import base, components, kmeans, maxscore, mixing, near_dup, warc_fixity
 
@@ -82,6 +84,23 @@ def test_joins_deal_heavy_keys_to_several_tasks(spark, monkeypatch, tmp_path):
         assert Counter(got.select("k", "i", "part", "parts").collect()) == Counter(rows.join(table, "k", how).select("k", "i", "part", "parts").collect())
 
 
+def test_a_hub_of_the_greatest_id_is_dealt(spark, monkeypatch):
+    monkeypatch.setattr(base, "HEAVY", 5)
+    base_words = prose(120, 70).split(" ")
+    rows = [(900, " ".join(base_words), "h")]  # near all of these, which aren't near each other
+    for k in range(24):
+        words = list(base_words)
+        words[5 * (k % 20) + 2] = f"own{k}"
+        words[-1 - k // 20] = f"end{k}"
+        rows.append((k, " ".join(words), "h"))
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == plain_components(rows)
+    pairs = base.cut(spark.createDataFrame([(k, 900) for k in range(40)] + [(1, k) for k in range(2, 20)], "a long, b long"), "pairs")
+    nodes = spark.createDataFrame([(k, k * 7) for k in [*range(40), 900]], "node long, x long")
+    assert Counter(map(tuple, near_dup._both_sides(pairs, nodes, {"x": F.col("x")}).select("a", "b", "x_a", "x_b").collect())) == Counter((a, b, 7 * a, 7 * b) for a, b in pairs.collect())
+    assert {r["b"]: r["parts"] for r in base.heavy_keys(pairs, "b").collect()} == {900: 8}
+
+
 def test_large_buckets_go_block_by_block(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "SMALL", 3)
     monkeypatch.setattr(near_dup, "BLOCK", 4)
@@ -164,10 +183,12 @@ def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, v string")
 
 
-def test_maxscore_against_all_scores(spark, monkeypatch):
+@pytest.mark.parametrize("growth", [2, 16])
+def test_maxscore_against_all_scores(spark, monkeypatch, growth):
     monkeypatch.setattr(maxscore, "BLOCK", 16)
     monkeypatch.setattr(maxscore, "VECTORS", 64)
     monkeypatch.setattr(maxscore, "QUERIES", 2)
+    monkeypatch.setattr(maxscore, "GROWTH", growth)
     r = np.random.default_rng(2)
     rows = [(i, [float(x) for x in r.normal(0, 0.2, 8).astype(np.float32)], "x") for i in range(500)]
     rows += [(600 + i, rows[i % 5][1], "x") for i in range(30)]  # ties
@@ -185,6 +206,19 @@ def test_maxscore_against_all_scores(spark, monkeypatch):
     assert maxscore.top_k(none, none).collect() == []
 
 
+def test_maxscore_shards_with_a_bar_send_less(spark):
+    r = np.random.default_rng(8)
+    v = np.floor(1024 * r.normal(0, 0.2, (2000, 16))).astype(int)
+    made = spark.createDataFrame([(i, i % 20, 0, x.tolist()) for i, x in enumerate(v)], "vec_id long, shard int, part int, v array<long>")
+    bars = {q: sorted((int(v[i] @ v[q]) for i in range(2000) if i % 20 < 5 and i != q), reverse=True)[9] for q in range(0, 2000, 100)}
+    asked = lambda bar: spark.createDataFrame([(q, s, 0, v[q].tolist(), str(b) if bar else None) for q, b in bars.items() for s in range(20)], "vec_id long, shard int, part int, v array<long>, bar string")
+    every, few = (maxscore.scored_tiles(made, asked(bar), 16, 10).collect() for bar in (False, True))
+    assert len(every) == 20 * 20 * 10 and len(few) < len(every) / 4 and min(x["score"] - bars[x["query_id"]] for x in few) == 0
+    for q in bars:
+        first = lambda rows: sorted((-x["score"], x["vec_id"]) for x in rows if x["query_id"] == q)[:10]  # noqa: B023, E731
+        assert first(every) == first(few)
+
+
 def test_maxscore_skips_most_vectors():
     r = np.random.default_rng(4)
     for n in (500, 8192):  # the bounds act in small tables too
