@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-_MODULES = ("scalar", "relational", "windowed", "scans", "products", "audits", "reports", "builds", "layers")
+_MODULES = ("scalar", "relational", "windowed", "scans", "products", "audits", "reports", "builds", "layers", "registry_products")
 
 
 class Tables:
