@@ -40,6 +40,8 @@ SCALE = 20
 LOW = np.uint64(1 << 31)  # a state is in [2**31, 2**63)
 WORD_BITS = np.uint64(32)
 LANES = 2048
+#: Up to so many files their first places are broadcast (about 20 bytes each); beyond, they are joined.
+FEW_FILES = 1_000_000
 #: A block is closed when it holds so many ids; one very long document may make it longer.
 BLOCK = 1 << 19
 #: Steps from one checkpoint to the next.
@@ -355,10 +357,11 @@ def read_files(spark: SparkSession, path: str, vocabulary: str, with_ids: bool =
         return out
 
     rows = whole.unionByName(map_rows(several, ["file", "doc_id", "place", "n_tokens", "parts"], run, schema, rows=16))
-    # One row per file, of FILE ids each, stands in this window.
+    # One row per file, of FILE ids each, stands in this window; the rows are counted before they are broadcast.
     files = blocks.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    begin = files.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("begin"))
-    found = rows.join(F.broadcast(begin), "file").select("doc_id", (F.col("begin") + F.col("place")).alias("start"), "n_tokens", F.col("crc32").alias("ids_crc32"), "ids")
+    begin = cut(files.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("begin")), "file-starts")
+    begin = F.broadcast(begin) if begin.count() <= FEW_FILES else begin
+    found = rows.join(begin, "file").select("doc_id", (F.col("begin") + F.col("place")).alias("start"), "n_tokens", F.col("crc32").alias("ids_crc32"), "ids")
     return found if with_ids else found.drop("ids")
 
 
