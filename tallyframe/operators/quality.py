@@ -52,6 +52,45 @@ def nested(df: DataFrame, key: Column, *columns: str) -> DataFrame:
     return violations("nested_" + "_".join(columns), df, bad, key)
 
 
+def bounded(df: DataFrame, column: str, low: float, high: float, keys: Sequence[str]) -> DataFrame:
+    """Rows whose value is outside its bounds."""
+    return _at_grain(f"bounded_{column}", df, ~F.col(column).between(low, high), keys)
+
+
+def no_self_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Records that are paired with themselves."""
+    return violations(f"self_pair_{a}_{b}", df, F.col(a) == F.col(b), F.col(a))
+
+
+def enough_owners(df: DataFrame, index: str, owners: str, keys: Sequence[str], least: int = 3) -> DataFrame:
+    """Segments that give a concentration with too few owners, or none with enough."""
+    return _at_grain(f"owners_{index}", df, F.col(index).isNotNull() != (F.col(owners) >= least), keys)
+
+
+def explained(df: DataFrame, counts: str, reason: str, key: Column) -> DataFrame:
+    """Rows that count and name a reason against it, or do neither."""
+    return violations(f"explained_{counts}", df, F.col(counts).eqNullSafe(F.lit(True)) != F.col(reason).isNull(), key)
+
+
+def unchanged_by_join(name: str, before: DataFrame, after: DataFrame, scope: str, value: str) -> DataFrame:
+    """Scopes whose total a join has changed, as one does that multiplies or loses the rows of a study."""
+    return equal_totals(name, before, after, scope, value)
+
+
+def parts_of_whole(name: str, strata: DataFrame, kind: str, value: str, whole: DataFrame) -> DataFrame:
+    """Kinds of strata whose parts don't add up to the one row of the whole (its column of the same name)."""
+    total = whole.select(F.col(value).alias("_all"))
+    per = strata.groupBy(kind).agg(F.sum(value).alias("_sum")).crossJoin(F.broadcast(total))  # the whole is one row
+    return violations(name, per, ~F.col("_sum").eqNullSafe(F.col("_all")), F.col(kind))
+
+
+def members_hold(name: str, members: DataFrame, key: str, expected: DataFrame, scope: str) -> DataFrame:
+    """Memberships (scope, key) on one side only, with the scope before the key."""
+    a, b = members.select(scope, key).distinct(), expected.select(scope, key).distinct()
+    odd = a.join(b, [scope, key], "left_anti").unionByName(b.join(a, [scope, key], "left_anti"))
+    return odd.select(F.lit(name).alias("check"), F.concat_ws("|", scope, key).alias("item"))
+
+
 def _at_grain(name: str, df: DataFrame, bad: Column, keys: Sequence[str]) -> DataFrame:
     return violations(name, df, bad, F.concat_ws("|", *keys))
 

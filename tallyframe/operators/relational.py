@@ -55,11 +55,23 @@ def either_key_join(a: DataFrame, b: DataFrame, keys: Sequence[str], b_key: str,
     return laid.join(b, b_key).dropDuplicates([row, b_key])
 
 
+#: Hand-written rules that are broadcast at most, about 100 bytes each.
+MOST_RULES = 10_000
+
+
+def counted_rules(rules: DataFrame) -> DataFrame:
+    """The rules, if they are few enough to be sent everywhere."""
+    if (n := rules.count()) > MOST_RULES:
+        raise ValueError(f"{n} rules; at most {MOST_RULES} are sent to every task")
+    return rules
+
+
 def tiered_rules(df: DataFrame, text: str, rules: DataFrame, row: str) -> DataFrame:
     """The best rule of each row: exact terms before substrings, then the rule's order.
 
-    ``rules`` (kind, term, ord, label) is a small hand-written table; exact terms are an equi-join, substrings a broadcast.
+    ``rules`` (kind, term, ord, label) is a hand-written table; exact terms are an equi-join, substrings a broadcast of at most MOST_RULES rows.
     """
+    counted_rules(rules.where(F.col("kind") == "substring"))
     exact = df.join(rules.where(F.col("kind") == "exact"), F.col(text) == F.col("term")).withColumn("tier", F.lit(0))
     part = F.broadcast(rules.where(F.col("kind") == "substring"))
     loose = df.join(part, F.contains(F.col(text), F.col("term"))).withColumn("tier", F.lit(1))

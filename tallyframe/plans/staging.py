@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_text
+from ..operators.incremental import append_new
+from ..sources.sinks import read_run, write_run
 
 # The columns of the staged tables and their types. A bare name is text.
 PROVENANCE = ("ingestion_run_id", "indication_profile_id", "nct_id", "source_json_hash")
@@ -89,13 +91,22 @@ def stage_snapshots(manifests: DataFrame) -> DataFrame:
     return typed(manifests, SNAPSHOTS, "ingestion_run_id", more)
 
 
-def materialise(layers: Mapping[str, tuple[str, DataFrame]], root: str) -> dict[str, DataFrame]:
-    """Relations by layer: ``view`` stays lazy under its name, ``table`` is written once below ``root`` and read from there."""
+def materialise(layers: Mapping[str, tuple], root: str) -> dict[str, DataFrame]:
+    """Relations by layer: (``view``, df) stays lazy under its name, (``table``, df) is written whole below ``root``, (``log``, df, key) appends rows of new keys.
+
+    A table is a new version that a marker puts in force once it is whole: its plan may read the version before, and a write that breaks off
+    leaves that one standing. A log is never rebuilt: it keeps what it has, takes no key twice, and refuses rows of another schema.
+    """
     out = {}
-    for name, (kind, df) in layers.items():
+    for name, (kind, df, *key) in layers.items():
         if kind == "table":
-            df.write.mode("overwrite").parquet(f"{root}/{name}")
+            write_run({"rows": df}, f"{root}/{name}", "table")
+            df = read_run(df.sparkSession, f"{root}/{name}", "table")["rows"]
+        elif kind == "log":
+            append_new(df, f"{root}/{name}", *key)
             df = df.sparkSession.read.schema(df.schema).parquet(f"{root}/{name}")
+        elif kind != "view":
+            raise ValueError(f"no layer is a {kind}")
         df.createOrReplaceTempView(name)
         out[name] = df
     return out

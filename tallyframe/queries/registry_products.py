@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import quality
+from ..operators.relational import concentration, strata
+from ..plans import dimensions
 from ..plans import registry as plans
 from ..registry import Tables, query
 
@@ -125,3 +128,29 @@ def mrt27_review_queue(t: Tables) -> DataFrame:
     runs = runs.where("indication_profile_id < 'C'").select("indication_profile_id", C("r.id").alias("ingestion_run_id"), C("r.d").alias("snapshot_date"), C("r.s").alias("usable_location_share"), C("r.t").alias("status"))
     out = plans.build_review_queue(competition, rows.select("indication_profile_id", "snapshot_date"), sites, overlap, activity, runs)
     return out.select("snapshot_date", *plans.SEGMENT, "recruiting_trial_count", "has_multi_snapshot_history", "observed_history_days", *(F.round(c, 8).alias(c) for c in ("site_overlap_share", "operational_completeness_share")), "priority_explanation")
+
+
+@query(f"""WITH {RUNS_SQL}, own AS (SELECT o_custkey % 400 AS seg, count(DISTINCT o_orderpriority) AS n FROM orders GROUP BY 1), p AS (SELECT l_partkey % 50 AS a, l_suppkey % 50 AS b, l_discount * 12 AS score, l_orderkey, l_linenumber FROM lineitem),
+u AS (SELECT t.*, r.profile FROM trials t JOIN runs r USING (run)), w AS (SELECT profile, sum(CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey END) AS x FROM u GROUP BY 1), v AS (SELECT profile, sum(CASE WHEN u.o_orderkey % 4 > 0 THEN u.o_orderkey END) AS x FROM u JOIN places USING (run, nct) GROUP BY 1)
+SELECT 'owners_hhi' AS "check", seg::VARCHAR AS item FROM own WHERE n = 2
+UNION ALL SELECT 'bounded_score', concat_ws('|', l_orderkey, l_linenumber) FROM p WHERE score NOT BETWEEN 0 AND 1 UNION ALL SELECT 'self_pair_a_b', a::VARCHAR FROM p WHERE a = b
+UNION ALL SELECT 'strata', 'priority' UNION ALL SELECT 'explained_eligible', o_orderkey::VARCHAR FROM trials WHERE o_orderkey % 97 = 0
+UNION ALL SELECT 'enrollment', coalesce(w.profile, v.profile) FROM w FULL JOIN v ON w.profile = v.profile WHERE w.x IS DISTINCT FROM v.x
+UNION ALL SELECT 'members', concat_ws('|', preset, k) FROM (SELECT DISTINCT CASE c_mktsegment WHEN 'BUILDING' THEN 'p' ELSE 'unassigned' END AS preset, c_custkey AS k FROM customer) WHERE preset = 'unassigned' AND k % 13 = 0
+UNION ALL SELECT 'unique_nct_id_snapshot_id', nct || '|' || run FROM trials GROUP BY nct, run HAVING count(*) > 1""")
+def qc6_product_checks(t: Tables) -> DataFrame:
+    owners = concentration(t.orders.withColumn("seg", C("o_custkey") % 400), ["seg"], "o_orderpriority", F.count("*"), 2)  # too few for the rule of three
+    pairs = t.lineitem.select((C("l_partkey") % 50).alias("a"), (C("l_suppkey") % 50).alias("b"), (C("l_discount") * 12).alias("score"), "l_orderkey", "l_linenumber")
+    parts = strata(t.orders, {"status": C("o_orderstatus"), "priority": C("o_orderpriority")}, [F.count("*").alias("n")]).where("stratum <> '5-LOW'")
+    trials, places = _trials(t), _places(t)
+    audited = trials.select(C("record").alias("key"), (C("record") % 2 == 0).alias("eligible"), F.when((C("record") % 2 == 1) != (C("record") % 97 == 0), "why").alias("reason"))
+    after = trials.join(places.select("ingestion_run_id", "nct_id"), ["ingestion_run_id", "nct_id"])
+    presets = t.spark.createDataFrame([("p", "building")], "preset string, term string")
+    members = dimensions.build_membership(t.customer, "c_custkey", C("c_mktsegment"), presets)
+    kept = members.where("preset = 'p' OR c_custkey % 13 > 0")
+    return quality.together(
+        quality.enough_owners(owners, "hhi", "owners", ["seg"]), quality.bounded(pairs, "score", 0.0, 1.0, ["l_orderkey", "l_linenumber"]), quality.no_self_pairs(pairs, "a", "b"),
+        quality.parts_of_whole("strata", parts, "stratum_type", "n", t.orders.agg(F.count("*").alias("n"))), quality.explained(audited, "eligible", "reason", C("key")),
+        quality.unchanged_by_join("enrollment", trials, after, "indication_profile_id", "enrollment_count"), quality.members_hold("members", kept, "c_custkey", members, "preset"),
+        quality.unique(trials, ["nct_id", "snapshot_id"]),
+    )

@@ -2,11 +2,12 @@
 
 A page is read with its records as raw JSON text, so that the hash of a record covers all of its fields, also those that
 no entity uses. The first record of each key is found by grouping keys, hashes and places, and records are joined to that once.
-With a ``store`` all records are parsed, hashed and written once, and the nine tables are projections of that table.
+All records are parsed, hashed and written once, and the nine tables are projections of that table.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from ..functions.arrays import joined_phases
 from ..functions.jsons import canonical_hash
 from ..functions.text import geo_scope, in_country, nested_flag, normalize_text_unicode, state_code
+from ..operators.relational import counted_rules
+from ..operators.stages import shared_folder
 from .pages import demographics, entity, first_per_key, read_pages, repeated_keys, screen, split_quarantine, terms_once, without_later
 
 _DENOMS = "array<struct<units: string, counts: array<struct<groupId: string, value: string>>>>"
@@ -75,13 +78,13 @@ def quality_flag() -> Column:
 def map_conditions(conditions: DataFrame, rules: DataFrame | None, default_group: str = "unmapped") -> DataFrame:
     """condition_group, relevance, confidence and source by the first exact rule, else the first substring rule, else the default.
 
-    ``rules`` (kind exact or substring, term, ord, label, relevance) is the taxonomy, a hand-written table.
+    ``rules`` (kind exact or substring, term, ord, label, relevance) is the taxonomy, a hand-written table of at most ``MOST_RULES`` rows.
     """
     named = conditions.withColumn("condition_normalized", normalize_text_unicode(F.col("condition_raw")))
     if rules is None:
         out = named.withColumns({"condition_group": F.lit(default_group), "dementia_relevance_flag": F.lit(False), "mapping_confidence": F.lit("low")})
     else:
-        listed = F.broadcast(rules.groupBy().agg(F.sort_array(F.collect_list(F.struct(F.when(F.col("kind") == "exact", 0).otherwise(1).alias("tier"), "ord", "term", "label", "relevance"))).alias("_rules")))
+        listed = F.broadcast(counted_rules(rules).groupBy().agg(F.sort_array(F.collect_list(F.struct(F.when(F.col("kind") == "exact", 0).otherwise(1).alias("tier"), "ord", "term", "label", "relevance"))).alias("_rules")))
         text = F.col("condition_normalized")
         hits = F.filter("_rules", lambda r: F.when(r["tier"] == 0, r["term"] == text).otherwise(F.contains(text, r["term"])))
         best = F.get(hits, F.lit(0))
@@ -92,20 +95,22 @@ def map_conditions(conditions: DataFrame, rules: DataFrame | None, default_group
 
 
 def flatten(
-    records: DataFrame, run: Mapping[str, str], states: Mapping[str, str], home: Sequence[str], taxonomy: DataFrame | None = None, sidecars: DataFrame | None = None, store: str | None = None,
+    records: DataFrame, run: Mapping[str, str], states: Mapping[str, str], home: Sequence[str], taxonomy: DataFrame | None = None, sidecars: DataFrame | None = None, store: str | None = None, parse_once: bool = True,
 ) -> tuple[dict[str, DataFrame], DataFrame]:
     """Nine entity tables of one run, and the quarantined records with their reason.
 
     ``run`` gives ingestion_run_id, indication_profile_id and snapshot_timestamp_utc. Of records with one id the first by
     page and place counts; differing contents stop the job. ``store`` is a folder for the parsed records and the keys that
-    repeat, else each table reads the pages anew.
+    repeat, one of the shared folder's own where it isn't given; without ``parse_once`` there is none, and each table parses the pages anew.
     """
+    if parse_once and not store:
+        store = f"{shared_folder(records.sparkSession)}/studies-{uuid.uuid4().hex}"
     with_time = records.join(sidecars, "raw_page_reference", "left") if sidecars is not None else records.withColumn("retrieved_at_utc", F.lit(None).cast("string"))
     study = F.col("r.protocolSection")
     rows = with_time.withColumn("nct_id", study["identificationModule"]["nctId"])
     screened = screen(rows, F.ltrim("raw").startswith("{"), F.col("nct_id"), ID_PATTERN)
     place = ["raw_page_reference", "raw_study_ordinal"]
-    if store:
+    if parse_once:
         kept = screened.withColumn("raw", F.when(F.col("reason").isNotNull(), F.col("raw")))  # only the quarantine shows it
         good, bad = split_quarantine(_written(kept, f"{store}/records"))
         good = without_later(good, _written(repeated_keys(good, "nct_id", "source_json_hash", place), f"{store}/repeated"), "nct_id", place)

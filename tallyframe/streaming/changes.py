@@ -18,12 +18,15 @@ from ..sources.pages import screen
 COMPACT = 20
 
 
-def _read(spark: SparkSession, path: str, schema) -> DataFrame:
+def _read(spark: SparkSession, path: str, schema, first: bool = False) -> DataFrame:
+    """A part of the state; only the one before the ``first`` batch may not be there."""
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException as gone:
         if "PATH_NOT_FOUND" not in str(gone):
             raise
+        if not first:
+            raise FileNotFoundError(f"the state at {path} is gone; without it every key would seem new") from gone
         return spark.createDataFrame([], schema)
 
 
@@ -46,7 +49,7 @@ def state_before(spark: SparkSession, root: str, number: int, keys: Sequence[str
     """The newest observation of each key before a batch: the last whole state (before batch ``since``), and what the batches since then changed."""
     known = number if since is None else since
     whole = known - 1 - (known % COMPACT)  # -1 before the first
-    parts = [_read(spark, f"{root}/state/whole={whole}", schema), *(_read(spark, f"{root}/state/batch={n}", schema) for n in range(whole + 1, number))]
+    parts = [_read(spark, f"{root}/state/whole={whole}", schema, whole < 0), *(_read(spark, f"{root}/state/batch={n}", schema) for n in range(whole + 1, number))]
     rest = [f.name for f in schema if f.name not in keys]
     every = reduce(DataFrame.unionByName, parts)
     newest = every.groupBy(*keys).agg(F.max(F.struct(at, *(c for c in rest if c != at))).alias("m"))

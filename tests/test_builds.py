@@ -65,6 +65,25 @@ def test_old_runs_lack_columns_and_layers_are_views_or_tables(spark, tmp_path):
     assert spark.table("mart_sources").count() == 2 and layers["mart_sources"].inputFiles() and not layers["stg_conditions"].inputFiles()
 
 
+def test_layers_are_refreshed_whole_or_not_at_all(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    read = lambda out, name: sorted(map(tuple, out[name].collect()))
+    first = staging.materialise({"mart": ("table", rows), "events": ("log", rows, "k")}, str(tmp_path))
+    # the new version is made of the old one
+    again = first["mart"].withColumn("v", F.upper("v")).unionByName(rows.where("k = 1"))
+    more = spark.createDataFrame([(2, "other"), (3, "c"), (3, "c")], rows.schema)
+    second = staging.materialise({"mart": ("table", again), "events": ("log", more, "k")}, str(tmp_path))
+    assert read(second, "mart") == [(1, "A"), (1, "a"), (2, "B")] and read(second, "events") == [(1, "a"), (2, "b"), (3, "c")]
+    broken = rows.withColumn("v", F.raise_error(F.lit("disk is gone")).cast("string"))
+    with pytest.raises(Exception, match="disk is gone"):
+        staging.materialise({"mart": ("table", broken)}, str(tmp_path))
+    assert read(staging.materialise({"copy": ("view", spark.table("mart"))}, str(tmp_path)), "copy") == read(second, "mart")
+    with pytest.raises(ValueError, match="schema changed"):
+        staging.materialise({"events": ("log", rows.withColumn("z", F.lit(1)), "k")}, str(tmp_path))
+    with pytest.raises(ValueError, match="no layer"):
+        staging.materialise({"x": ("cube", rows)}, str(tmp_path))
+
+
 def test_detail_documents_and_explorer(spark):
     trials = spark.createDataFrame([("N1",), ("N2",)], "nct_id string")
     sites = spark.createDataFrame([("N1", 1, "NY", True), ("N1", 0, "DE", True), ("N1", 2, "PA", False)], "nct_id string, ord int, state string, ok boolean")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.queries import windowed
@@ -47,6 +48,14 @@ def test_state_is_kept_in_parts_and_made_whole(spark, tmp_path, monkeypatch):
     assert spark.read.parquet(f"{tmp_path}/out/state/batch=4").count() == 2 and spark.read.parquet(f"{tmp_path}/out/state/whole=3").count() == 5
 
 
+def test_a_lost_state_is_an_error(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 5, "a")], "k long, at long, s string")
+    assert changes.state_before(spark, str(tmp_path), 0, ["k"], "at", rows.schema).collect() == []
+    rows.write.parquet(f"{tmp_path}/state/batch=1")
+    with pytest.raises(FileNotFoundError, match="batch=0 is gone"):
+        changes.state_before(spark, str(tmp_path), 2, ["k"], "at", rows.schema)
+
+
 def test_late_rows_change_nothing(spark):
     state = spark.createDataFrame([(1, 5, "a")], "k long, at long, s string")
     batch = spark.createDataFrame([(1, 4, "b"), (1, 6, "b"), (1, 6, "b"), (2, 1, "a"), (1, 7, None)], "k long, at long, s string")

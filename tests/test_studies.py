@@ -42,7 +42,7 @@ def flat(spark, tmp_path):
 def test_stored_records_give_the_same_tables(flat, spark, tmp_path):
     rules = spark.createDataFrame([("exact", "flu", 1, "flu", False)], "kind string, term string, ord int, label string, relevance boolean")
     records = studies.read_records(spark, f"{tmp_path}/page=*.json")
-    plain, _ = studies.flatten(records, RUN, STATES, ("usa",), rules)
+    plain, _ = studies.flatten(records, RUN, STATES, ("usa",), rules, parse_once=False)
     stored, _ = studies.flatten(records, RUN, STATES, ("usa",), rules, store=f"{tmp_path}/work")
     for name, df in plain.items():
         assert stored[name].columns == df.columns and sorted(map(str, stored[name].collect())) == sorted(map(str, df.collect())), name
@@ -53,7 +53,7 @@ def test_stored_quarantine_and_differing_records(spark, tmp_path):
     pages = [[FULL, record("NCT00000002"), "text", {"protocolSection": {}}], [record("NCT1"), record("NCT00000002")], [FULL]]
     for i, p in enumerate(pages):
         (tmp_path / f"page=0000{i}.json").write_text(json.dumps({"studies": p}))
-    plain, stored = (studies.flatten(studies.read_records(spark, f"{tmp_path}/page=*.json"), RUN, STATES, ("usa",), store=s) for s in (None, f"{tmp_path}/work"))
+    plain, stored = (studies.flatten(studies.read_records(spark, f"{tmp_path}/page=*.json"), RUN, STATES, ("usa",), store=s, parse_once=bool(s)) for s in (None, f"{tmp_path}/work"))
     assert sorted(map(str, plain[1].collect())) == sorted(map(str, stored[1].collect()))
     first = [(r["nct_id"], r["raw_page_reference"], r["raw_study_ordinal"]) for r in stored[0]["trials"].collect()]
     assert sorted(first) == [("NCT00000001", "page=00000.json", 0), ("NCT00000002", "page=00000.json", 1)]
