@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import bitmaps, intervals, nearest, running, term_index
+from ..functions import variants
+from ..operators import bitmaps, intervals, nearest, quality, running, term_index
 from ..operators.stages import shared_folder
 from ..plans import search
 from ..plans.similarity import Factor, build_top_matches, overlap
@@ -155,3 +156,17 @@ def qry1_search_filter_sets(t: Tables) -> DataFrame:
     pages = [search.build_search(*tables, w).withColumn("page", F.lit(n)) for n, w in enumerate(wanted, 1)]
     rows = pages[0].unionByName(pages[1]).unionByName(pages[2])
     return rows.select("page", c("nct_id").alias("k"), c("nearest_facility_name").alias("facility"), F.round("distance_miles", 6).alias("miles"), F.array_join("conditions", ",").alias("conditions"), c("sponsor_class").alias("class"), "total")
+
+
+@query("""WITH k AS (SELECT conv_id, turn, role, length(text) AS n FROM conversations), p AS (SELECT unnest(CASE WHEN n % 3 = 0 THEN ['turn', 'said', 'said.by', 'said.parts', 'said.parts[].n'] ELSE ['turn', 'said', 'said.by', 'said.parts'] END) AS path FROM k) SELECT path, count(*) AS n FROM p GROUP BY 1""")
+def udf3_variant_field_paths(t: Tables) -> DataFrame:
+    n = F.length("text")
+    parts = F.when(n % 3 == 0, F.array(F.struct(n.alias("n")), F.struct(n.alias("n")))).otherwise(F.array().cast("array<struct<n:int>>"))
+    text = F.to_json(F.struct("turn", F.struct(F.col("role").alias("by"), parts.alias("parts")).alias("said")))
+    return variants.field_paths(t.conversations.select("conv_id", "turn", text.alias("doc")), ["conv_id", "turn"], "doc").groupBy("path").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'k' AS path, 'added' AS change UNION ALL SELECT 'a', 'removed'")
+def qc4_variant_schema_drift(t: Tables) -> DataFrame:
+    observed = variants.field_paths(t.events, ["event_id"], "props")
+    return quality.drift(observed, t.spark.createDataFrame([("a",)], "path string"), "path")
