@@ -136,3 +136,21 @@ def build_reliability_trend(rows: DataFrame, run: Column, name: str, fault: Colu
     per = rows.groupBy(run.alias(name)).agg(safe_divide(F.count_if(fault), F.count("*")).alias("_s"))
     change = F.col("_s") - F.lag("_s").over(Window.orderBy(name))  # one row per run
     return per.select(name, F.round("_s", 8).alias(share), F.round(change, 8).alias("change"))
+
+
+def build_recount(counts: DataFrame, again: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Two independent counts side by side: ``keys``, ``value``, ``recount`` and whether they agree; a key that one side lacks doesn't."""
+    other = again.select(*(F.col(c).alias(f"_{c}") for c in keys), F.col(value).alias("recount"))
+    rows = counts.select(*keys, value).join(other, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys)), "full")
+    return rows.select(*(F.coalesce(c, f"_{c}").alias(c) for c in keys), value, "recount", F.col(value).eqNullSafe(F.col("recount")).alias("agrees"))
+
+
+def build_grouped_trend(rows: DataFrame, scope: str, run: str, share: str) -> DataFrame:
+    """A share per run of each scope and its change from the scope's run before."""
+    change = F.col(share) - F.lag(share).over(Window.partitionBy(scope).orderBy(run))
+    return rows.select(scope, run, F.round(share, 8).alias(share), F.round(change, 8).alias("change"))
+
+
+def build_top_rows(rows: DataFrame, columns: Sequence[str], order: Sequence[Column], top: int) -> DataFrame:
+    """The first ``top`` rows of a report; ``order`` must tell rows apart."""
+    return rows.orderBy(*order).limit(top).select(*columns)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import variants
 from ..operators import bitmaps, intervals, nearest, quality, running, term_index
 from ..operators.stages import shared_folder
-from ..plans import search
+from ..plans import reports, search
 from ..plans.similarity import Factor, build_top_matches, overlap
 from ..registry import Tables, query
 from .windowed import DAILY_SQL, daily
@@ -116,10 +116,11 @@ def mrt10_top_25_by_seven_factors(t: Tables) -> DataFrame:
     return build_top_matches(features, "a", "tokens", FACTORS).withColumnRenamed("match", "b").drop("shared")
 
 
-TRIALS_SQL = """t AS (SELECT o_orderkey AS k, o_orderpriority AS title, o_orderstatus AS status, CASE o_custkey % 3 WHEN 0 THEN 'P1' WHEN 1 THEN 'P1/P2' END AS phase, CASE WHEN o_custkey % 5 > 0 THEN 40 + o_custkey % 50 END AS max_age,
+LISTED_SQL = """t AS (SELECT o_orderkey AS k, o_orderpriority AS title, o_orderstatus AS status, CASE o_custkey % 3 WHEN 0 THEN 'P1' WHEN 1 THEN 'P1/P2' END AS phase, CASE WHEN o_custkey % 5 > 0 THEN 40 + o_custkey % 50 END AS max_age,
 CASE o_custkey % 4 WHEN 0 THEN 'ALL' WHEN 1 THEN 'FEMALE' WHEN 2 THEN 'MALE' END AS sex, o_custkey % 2 = 0 AS healthy, o_orderdate::DATE AS started, CASE WHEN o_orderkey % 7 > 0 THEN o_orderdate::DATE + 30 END AS updated, c_mktsegment AS class FROM orders JOIN customer ON c_custkey = o_custkey),
 x AS (SELECT DISTINCT l_orderkey AS k, s_suppkey AS n, s_name AS facility, CASE WHEN s_suppkey % 2 = 0 THEN 25.0::DOUBLE + s_nationkey WHEN s_suppkey % 3 = 0 THEN 40.0 + s_nationkey ELSE 10.0 + n_regionkey END AS lat,
-CASE WHEN s_suppkey % 2 = 0 THEN -120.0::DOUBLE + 2 * s_nationkey WHEN s_suppkey % 3 = 0 THEN -90.0 ELSE -80.0 END AS lon FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey WHERE l_linestatus = 'O'),
+CASE WHEN s_suppkey % 2 = 0 THEN -120.0::DOUBLE + 2 * s_nationkey WHEN s_suppkey % 3 = 0 THEN -90.0 ELSE -80.0 END AS lon FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey WHERE l_linestatus = 'O')"""
+TRIALS_SQL = f"""{LISTED_SQL},
 y AS (SELECT k, min(struct_pack(miles, n, facility)) AS s FROM (SELECT *, 2*3958.8*asin(sqrt(least(1.0, greatest(0.0, pow(sin(radians(lat - 30.0)/2),2) + cos(radians(30.0))*cos(radians(lat))*pow(sin(radians(lon + 100.0)/2),2))))) AS miles FROM x) GROUP BY k),
 g AS (SELECT l_orderkey AS k, list_sort(list(DISTINCT p_name)) AS conditions, bool_or(contains(lower(p_name), 'cold')) AS cold, bool_or(p_type = 'ECONOMY') AS economy FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1),
 j AS (SELECT t.*, g.conditions, coalesce(cold, false) AS cold, coalesce(economy, false) AS economy, y.s.miles AS miles, y.s.facility AS facility, (SELECT min(struct_pack(n, facility)) FROM x WHERE x.k = t.k).facility AS first_facility FROM t LEFT JOIN g USING (k) LEFT JOIN y USING (k)),
@@ -128,8 +129,8 @@ UNION ALL SELECT 2, k, facility, round(miles, 6), conditions, class, count(*) OV
 UNION ALL SELECT 3, k, first_facility, NULL, conditions, class, count(*) OVER (), row_number() OVER (ORDER BY started, k) FROM j WHERE class = 'FURNITURE' AND economy AND healthy AND updated >= DATE '1997-01-01')"""
 
 
-@query(f"WITH {TRIALS_SQL} SELECT page, k, facility, miles, array_to_string(conditions, ',') AS conditions, class, total FROM a WHERE rn <= 41")
-def qry1_search_filter_sets(t: Tables) -> DataFrame:
+def _search_tables(t: Tables) -> tuple[DataFrame, ...]:
+    """Trials, sited sites, sponsors, interventions, conditions and terms."""
     k, c = F.col("o_custkey"), F.col
     trials = t.orders.join(t.customer.select("c_custkey"), c("c_custkey") == k).select(
         c("o_orderkey").alias("nct_id"), c("o_orderpriority").alias("brief_title"), c("o_orderstatus").alias("overall_status"), F.when(k % 3 == 0, "P1").when(k % 3 == 1, "P1/P2").alias("phase"), F.lit(None).cast("double").alias("min_age_years"),
@@ -148,7 +149,12 @@ def qry1_search_filter_sets(t: Tables) -> DataFrame:
     parts = t.lineitem.select(c("l_orderkey").alias("nct_id"), "l_partkey").join(t.part, c("p_partkey") == c("l_partkey"))
     conditions = parts.select("nct_id", c("p_name").alias("condition_raw"), F.lit(None).cast("string").alias("condition_group"), c("p_name").alias("condition_normalized"))
     terms = parts.select("nct_id", c("p_brand").alias("mesh_term"), c("p_brand").alias("mesh_id"))
-    tables = (trials, search.sited(sites, zips, cities), sponsors, parts.select("nct_id", c("p_type").alias("intervention_type")), conditions, terms)
+    return (trials, search.sited(sites, zips, cities), sponsors, parts.select("nct_id", c("p_type").alias("intervention_type")), conditions, terms)
+
+
+@query(f"WITH {TRIALS_SQL} SELECT page, k, facility, miles, array_to_string(conditions, ',') AS conditions, class, total FROM a WHERE rn <= 41")
+def qry1_search_filter_sets(t: Tables) -> DataFrame:
+    tables, c = _search_tables(t), F.col
     wanted = [
         search.Wanted(status="f", phase="p2", condition="Cold", size=40), search.Wanted(place=(30.0, -100.0), radius_miles=900.0, min_age=60, sex="Male", sort="distance", size=40),
         search.Wanted(sponsor_class="FURNITURE", intervention_type="economy", healthy_volunteers=True, updated_since="1997-01-01", sort="start_date", size=40),
@@ -158,6 +164,17 @@ def qry1_search_filter_sets(t: Tables) -> DataFrame:
     return rows.select("page", c("nct_id").alias("k"), c("nearest_facility_name").alias("facility"), F.round("distance_miles", 6).alias("miles"), F.array_join("conditions", ",").alias("conditions"), c("sponsor_class").alias("class"), "total")
 
 
+@query(f"""WITH {LISTED_SQL},
+d AS (SELECT k, n, CASE WHEN n % 2 = 0 THEN 'registry' WHEN n % 3 = 0 THEN 'zip' ELSE 'city' END AS source, round(2*3958.8*asin(sqrt(least(1.0, greatest(0.0, pow(sin(radians(lat - 30.0)/2),2) + cos(radians(30.0))*cos(radians(lat))*pow(sin(radians(lon + 100.0)/2),2))))), 1) AS miles FROM x)
+SELECT t.k, coalesce(string_agg(concat_ws(':', n, source, (miles * 10)::BIGINT), ';' ORDER BY n), '') AS sites FROM t LEFT JOIN d USING (k) GROUP BY t.k""")
+def qry2_details_with_site_distances(t: Tables) -> DataFrame:
+    trials, sites, *_ = _search_tables(t)
+    child = search.build_site_details(sites, (30.0, -100.0))
+    docs = reports.build_detail_documents(trials.select("nct_id"), "nct_id", {"sites": (child, ["location_ordinal"], ["location_ordinal", "coordinate_source", "distance_miles"])})
+    shown = F.transform("sites", lambda s: F.concat_ws(":", s["location_ordinal"].cast("string"), s["coordinate_source"], F.round(s["distance_miles"] * 10).cast("long").cast("string")))
+    return docs.select(F.col("nct_id").alias("k"), F.array_join(shown, ";").alias("sites"))
+
+
 @query("""WITH k AS (SELECT conv_id, turn, role, length(text) AS n FROM conversations), p AS (SELECT unnest(CASE WHEN n % 3 = 0 THEN ['turn', 'said', 'said.by', 'said.parts', 'said.parts[].n'] ELSE ['turn', 'said', 'said.by', 'said.parts'] END) AS path FROM k) SELECT path, count(*) AS n FROM p GROUP BY 1""")
 def udf3_variant_field_paths(t: Tables) -> DataFrame:
     n = F.length("text")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import quality
 from ..operators.relational import concentration, strata
-from ..plans import dimensions
+from ..plans import access, dimensions, reports
 from ..plans import registry as plans
 from ..registry import Tables, query
 
@@ -154,3 +154,44 @@ def qc6_product_checks(t: Tables) -> DataFrame:
         quality.unchanged_by_join("enrollment", trials, after, "indication_profile_id", "enrollment_count"), quality.members_hold("members", kept, "c_custkey", members, "preset"),
         quality.unique(trials, ["nct_id", "snapshot_id"]),
     )
+
+
+@query(f"""WITH {RUNS_SQL}, a AS (SELECT run, count(*) FILTER (WHERE quality <> 'ok') / count(*) AS s FROM trials GROUP BY run)
+SELECT profile AS indication_profile_id, snapshot_date, round(s, 8) AS flagged_record_share, round(s - lag(s) OVER (PARTITION BY profile ORDER BY snapshot_date), 8) AS change FROM runs LEFT JOIN a USING (run)""")
+def qry14_registry_reliability_trend(t: Tables) -> DataFrame:
+    places = _places(t)
+    return reports.build_grouped_trend(plans.build_run_reliability(_runs(t), _trials(t), places, places), "indication_profile_id", "snapshot_date", "flagged_record_share")
+
+
+@query(f"""WITH {SEGMENTS_SQL}, s AS (SELECT profile, day, st, nct % 3 AS facility, count(DISTINCT nct) AS n_keys, array_to_string(list_sort(list(DISTINCT grp)), ', ') AS mix FROM obs GROUP BY ALL HAVING count(DISTINCT nct) >= 2)
+SELECT * FROM s ORDER BY n_keys DESC, profile, day, st, facility LIMIT 50""")
+def qry14_overlap_hotspots(t: Tables) -> DataFrame:
+    rows = _observations(t).select(C("indication_profile_id").alias("profile"), C("snapshot_date").alias("day"), C("state_normalized").alias("st"), (C("nct_id") % 3).alias("facility"), C("nct_id").alias("k"), "condition_group")
+    spots = access.overlap_hotspots(rows, ["profile", "day", "st", "facility"], "k", "condition_group")
+    return reports.build_top_rows(spots, spots.columns, [C("n_keys").desc(), C("profile"), C("day"), C("st"), C("facility")], 50)
+
+
+@query(f"""WITH {SEGMENTS_SQL}, n AS (SELECT o.profile, grp, st, ph, count(DISTINCT nct) AS n, count(DISTINCT nct % 7) AS owners FROM obs o JOIN (SELECT profile, max(day) AS day FROM stat GROUP BY 1) l ON l.profile = o.profile AND l.day = o.day WHERE status = 'O' GROUP BY ALL)
+SELECT * FROM n ORDER BY n DESC, owners DESC, profile, grp, st, ph LIMIT 25""")
+def qry14_top_segments(t: Tables) -> DataFrame:
+    rows = _observations(t)
+    newest = rows.groupBy("indication_profile_id").agg(F.max("snapshot_date").alias("snapshot_date"))
+    open_ = rows.join(newest, ["indication_profile_id", "snapshot_date"], "left_semi").where("overall_status = 'RECRUITING'")
+    names = dict(zip(plans.SEGMENT, ("profile", "grp", "st", "ph"), strict=True))
+    counts = open_.groupBy(*(C(c).alias(n) for c, n in names.items())).agg(F.countDistinct("nct_id").alias("n"), F.countDistinct(C("nct_id") % 7).alias("owners"))
+    return reports.build_top_rows(counts, counts.columns, [C("n").desc(), C("owners").desc(), *map(C, names.values())], 25)
+
+
+@query("""WITH d AS (SELECT c_nationkey AS region, o_custkey, CASE WHEN o_orderstatus = 'P' THEN 'status' WHEN c_acctbal < 0 THEN 'balance' ELSE 'included' END AS category FROM orders JOIN customer ON c_custkey = o_custkey)
+SELECT region, category, count(DISTINCT o_custkey) AS n, count(DISTINCT o_custkey) AS recount, true AS agrees FROM d GROUP BY 1, 2""")
+def qry22_case_study_recount(t: Tables) -> DataFrame:
+    rows = t.orders.join(t.customer, C("c_custkey") == C("o_custkey"))
+    category = F.when(C("o_orderstatus") == "P", "status").when(C("c_acctbal") < 0, "balance").otherwise("included")
+    rows = rows.select(C("c_nationkey").alias("region"), category.alias("category"), "o_custkey")
+    counts = rows.groupBy("region", "category").agg(F.countDistinct("o_custkey").alias("n"))
+    # anew, from customers: each category by a semi-join of its own
+    orders = t.orders.select(C("o_custkey").alias("c_custkey"), (C("o_orderstatus") == "P").alias("p"))
+    parts = {"status": t.customer.join(orders.where("p"), "c_custkey", "left_semi"), "balance": t.customer.where("c_acctbal < 0").join(orders.where("NOT p"), "c_custkey", "left_semi"),
+             "included": t.customer.where("c_acctbal >= 0 OR c_acctbal IS NULL").join(orders.where("NOT p"), "c_custkey", "left_semi")}
+    again = [df.groupBy(C("c_nationkey").alias("region")).agg(F.count("*").alias("n")).withColumn("category", F.lit(name)) for name, df in parts.items()]
+    return reports.build_recount(counts, again[0].unionByName(again[1]).unionByName(again[2]), ["region", "category"], "n")
