@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import corpus_pipeline
+import duckdb
+import numpy as np
+import pandas as pd
+import public_tokenizers
 from helpers import frame, hard_rows, prose
+from test_documents import plain_spans
+from test_groups import plain_components
+from tokenizers import Tokenizer
 
-from tallyframe.llm import queries
+from tallyframe.llm import byte_cnn, mixing, queries
 
 
 def test_stages(spark, tmp_path):
@@ -69,5 +77,58 @@ def test_every_operator_is_registered():
     from __spark_entry__ import queries as every
 
     names = {n.split("_")[0] for n in every()}
-    assert {f"op{n}" for n in range(1, 11)} <= names and "pipeline" in every()
+    assert {f"op{n}" for n in range(1, 14)} <= names and "pipeline" in every()
     assert zlib.crc32(b"1") and set(queries.ORACLES) <= set(queries.QUERIES)
+
+
+def test_each_stage_against_a_plain_version(spark, tmp_path):
+    base = prose(90, 4).split(" ")
+    edited = " ".join([*base[:40], "changed", *base[41:]])
+    rows = [(i, prose(55 + 3 * i, i), f"s{i % 3}") for i in range(40)] + [(100 + i, " ".join(base), "s1") for i in range(6)] + [(110, edited, "s2"), (111, edited, None), (None, edited, "s0"), (None, " ".join(base), "s0")]
+    rows += [(120, "call +1 (555) 010-9999 or mail a.b@c.example.org\n" + prose(60, 90), "s0"), (121, "4111 1111 1111 1111 and 10.20.30.40 " + prose(60, 91), "s2"), (122, "x" * 3000 + " <|endoftext|> " + prose(2000, 92), "s1")]
+    rows += [(130 + i, "", "blank") for i in range(5)] + [(140, "one two", "blank"), (141, None, "blank"), (7, rows[7][1], "s1"), (7, rows[7][1], "s1"), (8, prose(60, 93), "s2")]
+    rows += [(200 + i, " ".join(w + "$$$" for w in prose(70, 700 + i).split()), "s0") for i in range(30)]
+    docs, labels = frame(spark, rows), spark.createDataFrame([(i, 1) for i in range(40)] + [(200 + i, 0) for i in range(30)], "doc_id long, quality int")
+    good, first, masked, mixed, packed = through(spark, docs, labels, tmp_path)
+    kind = lambda found: Counter((r["doc_id"], r["text"], r["source"]) for r in found)
+
+    scores = byte_cnn.classify(docs, labels).collect()
+    rejected = {r["doc_id"] for r in scores if r["predicted"] == 0 and r["doc_id"] is not None}
+    assert kind(good) == Counter(r for r in rows if r[0] not in rejected) and rejected >= set(range(203, 230)) and not rejected & set(range(40))
+
+    number = lambda r: 10**9 + len(r["text"] or "") if r["doc_id"] is None else r["doc_id"]
+    root = plain_components([(number(r), r["text"], None) for r in good])
+    kept = {(r["doc_id"], r["text"]) for r in good if root[number(r)] == number(r)}
+    assert Counter((r["doc_id"], r["text"]) for r in first) == Counter(kept)
+    assert {r["doc_id"] for r in first} & {100, 101, 105, 110, 111, None} == {100}
+
+    for before, after in zip(*(sorted(x, key=lambda r: (r["doc_id"], r["source"] or "", len(r["text"] or ""))) for x in (first, masked)), strict=True):
+        text = before["text"] or ""
+        spans = [tuple(map(int, s.split(":")[1:])) for s in plain_spans(text)]
+        assert all(text[a:b] not in after["text"] for a, b in spans)
+        if not any(c in "0123456789@" for c in text):
+            assert after["text"] == before["text"]
+    by_id = {r["doc_id"]: r["text"] for r in masked}
+    assert by_id[120].startswith("call <PHONE> or mail <EMAIL>\n") and by_id[121].startswith("<CARD> and <IP> ")
+
+    duck = duckdb.connect()
+    documents = pd.DataFrame([(r["doc_id"], r["text"], r["source"]) for r in masked], columns=["doc_id", "text", "source"])  # noqa: F841
+    duck.sql("create table documents as select doc_id::bigint doc_id, text::varchar text, source::varchar source from documents")
+    times = {i: taken // size for i, size, taken in duck.sql(f"select doc_id, size, taken from ({mixing.MIX_ORACLE})").fetchall() if size}
+    got = Counter(r["doc_id"] for r in mixed)
+    per_id = Counter(r["doc_id"] for r in masked)
+    assert {i: n for i, n in got.items() if i in times and per_id[i] == 1} == {i: n for i, n in times.items() if n and per_id[i] == 1}
+    assert max(got[i] for i in range(130, 135)) <= 2 and {r["text"] for r in mixed} <= {r["text"] for r in masked}
+
+    plain, want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), Counter()
+    for r in mixed:
+        ids = [*plain.encode(r["text"] or "", add_special_tokens=False).ids, 2]
+        at, upto = 0, len(ids) % 1024 or min(len(ids), 1024)
+        while at < len(ids):
+            want[r["doc_id"], at, upto - at, zlib.crc32(np.array(ids[at:upto], "<u4").tobytes())] += 1
+            at, upto = upto, upto + 1024
+    assert Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in packed) == want
+    fill = Counter()
+    for r in packed:
+        fill[r["sequence_id"]] += r["length"]
+    assert max(fill.values()) <= 1024 and len(fill) <= -(-sum(fill.values()) // 1024) + 1
