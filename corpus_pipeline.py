@@ -4,7 +4,8 @@ The quality classifier's rejects go, one document of each group of near-duplicat
 sources are mixed to their target weights (a document that the mix takes twice is there twice), and what is left is
 packed into sequences. Every stage works on all that the one before kept; all but the last keep the columns of documents.
 
-A row with a null doc_id is judged by its text in the first stage and passes the second.
+A row with a null doc_id is judged by its text in the first stage, and takes part in the second under a number that its text gives. Exact copies
+of a row go there too, whatever its doc_id.
 """
 
 from __future__ import annotations
