@@ -110,3 +110,38 @@ def build_top_matches(features: DataFrame, key: str, tokens: str, factors: Seque
     return rows.select(
         key, F.col("_m._match").alias("match"), F.col("_m._score").alias("score"), (F.col("_at") + 1).alias("rank"), *(F.col(f"_m._flags.{f.name}").cast("int").alias(f.name) for f in factors), shown.alias("shared"),
     )
+
+
+def build_related(
+    features: DataFrame, targets: DataFrame, key: str, groups: DataFrame, terms: DataFrame, phase: str, factors: Sequence[Factor], top: int = 10, most: int = 250, least: float | None = None
+) -> DataFrame:
+    """For each of ``targets`` (key) its ``top`` related records: ``target``, ``key``, ``score``, ``rank``, each factor as 0 or 1, and ``shared``.
+
+    Candidates share a group (``groups``: key, group) or a term (``terms``: key, term, is_ancestor) that is a direct one of at least one side. Of a
+    target's candidates the first ``most`` are scored (a rule of the report): same phase before others, then a shared group, then a
+    term that is direct on both sides, then one that is direct on one, then by key. The first factor holds where a group is shared. ``features`` has one row per
+    key; matches below ``least`` are left out. Many targets at once cost one join; a term of very many records is dealt by its records' keys.
+    """
+    named = targets.select(F.col(key).alias("target")).distinct()
+    own = lambda rows: rows.withColumnRenamed(key, "target").join(named, "target", "left_semi")
+    by_group = own(groups).where("group IS NOT NULL").distinct().join(groups.distinct(), "group").select("target", key, F.lit(1).alias("_group"), F.lit(0).alias("_depth"))
+    mine = own(terms).select("target", "term", F.col("is_ancestor").alias("_up")).where("term IS NOT NULL").distinct()
+    by_term = mine.join(terms, "term").where(~(F.col("_up") & F.col("is_ancestor"))).select("target", key, F.lit(0).alias("_group"), F.when(F.col("_up") | F.col("is_ancestor"), 1).otherwise(2).alias("_depth"))
+    pool = by_group.unionByName(by_term).where(F.col("target") != F.col(key)).groupBy("target", key).agg(F.max("_group").alias("_group"), F.max("_depth").alias("_depth"))
+    rest = [c for c in features.columns if c != key]
+    a = features.select(F.col(key).alias("target"), *(F.col(c).alias(f"a_{c}") for c in rest))
+    b = features.select(key, *(F.col(c).alias(f"b_{c}") for c in rest))
+    rows = pool.join(a, "target").join(b, key)
+    same = F.coalesce(F.col(f"a_{phase}") == F.col(f"b_{phase}"), F.lit(False))
+    first = Window.partitionBy("target").orderBy(same.desc(), F.col("_group").desc(), F.col("_depth").desc(), key)
+    rows = rows.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most)
+    left, right = (lambda c: F.col(f"a_{c}")), (lambda c: F.col(f"b_{c}"))
+    rows = rows.withColumns({f.name: (F.col("_group") == 1) if i == 0 else f.of(left, right) for i, f in enumerate(factors)})
+    total = reduce(lambda s, f: s + F.when(F.col(f.name), f.weight).otherwise(0.0), factors, F.lit(0.0))
+    rows = rows.withColumn("score", F.round(total, 4))
+    if least is not None:
+        rows = rows.where(F.col("score") >= least)
+    best = Window.partitionBy("target").orderBy(F.col("score").desc(), key)
+    rows = rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    shown = F.concat_ws("; ", *(F.when(F.col(f.name), f.name) for f in factors))
+    return rows.select("target", key, "score", "rank", *(F.col(f.name).cast("int").alias(f.name) for f in factors), shown.alias("shared"))

@@ -11,7 +11,7 @@ from ..functions import variants
 from ..operators import bitmaps, intervals, nearest, quality, running, term_index
 from ..operators.stages import shared_folder
 from ..plans import reports, search
-from ..plans.similarity import Factor, build_top_matches, overlap
+from ..plans.similarity import Factor, build_related, build_top_matches, overlap
 from ..registry import Tables, query
 from .windowed import DAILY_SQL, daily
 
@@ -116,6 +116,26 @@ def mrt10_top_25_by_seven_factors(t: Tables) -> DataFrame:
     return build_top_matches(features, "a", "tokens", FACTORS).withColumnRenamed("match", "b").drop("shared")
 
 
+@query(f"""WITH s AS (SELECT l_partkey, list_sort(list(DISTINCT s_nationkey)) AS nations FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1),
+f AS (SELECT p_partkey AS k, p_type, p_brand, p_size, floor(p_retailprice / 10) AS price_band, p_size // 10 AS size_band, coalesce(nations, []) AS nations, p_brand || '|' || p_size AS grp, string_split(p_name, ' ') AS w FROM part LEFT JOIN s ON l_partkey = p_partkey),
+m AS (SELECT k, w[1] AS term, false AS up FROM f UNION ALL SELECT k, w[2], true FROM f UNION ALL SELECT k, p_type, true FROM f WHERE k % 3 = 0), x AS (SELECT k AS target FROM f WHERE k % 50 = 0),
+c AS (SELECT target, y.k, 1 AS g, 0 AS d FROM x JOIN f z ON z.k = target JOIN f y USING (grp) UNION ALL SELECT target, n.k, 0, CASE WHEN NOT o.up AND NOT n.up THEN 2 ELSE 1 END FROM x JOIN m o ON o.k = target JOIN m n USING (term) WHERE NOT (o.up AND n.up)),
+p AS (SELECT target, k, max(g) AS g, max(d) AS d FROM c WHERE k <> target GROUP BY ALL), q AS (SELECT p.*, row_number() OVER (PARTITION BY target ORDER BY (a.p_type = b.p_type) DESC, g DESC, d DESC, p.k) AS n FROM p JOIN f a ON a.k = target JOIN f b ON b.k = p.k),
+r AS (SELECT target, q.k AS p_partkey, g AS same_condition, (a.p_type = b.p_type)::INT AS same_phase, list_has_any(a.nations, b.nations)::INT AS geography_overlap, (a.p_brand = b.p_brand)::INT AS intervention_type_overlap, (a.price_band = b.price_band)::INT AS study_design_match,
+(abs(a.p_size - b.p_size) <= 10)::INT AS eligibility_compatible, (a.size_band = b.size_band)::INT AS enrollment_band_match FROM q JOIN f a ON a.k = target JOIN f b ON b.k = q.k WHERE n <= 100),
+z AS (SELECT *, round({_SCORE_SQL}, 4) AS score FROM r) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, p_partkey)::INTEGER AS rank FROM z WHERE score >= 0.3) WHERE rank <= 10""")
+def qry3_related_by_groups_and_terms(t: Tables) -> DataFrame:
+    nations = t.lineitem.join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey")).groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.sort_array(F.collect_set("s_nationkey")).alias("nations"))
+    features = t.part.join(nations, "p_partkey", "left").select(
+        "p_partkey", "p_type", "p_brand", "p_size", F.floor(F.col("p_retailprice") / 10).alias("price_band"), F.floor(F.col("p_size") / 10).alias("size_band"), F.coalesce("nations", F.array().cast("array<long>")).alias("nations")
+    )
+    groups = t.part.select("p_partkey", F.concat_ws("|", "p_brand", F.col("p_size").cast("string")).alias("group"))
+    word, row = F.split("p_name", " "), lambda term, up: F.struct(term.alias("term"), F.lit(up).alias("is_ancestor"))
+    listed = F.array_compact(F.array(row(word[0], False), row(word[1], True), F.when(F.col("p_partkey") % 3 == 0, row(F.col("p_type"), True))))
+    terms = t.part.select("p_partkey", F.explode(listed).alias("m")).select("p_partkey", "m.term", "m.is_ancestor")
+    return build_related(features, t.part.where("p_partkey % 50 = 0"), "p_partkey", groups, terms, "p_type", FACTORS, 10, 100, 0.3).drop("shared")
+
+
 LISTED_SQL = """t AS (SELECT o_orderkey AS k, o_orderpriority AS title, o_orderstatus AS status, CASE o_custkey % 3 WHEN 0 THEN 'P1' WHEN 1 THEN 'P1/P2' END AS phase, CASE WHEN o_custkey % 5 > 0 THEN 40 + o_custkey % 50 END AS max_age,
 CASE o_custkey % 4 WHEN 0 THEN 'ALL' WHEN 1 THEN 'FEMALE' WHEN 2 THEN 'MALE' END AS sex, o_custkey % 2 = 0 AS healthy, o_orderdate::DATE AS started, CASE WHEN o_orderkey % 7 > 0 THEN o_orderdate::DATE + 30 END AS updated, c_mktsegment AS class FROM orders JOIN customer ON c_custkey = o_custkey),
 x AS (SELECT DISTINCT l_orderkey AS k, s_suppkey AS n, s_name AS facility, CASE WHEN s_suppkey % 2 = 0 THEN 25.0::DOUBLE + s_nationkey WHEN s_suppkey % 3 = 0 THEN 40.0 + s_nationkey ELSE 10.0 + n_regionkey END AS lat,

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallyframe.plans.similarity import Factor, build_top_matches, overlap
+from tallyframe.plans.similarity import Factor, build_related, build_top_matches, overlap
 
 FACTORS = (
     Factor("condition", 0.3, holds=overlap("groups")), Factor("phase", 0.2, ("phase",)), Factor("geography", 0.15, holds=overlap("states")), Factor("design", 0.1, ("kind", "purpose")),
@@ -64,3 +64,30 @@ def test_top_matches_of_nothing(spark):
     assert build_top_matches(empty, "id", "groups", FACTORS).collect() == []
     alone = spark.createDataFrame([(1, [], "1", [], None, None, None, None, None, None), (2, None, "1", [], None, None, None, None, None, None)], SCHEMA)
     assert build_top_matches(alone, "id", "groups", FACTORS).collect() == []
+
+
+def test_related_records_of_several_targets(spark):
+    data = rows(60, 5, 40)
+    r = random.Random(1)
+    groups = [(i, r.choice([None, "g1", "g2", "g3"])) for i in range(60) for _ in range(2)]
+    terms = [(i, r.choice([None, "t1", "t2", "t3"]), r.random() < 0.7) for i in range(60) for _ in range(2)]
+    make = spark.createDataFrame
+    got = build_related(make(data, SCHEMA), make([(3,), (7,), (7,), (99,)], "id int"), "id", make(groups, "id int, group string"), make(terms, "id int, term string, is_ancestor boolean"), "phase", FACTORS, 5, 12, 0.2)
+    eq = lambda a, b, *at: all(a[i] is not None and a[i] == b[i] for i in at)
+    want = set()
+    for target in (3, 7):
+        a, found = data[target], []
+        for b in data:
+            shared = {g for i, g in groups if i == target and g} & {g for i, g in groups if i == b[0]}
+            depth = max((2 - (u or v) for i, t, u in terms if i == target and t for j, s, v in terms if j == b[0] and s == t and not (u and v)), default=0)
+            if b[0] != target and (shared or depth):
+                found.append((not eq(a, b, 2), not shared, -depth, b[0], bool(shared)))
+        scored = []
+        for *_, k, same in sorted(found)[:12]:
+            b = data[k]
+            flags = [same, eq(a, b, 2), bool(set(a[3]) & set(b[3])), eq(a, b, 4, 5), a[6] is not None and b[7] is not None and a[6] <= b[7], eq(a, b, 8), eq(a, b, 9)]
+            score = round(sum(f.weight for f, x in zip(FACTORS, flags, strict=True) if x), 4)
+            if score >= 0.2:
+                scored.append((-score, k, tuple(map(int, flags))))
+        want |= {(target, k, -s, n + 1, *flags) for n, (s, k, flags) in enumerate(sorted(scored)[:5])}
+    assert {tuple(x)[:-1] for x in got.collect()} == want and want
