@@ -154,3 +154,16 @@ def build_grouped_trend(rows: DataFrame, scope: str, run: str, share: str) -> Da
 def build_top_rows(rows: DataFrame, columns: Sequence[str], order: Sequence[Column], top: int) -> DataFrame:
     """The first ``top`` rows of a report; ``order`` must tell rows apart."""
     return rows.orderBy(*order).limit(top).select(*columns)
+
+
+def build_latest_month(rows: DataFrame, month: str, by: Sequence[str], sums: Sequence[str], where: Column | None = None) -> DataFrame:
+    """Sums of a filtered product over its latest month (of those that the filter leaves), by group."""
+    kept = rows if where is None else rows.where(where)
+    return at_latest(kept, month).groupBy(month, *by).agg(*(F.sum(c).alias(c) for c in sums))
+
+
+def build_matches_shown(matches: DataFrame, records: DataFrame, key: str, match: str, columns: Sequence[str]) -> DataFrame:
+    """Matches with the columns of both records, ``match_`` before those of the match; a match whose record is gone has NULLs."""
+    own = records.select(key, *columns)
+    other = records.select(F.col(key).alias("_match"), *(F.col(c).alias(f"match_{c}") for c in columns))
+    return matches.join(own, key, "left").join(other, F.col(match) == F.col("_match"), "left").drop("_match")

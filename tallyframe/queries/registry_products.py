@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import quality
@@ -195,3 +195,25 @@ def qry22_case_study_recount(t: Tables) -> DataFrame:
              "included": t.customer.where("c_acctbal >= 0 OR c_acctbal IS NULL").join(orders.where("NOT p"), "c_custkey", "left_semi")}
     again = [df.groupBy(C("c_nationkey").alias("region")).agg(F.count("*").alias("n")).withColumn("category", F.lit(name)) for name, df in parts.items()]
     return reports.build_recount(counts, again[0].unionByName(again[1]).unionByName(again[2]), ["region", "category"], "n")
+
+
+@query("""WITH m AS (SELECT date_trunc('month', o_orderdate)::DATE AS month, o_orderpriority AS grp, count(*) AS n, count(DISTINCT o_custkey) AS k FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1, 2),
+p AS (SELECT p_partkey AS a, lead(p_partkey) OVER (PARTITION BY p_name, p_type ORDER BY p_partkey) AS b FROM part), r AS (SELECT c_nationkey AS nation, count(o_orderkey) / count(DISTINCT c_custkey) AS rate FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1)
+SELECT 'latest_month' AS page, month || '|' || grp AS item, sum(n)::DOUBLE AS value FROM m WHERE grp < '4' AND month = (SELECT max(month) FROM m WHERE grp < '4') GROUP BY month, grp
+UNION ALL SELECT 'matches', concat_ws('|', a, b, x.p_brand, y.p_brand), y.p_size::DOUBLE FROM p JOIN part x ON x.p_partkey = a LEFT JOIN part y ON y.p_partkey = b AND b % 10 > 0 WHERE b IS NOT NULL
+UNION ALL SELECT 'top_rates', nation::VARCHAR, round(rate, 6) FROM (SELECT * FROM r ORDER BY rate DESC, nation LIMIT 20)""")
+def qry23_page_views(t: Tables) -> DataFrame:
+    monthly = t.orders.where("o_orderstatus <> 'P'").groupBy(F.trunc("o_orderdate", "month").alias("month"), C("o_orderpriority").alias("grp")).agg(F.count("*").alias("n"))
+    latest = reports.build_latest_month(monthly, "month", ["grp"], ["n"], C("grp") < "4")
+    following = F.lead("p_partkey").over(Window.partitionBy("p_name", "p_type").orderBy("p_partkey"))
+    pairs = t.part.select(C("p_partkey").alias("k"), following.alias("b")).where("b IS NOT NULL")
+    records = t.part.select(C("p_partkey").alias("k"), "p_brand", "p_size")
+    shown = reports.build_matches_shown(pairs, records.where("k % 10 > 0"), "k", "b", ["p_brand", "p_size"]).join(records.select("k", C("p_brand").alias("own_brand")), "k")
+    rates = t.customer.join(t.orders, C("o_custkey") == C("c_custkey"), "left").groupBy(C("c_nationkey").alias("nation")).agg((F.count("o_orderkey") / F.countDistinct("c_custkey")).alias("rate"))
+    top = reports.build_top_rows(rates, ["nation", "rate"], [C("rate").desc(), C("nation")], 20)
+    row = lambda page, item, value: (F.lit(page).alias("page"), item.alias("item"), value.cast("double").alias("value"))
+    return (
+        latest.select(*row("latest_month", F.concat_ws("|", C("month").cast("string"), "grp"), C("n")))
+        .unionByName(shown.select(*row("matches", F.concat_ws("|", C("k").cast("string"), C("b").cast("string"), "own_brand", "match_p_brand"), C("match_p_size"))))
+        .unionByName(top.select(*row("top_rates", C("nation").cast("string"), F.round("rate", 6))))
+    )
