@@ -251,6 +251,33 @@ def test_patience_alignment_is_an_ordered_match():
     assert all(a[i] == b[j] for i, j in pairs) and pairs == sorted(pairs) and len({j for _, j in pairs}) == len(pairs) and len(pairs) >= 4
 
 
+def longest_common(a, b):
+    """Length of the longest common subsequence, by the quadratic table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        row = list(itertools.accumulate(range(len(b)), lambda left, j, row=row, x=x: max(left, row[j + 1], row[j] + (x == b[j])), initial=0))
+    return row[-1]
+
+
+def test_patience_alignment_against_the_quadratic_table():
+    r, covered = np.random.default_rng(12), []
+    for n in range(300):
+        a, b = ([f"w{x}" for x in r.integers(0, r.integers(2, 60), r.integers(0, 60))] for _ in range(2))
+        pairs = license_scan.align(a, b)
+        assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in itertools.pairwise(pairs))
+        assert len(pairs) <= longest_common(a, b)
+        # words that are unique in both texts: the longest increasing run is the longest common subsequence
+        one, two = [f"u{x}" for x in r.permutation(40)[: n % 40]], [f"u{x}" for x in r.permutation(40)]
+        assert len(license_scan.align(one, two)) == longest_common(one, two)
+        # a notice with words put in and left out: nearly all that is left of it is covered; gaps without a word of their own may lose some
+        notice = [f"w{x}" for x in r.integers(0, 25, 50)]
+        kept = [w for w in notice if r.random() < 0.8]
+        other = [x for w in notice for x in ([w, f"new{r.integers(1000)}"] if r.random() < 0.3 else [w])]
+        covered += [(len(license_scan.align(notice, x)), longest_common(notice, x)) for x in (other, kept)]
+    found, best = map(sum, zip(*covered, strict=True))
+    assert 0.98 * best < found <= best
+
+
 @pytest.mark.parametrize("path,spaces", [(BYTES, True), (WORD_FILE, False)])
 def test_token_ids_are_the_library_s(spark, path, spaces):
     import pyarrow as pa
