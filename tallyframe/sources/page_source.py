@@ -127,7 +127,8 @@ class PageStreamReader(DataSourceStreamReader):
         return {"page": self.upto or ""}
 
     def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
-        self.upto = max(self.upto or "", end["page"])  # after a restart the first batch tells where this stream is
+        # after a restart Spark plans the last batch again before it asks for the newest offset, which tells where this stream is
+        self.upto = max(self.upto or "", end["page"])
         return self.folder.dealt([n for n in self.folder.names(start["page"]) if n <= end["page"]])
 
     def read(self, partition: Pages) -> Iterator[pa.RecordBatch]:
