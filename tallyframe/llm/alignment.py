@@ -37,7 +37,7 @@ from .pieces import PieceEncoder, Pieces
 from .tokens import KEPT, Encoder, _byte_letters, _bytes_of, _ranges, slices
 
 #: Bytes of texts that are aligned at once, or one text.
-SLICE = 1_000_000
+SLICE = 2_000_000
 #: Up to so many id pairs their counts go to every worker (16 bytes each).
 FEW_PAIRS = 4_000_000
 #: Partial counts that a task gathers before it sends them.
@@ -78,7 +78,7 @@ def byte_level_bytes(tokenizer) -> list[bytes]:
 
 
 class Aligner:
-    def __init__(self, a_path: str, b_path: str, kept: int = 3 * KEPT // 4):
+    def __init__(self, a_path: str, b_path: str, kept: int = KEPT):
         self.a, self.b = Encoder(a_path, spaces=True, lead=True, kept=kept), PieceEncoder(b_path, kept=kept)
         self.a_bytes, self.b_bytes = _Table(byte_level_bytes(self.a.tokenizer)), _Table(self.b.pieces.bytes_of)
         ids = max(len(self.a_bytes.size), len(self.b_bytes.size))
