@@ -71,7 +71,9 @@ def build_top_matches(features: DataFrame, key: str, tokens: str, factors: Seque
     first = Window.partitionBy("_class").orderBy(key)
     ids = signed.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k + 1).groupBy("_class").agg(F.sort_array(F.collect_list(key)).alias("_ids"), *(F.first(c).alias(c) for c in columns))
     sizes = signed.groupBy("_class").agg(F.count("*").alias("_n"))
-    classes = written(ids.join(sizes, "_class"), "classes")
+    # from here on a class goes by its least key, which is shorter than its signature
+    classes = ids.join(sizes, "_class").withColumnRenamed("_class", "_signature").withColumn("_class", F.col("_ids")[0])
+    classes = written(classes, "classes")
     laid = classes.select("_class", "_n", F.explode(F.array_distinct(tokens)).alias("_token")).where("_token IS NOT NULL")
     usable = laid.groupBy("_token").agg(F.sum("_n").alias("_m")).where(F.col("_m") < most).select("_token")
     laid = written(laid.join(usable, "_token").select("_class", "_token"), "class-tokens")
@@ -103,7 +105,8 @@ def build_top_matches(features: DataFrame, key: str, tokens: str, factors: Seque
         open_ = open_.join(found, "_class", "left_anti")
     if stats is not None:
         stats |= {"pairs": made, "classes": classes.count()}
-    rows = signed.select(key, "_class").join(lists, "_class")
+    told = lists.join(classes.select("_class", "_signature"), "_class").select("_signature", "_list")
+    rows = signed.select(key, F.col("_class").alias("_signature")).join(told, "_signature")
     others = F.slice(F.filter("_list", lambda x: x["_match"] != F.col(key)), 1, k)
     rows = rows.select(key, F.posexplode(others).alias("_at", "_m"))
     shown = F.concat_ws("; ", *(F.when(F.col(f"_m._flags.{f.name}"), f.name) for f in factors))
