@@ -91,3 +91,35 @@ def test_related_records_of_several_targets(spark):
                 scored.append((-score, k, tuple(map(int, flags))))
         want |= {(target, k, -s, n + 1, *flags) for n, (s, k, flags) in enumerate(sorted(scored)[:5])}
     assert {tuple(x)[:-1] for x in got.collect()} == want and want
+
+
+def test_related_records_are_not_all_paired(spark):
+    """Few groups and terms for many records: targets x records would be 1,000,000 pairs."""
+    n, r = 2000, random.Random(8)
+    data = [(i, [f"g{i % 2}"], r.choice([None, "P1", "P2"]), ["s"], "k", "p", 1, 2, "b", "F") for i in range(n)]
+    groups = [(i, f"g{i % 2}") for i in range(n)]
+    terms = [(i, f"t{r.randrange(3)}", r.choice([None, True, False])) for i in range(n) for _ in range(2)]
+    make = spark.createDataFrame
+    targets = list(range(0, n, 4))
+    features, listed = make(data, SCHEMA), make(terms, "id int, term string, is_ancestor boolean")
+    related = build_related(features, make([(i,) for i in targets], "id int"), "id", make(groups, "id int, group string"), listed, "phase", FACTORS, 3, 20)
+    got = {}
+    for x in related.collect():
+        got.setdefault(x["target"], []).append((x["id"], x["condition"]))
+    of = {}
+    for i, t, up in terms:
+        of.setdefault(i, set()).add((t, up))
+    for target in targets[:40]:
+        found = []
+        for b in range(n):
+            # an unknown kind of term joins direct ones only, as if direct itself
+            depth = max((1 if u or v else 2 for t, u in of[target] for s, v in of[b] if s == t and (u is False or v is False)), default=0)
+            shared = b % 2 == target % 2
+            if b != target and (shared or depth):
+                phase = data[target][2]
+                found.append((phase is None or phase != data[b][2], not shared, -depth, b))
+        best = sorted(found)[:20]
+        scores = sorted((-round(0.3 * (not other) + 0.2 * (not apart) + 0.5, 4), b, int(not other)) for apart, other, _, b in best)
+        assert got[target] == [(b, c) for _, b, c in scores[:3]], target
+    plan = related._jdf.queryExecution().toString()
+    assert plan.count("Generate explode(_keys") >= 6 and "WindowGroupLimit" in plan
