@@ -17,12 +17,20 @@ from .stages import written
 RADIUS = 3958.8
 #: Side of the first cubes in miles.
 FIRST = 16.0
+#: Cubes of this side aren't halved.
+LEAST = 0.5
 
 
 def _cube(axis: str, side: float) -> Column:
     return F.floor((F.col(axis) + RADIUS) / side)
 
 
+def _crowd(targets: DataFrame, side: float) -> float:
+    """How many places the cube of a place holds, itself included, on average over the places."""
+    per = targets.groupBy(*(_cube(f"_{a}", side) for a in "xyz")).agg(F.count("*").cast("double").alias("n"))
+    return per.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0]
+
+
 def _in_space(rows: DataFrame, lat: str, lon: str) -> DataFrame:
     flat = RADIUS * F.cos(F.radians(lat))
     return rows.withColumns({"_x": flat * F.cos(F.radians(lon)), "_y": flat * F.sin(F.radians(lon)), "_z": RADIUS * F.sin(F.radians(lat))})
@@ -36,7 +44,8 @@ def nearest_places(points: DataFrame, places: DataFrame, k: int = 1, first: floa
     locations that the point's own location was compared with, over all sizes of cubes.
 
     Points of one location are one, and of one location's places only the first k can count, so a crowd at one spot costs no more than
-    k rows; ``first`` should be about the distance between places where they are dense. Cubes double, so there are about log2(earth / first) steps at most.
+    k rows. The first cubes have sides of ``first``, or of its half, quarter and so on if places share them with more than 2 k others on average, so more
+    places don't make more pairs of a point. Cubes double, so there are about log2(earth / side) steps at most.
     """
     spark = points.sparkSession
     spots = _in_space(points.where("lat IS NOT NULL AND lon IS NOT NULL").select("lat", "lon").distinct(), "lat", "lon")
@@ -47,6 +56,8 @@ def nearest_places(points: DataFrame, places: DataFrame, k: int = 1, first: floa
     targets = written(_in_space(targets, "place_lat", "place_lon"), "places")
     rest = written(spots.withColumn("_seen", F.lit(0).cast("long")), "points")
     total, side, found = targets.count(), first, None
+    while total and side > LEAST and _crowd(targets, side) > 2 * k:
+        side /= 2
     while total:
         last = side > 2 * RADIUS  # one cube and those around it hold the earth
         held = targets.select("place_lat", "place_lon", "_places", *(_cube(f"_{a}", side).alias(f"_c{a}") for a in "xyz"))
@@ -57,7 +68,8 @@ def nearest_places(points: DataFrame, places: DataFrame, k: int = 1, first: floa
         near = laid.join(held, ["_cx", "_cy", "_cz"]).select("lat", "lon", "_places", miles.alias("miles"))
         every = Window.partitionBy("lat", "lon")
         ranked = near.withColumn("_r", F.row_number().over(every.orderBy("miles", F.col("_places")[0]))).where(F.col("_r") <= k)
-        counts = near.groupBy("lat", "lon").agg(F.count("*").alias("_new"))
+        cubes = held.groupBy("_cx", "_cy", "_cz").agg(F.count("*").alias("_held"))  # counts need no pairs
+        counts = laid.join(cubes, ["_cx", "_cy", "_cz"]).groupBy("lat", "lon").agg(F.sum("_held").alias("_new"))
         best = ranked.select("lat", "lon", "miles", F.explode("_places").alias("place")).withColumn("rank", F.row_number().over(every.orderBy("miles", "place"))).where(F.col("rank") <= k)
         best = best.groupBy("lat", "lon").agg(F.sort_array(F.collect_list(F.struct("rank", "place", "miles"))).alias("_best"))  # k rows each
         done = rest.join(best, ["lat", "lon"], "left").join(counts, ["lat", "lon"], "left").withColumn("_seen", F.col("_seen") + F.coalesce("_new", F.lit(0)))

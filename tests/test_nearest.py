@@ -45,3 +45,13 @@ def test_fewer_places_than_asked_for(spark):
     none = nearest_places(points, places.where("false"), 5)
     assert none.columns == ["point", "lat", "lon", "rank", "place", "miles", "compared"] and none.collect() == []
     assert nearest_places(points.where("false"), places).collect() == []
+
+
+def test_many_places_make_no_more_pairs(spark):
+    r = random.Random(9)
+    places = [(i, r.uniform(-60, 60), r.uniform(-180, 180)) for i in range(3000)]
+    points = spark.createDataFrame([(i, r.uniform(-60, 60), r.uniform(-180, 180)) for i in range(60)], "point int, lat double, lon double")
+    got = nearest_places(points, spark.createDataFrame(places, "place int, place_lat double, place_lon double"), 2, 4096.0).collect()
+    assert len(got) == 120 and sum(x["compared"] for x in got) < 120 * 150  # with cubes of 4,096 miles all 3,000 are compared
+    for x in got:
+        assert round(x["miles"], 6) == round(sorted(miles((x["lat"], x["lon"]), p[1:]) for p in places)[x["rank"] - 1], 6)
