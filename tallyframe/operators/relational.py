@@ -10,6 +10,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows of a dealt table that one task gets, about.
+ROWS = 500_000
+
+
+def parts(*tables: DataFrame) -> int:
+    """How many parts leave about ROWS rows of the largest table in each; Parquet tables are counted by their footers."""
+    return max(tables[0].sparkSession.sparkContext.defaultParallelism, *(-(-t.count() // ROWS) for t in tables))
+
+
+def dealt_join(a: DataFrame, b: DataFrame, a_key: str, b_key: str, n: int) -> DataFrame:
+    """Inner join of two tables that are dealt to ``n`` parts by their keys, so a task's rows, not only its bytes, are bounded.
+
+    Grouping by the key (and more) afterwards needs no other exchange, so its memory is bounded too. Bytes alone don't do that: sorted keys
+    and few distinct values shrink to a twentieth in a shuffle. For keys of many values; a key with very many rows is one task's.
+    """
+    return a.repartition(n, a_key).join(b.repartition(n, b_key), F.col(a_key) == F.col(b_key))
+
+
 def optional_filter(df: DataFrame, **conditions: tuple[object, Column]) -> DataFrame:
     """Keep rows for which each condition holds whose parameter was given (isn't None)."""
     return reduce(lambda d, c: d.where(c[1]) if c[0] is not None else d, conditions.values(), df)

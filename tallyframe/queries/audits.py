@@ -108,7 +108,8 @@ def qry20_tercile_outcomes(t: Tables) -> DataFrame:
 @query("""WITH p AS (SELECT s_nationkey, o_orderpriority, count(DISTINCT o_orderkey) AS n, count(DISTINCT o_orderkey) FILTER (WHERE l_returnflag = 'R') AS overlapped, avg((l_discount <= 0.08)::INT) AS quality, avg((l_quantity > 5)::INT) AS usable FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2)
 SELECT s_nationkey, o_orderpriority, n, round(overlapped::DOUBLE / n, 8) AS overlap_share, round(0.5 * quality + 0.5 * usable, 8) AS completeness FROM p""")
 def mrt27_priority_queue(t: Tables) -> DataFrame:
-    rows = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey"))
+    lines = t.lineitem.join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey"))
+    rows = R.dealt_join(lines, t.orders, "l_orderkey", "o_orderkey", R.parts(t.lineitem))
     return reports.build_priority_queue(rows, ["s_nationkey", "o_orderpriority"], "o_orderkey", F.col("l_returnflag") == "R", F.col("l_discount") <= 0.08, F.col("l_quantity") > 5)
 
 
