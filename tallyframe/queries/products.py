@@ -20,7 +20,8 @@ def mrt2_current_status(t: Tables) -> DataFrame:
 @query("""SELECT c_nationkey, p_type, o_orderpriority, count(DISTINCT o_orderkey) AS orders, count(DISTINCT o_orderkey) FILTER (WHERE o_orderstatus = 'O') AS open, count(DISTINCT o_orderkey) FILTER (WHERE l_returnflag = 'R') AS returned
 FROM orders JOIN customer ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1, 2, 3""")
 def mrt5_25_segment_activity(t: Tables) -> DataFrame:
-    rows = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).join(t.customer, F.col("c_custkey") == F.col("o_custkey")).join(t.part, F.col("p_partkey") == F.col("l_partkey"))
+    lines, orders = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")), t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey"))
+    rows = R.dealt_join(lines, orders, "l_orderkey", "o_orderkey", R.parts(t.lineitem))
     return R.distinct_where(rows, ["c_nationkey", "p_type", "o_orderpriority"], "o_orderkey", {"orders": F.lit(True), "open": F.col("o_orderstatus") == "O", "returned": F.col("l_returnflag") == "R"})
 
 
