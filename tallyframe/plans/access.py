@@ -8,18 +8,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import haversine_miles, safe_divide, wilson
+from ..operators.relational import parts as parts_of
 from ..operators.relational import within_miles
+from ..operators.stages import written
 
 
-def by_area(sites: DataFrame, areas: DataFrame, nodes: DataFrame, miles: Sequence[float]) -> DataFrame:
+#: Pairs of a site and a near area that are sent to every task at most, about 50 bytes each.
+MOST_NEAR = 500_000
+
+
+def by_area(sites: DataFrame, areas: DataFrame, nodes: DataFrame, miles: Sequence[float], places: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """For every node and area: nearest distance and distinct keys within each radius, 0 where there is none.
 
     ``sites`` (node, key, site, a_lat, a_lon), ``areas`` (area, b_lat, b_lon; a fixed list of places), ``nodes`` (node).
-    The distance is computed once per distinct site and area.
+    The distance is computed once per distinct site and area. Where ``places`` (site, a_lat, a_lon) are given, sites need no coordinates. Sites are
+    dealt by their keys to ``parts`` parts, in which their areas are found and grouped, so a task's rows are bounded.
     """
-    points = sites.select("site", "a_lat", "a_lon").where("a_lat is not null and a_lon is not null").distinct()
+    points = (sites if places is None else places).select("site", "a_lat", "a_lon").where("a_lat is not null and a_lon is not null").distinct()
     near = within_miles(points, areas, max(miles), haversine_miles(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))).select("site", "area", "miles")
-    best = sites.select("node", "key", "site").distinct().join(near, "site").groupBy("node", "area", "key").agg(F.min("miles").alias("miles"))
+    near = written(near, "near-areas")
+    pairs, each = near.count(), max(1, points.count())
+    listed = sites.select("node", "key", "site").join(F.broadcast(near) if pairs <= MOST_NEAR else near, "site")
+    dealt = listed.repartition((parts or parts_of(sites)) * max(1, -(-pairs // each)), "key")  # a site has this many areas on average
+    best = dealt.groupBy("node", "area", "key").agg(F.min("miles").alias("miles"))
     found = best.groupBy("node", "area").agg(F.min("miles").alias("nearest_miles"), *(F.count_if(F.col("miles") <= m).alias(f"within_{m:g}") for m in miles))
     grid = nodes.select("node").crossJoin(areas.select("area"))  # both are fixed lists; every pair is wanted
     tier = F.lit(None).cast("string")

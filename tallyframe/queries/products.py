@@ -171,9 +171,9 @@ FROM (SELECT DISTINCT p_type AS node FROM part) n CROSS JOIN c LEFT JOIN a ON a.
 def mrt31_access_by_area(t: Tables) -> DataFrame:
     k, n = F.col("s_suppkey"), F.col("n_nationkey")
     points = t.supplier.select(k.alias("site"), F.when(k % 11 != 0, 25 + (k * 37 % 200) / 10.0).alias("a_lat"), (-120 + (k * 53 % 400) / 10.0).alias("a_lon"))
-    lines = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).select(F.col("p_type").alias("node"), F.col("l_orderkey").alias("key"), F.col("l_suppkey").alias("site")).distinct()
+    lines = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).select(F.col("p_type").alias("node"), F.col("l_orderkey").alias("key"), F.col("l_suppkey").alias("site"))
     areas = t.nation.select(n.alias("area"), (25 + (n * 37 % 200) / 10.0).alias("b_lat"), (-120 + (n * 53 % 400) / 10.0).alias("b_lon"))
-    out = access.by_area(lines.join(points, "site"), areas, t.part.select(F.col("p_type").alias("node")).distinct(), (25, 50, 100))
+    out = access.by_area(lines, areas, t.part.select(F.col("p_type").alias("node")).distinct(), (25, 50, 100), points, R.parts(t.lineitem))
     return out.withColumn("nearest_miles", F.round("nearest_miles", 6))
 
 
