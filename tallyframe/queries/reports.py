@@ -157,7 +157,7 @@ def qc6_integrity_checks(t: Tables) -> DataFrame:
     rows = history(t)
     key = F.concat_ws("|", "user_id", "day")
     repeated = rows.groupBy("user_id", "day").agg(F.count("*").alias("n"))
-    lines = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey"))
+    lines = R.dealt_join(t.lineitem, t.orders, "l_orderkey", "o_orderkey", R.parts(t.lineitem))
     return quality.together(
         quality.violations("one_current_row", repeated, F.col("n") > 1, key), quality.violations("entered_needs_predecessor", rows, F.col("entered") & F.col("previous_date").isNull(), key),
         quality.violations("start_before_completion", lines, F.col("l_shipdate") < F.col("o_orderdate"), F.concat_ws("|", "l_orderkey", "l_linenumber")),
