@@ -49,7 +49,8 @@ def qry6_term_search(t: Tables) -> DataFrame:
 
 @query("SELECT p_type AS node, count(DISTINCT l_orderkey) AS total, count(DISTINCT l_orderkey) FILTER (WHERE o_orderstatus = 'O') AS active FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey GROUP BY 1")
 def qry7_node_counts(t: Tables) -> DataFrame:
-    rows = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).join(t.orders, F.col("o_orderkey") == F.col("l_orderkey"))
+    lines = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey"))
+    rows = R.dealt_join(lines, t.orders, "l_orderkey", "o_orderkey", R.parts(t.lineitem))
     return reports.build_node_counts(rows.withColumnRenamed("p_type", "node"), "node", "l_orderkey", F.col("o_orderstatus") == "O")
 
 
