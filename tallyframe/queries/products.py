@@ -29,7 +29,8 @@ def mrt5_25_segment_activity(t: Tables) -> DataFrame:
 w AS (SELECT s_nationkey, p_type, s_suppkey, count(DISTINCT o_orderkey) AS w FROM a GROUP BY 1, 2, 3), s AS (SELECT *, w::DOUBLE / sum(w) OVER (PARTITION BY s_nationkey, p_type) AS share FROM w)
 SELECT s_nationkey, p_type, count(s_suppkey) AS owners, round(CASE WHEN count(s_suppkey) >= 3 THEN sum(share * share) END, 8) AS hhi, round(max(share), 8) AS top_share FROM s GROUP BY 1, 2""")
 def mrt7_sponsor_concentration(t: Tables) -> DataFrame:
-    rows = t.lineitem.join(t.orders.where("o_orderstatus = 'O'"), F.col("o_orderkey") == F.col("l_orderkey")).join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey")).join(t.part, F.col("p_partkey") == F.col("l_partkey"))
+    lines = t.lineitem.join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey")).join(t.part, F.col("p_partkey") == F.col("l_partkey"))
+    rows = R.dealt_join(lines, t.orders.where("o_orderstatus = 'O'"), "l_orderkey", "o_orderkey", R.parts(t.lineitem))
     rows = rows.select("s_nationkey", "p_type", "s_suppkey", "o_orderkey").distinct()
     return R.concentration(rows, ["s_nationkey", "p_type"], "s_suppkey", F.count("*")).select("s_nationkey", "p_type", "owners", F.round("hhi", 8).alias("hhi"), F.round("top_share", 8).alias("top_share"))
 
