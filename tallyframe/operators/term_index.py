@@ -1,7 +1,8 @@
 """An index of names by their grams: a search reads the rows of one gram, not all names.
 
-Every name is posted under each of its words' grams of one to three characters. A phrase that matches a name in any way that ``terms`` scores
-has all grams of its words in that name, so the rows of its rarest gram hold all answers; each is then verified and scored by ``terms``.
+Every distinct name is posted once under each of its words' grams of one to three characters; who bears it stands in a table by name. A phrase that matches a
+name in any way that ``terms`` scores has all grams of its words in that name, so the names of its rarest gram hold all answers; their bearers are
+verified and scored by ``terms``.
 """
 
 from __future__ import annotations
@@ -27,14 +28,16 @@ def phrase_grams(phrase: str) -> list[str]:
 
 
 def build_term_index(names: DataFrame, root: str, files: int | None = None) -> None:
-    """Write the postings (gram, and the names' columns) and the grams' counts under ``root``; ``names`` are concept, name, main.
+    """Write the postings (gram, name), the names' rows (name, concept, main) and the grams' counts under ``root``; ``names`` are concept, name, main.
 
-    Postings are dealt by ranges of gram and name and sorted, so a gram's rows stand together (a frequent gram's in several files) and Parquet's
-    statistics leave all other row groups unread. NULL names are posted nowhere.
+    Both tables are dealt by ranges and sorted, so a gram's names stand together (a frequent gram's in several files), as do a name's rows, and Parquet's
+    statistics leave other row groups unread. NULL names are posted nowhere.
     """
-    rows = names.where("name IS NOT NULL").select(F.explode(_grams(F.col("name"))).alias("gram"), "concept", "name", "main")
-    dealt = rows.repartitionByRange(*([files] if files else []), "gram", "name")
-    dealt.sortWithinPartitions("gram", "name").write.parquet(f"{root}/postings")
+    rows, parts = names.where("name IS NOT NULL").select("name", "concept", "main"), [files] if files else []
+    rows.repartitionByRange(*parts, "name", "concept").sortWithinPartitions("name", "concept").write.parquet(f"{root}/names")
+    distinct = names.sparkSession.read.parquet(f"{root}/names").select("name").distinct()
+    posted = distinct.select(F.explode(_grams(F.col("name"))).alias("gram"), "name")
+    posted.repartitionByRange(*parts, "gram", "name").sortWithinPartitions("gram", "name").write.parquet(f"{root}/postings")
     counts = names.sparkSession.read.parquet(f"{root}/postings").groupBy("gram").agg(F.count("*").alias("n"))
     counts.repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{root}/grams")
 
@@ -42,7 +45,7 @@ def build_term_index(names: DataFrame, root: str, files: int | None = None) -> N
 def postings(spark: SparkSession, root: str, phrase: str, stats: dict | None = None) -> DataFrame:
     """concept, name and main of the names under the phrase's rarest gram; no rows if one of its grams has none.
 
-    ``stats`` gets ``gram`` and ``rows``. The driver sees one row for each gram of the phrase.
+    ``stats`` gets ``gram`` and ``rows``, the names under it. The driver sees one row for each gram of the phrase, and the first and the last name of the rarest.
     """
     wanted = phrase_grams(phrase)
     if not wanted:
@@ -51,7 +54,10 @@ def postings(spark: SparkSession, root: str, phrase: str, stats: dict | None = N
     gram = min(wanted, key=lambda g: (known.get(g, 0), g))
     if stats is not None:
         stats |= {"gram": gram, "rows": known.get(gram, 0)}
-    return spark.read.parquet(f"{root}/postings").where(F.col("gram") == gram).select("concept", "name", "main")
+    found = spark.read.parquet(f"{root}/postings").where(F.col("gram") == gram).select("name")
+    low, high = found.agg(F.min("name"), F.max("name")).first()
+    rows = spark.read.parquet(f"{root}/names").where(F.col("name").between(low, high) if low is not None else F.lit(False))
+    return rows.join(found, "name").select("concept", "name", "main")
 
 
 def search_index(spark: SparkSession, root: str, phrase: str, limit: int, stats: dict | None = None) -> DataFrame:

@@ -111,3 +111,11 @@ def test_the_index_gives_what_a_scan_gives(spark, tmp_path):
     assert "PushedFilters: [IsNotNull(gram), EqualTo(gram," in plan
     with pytest.raises(ValueError, match="blank"):
         term_index.postings(spark, f"{tmp_path}/index", "  ")
+
+
+def test_the_index_posts_a_name_once(spark, tmp_path):
+    names = spark.range(3000).select(F.col("id").alias("concept"), F.concat(F.lit("name "), F.col("id") % 5).alias("name"), (F.col("id") % 2 == 0).alias("main"))
+    root = f"{tmp_path}/index"
+    term_index.build_term_index(names, root)
+    assert spark.read.parquet(f"{root}/postings").count() == 5 * (4 + 3 + 2 + 1)  # the grams of "name" and of the number, for five names, not 3,000 rows
+    assert term_index.containing(spark, root, "me 3").count() == 600 and term_index.containing(spark, root, "me 7").count() == 0
