@@ -119,3 +119,6 @@ def test_the_index_posts_a_name_once(spark, tmp_path):
     term_index.build_term_index(names, root)
     assert spark.read.parquet(f"{root}/postings").count() == 5 * (4 + 3 + 2 + 1)  # the grams of "name" and of the number, for five names, not 3,000 rows
     assert term_index.containing(spark, root, "me 3").count() == 600 and term_index.containing(spark, root, "me 7").count() == 0
+    stats = {}
+    best = term_index.search_index(spark, root, "name 4", 10, stats).collect()
+    assert stats["rows"] == 1 and [x["concept"] for x in best] == list(range(4, 100, 10)) and {(x["score"], x["term"]) for x in best} == {(100, "name 4")}
