@@ -339,6 +339,8 @@ def read_files(spark: SparkSession, path: str, vocabulary: str, with_ids: bool =
         F.substring("words", begin + 1, upto - begin).alias("words"), F.get("crcs", k).alias("crc32"),
     )
     parts = _fragments(dealt, table, with_ids)
+    if not with_ids:
+        parts = cut(parts, "fragments")  # read twice below; without ids a row is short, and sections are decoded once
     whole = parts.where("n = n_tokens").select("file", "doc_id", "place", "n_tokens", "crc32", "ids")
     # of each section the first and the last document at most are in fragments
     several = parts.where("n < n_tokens").groupBy("file", "place").agg(
