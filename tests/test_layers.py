@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import Window
@@ -122,3 +123,13 @@ def test_the_index_posts_a_name_once(spark, tmp_path):
     stats = {}
     best = term_index.search_index(spark, root, "name 4", 10, stats).collect()
     assert stats["rows"] == 1 and [x["concept"] for x in best] == list(range(4, 100, 10)) and {(x["score"], x["term"]) for x in best} == {(100, "name 4")}
+
+
+def test_grams_are_cut_by_compiled_code(spark):
+    r = random.Random(10)
+    texts = ["".join(r.choice("abXY#-\u00e9\U0001f600\U0001d4b3\u00a0 \t\n\x0b\x85") for _ in range(r.randrange(12))) for _ in range(500)] + ["", " ", "\U0001f600", "a\U0001f600b c", "ECONOMY Brand#16"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", term_index._grams(F.col("t")).alias("grams"))
+    for t, grams in got.collect():
+        words = re.split(r"[ \t\n\x0b\f\r]+", t.lower())
+        assert sorted(grams) == sorted({w[i : i + n] for w in words for n in (1, 2, 3) for i in range(len(w) - n + 1)}), t
+    assert "lambda" not in got._jdf.queryExecution().executedPlan().toString()
